@@ -141,6 +141,7 @@ SELECT
   'prod' AS workspace_id,
   {_MONTH_TEXT.format(c='l.l_shipdate')} AS billing_period,
   CAST(l.l_shipdate AS TIMESTAMP) AS usage_start,
+  CAST(date_trunc('month', l.l_shipdate) AS TIMESTAMP) AS billing_period_start,
   '999900000000' AS payer_account_id,
   CAST(100000000000 + o.o_custkey % 20 AS STRING) AS account_id,
   CASE WHEN l.l_suppkey % 11 = 0 THEN NULL
@@ -163,6 +164,38 @@ FROM {{lineitem}} l
 JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
 """
 
+# Raw billing export in provider column spelling (schema drift: the "az"
+# variant has no region column, only availability zones; tag columns carry
+# blanks). One row per line item.
+RAW_CUR_SQL = f"""
+SELECT
+  CAST(l.l_shipdate AS TIMESTAMP) AS line_item_usage_start_date,
+  CAST(l.l_shipdate AS TIMESTAMP) + INTERVAL 1 DAY AS line_item_usage_end_date,
+  CAST(date_trunc('month', l.l_shipdate) AS TIMESTAMP) AS bill_billing_period_start_date,
+  '999900000000' AS bill_payer_account_id,
+  CAST(100000000000 + o.o_custkey % 20 AS STRING) AS line_item_usage_account_id,
+  {_case_group({g: f"'{s}'" for g, s in _SERVICE_BY_GROUP.items()})} AS line_item_product_code,
+  {{region_column}}
+  {_region_case('l.l_partkey')} || CASE l.l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS line_item_availability_zone,
+  'r-' || CAST(l.l_partkey AS STRING) AS line_item_resource_id,
+  CASE l.l_linestatus WHEN 'F' THEN 'Usage' ELSE 'DiscountedUsage' END AS line_item_line_item_type,
+  'BoxUsage:' || l.l_returnflag AS line_item_usage_type,
+  CASE WHEN l.l_linenumber % 5 = 0 THEN '' ELSE 'USD' END AS pricing_currency,
+  CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l.l_discount AS DECIMAL(18,2))) AS DECIMAL(18,6)) AS line_item_unblended_cost,
+  CASE WHEN l.l_linenumber % 2 = 0 THEN NULL
+       ELSE CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l.l_discount AS DECIMAL(18,2)) - CAST(l.l_tax AS DECIMAL(18,2))) AS DECIMAL(18,6)) END AS line_item_net_unblended_cost,
+  CASE WHEN l.l_linenumber % 3 = 0 THEN NULL
+       ELSE CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(0.9 AS DECIMAL(18,2)) AS DECIMAL(18,6)) END AS line_item_amortized_cost,
+  CASE WHEN l.l_partkey % 3 = 0 THEN '' ELSE 'team-' || CAST(l.l_partkey % 4 AS STRING) END AS resource_tags_user_team,
+  CASE l.l_suppkey % 3 WHEN 0 THEN 'prod' WHEN 1 THEN ' ' ELSE 'dev' END AS resource_tags_user_env
+FROM {{{{lineitem}}}} l
+JOIN {{{{orders}}}} o ON l.l_orderkey = o.o_orderkey
+"""
+RAW_CUR_REGION_SQL = RAW_CUR_SQL.format(
+    region_column=f"CASE WHEN l.l_suppkey % 11 = 0 THEN '' ELSE {_region_case('l.l_partkey')} END AS product_region,"
+)
+RAW_CUR_AZ_SQL = RAW_CUR_SQL.format(region_column="")
+
 # Long metric series: one point per event.
 METRICS_SQL = """
 SELECT 'r-' || CAST(e.user_id AS STRING) AS resource_id,
@@ -207,6 +240,8 @@ JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
+    "raw_cur": (RAW_CUR_REGION_SQL, ("lineitem", "orders")),
+    "raw_cur_az": (RAW_CUR_AZ_SQL, ("lineitem", "orders")),
     "metrics": (METRICS_SQL, ("events",)),
     "runs": (RUNS_SQL, ("orders",)),
     "state_events": (STATE_EVENTS_SQL, ("lineitem", "orders")),
