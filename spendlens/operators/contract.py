@@ -247,7 +247,9 @@ def to_findings(
 def findings_from_binding(flat: DataFrame) -> DataFrame:
     """Storage findings from the test binding's flat rows (dimensions as a map)."""
     dims = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in ("size_gb", "volume_type", "age_days", "vault_name", "namespace", "log_group", "metric_name")]),
+        F.array(
+            *[F.lit(k) for k in ("size_gb", "volume_type", "age_days", "vault_name", "namespace", "log_group", "metric_name", "alarm_count")]
+        ),
         F.array(
             F.col("dim_size_gb"),
             F.col("dim_volume_type"),
@@ -256,6 +258,7 @@ def findings_from_binding(flat: DataFrame) -> DataFrame:
             F.col("dim_name"),
             F.col("dim_name"),
             F.col("dim_metric_name"),
+            F.col("dim_alarm_count"),
         ),
     )
     drafts = flat.withColumn("dimensions", dims).withColumnRenamed("check_title", "check_name")

@@ -31,18 +31,18 @@ CHECK_CATALOG = [
     (1, "A", "aws.backup.vaults.no.lifecycle", "backup_vault", "AWSBackup", "governance", "Backup vault without lifecycle"),
     (1, "N", "aws.backup.vaults.access.policy.misconfig", "backup_vault", "AWSBackup", "security", "Backup vault access policy misconfigured"),
     (1, "R", "aws.backup.recovery.points.stale", "recovery_point", "AWSBackup", "waste", "Stale recovery point"),
-    (2, "A", "aws.ec2.instances.underutilized", "ec2_instance", "AmazonEC2", "rightsizing", "Underutilized EC2 instance"),
-    (2, "N", "aws.ec2.instances.stopped.long", "ec2_instance", "AmazonEC2", "waste", "EC2 instance stopped for a long time"),
+    (2, "A", "aws.ec2.instances.underutilized", "instance", "AmazonEC2", "rightsizing", "Underutilized EC2 instance"),
+    (2, "N", "aws.ec2.instances.stopped.long", "instance", "AmazonEC2", "waste", "EC2 instance stopped for a long time"),
     (2, "R", "aws.logs.log.groups.retention.missing", "log_group", "AmazonCloudWatch", "governance", "Log group without retention"),
     (3, "A", "aws.ec2.nat.gateways.idle", "nat_gateway", "AmazonVPC", "waste", "Idle NAT gateway"),
     (3, "N", "aws.ec2.nat.gateways.high.data.processing", "nat_gateway", "AmazonVPC", "waste", "NAT gateway with high data processing"),
     (3, "R", "aws.ec2.nat.gateways.cross.az", "nat_gateway", "AmazonVPC", "waste", "NAT gateway serving another AZ"),
     (4, "A", "aws.cloudwatch.custom.metrics.from.log.filters", "custom_metric", "AmazonCloudWatch", "waste", "Custom metric from log filter"),
     (4, "N", "aws.cloudwatch.alarms.high.count", "account", "AmazonCloudWatch", "waste", "High CloudWatch alarm count"),
-    (4, "R", "aws.lambda.functions.unused", "lambda_function", "AWSLambda", "waste", "Unused Lambda function"),
-    (5, "A", "aws.rds.instances.stopped.storage", "rds_instance", "AmazonRDS", "waste", "Stopped RDS instance still billed for storage"),
-    (5, "N", "aws.rds.storage.overprovisioned", "rds_instance", "AmazonRDS", "rightsizing", "Overprovisioned RDS storage"),
-    (5, "R", "aws.s3.bucket.lifecycle.missing", "s3_bucket", "AmazonS3", "governance", "S3 bucket without lifecycle"),
+    (4, "R", "aws.lambda.functions.unused", "function", "AWSLambda", "waste", "Unused Lambda function"),
+    (5, "A", "aws.rds.instances.stopped.storage", "db_instance", "AmazonRDS", "waste", "Stopped RDS instance still billed for storage"),
+    (5, "N", "aws.rds.storage.overprovisioned", "db_instance", "AmazonRDS", "rightsizing", "Overprovisioned RDS storage"),
+    (5, "R", "aws.s3.bucket.lifecycle.missing", "bucket", "AmazonS3", "governance", "S3 bucket without lifecycle"),
 ]
 
 # Regions by l_partkey % 5, in order.
@@ -85,6 +85,7 @@ for _row in CHECK_CATALOG:
     _SERVICE_BY_GROUP.setdefault(_row[0], _row[4])
 
 _MONTH_TEXT = "CAST(year({c}) AS STRING) || '-' || lpad(CAST(month({c}) AS STRING), 2, '0')"
+_YEAR_TEXT = "CAST(year({c}) AS STRING)"
 
 # One finding per line item: lineitem ⋈ orders ⋈ part.
 FINDINGS_SQL = f"""
@@ -97,11 +98,11 @@ FROM (
   SELECT
     'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
     'prod' AS workspace_id,
-    'run-' || {_MONTH_TEXT.format(c='o.o_orderdate')} AS run_id,
-    CAST(date_trunc('month', o.o_orderdate) AS TIMESTAMP) AS run_ts,
+    'run-' || {_YEAR_TEXT.format(c='o.o_orderdate')} AS run_id,
+    CAST(date_trunc('year', o.o_orderdate) AS TIMESTAMP) AS run_ts,
     'aws' AS cloud,
     '999900000000' AS billing_account_id,
-    CAST(100000000000 + o.o_custkey % 20 AS STRING) AS account_id,
+    CAST(100000000000 + l.l_partkey % 7 AS STRING) AS account_id,
     {_region_case('l.l_partkey')} AS region,
     {_case_catalog(4)} AS service,
     {_case_catalog(3)} AS resource_type,
@@ -126,6 +127,7 @@ FROM (
          WHEN l.l_partkey % 6 = 4 THEN 'Custom/' || CAST(l.l_partkey % 7 AS STRING)
          ELSE 'r-' || CAST(l.l_partkey AS STRING) END AS dim_name,
     p.p_name AS dim_metric_name,
+    CAST(CAST(l.l_quantity AS BIGINT) * 10 AS STRING) AS dim_alarm_count,
     CAST(l.l_orderkey AS STRING) || '.' || CAST(l.l_linenumber AS STRING) AS line_ref
   FROM {{lineitem}} l
   JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
@@ -143,7 +145,7 @@ SELECT
   CAST(l.l_shipdate AS TIMESTAMP) AS usage_start,
   CAST(date_trunc('month', l.l_shipdate) AS TIMESTAMP) AS billing_period_start,
   '999900000000' AS payer_account_id,
-  CAST(100000000000 + o.o_custkey % 20 AS STRING) AS account_id,
+  CAST(100000000000 + l.l_partkey % 7 AS STRING) AS account_id,
   CASE WHEN l.l_suppkey % 11 = 0 THEN NULL
        WHEN l.l_suppkey % 13 = 0 THEN upper({_region_case('l.l_partkey')})
        ELSE {_region_case('l.l_partkey')} END AS region,
@@ -151,7 +153,7 @@ SELECT
        ELSE {_case_group({g: f"'{s}'" for g, s in _SERVICE_BY_GROUP.items()})} END AS service,
   CASE WHEN l.l_linenumber % 7 = 0 THEN NULL
        WHEN l.l_linenumber % 4 = 0 THEN 'arn:aws:' || lower({_case_catalog(4)}) || ':' || {_region_case('l.l_partkey')}
-            || ':' || CAST(100000000000 + o.o_custkey % 20 AS STRING) || ':r-' || CAST(l.l_partkey AS STRING)
+            || ':' || CAST(100000000000 + l.l_partkey % 7 AS STRING) || ':r-' || CAST(l.l_partkey AS STRING)
        ELSE 'r-' || CAST(l.l_partkey AS STRING) END AS resource_id,
   CASE l.l_linestatus WHEN 'F' THEN 'Usage' ELSE 'DiscountedUsage' END AS line_item_type,
   'USD' AS currency,
@@ -173,7 +175,7 @@ SELECT
   CAST(l.l_shipdate AS TIMESTAMP) + INTERVAL 1 DAY AS line_item_usage_end_date,
   CAST(date_trunc('month', l.l_shipdate) AS TIMESTAMP) AS bill_billing_period_start_date,
   '999900000000' AS bill_payer_account_id,
-  CAST(100000000000 + o.o_custkey % 20 AS STRING) AS line_item_usage_account_id,
+  CAST(100000000000 + l.l_partkey % 7 AS STRING) AS line_item_usage_account_id,
   {_case_group({g: f"'{s}'" for g, s in _SERVICE_BY_GROUP.items()})} AS line_item_product_code,
   {{region_column}}
   {_region_case('l.l_partkey')} || CASE l.l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS line_item_availability_zone,
@@ -205,14 +207,14 @@ SELECT 'r-' || CAST(e.user_id AS STRING) AS resource_id,
 FROM {events} e
 """
 
-# Runs: one per (tenant, workspace, month of order); every 7th month failed.
+# Runs: one per (tenant, workspace, year of order); years divisible by 7 failed.
 RUNS_SQL = f"""
 SELECT DISTINCT
   'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
   'prod' AS workspace_id,
-  'run-' || {_MONTH_TEXT.format(c='o.o_orderdate')} AS run_id,
-  CAST(date_trunc('month', o.o_orderdate) AS TIMESTAMP) AS run_ts,
-  CASE WHEN (year(o.o_orderdate) * 12 + month(o.o_orderdate)) % 7 = 0 THEN 'failed' ELSE 'ready' END AS status
+  'run-' || {_YEAR_TEXT.format(c='o.o_orderdate')} AS run_id,
+  CAST(date_trunc('year', o.o_orderdate) AS TIMESTAMP) AS run_ts,
+  CASE WHEN year(o.o_orderdate) % 7 = 0 THEN 'failed' ELSE 'ready' END AS status
 FROM {{orders}} o
 """
 
@@ -223,7 +225,7 @@ SELECT
   'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
   'prod' AS workspace_id,
   'finding' AS subject_type,
-  'tenant-' || CAST(o.o_custkey % 3 AS STRING) || ':' || CAST(100000000000 + o.o_custkey % 20 AS STRING) || ':'
+  'tenant-' || CAST(o.o_custkey % 3 AS STRING) || ':' || CAST(100000000000 + l.l_partkey % 7 AS STRING) || ':'
     || {_case_catalog(2)} || ':r-' || CAST(l.l_partkey AS STRING) AS subject_id,
   CASE WHEN l.l_quantity < 10 THEN 'resolved'
        WHEN l.l_quantity < 18 THEN 'snoozed'
