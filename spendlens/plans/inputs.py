@@ -26,3 +26,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound(spark, sf_dir, "state_events")
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, "actions")

@@ -239,6 +239,24 @@ FROM {{lineitem}} l
 JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
 """
 
+# Remediation actions: one per order, on the finding of its first line item;
+# order status F -> completed, O -> failed, P -> approved (not finalized).
+ACTIONS_SQL = f"""
+SELECT
+  'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
+  'prod' AS workspace_id,
+  'act-' || CAST(o.o_orderkey AS STRING) AS action_id,
+  'tenant-' || CAST(o.o_custkey % 3 AS STRING) || ':' || CAST(100000000000 + l.l_partkey % 7 AS STRING) || ':'
+    || {_case_catalog(2)} || ':r-' || CAST(l.l_partkey AS STRING) AS fingerprint,
+  {_case_catalog(2)} AS check_id,
+  CASE WHEN l.l_partkey % 2 = 0 THEN 'stop' ELSE 'delete' END AS action_type,
+  CASE o.o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'approved' END AS status,
+  CAST(o.o_orderdate AS TIMESTAMP) - INTERVAL 2 DAY AS requested_at,
+  CAST(o.o_orderdate AS TIMESTAMP) AS updated_at
+FROM {{orders}} o
+JOIN {{lineitem}} l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -247,6 +265,7 @@ BINDINGS = {
     "metrics": (METRICS_SQL, ("events",)),
     "runs": (RUNS_SQL, ("orders",)),
     "state_events": (STATE_EVENTS_SQL, ("lineitem", "orders")),
+    "actions": (ACTIONS_SQL, ("orders", "lineitem")),
 }
 
 
