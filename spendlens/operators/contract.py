@@ -173,10 +173,16 @@ def to_findings(
     )
     status = norm_str(F.col("status"))
     issue = F.col("issue_key") if "issue_key" in d.columns else None
-    fp = _opt(d, "fingerprint", F.lit(None).cast("string"))
-    fp = F.coalesce(fp, fingerprint_col(F.col("tenant_id"), F.col("check_id"), scope, issue))
-    salt = id_salt_col(id_salt, F.col("run_id"), F.col("run_ts"))
-    fid = F.coalesce(_opt(d, "finding_id", F.lit(None).cast("string")), finding_id_col(F.col("tenant_id"), fp, salt))
+    # identities given by the draft are kept; otherwise they are derived
+    if "fingerprint" in d.columns:
+        fp = F.col("fingerprint")
+    else:
+        fp = fingerprint_col(F.col("tenant_id"), F.col("check_id"), scope, issue)
+    if "finding_id" in d.columns:
+        fid = F.col("finding_id")
+    else:
+        salt = id_salt_col(id_salt, F.col("run_id"), F.col("run_ts"))
+        fid = finding_id_col(F.col("tenant_id"), fp, salt)
     rec = _opt(d, "recommendation", F.lit(""))
     out = d.select(
         norm_str("tenant_id").alias("tenant_id"),

@@ -20,6 +20,9 @@ JOB_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.nestedSchemaPruning.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Wide record projections generate methods the JIT refuses to compile
+    # (> 8000 bytecodes); above this size Spark splits the stage instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -67,3 +70,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Used where one derived frame feeds several branches of a plan: the branches
+    then scan the stored columns (with pushdown and nested pruning) instead of
+    recomputing the lineage, and a lost executor re-reads files instead of
+    replaying joins. The folder is the cluster's ``spark.checkpoint.dir``.
+    """
+    import uuid
+
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/materialized/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

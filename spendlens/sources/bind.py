@@ -84,6 +84,26 @@ _SERVICE_BY_GROUP = {}
 for _row in CHECK_CATALOG:
     _SERVICE_BY_GROUP.setdefault(_row[0], _row[4])
 
+
+def _values(rows, alias: str, cols: str) -> str:
+    def lit(v):
+        return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(VALUES {body}) AS {alias}({cols})"
+
+
+# Catalog joins replace long CASE chains (keeps the per-row expression small).
+CATALOG_JOIN = (
+    "JOIN "
+    + _values(CHECK_CATALOG, "c", "grp, flag, check_id, resource_type, service, category, check_title")
+    + " ON c.grp = l.l_partkey % 6 AND c.flag = l.l_returnflag"
+)
+REGION_JOIN = "JOIN " + _values(list(enumerate(REGIONS)), "g", "idx, region") + " ON g.idx = l.l_partkey % 5"
+SERVICE_GROUP_JOIN = (
+    "JOIN " + _values(sorted(_SERVICE_BY_GROUP.items()), "sg", "sgrp, gservice") + " ON sg.sgrp = l.l_partkey % 6"
+)
+
 _MONTH_TEXT = "CAST(year({c}) AS STRING) || '-' || lpad(CAST(month({c}) AS STRING), 2, '0')"
 _YEAR_TEXT = "CAST(year({c}) AS STRING)"
 
@@ -103,13 +123,13 @@ FROM (
     'aws' AS cloud,
     '999900000000' AS billing_account_id,
     CAST(100000000000 + l.l_partkey % 7 AS STRING) AS account_id,
-    {_region_case('l.l_partkey')} AS region,
-    {_case_catalog(4)} AS service,
-    {_case_catalog(3)} AS resource_type,
+    g.region AS region,
+    c.service AS service,
+    c.resource_type AS resource_type,
     'r-' || CAST(l.l_partkey AS STRING) AS resource_id,
-    {_case_catalog(2)} AS check_id,
-    {_case_catalog(5)} AS category,
-    {_case_catalog(6)} AS check_title,
+    c.check_id AS check_id,
+    c.category AS category,
+    c.check_title AS check_title,
     CASE WHEN l.l_linestatus = 'F' THEN 'fail' WHEN l.l_linenumber % 3 = 0 THEN 'warn' ELSE 'info' END AS status,
     {_severity_case(1)} AS severity_level,
     {_severity_case(2)} AS severity_score,
@@ -132,6 +152,8 @@ FROM (
   FROM {{lineitem}} l
   JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
   JOIN {{part}} p ON l.l_partkey = p.p_partkey
+  {CATALOG_JOIN}
+  {REGION_JOIN}
 ) b
 """
 
@@ -147,12 +169,11 @@ SELECT
   '999900000000' AS payer_account_id,
   CAST(100000000000 + l.l_partkey % 7 AS STRING) AS account_id,
   CASE WHEN l.l_suppkey % 11 = 0 THEN NULL
-       WHEN l.l_suppkey % 13 = 0 THEN upper({_region_case('l.l_partkey')})
-       ELSE {_region_case('l.l_partkey')} END AS region,
-  CASE WHEN l.l_orderkey % 5 = 0 THEN NULL
-       ELSE {_case_group({g: f"'{s}'" for g, s in _SERVICE_BY_GROUP.items()})} END AS service,
+       WHEN l.l_suppkey % 13 = 0 THEN upper(g.region)
+       ELSE g.region END AS region,
+  CASE WHEN l.l_orderkey % 5 = 0 THEN NULL ELSE sg.gservice END AS service,
   CASE WHEN l.l_linenumber % 7 = 0 THEN NULL
-       WHEN l.l_linenumber % 4 = 0 THEN 'arn:aws:' || lower({_case_catalog(4)}) || ':' || {_region_case('l.l_partkey')}
+       WHEN l.l_linenumber % 4 = 0 THEN 'arn:aws:' || lower(c.service) || ':' || g.region
             || ':' || CAST(100000000000 + l.l_partkey % 7 AS STRING) || ':r-' || CAST(l.l_partkey AS STRING)
        ELSE 'r-' || CAST(l.l_partkey AS STRING) END AS resource_id,
   CASE l.l_linestatus WHEN 'F' THEN 'Usage' ELSE 'DiscountedUsage' END AS line_item_type,
@@ -164,6 +185,9 @@ SELECT
        ELSE CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(0.9 AS DECIMAL(18,2)) AS DECIMAL(18,6)) END AS cost_amortized
 FROM {{lineitem}} l
 JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
+{CATALOG_JOIN}
+{REGION_JOIN}
+{SERVICE_GROUP_JOIN}
 """
 
 # Raw billing export in provider column spelling (schema drift: the "az"
@@ -176,9 +200,9 @@ SELECT
   CAST(date_trunc('month', l.l_shipdate) AS TIMESTAMP) AS bill_billing_period_start_date,
   '999900000000' AS bill_payer_account_id,
   CAST(100000000000 + l.l_partkey % 7 AS STRING) AS line_item_usage_account_id,
-  {_case_group({g: f"'{s}'" for g, s in _SERVICE_BY_GROUP.items()})} AS line_item_product_code,
+  sg.gservice AS line_item_product_code,
   {{region_column}}
-  {_region_case('l.l_partkey')} || CASE l.l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS line_item_availability_zone,
+  g.region || CASE l.l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS line_item_availability_zone,
   'r-' || CAST(l.l_partkey AS STRING) AS line_item_resource_id,
   CASE l.l_linestatus WHEN 'F' THEN 'Usage' ELSE 'DiscountedUsage' END AS line_item_line_item_type,
   'BoxUsage:' || l.l_returnflag AS line_item_usage_type,
@@ -192,9 +216,11 @@ SELECT
   CASE l.l_suppkey % 3 WHEN 0 THEN 'prod' WHEN 1 THEN ' ' ELSE 'dev' END AS resource_tags_user_env
 FROM {{{{lineitem}}}} l
 JOIN {{{{orders}}}} o ON l.l_orderkey = o.o_orderkey
+{REGION_JOIN.replace("{", "{{").replace("}", "}}")}
+{SERVICE_GROUP_JOIN.replace("{", "{{").replace("}", "}}")}
 """
 RAW_CUR_REGION_SQL = RAW_CUR_SQL.format(
-    region_column=f"CASE WHEN l.l_suppkey % 11 = 0 THEN '' ELSE {_region_case('l.l_partkey')} END AS product_region,"
+    region_column="CASE WHEN l.l_suppkey % 11 = 0 THEN '' ELSE g.region END AS product_region,"
 )
 RAW_CUR_AZ_SQL = RAW_CUR_SQL.format(region_column="")
 
@@ -226,7 +252,7 @@ SELECT
   'prod' AS workspace_id,
   'finding' AS subject_type,
   'tenant-' || CAST(o.o_custkey % 3 AS STRING) || ':' || CAST(100000000000 + l.l_partkey % 7 AS STRING) || ':'
-    || {_case_catalog(2)} || ':r-' || CAST(l.l_partkey AS STRING) AS subject_id,
+    || c.check_id || ':r-' || CAST(l.l_partkey AS STRING) AS subject_id,
   CASE WHEN l.l_quantity < 10 THEN 'resolved'
        WHEN l.l_quantity < 18 THEN 'snoozed'
        WHEN l.l_quantity < 22 THEN 'ignored'
@@ -237,6 +263,7 @@ SELECT
   CAST(l.l_shipdate AS TIMESTAMP) + INTERVAL 1 HOUR * l.l_linenumber AS event_ts
 FROM {{lineitem}} l
 JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
+{CATALOG_JOIN}
 """
 
 # Remediation actions: one per order, on the finding of its first line item;
@@ -247,14 +274,15 @@ SELECT
   'prod' AS workspace_id,
   'act-' || CAST(o.o_orderkey AS STRING) AS action_id,
   'tenant-' || CAST(o.o_custkey % 3 AS STRING) || ':' || CAST(100000000000 + l.l_partkey % 7 AS STRING) || ':'
-    || {_case_catalog(2)} || ':r-' || CAST(l.l_partkey AS STRING) AS fingerprint,
-  {_case_catalog(2)} AS check_id,
+    || c.check_id || ':r-' || CAST(l.l_partkey AS STRING) AS fingerprint,
+  c.check_id AS check_id,
   CASE WHEN l.l_partkey % 2 = 0 THEN 'stop' ELSE 'delete' END AS action_type,
   CASE o.o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'approved' END AS status,
   CAST(o.o_orderdate AS TIMESTAMP) - INTERVAL 2 DAY AS requested_at,
   CAST(o.o_orderdate AS TIMESTAMP) AS updated_at
 FROM {{orders}} o
 JOIN {{lineitem}} l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1
+{CATALOG_JOIN}
 """
 
 BINDINGS = {
