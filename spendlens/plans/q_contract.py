@@ -1,0 +1,179 @@
+"""Registered contract and I/O queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.identity import finding_id_col, fingerprint_col, id_salt_col
+from ..operators import read
+from ..operators.contract import cast_for_storage, to_findings, validate
+from ..session import ensure_checkpoint_dir
+from ..sources import findings_io as io
+from ..sources.bind import bound, binding_cte
+from ..sources.prices import prices_from_price_list
+from ..sources.tables import table
+from .inputs import findings
+from .registry import query
+
+FW = binding_cte("findings_flat")
+
+
+def _scope(flat):
+    return F.struct(
+        *[F.col(c).alias(c) for c in ("account_id", "billing_account_id", "cloud", "region", "resource_arn", "resource_id", "resource_type", "service")]
+    )
+
+
+_CANON = """'{"check_id":"' || lower(trim(check_id)) || '","issue":{},"scope":{"account_id":"' || lower(trim(account_id))
+  || '","billing_account_id":"' || lower(trim(billing_account_id)) || '","cloud":"' || lower(trim(cloud)) || '","region":"' || lower(trim(region))
+  || '","resource_arn":"' || trim(resource_arn) || '","resource_id":"' || trim(resource_id) || '","resource_type":"' || lower(trim(resource_type))
+  || '","service":"' || lower(trim(service)) || '"},"tenant_id":"' || lower(trim(tenant_id)) || '"}'"""
+
+
+@query(
+    "x9_x10_identity_hashes",
+    oracle=FW
+    + f"""
+SELECT line_ref, fp AS fingerprint,
+       sha256('{{"fingerprint":"' || fp || '","salt":"' || trim(run_id) || '","tenant_id":"' || lower(trim(tenant_id)) || '"}}') AS finding_id
+FROM (SELECT *, sha256({_CANON}) AS fp FROM findings_flat)
+""",
+)
+def x9_x10(spark, sf):
+    flat = bound(spark, sf, "findings_flat")
+    fp = fingerprint_col(F.col("tenant_id"), F.col("check_id"), _scope(flat))
+    return flat.select("line_ref", "tenant_id", "run_id", fp.alias("fingerprint")).select(
+        "line_ref",
+        "fingerprint",
+        finding_id_col(F.col("tenant_id"), F.col("fingerprint"), id_salt_col("per_run", F.col("run_id"))).alias("finding_id"),
+    )
+
+
+def _bad_drafts(spark, sf):
+    flat = bound(spark, sf, "findings_flat")
+    return flat.withColumns(
+        {
+            "status": F.when(F.col("confidence") == 84, F.lit("bogus")).otherwise(F.col("status")),
+            "severity_score": F.when(F.col("dim_age_days").cast("int") >= 49, F.lit(1200)).otherwise(F.col("severity_score")),
+            "account_id": F.when(F.col("resource_id").endswith("7"), F.lit("")).otherwise(F.col("account_id")),
+        }
+    ).drop("dim_size_gb", "dim_volume_type", "dim_age_days", "dim_name", "dim_metric_name", "dim_alarm_count", "detected_at")
+
+
+@query(
+    "x11_x14_validation",
+    oracle=FW
+    + """
+SELECT finding_id, errors_text = '' AS is_valid, errors_text FROM (
+  SELECT finding_id, concat_ws(';',
+           CASE WHEN resource_id LIKE '%7' THEN 'missing:scope.account_id' END,
+           CASE WHEN confidence = 84 THEN 'enum:status=bogus' END,
+           CASE WHEN CAST(dim_age_days AS INTEGER) >= 49 THEN 'range:severity.score' END) AS errors_text
+  FROM findings_flat)
+""",
+)
+def x11_x14(spark, sf):
+    v = validate(to_findings(_bad_drafts(spark, sf)))
+    return v.select("finding_id", "is_valid", F.array_join("errors", ";").alias("errors_text"))
+
+
+@query(
+    "x2_cast_for_storage",
+    oracle=FW
+    + """
+SELECT finding_id,
+       CASE WHEN line_ref LIKE '%.3' THEN NULL ELSE CAST(run_ts AS TIMESTAMP) END AS run_ts,
+       CASE WHEN line_ref LIKE '%.5' THEN NULL ELSE confidence END AS priority,
+       CASE WHEN monthly_savings IS NULL THEN NULL ELSE monthly_savings END AS est_savings,
+       (line_ref LIKE '%.5' OR monthly_savings IS NULL) AS rejected,
+       concat_ws(';', CASE WHEN line_ref LIKE '%.5' THEN 'priority' END,
+                      CASE WHEN monthly_savings IS NULL THEN 'estimated.monthly_savings' END) AS reject_paths
+FROM findings_flat
+""",
+)
+def x2(spark, sf):
+    flat = bound(spark, sf, "findings_flat")
+    wire = flat.select(
+        "finding_id",
+        F.when(F.col("line_ref").endswith(".3"), F.lit("")).otherwise(F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss")).alias("run_ts"),
+        F.when(F.col("line_ref").endswith(".5"), F.lit("high")).otherwise(F.col("confidence").cast("string")).alias("priority"),
+        F.struct(F.coalesce(F.col("monthly_savings").cast("string"), F.lit("n/a")).alias("monthly_savings")).alias("estimated"),
+        F.lit("ignored").alias("unknown_field"),
+    )
+    ok, rejects = cast_for_storage(wire)
+    okp = ok.select("finding_id", "run_ts", "priority", F.col("estimated.monthly_savings").alias("est_savings"), F.lit(False).alias("rejected"), F.lit("").alias("reject_paths"))
+    bad = rejects.select(
+        "finding_id",
+        "run_ts",
+        "priority",
+        F.col("estimated.monthly_savings").alias("est_savings"),
+        F.lit(True).alias("rejected"),
+        F.array_join("reject_paths", ";").alias("reject_paths"),
+    )
+    return okp.unionByName(bad)
+
+
+@query(
+    "s6_partitioned_write_scan",
+    oracle=FW
+    + "SELECT CAST(CAST(run_ts AS DATE) AS VARCHAR) AS run_date, count(*) AS findings FROM findings_flat WHERE tenant_id = 'tenant-1' GROUP BY 1",
+)
+def s6(spark, sf):
+    import uuid
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/findings-store-{uuid.uuid4().hex}"
+    io.write_findings(findings(spark, sf), root)
+    scanned = io.scan_run(spark, root, "tenant-1")
+    return scanned.groupBy(F.col("run_date").cast("string").alias("run_date")).agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query(
+    "s9_export_json_summary",
+    oracle=FW
+    + """
+SELECT tenant_id, status, severity_level, count(*) AS cnt FROM findings_flat GROUP BY ALL
+""",
+)
+def s9(spark, sf):
+    import uuid
+
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    summ = read.findings_summary(findings(spark, sf)).where(F.col("dimension") == "matrix").drop("dimension")
+    paths = io.export_json({"summary": summ}, out)
+    back = spark.read.schema("tenant_id string, status string, severity_level string, cnt long").json(paths["summary"])
+    return back
+
+
+# Price-list items built from the part table: two price dimensions per item,
+# every tenth item truncated (invalid JSON); the wanted unit alternates.
+PRICE_JSON_SQL = """
+SELECT p.p_partkey AS p_partkey,
+       CASE WHEN p.p_partkey % 2 = 0 THEN 'GB-Mo' ELSE 'Hrs' END AS want_unit,
+       CASE WHEN p.p_partkey % 10 = 0 THEN '{"product":{"sku":"SKU' || CAST(p.p_partkey AS STRING) || '"'
+            ELSE '{"product":{"sku":"SKU' || CAST(p.p_partkey AS STRING) || '","attributes":{"regionCode":"r'
+                 || CAST(p.p_partkey % 5 AS STRING) || '"}},"terms":{"OnDemand":{"T1":{"priceDimensions":{"D1":{"unit":"'
+                 || CASE WHEN p.p_partkey % 3 = 0 THEN 'GB-Mo' ELSE 'Hrs' END || '","pricePerUnit":{"USD":"'
+                 || CAST(CAST(p.p_retailprice AS DECIMAL(18,2)) AS STRING) || '"}},"D2":{"unit":"GB-Mo","pricePerUnit":{"USD":"'
+                 || CAST(CAST(p.p_retailprice / 100 AS DECIMAL(18,4)) AS STRING) || '"}}}}}}}' END AS json
+FROM {part} p
+"""
+
+
+@query(
+    "s10_price_list_parse",
+    oracle="WITH pl AS (" + PRICE_JSON_SQL.replace("{part}", "part") + """)
+SELECT p_partkey, sku, unit, unit_price_usd, 'pricing_api' AS source FROM (
+  SELECT p_partkey, want_unit AS unit, json_extract_string(json, '$.product.sku') AS sku,
+         CASE WHEN json_extract_string(json, '$.terms.OnDemand.T1.priceDimensions.D1.unit') = want_unit
+              THEN CAST(json_extract_string(json, '$.terms.OnDemand.T1.priceDimensions.D1.pricePerUnit.USD') AS DOUBLE)
+              WHEN json_extract_string(json, '$.terms.OnDemand.T1.priceDimensions.D2.unit') = want_unit
+              THEN CAST(json_extract_string(json, '$.terms.OnDemand.T1.priceDimensions.D2.pricePerUnit.USD') AS DOUBLE) END AS unit_price_usd
+  FROM pl WHERE json_valid(json))
+WHERE unit_price_usd IS NOT NULL
+""",
+)
+def s10(spark, sf):
+    text = PRICE_JSON_SQL.replace("{", "{{").replace("}", "}}").replace("{{part}}", "{part}")
+    raw = spark.sql(text, part=table(spark, sf, "part"))
+    out = prices_from_price_list(raw, F.col("want_unit"), keep=("p_partkey",))
+    return out.select("p_partkey", "sku", "unit", "unit_price_usd", "source")
