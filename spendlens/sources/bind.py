@@ -285,6 +285,78 @@ JOIN {{lineitem}} l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1
 {CATALOG_JOIN}
 """
 
+# ---------------------------------------------------------------------------
+# Inventories for detectors (one resource per part / per event user / per order)
+# ---------------------------------------------------------------------------
+
+# EBS volumes and EC2 instances: one of each per part.
+VOLUMES_SQL = """
+SELECT
+  'tenant-' || CAST(p.p_partkey % 3 AS STRING) AS tenant_id,
+  CAST(100000000000 + p.p_partkey % 7 AS STRING) AS account_id,
+  g.region AS region,
+  'vol-' || CAST(p.p_partkey AS STRING) AS volume_id,
+  'i-' || CAST(p.p_partkey AS STRING) AS instance_id,
+  CASE WHEN p.p_size % 4 = 0 THEN 'in-use' WHEN p.p_size % 4 = 1 THEN '' ELSE 'available' END AS state,
+  CASE WHEN p.p_size % 4 = 0 THEN 1 ELSE 0 END AS attachment_count,
+  CASE p.p_size % 3 WHEN 0 THEN 'gp2' WHEN 1 THEN 'gp3' ELSE 'io1' END AS volume_type,
+  p.p_size * 10 AS size_gb,
+  CASE WHEN p.p_partkey % 3 = 0 THEN NULL WHEN p.p_partkey % 3 = 1 THEN true ELSE false END AS encrypted,
+  TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 7 HOUR * (p.p_partkey % 500) AS create_time,
+  CASE WHEN p.p_brand = 'Brand#1' THEN 'true' END AS tag_keep,
+  CASE WHEN p.p_brand = 'Brand#2' THEN 'Retain-forever' END AS tag_lifecycle,
+  CASE p.p_partkey % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'dev' WHEN 2 THEN ' Staging ' END AS tag_environment,
+  CASE WHEN p.p_partkey % 5 = 0 THEN NULL ELSE p.p_name END AS tag_application,
+  CASE WHEN p.p_partkey % 6 = 0 THEN '' ELSE 'app-' || CAST(p.p_partkey % 9 AS STRING) END AS tag_applicationid
+FROM {part} p
+JOIN (VALUES (0, 'us-east-1'), (1, 'us-west-2'), (2, 'eu-west-1'), (3, 'eu-central-1'), (4, 'ap-southeast-2')) AS g(idx, region)
+  ON g.idx = p.p_partkey % 5
+"""
+
+# NAT gateways and Lambda functions: one per event user (metrics come from that user's events).
+NATS_SQL = """
+SELECT DISTINCT
+  'tenant-' || CAST(e.user_id % 3 AS STRING) AS tenant_id,
+  CAST(100000000000 + e.user_id % 7 AS STRING) AS account_id,
+  'us-east-1' AS region,
+  'r-' || CAST(e.user_id AS STRING) AS resource_id,
+  'subnet-' || CAST(e.user_id % 12 AS STRING) AS subnet_id,
+  'us-east-1' || CASE e.user_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS az,
+  'available' AS state,
+  TIMESTAMP '2023-12-01 00:00:00' + INTERVAL 1 DAY * (e.user_id % 90) AS create_time,
+  128 * (1 + e.user_id % 16) AS memory_mb,
+  3 + e.user_id % 30 AS timeout_s,
+  CASE WHEN e.user_id % 11 = 0 THEN 'true' END AS tag_keep
+FROM {events} e
+"""
+
+# Route tables: one NAT route + one subnet association per order; every fifth
+# table also has an internet-gateway default route.
+ROUTES_SQL = """
+SELECT DISTINCT
+  'rtb-' || CAST(o.o_orderkey % 97 AS STRING) AS route_table_id,
+  'r-' || CAST(o.o_custkey % 200 + 50 AS STRING) AS nat_gateway_id,
+  'subnet-' || CAST(o.o_orderkey % 12 AS STRING) AS subnet_id,
+  (o.o_orderkey % 97) % 5 = 0 AS has_igw_default
+FROM {orders} o
+"""
+
+# Subnet -> availability zone (12 subnets, zone by id % 3).
+SUBNETS_SQL = """
+SELECT 'subnet-' || CAST(k AS STRING) AS subnet_id,
+       'us-east-1' || CASE k % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS az
+FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS s(k)
+"""
+
+# CloudWatch alarms: one per error event, owned by the user's account.
+ALARMS_SQL = """
+SELECT 'tenant-' || CAST(e.user_id % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + e.user_id % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       'alarm-' || CAST(e.event_id AS STRING) AS alarm_name
+FROM {events} e WHERE e.event_type = 'error'
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -294,6 +366,11 @@ BINDINGS = {
     "runs": (RUNS_SQL, ("orders",)),
     "state_events": (STATE_EVENTS_SQL, ("lineitem", "orders")),
     "actions": (ACTIONS_SQL, ("orders", "lineitem")),
+    "volumes": (VOLUMES_SQL, ("part",)),
+    "nats": (NATS_SQL, ("events",)),
+    "routes": (ROUTES_SQL, ("orders",)),
+    "subnets": (SUBNETS_SQL, ()),
+    "alarms": (ALARMS_SQL, ("events",)),
 }
 
 
