@@ -387,3 +387,114 @@ def alarms_high_count(alarms: DataFrame, params: DetectorParams = DetectorParams
         monthly_cost=cost,
         detail=F.col("alarm_count").cast("string"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Commitments: reserved instance coverage / utilization (D-RI1, D-RI2, J18, W9)
+# ---------------------------------------------------------------------------
+
+RI_BASE = ["tenant_id", "account_id", "region", "instance_type", "platform", "tenancy"]
+
+
+def normalize_platform(c: Column) -> Column:
+    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return (
+        F.when(t == "", "linux")
+        .when(F.instr(t, "windows") > 0, "windows")
+        .when((F.instr(t, "red hat") > 0) | (F.instr(t, "rhel") > 0), "rhel")
+        .when(F.instr(t, "suse") > 0, "suse")
+        .otherwise("linux")
+    )
+
+
+def normalize_tenancy(c: Column) -> Column:
+    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.when(t.isin("dedicated", "host"), t).otherwise("default")
+
+
+def reserved_instance_findings(
+    instances: DataFrame, reservations: DataFrame, on_demand: DataFrame, *, params: DetectorParams = DetectorParams(),
+    min_gap: int = 1, low_utilization_pct: float = 80.0, savings_factor: float = 0.30, unused_factor: float = 0.70,
+) -> DataFrame:
+    """Two-stage reservation matching, set-based.
+
+    Stage 1: zonal reservations cover running instances of the same
+    (type, platform, tenancy, AZ): least(running, reserved) per zone. Stage 2:
+    regional reservations cover what is left in the base, least(sum remaining,
+    regional). Coverage gap (D-RI1) and low utilization (D-RI2) per base.
+    Everything is grouped counts and equi-joins on the base key; no per-instance
+    state. ``on_demand(instance_type, monthly_usd)`` is a price dimension.
+    """
+    inst = instances.select(
+        "tenant_id", "account_id", "region",
+        F.lower(F.trim("instance_type")).alias("instance_type"),
+        normalize_platform(F.col("platform")).alias("platform"),
+        normalize_tenancy(F.col("tenancy")).alias("tenancy"),
+        F.coalesce(F.nullif(F.lower(F.trim("az")), F.lit("")), F.lit("unknown")).alias("az"),
+    ).where(F.col("instance_type") != "")
+    run_az = inst.groupBy(*RI_BASE, "az").agg(F.count(F.lit(1)).alias("running"))
+    res = reservations.select(
+        "tenant_id", "account_id", "region",
+        F.lower(F.trim("instance_type")).alias("instance_type"),
+        normalize_platform(F.col("product_description")).alias("platform"),
+        normalize_tenancy(F.col("instance_tenancy")).alias("tenancy"),
+        F.lower(F.trim(F.coalesce("scope", F.lit("")))).alias("scope"),
+        F.lower(F.trim(F.coalesce("az", F.lit("")))).alias("az"),
+        F.col("instance_count").cast("long").alias("cnt"),
+    ).where((F.col("instance_type") != "") & (F.col("cnt") > 0))
+    zonal = F.instr(F.col("scope"), "availability") > 0
+    res_az = res.where(zonal & (F.col("az") != "")).groupBy(*RI_BASE, "az").agg(F.sum("cnt").alias("reserved"))
+    res_reg = res.where(~(zonal & (F.col("az") != ""))).groupBy(*RI_BASE).agg(F.sum("cnt").alias("regional"))
+    az = run_az.join(res_az, RI_BASE + ["az"], "full").fillna(0, ["running", "reserved"])
+    az = az.withColumn("covered_az", F.least("running", "reserved"))
+    base = az.groupBy(*RI_BASE).agg(
+        F.sum("running").alias("running_count"),
+        F.sum("reserved").alias("reserved_az"),
+        F.sum("covered_az").alias("used_az"),
+        F.sum(F.col("running") - F.col("covered_az")).alias("remaining"),
+    )
+    b = base.join(res_reg, RI_BASE, "full").fillna(0, ["running_count", "reserved_az", "used_az", "remaining", "regional"])
+    b = b.withColumn("used", F.col("used_az") + F.least("remaining", "regional"))
+    b = b.withColumns(
+        {
+            "reserved_count": F.col("reserved_az") + F.col("regional"),
+            "uncovered": F.greatest(F.lit(0), F.col("running_count") - F.col("used")),
+        }
+    ).withColumns(
+        {
+            "unused": F.greatest(F.lit(0), F.col("reserved_count") - F.col("used")),
+            "utilization": F.when(F.col("reserved_count") > 0, F.col("used") * 100.0 / F.col("reserved_count")).otherwise(100.0),
+        }
+    )
+    b = b.join(
+        on_demand.select(F.lower("instance_type").alias("instance_type"), F.col("monthly_usd").cast("decimal(18,4)").alias("od")),
+        "instance_type",
+        "left",
+    )
+    has_price = F.col("od").isNotNull() & (F.col("od") > 0)
+    gap_cost = F.when(has_price, F.col("uncovered") * F.col("od"))
+    detail = F.concat_ws("|", *[F.col(c).cast("string") for c in ("instance_type", "platform", "tenancy", "running_count", "reserved_count", "used")])
+    ri1 = _draft(
+        b.where(F.col("uncovered") >= max(1, min_gap)),
+        service=F.lit("AmazonEC2"),
+        resource_type=F.lit("reserved_instance_pool"),
+        resource_id=detail,
+        check_id=F.lit("aws.ec2.ri.coverage.gap"),
+        severity_level=F.when(F.col("uncovered") >= 5, "high").otherwise("medium"),
+        severity_score=F.when(F.col("uncovered") >= 5, 700).otherwise(560),
+        monthly_cost=gap_cost.cast(MONEY),
+        monthly_savings=F.round(gap_cost * F.lit(savings_factor).cast("decimal(4,2)"), 2).cast(MONEY),
+        detail=F.col("uncovered").cast("string"),
+    )
+    ri2 = _draft(
+        b.where((F.col("reserved_count") > 0) & (F.col("unused") > 0) & (F.col("utilization") < low_utilization_pct)),
+        service=F.lit("AmazonEC2"),
+        resource_type=F.lit("reserved_instance_pool"),
+        resource_id=detail,
+        check_id=F.lit("aws.ec2.ri.utilization.low"),
+        severity_level=F.when(F.col("utilization") < 50.0, "high").otherwise("medium"),
+        severity_score=F.when(F.col("utilization") < 50.0, 680).otherwise(540),
+        monthly_cost=F.when(has_price, F.round(F.col("unused") * F.col("od") * F.lit(unused_factor).cast("decimal(4,2)"), 2)).cast(MONEY),
+        detail=F.col("unused").cast("string"),
+    )
+    return ri1.unionByName(ri2)

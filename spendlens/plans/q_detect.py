@@ -291,3 +291,64 @@ def a15_a18(spark, sf):
         percentile_nearest(F.col("value"), 0.95).alias("p95_nearest"),
         F.round(percentile_linear(F.col("value"), 0.95), 6).alias("p95_linear"),
     )
+
+
+# On-demand monthly price per instance type (USD).
+ON_DEMAND = [("m5.large", "70.0800"), ("m5.xlarge", "140.1600"), ("c5.large", "62.0500"), ("t3.micro", "7.5920")]
+
+_RI_BASE = "tenant_id, account_id, region, instance_type, platform, tenancy"
+_PLATFORM = (
+    "CASE WHEN lower(trim(COALESCE({c}, ''))) = '' THEN 'linux' WHEN contains(lower({c}), 'windows') THEN 'windows' "
+    "WHEN contains(lower({c}), 'red hat') OR contains(lower({c}), 'rhel') THEN 'rhel' WHEN contains(lower({c}), 'suse') THEN 'suse' ELSE 'linux' END"
+)
+_TENANCY = "CASE WHEN lower(trim(COALESCE({c}, ''))) IN ('dedicated', 'host') THEN lower(trim({c})) ELSE 'default' END"
+
+RI_CTE = (
+    binding_cte("instances", "reservations")
+    + f""",
+od AS (SELECT instance_type, CAST(monthly_usd AS DECIMAL(18,4)) AS od FROM (VALUES {", ".join(f"('{t}', '{p}')" for t, p in ON_DEMAND)}) t(instance_type, monthly_usd)),
+inst AS (
+  SELECT tenant_id, account_id, region, lower(trim(instance_type)) AS instance_type, {_PLATFORM.format(c='platform')} AS platform,
+         {_TENANCY.format(c='tenancy')} AS tenancy, COALESCE(NULLIF(lower(trim(az)), ''), 'unknown') AS az
+  FROM instances WHERE lower(trim(instance_type)) <> ''),
+run_az AS (SELECT {_RI_BASE}, az, count(*) AS running FROM inst GROUP BY ALL),
+res AS (
+  SELECT tenant_id, account_id, region, lower(trim(instance_type)) AS instance_type, {_PLATFORM.format(c='product_description')} AS platform,
+         {_TENANCY.format(c='instance_tenancy')} AS tenancy, lower(trim(COALESCE(scope, ''))) AS scope, lower(trim(COALESCE(az, ''))) AS az,
+         CAST(instance_count AS BIGINT) AS cnt
+  FROM reservations WHERE lower(trim(instance_type)) <> '' AND instance_count > 0),
+res_az AS (SELECT {_RI_BASE}, az, sum(cnt) AS reserved FROM res WHERE contains(scope, 'availability') AND az <> '' GROUP BY ALL),
+res_reg AS (SELECT {_RI_BASE}, sum(cnt) AS regional FROM res WHERE NOT (contains(scope, 'availability') AND az <> '') GROUP BY ALL),
+azj AS (SELECT {_RI_BASE}, az, COALESCE(running, 0) AS running, COALESCE(reserved, 0) AS reserved
+        FROM run_az FULL JOIN res_az USING ({_RI_BASE}, az)),
+base AS (SELECT {_RI_BASE}, sum(running) AS running_count, sum(reserved) AS reserved_az, sum(least(running, reserved)) AS used_az,
+                sum(running - least(running, reserved)) AS remaining FROM azj GROUP BY ALL),
+b0 AS (SELECT {_RI_BASE}, COALESCE(running_count, 0) AS running_count, COALESCE(reserved_az, 0) AS reserved_az, COALESCE(used_az, 0) AS used_az,
+              COALESCE(remaining, 0) AS remaining, COALESCE(regional, 0) AS regional
+       FROM base FULL JOIN res_reg USING ({_RI_BASE})),
+b1 AS (SELECT *, used_az + least(remaining, regional) AS used, reserved_az + regional AS reserved_count FROM b0),
+b AS (SELECT b1.*, greatest(0, running_count - used) AS uncovered, greatest(0, reserved_count - used) AS unused,
+             CASE WHEN reserved_count > 0 THEN used * 100.0 / reserved_count ELSE 100.0 END AS utilization, od.od,
+             concat_ws('|', instance_type, platform, tenancy, CAST(running_count AS VARCHAR), CAST(reserved_count AS VARCHAR), CAST(used AS VARCHAR)) AS rid
+      FROM b1 LEFT JOIN od USING (instance_type))
+"""
+)
+
+
+@query(
+    "d_ri1_ri2_reserved_instances",
+    oracle=RI_CTE
+    + "SELECT "
+    + _sel(service="AmazonEC2", rtype="reserved_instance_pool", rid="rid", check="aws.ec2.ri.coverage.gap",
+           lvl="CASE WHEN uncovered >= 5 THEN 'high' ELSE 'medium' END", score="CASE WHEN uncovered >= 5 THEN 700 ELSE 560 END",
+           cost="CASE WHEN od > 0 THEN uncovered * od END", savings="CASE WHEN od > 0 THEN round(uncovered * od * 0.30, 2) END",
+           detail="CAST(uncovered AS VARCHAR)")
+    + " FROM b WHERE uncovered >= 1 UNION ALL SELECT "
+    + _sel(service="AmazonEC2", rtype="reserved_instance_pool", rid="rid", check="aws.ec2.ri.utilization.low",
+           lvl="CASE WHEN utilization < 50.0 THEN 'high' ELSE 'medium' END", score="CASE WHEN utilization < 50.0 THEN 680 ELSE 540 END",
+           cost="CASE WHEN od > 0 THEN round(unused * od * 0.70, 2) END", detail="CAST(unused AS VARCHAR)")
+    + " FROM b WHERE reserved_count > 0 AND unused > 0 AND utilization < 80.0",
+)
+def d_ri(spark, sf):
+    od = spark.createDataFrame(ON_DEMAND, "instance_type string, monthly_usd string")
+    return D.reserved_instance_findings(bound(spark, sf, "instances"), bound(spark, sf, "reservations"), od)

@@ -357,6 +357,31 @@ SELECT 'tenant-' || CAST(e.user_id % 3 AS STRING) AS tenant_id,
 FROM {events} e WHERE e.event_type = 'error'
 """
 
+# Running instances (one per 'N' line item) and reservations (one per finished order).
+INSTANCES_SQL = """
+SELECT 'tenant-' || CAST(l.l_orderkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + l.l_suppkey % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       CASE l.l_partkey % 4 WHEN 0 THEN 'm5.large' WHEN 1 THEN 'M5.xlarge' WHEN 2 THEN 'c5.large' ELSE 't3.micro' END AS instance_type,
+       CASE l.l_suppkey % 5 WHEN 0 THEN 'Linux/UNIX' WHEN 1 THEN 'Windows' WHEN 2 THEN 'Red Hat Enterprise Linux' WHEN 3 THEN 'SUSE Linux' ELSE '' END AS platform,
+       CASE WHEN l.l_orderkey % 7 = 0 THEN 'Dedicated' ELSE 'default' END AS tenancy,
+       CASE l.l_linenumber % 4 WHEN 0 THEN 'us-east-1a' WHEN 1 THEN 'us-east-1b' WHEN 2 THEN 'US-EAST-1c' ELSE '' END AS az
+FROM {lineitem} l WHERE l.l_returnflag = 'N'
+"""
+
+RESERVATIONS_SQL = """
+SELECT 'tenant-' || CAST(o.o_orderkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + o.o_custkey % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       CASE o.o_custkey % 4 WHEN 0 THEN 'm5.large' WHEN 1 THEN 'm5.xlarge' WHEN 2 THEN 'c5.large' ELSE 't3.micro' END AS instance_type,
+       CASE o.o_custkey % 5 WHEN 0 THEN 'Linux/UNIX' WHEN 1 THEN 'Windows' WHEN 2 THEN 'Red Hat Enterprise Linux' WHEN 3 THEN 'SUSE Linux' ELSE 'Linux/UNIX (Amazon VPC)' END AS product_description,
+       CASE WHEN o.o_orderkey % 7 = 0 THEN 'dedicated' ELSE 'default' END AS instance_tenancy,
+       CASE WHEN o.o_orderkey % 2 = 0 THEN 'Availability Zone' ELSE 'Region' END AS scope,
+       CASE WHEN o.o_orderkey % 2 = 0 THEN 'us-east-1' || CASE o.o_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END END AS az,
+       o.o_orderkey % 5 + 1 AS instance_count
+FROM {orders} o WHERE o.o_orderstatus = 'F'
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -371,6 +396,8 @@ BINDINGS = {
     "routes": (ROUTES_SQL, ("orders",)),
     "subnets": (SUBNETS_SQL, ()),
     "alarms": (ALARMS_SQL, ("events",)),
+    "instances": (INSTANCES_SQL, ("lineitem",)),
+    "reservations": (RESERVATIONS_SQL, ("orders",)),
 }
 
 
