@@ -41,6 +41,8 @@ TITLE_ID_PATTERNS = [
     r"\bvpc-[0-9a-f]{8,}\b",
     r"\b[a-z0-9-]{1,63}\.amazonaws\.com\b",
 ]
+# A literal every match of the pattern above contains (regex only runs when present).
+TITLE_ID_ANCHORS = ["arn:", "i-", "vol-", "sg-", "subnet-", "vpc-", ".amazonaws.com"]
 
 SEVERITY_RANK = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
 
@@ -63,8 +65,8 @@ def normalize_title(title: Column, mask: bool = True) -> Column:
     t = F.lower(F.trim(F.coalesce(title, F.lit(""))))
     if not mask:
         return t
-    for pat in TITLE_ID_PATTERNS:
-        t = F.regexp_replace(t, pat, "<id>")
+    for pat, anchor in zip(TITLE_ID_PATTERNS, TITLE_ID_ANCHORS):
+        t = F.when(F.instr(t, anchor) > 0, F.regexp_replace(t, pat, "<id>")).otherwise(t)
     t = F.regexp_replace(t, r"\d+", "<n>")
     t = F.regexp_replace(t, r"\s+", " ")
     return F.trim(t)
@@ -76,7 +78,8 @@ def group_key(check_id: Column, category: Column, title: Column, mask: bool = Tr
         "|", F.trim(F.coalesce(check_id, F.lit(""))), F.coalesce(category, F.lit("")), normalize_title(title, mask)
     )
     base = F.regexp_replace(base, r"^\|+|\|+$", "")
-    return F.when(base == "", F.lit(None)).otherwise(F.sha1(base))
+    # sha1(NULL) is NULL: the (expensive) base text is referenced once
+    return F.sha1(F.nullif(base, F.lit("")))
 
 
 def read_model_fields(findings: DataFrame, mask_titles: bool = True) -> DataFrame:
