@@ -51,12 +51,12 @@ def canonical_issue(issue: Column | None) -> Column:
 
 
 def _fix_hex(js: Column) -> Column:
-    # Python writes \u001f, Jackson writes \u001F; only control chars are escaped,
-    # so the regex pass runs only on the rare rows that contain such an escape.
+    # Python writes \u001f, Jackson writes \u001F; only control chars are escaped.
+    # A linear chain: the JSON text is referenced once (no duplicated subtree).
     out = js
     for up in "ABCDEF":
         out = F.regexp_replace(out, r"\\u00([01])" + up, r"\\u00$1" + up.lower())
-    return F.when(F.instr(js, "\\u00") > 0, out).otherwise(js)
+    return out
 
 
 def canonical_json(struct_col: Column) -> Column:
