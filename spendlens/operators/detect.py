@@ -498,3 +498,150 @@ def reserved_instance_findings(
         detail=F.col("unused").cast("string"),
     )
     return ri1.unionByName(ri2)
+
+
+# ---------------------------------------------------------------------------
+# Configuration checks: RDS (D39, D42, D43), S3 governance (D35-D37), EKS
+# ---------------------------------------------------------------------------
+
+# Old-generation RDS families; engine version policy; EKS minimum version.
+RDS_OLD_FAMILIES = ("m1", "m2", "m3", "m4", "r3", "r4", "t1", "t2", "x1")
+RDS_MYSQL_BLOCKED_PREFIXES = ("5.6", "5.7")
+RDS_POSTGRES_MIN_VERSION = (12, 0)
+RDS_MARIADB_MIN_VERSION = (10, 6)
+RDS_STORAGE_GB_MONTH_USD = "0.115"
+EKS_MIN_SUPPORTED_VERSION = (1, 28)
+
+
+def major_minor(version: Column) -> tuple[Column, Column]:
+    """(major, minor) from leading digits of the first two dot parts; NULL when unparsable.
+    A missing minor part counts as 0."""
+    parts = F.split(F.trim(F.coalesce(version, F.lit(""))), r"\.", 3)
+    major = F.nullif(F.regexp_extract(F.trim(F.try_element_at(parts, F.lit(1))), r"^(\d+)", 1), F.lit("")).cast("int")
+    minor_txt = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("0"))
+    minor = F.nullif(F.regexp_extract(F.trim(minor_txt), r"^(\d+)", 1), F.lit("")).cast("int")
+    ok = major.isNotNull() & minor.isNotNull()
+    return F.when(ok, major), F.when(ok, minor)
+
+
+def version_below(version: Column, minimum: tuple[int, int]) -> Column:
+    """(major, minor) < minimum, False when the version cannot be parsed."""
+    ma, mi = major_minor(version)
+    below = (ma < minimum[0]) | ((ma == minimum[0]) & (mi < minimum[1]))
+    return F.coalesce(below, F.lit(False))
+
+
+def engine_needs_upgrade(engine: Column, version: Column) -> Column:
+    eng = F.lower(F.trim(F.coalesce(engine, F.lit(""))))
+    ver = F.trim(F.coalesce(version, F.lit("")))
+    mysql = F.instr(eng, "mysql") > 0
+    blocked = F.lit(False)
+    for pfx in RDS_MYSQL_BLOCKED_PREFIXES:
+        blocked = blocked | ver.startswith(pfx)
+    return (
+        F.when(mysql, (ver != "") & blocked)
+        .when(F.instr(eng, "postgres") > 0, version_below(ver, RDS_POSTGRES_MIN_VERSION))
+        .when(F.instr(eng, "mariadb") > 0, version_below(ver, RDS_MARIADB_MIN_VERSION))
+        .otherwise(F.lit(False))
+    )
+
+
+def rds_config_findings(dbs: DataFrame, params: DetectorParams = DetectorParams()) -> DataFrame:
+    """D39 stopped instance still billed for storage, D42 old-generation family, D43 engine upgrade."""
+    cls = F.coalesce(F.col("instance_class"), F.lit(""))
+    parts = F.split(cls, r"\.")
+    family = F.when(cls.startswith("db.") & (F.size(parts) >= 3), F.try_element_at(parts, F.lit(2))).otherwise(F.lit(""))
+    d = dbs.withColumn("family", family)
+    price = F.lit(RDS_STORAGE_GB_MONTH_USD).cast("decimal(12,6)")
+    stopped = d.where((F.lower(F.col("status")) == "stopped") & (F.col("allocated_gb") > 0))
+    d39 = _draft(
+        stopped,
+        service=F.lit("AmazonRDS"),
+        resource_type=F.lit("db_instance"),
+        resource_id=F.col("db_instance_id"),
+        check_id=F.lit("aws.rds.instances.stopped.storage"),
+        severity_level=F.lit("medium"),
+        severity_score=F.lit(500),
+        monthly_cost=(F.col("allocated_gb").cast("decimal(18,2)") * price).cast(MONEY),
+        monthly_savings=(F.col("allocated_gb").cast("decimal(18,2)") * price).cast(MONEY),
+        detail=F.col("allocated_gb").cast("string"),
+    )
+    old = d.where(F.col("family").isin(*RDS_OLD_FAMILIES))
+    d42 = _draft(
+        old,
+        service=F.lit("AmazonRDS"),
+        resource_type=F.lit("db_instance"),
+        resource_id=F.col("db_instance_id"),
+        check_id=F.lit("aws.rds.instance.family.old.generation"),
+        severity_level=F.lit("low"),
+        severity_score=F.lit(320),
+        detail=F.col("family"),
+    )
+    up = d.where(engine_needs_upgrade(F.col("engine"), F.col("engine_version")))
+    d43 = _draft(
+        up,
+        service=F.lit("AmazonRDS"),
+        resource_type=F.lit("db_instance"),
+        resource_id=F.col("db_instance_id"),
+        check_id=F.lit("aws.rds.engine.needs.upgrade"),
+        severity_level=F.lit("high"),
+        severity_score=F.lit(750),
+        detail=F.concat_ws(" ", F.lower(F.trim("engine")), F.trim("engine_version")),
+    )
+    return cap_per_type(d39.unionByName(d42).unionByName(d43), params.max_findings_per_type)
+
+
+def s3_governance_findings(buckets: DataFrame) -> DataFrame:
+    """D35 lifecycle, D36 default encryption, D37 public access block: state 'missing' fails,
+    'unknown' (could not be read) is informational, 'present' passes."""
+    pab_flags = ["block_public_acls", "ignore_public_acls", "block_public_policy", "restrict_public_buckets"]
+    all_on = F.lit(True)
+    for c in pab_flags:
+        all_on = all_on & F.coalesce(F.col(c), F.lit(False))
+    pab_state = (
+        F.when(F.col("pab_error"), "unknown").when(~F.col("pab_configured"), "missing").when(all_on, "present").otherwise("missing")
+    )
+    b = buckets.withColumn("pab_state", pab_state)
+    outs = []
+    for check, state_col, fail_sev in (
+        ("aws.s3.governance.lifecycle.missing", "lifecycle_state", ("medium", 50)),
+        ("aws.s3.governance.encryption.missing", "encryption_state", ("high", 80)),
+        ("aws.s3.governance.public.access.block.missing", "pab_state", ("high", 85)),
+    ):
+        st = F.lower(F.col(state_col))
+        hit = b.where(st.isin("missing", "unknown"))
+        missing = st == "missing"
+        outs.append(
+            _draft(
+                hit,
+                service=F.lit("AmazonS3"),
+                resource_type=F.lit("bucket"),
+                resource_id=F.col("bucket_name"),
+                check_id=F.lit(check),
+                status=F.when(missing, "fail").otherwise("info"),
+                severity_level=F.when(missing, fail_sev[0]).otherwise("low"),
+                severity_score=F.when(missing, fail_sev[1]).otherwise(10),
+                detail=st,
+            )
+        )
+    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+
+
+def eks_findings(clusters: DataFrame) -> DataFrame:
+    """D14 public-only endpoint, D15 control-plane logging disabled, D16 version below the minimum."""
+    enabled = F.filter(F.coalesce(F.col("enabled_log_types"), F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    base = dict(service=F.lit("AmazonEKS"), resource_type=F.lit("eks_cluster"), resource_id=F.col("cluster_name"))
+    d14 = _draft(
+        clusters.where(F.coalesce("endpoint_public", F.lit(False)) & ~F.coalesce("endpoint_private", F.lit(False))),
+        check_id=F.lit("aws.eks.cluster.endpoint.public.only"), severity_level=F.lit("high"), severity_score=F.lit(820), **base,
+    )
+    d15 = _draft(
+        clusters.where(F.size(enabled) == 0),
+        check_id=F.lit("aws.eks.cluster.controlplane.logging.disabled"), severity_level=F.lit("medium"), severity_score=F.lit(520), **base,
+    )
+    d16 = _draft(
+        clusters.where(version_below(F.col("version"), EKS_MIN_SUPPORTED_VERSION)),
+        check_id=F.lit("aws.eks.cluster.version.outdated"), severity_level=F.lit("medium"), severity_score=F.lit(610),
+        detail=F.trim("version"), **base,
+    )
+    return d14.unionByName(d15).unionByName(d16)

@@ -352,3 +352,100 @@ b AS (SELECT b1.*, greatest(0, running_count - used) AS uncovered, greatest(0, r
 def d_ri(spark, sf):
     od = spark.createDataFrame(ON_DEMAND, "instance_type string, monthly_usd string")
     return D.reserved_instance_findings(bound(spark, sf, "instances"), bound(spark, sf, "reservations"), od)
+
+
+RDS_CTE = (
+    binding_cte("dbs")
+    + r""",
+d AS (
+  SELECT *, CASE WHEN starts_with(COALESCE(instance_class, ''), 'db.') AND len(string_split(instance_class, '.')) >= 3
+                 THEN string_split(instance_class, '.')[2] ELSE '' END AS family,
+         lower(trim(COALESCE(engine, ''))) AS eng, trim(COALESCE(engine_version, '')) AS ver
+  FROM dbs),
+v AS (
+  SELECT *, TRY_CAST(NULLIF(regexp_extract(trim(string_split(ver, '.')[1]), '^(\d+)', 1), '') AS INTEGER) AS ma0,
+            TRY_CAST(NULLIF(regexp_extract(trim(COALESCE(string_split(ver, '.')[2], '0')), '^(\d+)', 1), '') AS INTEGER) AS mi0
+  FROM d),
+w AS (SELECT *, CASE WHEN ma0 IS NOT NULL AND mi0 IS NOT NULL THEN ma0 END AS ma, CASE WHEN ma0 IS NOT NULL AND mi0 IS NOT NULL THEN mi0 END AS mi FROM v)
+"""
+)
+
+
+@query(
+    "d39_d42_d43_rds_config",
+    oracle=RDS_CTE
+    + "SELECT "
+    + _sel(service="AmazonRDS", rtype="db_instance", rid="db_instance_id", check="aws.rds.instances.stopped.storage", lvl="'medium'",
+           score="500", cost="CAST(allocated_gb AS DECIMAL(18,2)) * CAST(0.115 AS DECIMAL(12,6))",
+           savings="CAST(allocated_gb AS DECIMAL(18,2)) * CAST(0.115 AS DECIMAL(12,6))", detail="CAST(allocated_gb AS VARCHAR)")
+    + " FROM w WHERE lower(status) = 'stopped' AND allocated_gb > 0 UNION ALL SELECT "
+    + _sel(service="AmazonRDS", rtype="db_instance", rid="db_instance_id", check="aws.rds.instance.family.old.generation", lvl="'low'",
+           score="320", detail="family")
+    + " FROM w WHERE family IN ('m1', 'm2', 'm3', 'm4', 'r3', 'r4', 't1', 't2', 'x1') UNION ALL SELECT "
+    + _sel(service="AmazonRDS", rtype="db_instance", rid="db_instance_id", check="aws.rds.engine.needs.upgrade", lvl="'high'",
+           score="750", detail="concat_ws(' ', eng, ver)")
+    + """ FROM w WHERE CASE WHEN contains(eng, 'mysql') THEN ver <> '' AND (starts_with(ver, '5.6') OR starts_with(ver, '5.7'))
+                       WHEN contains(eng, 'postgres') THEN COALESCE(ma < 12 OR (ma = 12 AND mi < 0), false)
+                       WHEN contains(eng, 'mariadb') THEN COALESCE(ma < 10 OR (ma = 10 AND mi < 6), false) ELSE false END""",
+)
+def d39_d43(spark, sf):
+    return D.rds_config_findings(bound(spark, sf, "dbs"))
+
+
+_S3_PAB = (
+    "CASE WHEN pab_error THEN 'unknown' WHEN NOT pab_configured THEN 'missing' "
+    "WHEN COALESCE(block_public_acls, false) AND COALESCE(ignore_public_acls, false) AND COALESCE(block_public_policy, false) "
+    "AND COALESCE(restrict_public_buckets, false) THEN 'present' ELSE 'missing' END"
+)
+
+
+def _s3_part(check, state, lvl, score):
+    return (
+        "SELECT "
+        + _sel(service="AmazonS3", rtype="bucket", rid="bucket_name", check=check,
+               status=f"CASE WHEN lower({state}) = 'missing' THEN 'fail' ELSE 'info' END",
+               lvl=f"CASE WHEN lower({state}) = 'missing' THEN '{lvl}' ELSE 'low' END",
+               score=f"CASE WHEN lower({state}) = 'missing' THEN {score} ELSE 10 END", detail=f"lower({state})")
+        + f" FROM b WHERE lower({state}) IN ('missing', 'unknown')"
+    )
+
+
+@query(
+    "d35_d37_s3_governance",
+    oracle=binding_cte("buckets")
+    + f", b AS (SELECT *, {_S3_PAB} AS pab_state FROM buckets) "
+    + " UNION ALL ".join(
+        [
+            _s3_part("aws.s3.governance.lifecycle.missing", "lifecycle_state", "medium", 50),
+            _s3_part("aws.s3.governance.encryption.missing", "encryption_state", "high", 80),
+            _s3_part("aws.s3.governance.public.access.block.missing", "pab_state", "high", 85),
+        ]
+    ),
+)
+def d35_d37(spark, sf):
+    return D.s3_governance_findings(bound(spark, sf, "buckets"))
+
+
+@query(
+    "d14_d16_eks_clusters",
+    oracle=binding_cte("eks")
+    + r""",
+e AS (
+  SELECT *, len(list_filter(string_split(log_types, ','), lambda x: trim(x) <> '')) AS n_logs,
+         TRY_CAST(NULLIF(regexp_extract(trim(string_split(trim(version), '.')[1]), '^(\d+)', 1), '') AS INTEGER) AS ma,
+         TRY_CAST(NULLIF(regexp_extract(trim(COALESCE(string_split(trim(version), '.')[2], '0')), '^(\d+)', 1), '') AS INTEGER) AS mi
+  FROM eks)
+SELECT """
+    + _sel(service="AmazonEKS", rtype="eks_cluster", rid="cluster_name", check="aws.eks.cluster.endpoint.public.only", lvl="'high'",
+           score="820", detail="''")
+    + " FROM e WHERE COALESCE(endpoint_public, false) AND NOT COALESCE(endpoint_private, false) UNION ALL SELECT "
+    + _sel(service="AmazonEKS", rtype="eks_cluster", rid="cluster_name", check="aws.eks.cluster.controlplane.logging.disabled",
+           lvl="'medium'", score="520", detail="''")
+    + " FROM e WHERE n_logs = 0 UNION ALL SELECT "
+    + _sel(service="AmazonEKS", rtype="eks_cluster", rid="cluster_name", check="aws.eks.cluster.version.outdated", lvl="'medium'",
+           score="610", detail="trim(version)")
+    + " FROM e WHERE ma IS NOT NULL AND mi IS NOT NULL AND (ma < 1 OR (ma = 1 AND mi < 28))",
+)
+def d14_d16(spark, sf):
+    c = bound(spark, sf, "eks").withColumn("enabled_log_types", F.split("log_types", ","))
+    return D.eks_findings(c)

@@ -382,6 +382,50 @@ SELECT 'tenant-' || CAST(o.o_orderkey % 3 AS STRING) AS tenant_id,
 FROM {orders} o WHERE o.o_orderstatus = 'F'
 """
 
+# RDS instances (one per customer), S3 buckets (one per part), EKS clusters (one per supplier).
+DBS_SQL = """
+SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + c.c_custkey % 7 AS STRING) AS account_id,
+       'eu-west-1' AS region,
+       'db-' || CAST(c.c_custkey AS STRING) AS db_instance_id,
+       CASE c.c_custkey % 4 WHEN 0 THEN 'mysql' WHEN 1 THEN 'postgres' WHEN 2 THEN 'MariaDB' ELSE 'aurora-mysql' END AS engine,
+       CASE c.c_nationkey % 7 WHEN 0 THEN '5.7.44' WHEN 1 THEN '11.22' WHEN 2 THEN '10.5.8' WHEN 3 THEN ' 12.4'
+            WHEN 4 THEN '10.6' WHEN 5 THEN '8.0.35' ELSE 'x.1' END AS engine_version,
+       CASE c.c_custkey % 5 WHEN 0 THEN 'db.m3.large' WHEN 1 THEN 'db.m5.large' WHEN 2 THEN 'db.t2.micro'
+            WHEN 3 THEN 'm4.large' ELSE 'db.r4' END AS instance_class,
+       CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'stopped' ELSE 'available' END AS status,
+       CASE WHEN c.c_acctbal > 0 THEN CAST(floor(c.c_acctbal / 100) AS BIGINT) ELSE 0 END AS allocated_gb
+FROM {customer} c
+"""
+
+BUCKETS_SQL = """
+SELECT 'tenant-' || CAST(p.p_partkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + p.p_partkey % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       's3-' || CAST(p.p_partkey AS STRING) AS bucket_name,
+       CASE p.p_size % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'present' ELSE 'unknown' END AS lifecycle_state,
+       CASE p.p_partkey % 4 WHEN 0 THEN 'missing' WHEN 3 THEN 'unknown' ELSE 'present' END AS encryption_state,
+       p.p_size % 2 = 0 AS block_public_acls,
+       true AS ignore_public_acls,
+       p.p_partkey % 5 <> 0 AS block_public_policy,
+       true AS restrict_public_buckets,
+       p.p_partkey % 7 <> 0 AS pab_configured,
+       p.p_partkey % 11 = 0 AS pab_error
+FROM {part} p
+"""
+
+EKS_SQL = """
+SELECT 'tenant-' || CAST(s.s_suppkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + s.s_suppkey % 7 AS STRING) AS account_id,
+       'us-west-2' AS region,
+       'eks-' || CAST(s.s_suppkey AS STRING) AS cluster_name,
+       CASE WHEN s.s_suppkey % 9 = 0 THEN ' 1.' ELSE '1.' END || CAST(24 + s.s_suppkey % 8 AS STRING) AS version,
+       s.s_suppkey % 2 = 0 AS endpoint_public,
+       s.s_suppkey % 3 = 0 AS endpoint_private,
+       CASE s.s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'api,audit' WHEN 2 THEN ' ' ELSE 'scheduler' END AS log_types
+FROM {supplier} s
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -398,6 +442,9 @@ BINDINGS = {
     "alarms": (ALARMS_SQL, ("events",)),
     "instances": (INSTANCES_SQL, ("lineitem",)),
     "reservations": (RESERVATIONS_SQL, ("orders",)),
+    "dbs": (DBS_SQL, ("customer",)),
+    "buckets": (BUCKETS_SQL, ("part",)),
+    "eks": (EKS_SQL, ("supplier",)),
 }
 
 
