@@ -645,3 +645,72 @@ def eks_findings(clusters: DataFrame) -> DataFrame:
         detail=F.trim("version"), **base,
     )
     return d14.unionByName(d15).unionByName(d16)
+
+
+# ---------------------------------------------------------------------------
+# Network security: unused security groups (D5), admin ports open to the world
+# ---------------------------------------------------------------------------
+
+# Administrative ports and "anywhere" ranges.
+ADMIN_PORTS = (22, 3389)
+WORLD_V4, WORLD_V6 = "0.0.0.0/0", "::/0"
+
+
+def unused_security_groups(sgs: DataFrame, enis: DataFrame, sg_pairs: DataFrame) -> DataFrame:
+    """Not 'default', attached to no network interface and in no SG-to-SG rule
+    (as referrer or referenced). ``sg_pairs(group_id, ref_group_id)``; the used set
+    is a distinct union and the test an anti-join (J14/U7)."""
+    used = (
+        enis.select("group_id")
+        .unionByName(sg_pairs.select("group_id"))
+        .unionByName(sg_pairs.select(F.col("ref_group_id").alias("group_id")))
+        .where(F.col("group_id").isNotNull() & (F.col("group_id") != ""))
+        .distinct()
+    )
+    cand = sgs.where(F.coalesce(F.col("group_name"), F.lit("")) != "default").join(used, "group_id", "left_anti")
+    return _draft(
+        cand,
+        service=F.lit("AmazonEC2"),
+        resource_type=F.lit("security_group"),
+        resource_id=F.col("group_id"),
+        check_id=F.lit("aws.ec2.security.groups.unused"),
+        severity_level=F.lit("low"),
+        severity_score=F.lit(250),
+        detail=F.col("group_name"),
+    )
+
+
+def admin_ports_open(permissions: DataFrame, enis: DataFrame, instances: DataFrame) -> DataFrame:
+    """Instances whose security groups expose 22 / 3389 to 0.0.0.0/0 or ::/0.
+
+    ``permissions``: group_id + ``perms`` array<struct<proto, from_port, to_port,
+    cidrs array<string>, cidrs6 array<string>>> (nested, as inventories carry it).
+    Permissions are exploded per group, matched against the admin ports, and the
+    exposed ports gathered per instance through its interfaces.
+    """
+    p = permissions.select("group_id", F.explode("perms").alias("p"))
+    ports = F.array(*[F.lit(x) for x in ADMIN_PORTS])
+    world = F.array_contains(F.coalesce(F.col("p.cidrs"), F.array().cast("array<string>")), WORLD_V4) | F.array_contains(
+        F.coalesce(F.col("p.cidrs6"), F.array().cast("array<string>")), WORLD_V6
+    )
+    exposed = (
+        p.where(world)
+        .select("group_id", F.explode(ports).alias("port"), "p")
+        .where((F.col("p.proto") == "-1") | ((F.col("p.from_port") <= F.col("port")) & (F.col("port") <= F.col("p.to_port"))))
+        .select("group_id", "port")
+        .distinct()
+    )
+    by_inst = enis.select("instance_id", "group_id").distinct().join(exposed, "group_id").groupBy("instance_id").agg(
+        F.array_sort(F.collect_set("port")).alias("ports")
+    )
+    i = instances.join(by_inst, "instance_id")
+    return _draft(
+        i,
+        service=F.lit("AmazonEC2"),
+        resource_type=F.lit("instance"),
+        resource_id=F.col("instance_id"),
+        check_id=F.lit("aws.ec2.instances.security.admin.ports.open.world"),
+        severity_level=F.lit("high"),
+        severity_score=F.lit(850),
+        detail=F.array_join(F.transform("ports", lambda x: x.cast("string")), ","),
+    )

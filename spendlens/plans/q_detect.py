@@ -449,3 +449,51 @@ SELECT """
 def d14_d16(spark, sf):
     c = bound(spark, sf, "eks").withColumn("enabled_log_types", F.split("log_types", ","))
     return D.eks_findings(c)
+
+
+def _sg_frames(spark, sf):
+    sgs = bound(spark, sf, "sgs")
+    perm = F.struct
+    perms = F.array(
+        perm(F.col("p1_proto").alias("proto"), F.col("p1_from").alias("from_port"), F.col("p1_to").alias("to_port"),
+             F.array(F.col("p1_cidr")).alias("cidrs"), F.array_compact(F.array(F.col("p1_cidr6"))).alias("cidrs6")),
+        perm(F.col("p2_proto").alias("proto"), F.col("p2_from").alias("from_port"), F.col("p2_to").alias("to_port"),
+             F.array(F.col("p2_cidr")).alias("cidrs"), F.array_compact(F.array(F.col("p2_cidr6"))).alias("cidrs6")),
+    )
+    permissions = sgs.select("group_id", perms.alias("perms"))
+    pairs = sgs.where(F.col("egress_ref_group").isNotNull()).select("group_id", F.col("egress_ref_group").alias("ref_group_id"))
+    return sgs, permissions, pairs
+
+
+SG_CTE = binding_cte("sgs", "enis") + """,
+used AS (SELECT group_id FROM enis UNION SELECT group_id FROM sgs WHERE egress_ref_group IS NOT NULL
+         UNION SELECT egress_ref_group FROM sgs WHERE egress_ref_group IS NOT NULL),
+perm AS (SELECT group_id, p1_proto AS proto, p1_from AS from_port, p1_to AS to_port, p1_cidr AS cidr, p1_cidr6 AS cidr6 FROM sgs
+         UNION ALL SELECT group_id, p2_proto, p2_from, p2_to, p2_cidr, p2_cidr6 FROM sgs),
+exposed AS (SELECT DISTINCT group_id, port FROM perm, (VALUES (22), (3389)) AS ap(port)
+            WHERE (cidr = '0.0.0.0/0' OR cidr6 = '::/0') AND (proto = '-1' OR (from_port <= port AND port <= to_port))),
+inst AS (SELECT e.instance_id, list_sort(list(DISTINCT x.port)) AS ports FROM (SELECT DISTINCT instance_id, group_id FROM enis) e
+         JOIN exposed x USING (group_id) GROUP BY e.instance_id),
+tenants AS (SELECT DISTINCT instance_id FROM enis)
+"""
+
+
+@query(
+    "d5_d8_security_groups",
+    oracle=SG_CTE
+    + "SELECT "
+    + _sel(service="AmazonEC2", rtype="security_group", rid="group_id", check="aws.ec2.security.groups.unused", lvl="'low'", score="250",
+           detail="group_name")
+    + " FROM sgs WHERE COALESCE(group_name, '') <> 'default' AND group_id NOT IN (SELECT group_id FROM used) UNION ALL "
+    + "SELECT 'all' AS tenant_id, 'all' AS account_id, 'us-east-1' AS region, 'AmazonEC2' AS service, 'instance' AS resource_type, "
+    + "instance_id AS resource_id, 'aws.ec2.instances.security.admin.ports.open.world' AS check_id, 'fail' AS status, 'high' AS severity_level, "
+    + "850 AS severity_score, CAST(NULL AS DECIMAL(18,6)) AS monthly_cost, CAST(NULL AS DECIMAL(18,6)) AS monthly_savings, "
+    + "CAST(NULL AS INTEGER) AS confidence, array_to_string(ports, ',') AS detail FROM inst",
+)
+def d5_d8(spark, sf):
+    sgs, permissions, pairs = _sg_frames(spark, sf)
+    enis = bound(spark, sf, "enis")
+    instances = enis.select("instance_id").distinct().select(
+        F.lit("all").alias("tenant_id"), F.lit("all").alias("account_id"), F.lit("us-east-1").alias("region"), "instance_id"
+    )
+    return D.unused_security_groups(sgs, enis, pairs).unionByName(D.admin_ports_open(permissions, enis, instances))

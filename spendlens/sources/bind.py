@@ -426,6 +426,33 @@ SELECT 'tenant-' || CAST(s.s_suppkey % 3 AS STRING) AS tenant_id,
 FROM {supplier} s
 """
 
+# Security groups (one per supplier, two ingress permissions each, some SG-to-SG
+# references) and network interfaces attaching them (from line items).
+SGS_SQL = """
+SELECT 'tenant-' || CAST(s.s_suppkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + s.s_suppkey % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       'sg-' || CAST(s.s_suppkey AS STRING) AS group_id,
+       CASE WHEN s.s_suppkey % 10 = 0 THEN 'default' ELSE 'app-' || CAST(s.s_suppkey AS STRING) END AS group_name,
+       CASE s.s_suppkey % 4 WHEN 0 THEN '-1' WHEN 3 THEN 'udp' ELSE 'tcp' END AS p1_proto,
+       CASE s.s_suppkey % 4 WHEN 1 THEN 22 WHEN 2 THEN 3000 ELSE 0 END AS p1_from,
+       CASE s.s_suppkey % 4 WHEN 1 THEN 22 WHEN 2 THEN 4000 ELSE 65535 END AS p1_to,
+       CASE WHEN s.s_suppkey % 3 = 0 THEN '0.0.0.0/0' ELSE '10.0.0.0/8' END AS p1_cidr,
+       CASE WHEN s.s_suppkey % 5 = 0 THEN '::/0' END AS p1_cidr6,
+       'tcp' AS p2_proto, 3389 AS p2_from, 3389 AS p2_to,
+       CASE WHEN s.s_suppkey % 6 = 1 THEN '0.0.0.0/0' ELSE '192.168.0.0/16' END AS p2_cidr,
+       CAST(NULL AS STRING) AS p2_cidr6,
+       CASE WHEN s.s_suppkey % 13 = 0 THEN 'sg-' || CAST(s.s_suppkey + 4 AS STRING) END AS egress_ref_group
+FROM {supplier} s
+"""
+
+ENIS_SQL = """
+SELECT DISTINCT 'eni-' || CAST(l.l_orderkey % 1000 AS STRING) AS eni_id,
+       'i-' || CAST(l.l_orderkey % 1000 AS STRING) AS instance_id,
+       'sg-' || CAST(l.l_suppkey AS STRING) AS group_id
+FROM {lineitem} l WHERE l.l_suppkey % 4 <> 0 AND l.l_linenumber = 1
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -445,6 +472,8 @@ BINDINGS = {
     "dbs": (DBS_SQL, ("customer",)),
     "buckets": (BUCKETS_SQL, ("part",)),
     "eks": (EKS_SQL, ("supplier",)),
+    "sgs": (SGS_SQL, ("supplier",)),
+    "enis": (ENIS_SQL, ("lineitem",)),
 }
 
 
