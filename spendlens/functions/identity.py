@@ -26,10 +26,19 @@ SCOPE_KEYS = (
 CASE_KEEP = {"resource_id", "resource_arn"}
 
 
+# Characters Python's str.strip() removes (str.isspace), built from that rule.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
+def py_strip(c: Column) -> Column:
+    """Trim exactly the characters Python's ``str.strip()`` trims (not only ASCII spaces)."""
+    return F.btrim(c, F.lit(PY_WHITESPACE))
+
+
 def norm_str(c: Column | str, lower: bool = True) -> Column:
-    """Trim, optional lower, NULL -> ''."""
+    """Trim (Python whitespace), optional lower, NULL -> ''."""
     c = F.col(c) if isinstance(c, str) else c
-    out = F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    out = py_strip(F.coalesce(c.cast("string"), F.lit("")))
     return F.lower(out) if lower else out
 
 

@@ -36,7 +36,7 @@ def spark_fingerprint(spark, rows):
 text = st.text(alphabet=st.characters(blacklist_categories=("Cs",), min_codepoint=32), max_size=12)
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(
     tenant=text,
     check=text,
