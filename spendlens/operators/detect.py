@@ -714,3 +714,64 @@ def admin_ports_open(permissions: DataFrame, enis: DataFrame, instances: DataFra
         severity_score=F.lit(850),
         detail=F.array_join(F.transform("ports", lambda x: x.cast("string")), ","),
     )
+
+
+# ---------------------------------------------------------------------------
+# Storage: EBS snapshots
+# ---------------------------------------------------------------------------
+
+
+def backup_managed(tags: Column, description: Column) -> Column:
+    """Snapshot created by the backup service: an 'aws:backup:*' tag key, or 'aws backup'
+    in a tag value or the description."""
+    keys = F.map_keys(F.coalesce(tags, F.create_map().cast("map<string,string>")))
+    vals = F.map_values(F.coalesce(tags, F.create_map().cast("map<string,string>")))
+    return (
+        F.exists(keys, lambda k: F.lower(F.trim(k)).startswith("aws:backup:"))
+        | F.exists(vals, lambda v: F.instr(F.lower(v), "aws backup") > 0)
+        | F.coalesce(F.instr(F.lower(description), "aws backup") > 0, F.lit(False))
+    )
+
+
+def ebs_snapshot_findings(
+    snapshots: DataFrame, images: DataFrame, as_of, *, old_age_days: int = 45, usd_per_gb_month: str = "0.05",
+    params: DetectorParams = DetectorParams(),
+) -> DataFrame:
+    """D21 old snapshot (>= N days, not referenced by an image), D22 unencrypted snapshot.
+
+    Suppressed and backup-managed snapshots are skipped by both. The image
+    reference test is an anti-join; the two checks are independent (K10: an
+    image-referenced old snapshot is still checked for encryption).
+    """
+    now = F.lit(as_of).cast("timestamp")
+    s = snapshots.where(
+        ~suppressed(F.col("tags"), EBS_SUPPRESS_KEYS, EBS_SUPPRESS_VALUES, EBS_SUPPRESS_PREFIXES)
+        & ~backup_managed(F.col("tags"), F.col("description"))
+    )
+    refs = images.select("snapshot_id").distinct()
+    old = s.where(F.col("start_time") <= now - F.make_interval(days=F.lit(old_age_days))).join(refs, "snapshot_id", "left_anti")
+    cost = (F.col("size_gb").cast("decimal(18,2)") * F.lit(usd_per_gb_month).cast("decimal(12,6)")).cast(MONEY)
+    d21 = _draft(
+        old,
+        service=F.lit("AmazonEC2"),
+        resource_type=F.lit("ebs_snapshot"),
+        resource_id=F.col("snapshot_id"),
+        check_id=F.lit("aws.ec2.ebs.old.snapshot"),
+        severity_level=F.when(cost < 20, "low").otherwise("medium"),
+        severity_score=F.when(cost < 20, 420).otherwise(620),
+        monthly_cost=cost,
+        monthly_savings=cost,
+        detail=_age_days(F.col("start_time"), now).cast("string"),
+    )
+    unenc = s.where(~F.coalesce(F.col("encrypted"), F.lit(False)))
+    d22 = _draft(
+        unenc,
+        service=F.lit("AmazonEC2"),
+        resource_type=F.lit("ebs_snapshot"),
+        resource_id=F.col("snapshot_id"),
+        check_id=F.lit("aws.ec2.ebs.snapshot.unencrypted"),
+        severity_level=F.lit("medium"),
+        severity_score=F.lit(750),
+        detail=F.col("size_gb").cast("string"),
+    )
+    return cap_per_type(d21.unionByName(d22), params.max_findings_per_type)

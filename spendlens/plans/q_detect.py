@@ -497,3 +497,32 @@ def d5_d8(spark, sf):
         F.lit("all").alias("tenant_id"), F.lit("all").alias("account_id"), F.lit("us-east-1").alias("region"), "instance_id"
     )
     return D.unused_security_groups(sgs, enis, pairs).unionByName(D.admin_ports_open(permissions, enis, instances))
+
+
+AS_OF_SNAP = "2002-01-01 00:00:00"
+
+
+@query(
+    "d21_d22_ebs_snapshots",
+    oracle=binding_cte("snapshots", "images")
+    + f""",
+s AS (SELECT * FROM snapshots
+      WHERE tag_keep IS NULL AND tag_backup_source IS NULL AND NOT contains(lower(description), 'aws backup')),
+o AS (SELECT *, CAST(CAST(size_gb AS DECIMAL(18,2)) * CAST(0.05 AS DECIMAL(12,6)) AS DECIMAL(18,6)) AS c,
+             CAST(floor((epoch_us(TIMESTAMP '{AS_OF_SNAP}') - epoch_us(start_time)) / 86400e6) AS INTEGER) AS age
+      FROM s WHERE start_time <= TIMESTAMP '{AS_OF_SNAP}' - INTERVAL 45 DAY
+        AND snapshot_id NOT IN (SELECT snapshot_id FROM images))
+SELECT """
+    + _sel(service="AmazonEC2", rtype="ebs_snapshot", rid="snapshot_id", check="aws.ec2.ebs.old.snapshot",
+           lvl="CASE WHEN c < 20 THEN 'low' ELSE 'medium' END", score="CASE WHEN c < 20 THEN 420 ELSE 620 END", cost="c", savings="c",
+           detail="CAST(age AS VARCHAR)")
+    + " FROM o UNION ALL SELECT "
+    + _sel(service="AmazonEC2", rtype="ebs_snapshot", rid="snapshot_id", check="aws.ec2.ebs.snapshot.unencrypted", lvl="'medium'",
+           score="750", detail="CAST(size_gb AS VARCHAR)")
+    + " FROM s WHERE encrypted IS NOT TRUE",
+)
+def d21_d22(spark, sf):
+    snaps = bound(spark, sf, "snapshots").withColumn(
+        "tags", _tag_map(("aws:backup:source-resource", "tag_backup_source"), ("keep", "tag_keep"))
+    )
+    return D.ebs_snapshot_findings(snaps, bound(spark, sf, "images"), AS_OF_SNAP)

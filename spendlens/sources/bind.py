@@ -453,6 +453,26 @@ SELECT DISTINCT 'eni-' || CAST(l.l_orderkey % 1000 AS STRING) AS eni_id,
 FROM {lineitem} l WHERE l.l_suppkey % 4 <> 0 AND l.l_linenumber = 1
 """
 
+# EBS snapshots (one per order) and the snapshots images refer to (from line items).
+SNAPSHOTS_SQL = """
+SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + o.o_custkey % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       'snap-' || CAST(o.o_orderkey AS STRING) AS snapshot_id,
+       (o.o_orderkey % 50 + 1) * 8 AS size_gb,
+       CAST(o.o_orderdate AS TIMESTAMP) AS start_time,
+       CASE WHEN o.o_orderkey % 9 = 0 THEN NULL ELSE o.o_orderkey % 4 <> 0 END AS encrypted,
+       CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'Created by AWS Backup' ELSE 'manual' END AS description,
+       CASE WHEN o.o_custkey % 13 = 0 THEN 'vol-1' END AS tag_backup_source,
+       CASE WHEN o.o_custkey % 17 = 0 THEN 'yes' END AS tag_keep
+FROM {orders} o
+"""
+
+IMAGES_SQL = """
+SELECT DISTINCT 'ami-' || CAST(l.l_partkey AS STRING) AS image_id, 'snap-' || CAST(l.l_orderkey AS STRING) AS snapshot_id
+FROM {lineitem} l WHERE l.l_linenumber = 3 AND l.l_returnflag = 'R'
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -474,6 +494,8 @@ BINDINGS = {
     "eks": (EKS_SQL, ("supplier",)),
     "sgs": (SGS_SQL, ("supplier",)),
     "enis": (ENIS_SQL, ("lineitem",)),
+    "snapshots": (SNAPSHOTS_SQL, ("orders",)),
+    "images": (IMAGES_SQL, ("lineitem",)),
 }
 
 
