@@ -775,3 +775,51 @@ def ebs_snapshot_findings(
         detail=F.col("size_gb").cast("string"),
     )
     return cap_per_type(d21.unionByName(d22), params.max_findings_per_type)
+
+
+# ---------------------------------------------------------------------------
+# Observability: log retention (D62), custom metrics from log filters
+# ---------------------------------------------------------------------------
+
+# Suppression keys for log groups (same retention vocabulary as storage).
+LOGS_SUPPRESS_KEYS = EBS_SUPPRESS_KEYS
+
+
+def log_retention_findings(log_groups: DataFrame) -> DataFrame:
+    """Log groups without a retention policy (never expire), unless suppressed."""
+    g = log_groups.where(F.col("retention_days").isNull() & ~suppressed(F.col("tags"), LOGS_SUPPRESS_KEYS, EBS_SUPPRESS_VALUES))
+    return _draft(
+        g,
+        service=F.lit("AmazonCloudWatch"),
+        resource_type=F.lit("log_group"),
+        resource_id=F.col("log_group"),
+        check_id=F.lit("aws.logs.log.groups.retention.missing"),
+        severity_level=F.lit("medium"),
+        severity_score=F.lit(450),
+    )
+
+
+def custom_metric_findings(filters: DataFrame, *, usd_per_metric_month: str = "0.30", min_metrics: int = 1) -> DataFrame:
+    """One informational finding per custom metric (namespace:metric) created by
+    log metric filters, with the number of filters and of distinct log groups feeding it;
+    emitted only where an account/region has at least ``min_metrics`` such metrics."""
+    keys = ["tenant_id", "account_id", "region"]
+    per_metric = filters.where(F.col("namespace").isNotNull() & F.col("metric_name").isNotNull()).groupBy(
+        *keys, "namespace", "metric_name"
+    ).agg(F.count(F.lit(1)).alias("filters"), F.count_distinct("log_group").alias("log_groups"))
+    per_scope = per_metric.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_metrics")).where(F.col("n_metrics") >= min_metrics)
+    m = per_metric.join(per_scope, keys, "left_semi")
+    cost = F.lit(usd_per_metric_month).cast(MONEY)
+    return _draft(
+        m,
+        service=F.lit("AmazonCloudWatch"),
+        resource_type=F.lit("custom_metric"),
+        resource_id=F.concat_ws(":", "namespace", "metric_name"),
+        check_id=F.lit("aws.cloudwatch.custom.metrics.from.log.filters"),
+        status=F.lit("info"),
+        severity_level=F.lit("low"),
+        severity_score=F.lit(150),
+        monthly_cost=cost,
+        monthly_savings=cost,
+        detail=F.concat_ws("|", F.col("filters").cast("string"), F.col("log_groups").cast("string")),
+    )

@@ -526,3 +526,21 @@ def d21_d22(spark, sf):
         "tags", _tag_map(("aws:backup:source-resource", "tag_backup_source"), ("keep", "tag_keep"))
     )
     return D.ebs_snapshot_findings(snaps, bound(spark, sf, "images"), AS_OF_SNAP)
+
+
+@query(
+    "d62_d63_logs_and_custom_metrics",
+    oracle=binding_cte("log_groups", "metric_filters")
+    + ", pm AS (SELECT tenant_id, account_id, region, namespace, metric_name, count(*) AS filters, count(DISTINCT log_group) AS log_groups "
+    + "FROM metric_filters WHERE namespace IS NOT NULL AND metric_name IS NOT NULL GROUP BY ALL) SELECT "
+    + _sel(service="AmazonCloudWatch", rtype="log_group", rid="log_group", check="aws.logs.log.groups.retention.missing", lvl="'medium'",
+           score="450", detail="''")
+    + " FROM log_groups WHERE retention_days IS NULL AND tag_keep IS NULL UNION ALL SELECT "
+    + _sel(service="AmazonCloudWatch", rtype="custom_metric", rid="namespace || ':' || metric_name",
+           check="aws.cloudwatch.custom.metrics.from.log.filters", status="'info'", lvl="'low'", score="150", cost="0.30", savings="0.30",
+           detail="CAST(filters AS VARCHAR) || '|' || CAST(log_groups AS VARCHAR)")
+    + " FROM pm",
+)
+def d62_d63(spark, sf):
+    lg = bound(spark, sf, "log_groups").withColumn("tags", _tag_map(("keep", "tag_keep")))
+    return D.log_retention_findings(lg).unionByName(D.custom_metric_findings(bound(spark, sf, "metric_filters")))

@@ -473,6 +473,28 @@ SELECT DISTINCT 'ami-' || CAST(l.l_partkey AS STRING) AS image_id, 'snap-' || CA
 FROM {lineitem} l WHERE l.l_linenumber = 3 AND l.l_returnflag = 'R'
 """
 
+# Log groups (one per part) and metric filters on them (one per early line item).
+LOG_GROUPS_SQL = """
+SELECT 'tenant-' || CAST(p.p_partkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + p.p_partkey % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       CASE WHEN p.p_partkey % 2 = 0 THEN '/aws/lambda/' ELSE '/app/' END || replace(p.p_name, ' ', '-') || '-' || CAST(p.p_partkey AS STRING) AS log_group,
+       CASE WHEN p.p_size % 3 = 0 THEN NULL ELSE 30 END AS retention_days,
+       CASE WHEN p.p_brand = 'Brand#3' THEN 'true' END AS tag_keep
+FROM {part} p
+"""
+
+METRIC_FILTERS_SQL = """
+SELECT 'tenant-' || CAST(l.l_partkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + l.l_partkey % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       CAST(l.l_orderkey AS STRING) || '.' || CAST(l.l_linenumber AS STRING) AS filter_name,
+       'lg-' || CAST(l.l_partkey AS STRING) AS log_group,
+       'Custom/' || CAST(l.l_suppkey % 5 AS STRING) AS namespace,
+       'm' || CAST(l.l_orderkey % 40 AS STRING) AS metric_name
+FROM {lineitem} l WHERE l.l_linenumber <= 2
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -496,6 +518,8 @@ BINDINGS = {
     "enis": (ENIS_SQL, ("lineitem",)),
     "snapshots": (SNAPSHOTS_SQL, ("orders",)),
     "images": (IMAGES_SQL, ("lineitem",)),
+    "log_groups": (LOG_GROUPS_SQL, ("part",)),
+    "metric_filters": (METRIC_FILTERS_SQL, ("lineitem",)),
 }
 
 
