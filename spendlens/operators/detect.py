@@ -823,3 +823,42 @@ def custom_metric_findings(filters: DataFrame, *, usd_per_metric_month: str = "0
         monthly_savings=cost,
         detail=F.concat_ws("|", F.col("filters").cast("string"), F.col("log_groups").cast("string")),
     )
+
+
+# ---------------------------------------------------------------------------
+# Containers: ECS
+# ---------------------------------------------------------------------------
+
+# Environment tag keys and non-production values for containers.
+CONTAINERS_NONPROD_TAG_KEYS = ("env", "environment", "stage", "tier")
+CONTAINERS_NONPROD_TAG_VALUES = ("dev", "test", "qa", "uat", "staging", "sandbox", "nonprod", "non-prod")
+
+
+def ecs_findings(clusters: DataFrame, services: DataFrame) -> DataFrame:
+    """D11 cluster with no services, tasks or instances; D12 active service with desired > 0 and
+    nothing running; D13 non-production Fargate service without a Spot capacity provider."""
+    from ..functions.tags import non_production
+
+    idle = clusters.where(
+        (F.col("active_services") == 0) & (F.col("running_tasks") == 0) & (F.col("pending_tasks") == 0) & (F.col("container_instances") == 0)
+    )
+    d11 = _draft(
+        idle, service=F.lit("AmazonECS"), resource_type=F.lit("ecs_cluster"), resource_id=F.col("cluster_name"),
+        check_id=F.lit("aws.ecs.cluster.possibly.unused"), severity_level=F.lit("low"), severity_score=F.lit(240),
+    )
+    active = services.where((F.upper(F.trim("status")) == "ACTIVE") & (F.col("desired_count") > 0))
+    d12 = _draft(
+        active.where(F.col("running_count") == 0), service=F.lit("AmazonECS"), resource_type=F.lit("ecs_service"),
+        resource_id=F.col("service_name"), check_id=F.lit("aws.ecs.service.zero.running"), severity_level=F.lit("medium"),
+        severity_score=F.lit(620), detail=F.col("desired_count").cast("string"),
+    )
+    providers = F.filter(F.transform(F.col("providers"), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+    fargate = (F.upper(F.trim(F.coalesce("launch_type", F.lit("")))) == "FARGATE") | F.array_contains(providers, "FARGATE")
+    spot = F.exists(providers, lambda x: x.endswith("SPOT"))
+    nonprod = non_production(F.col("tags"), CONTAINERS_NONPROD_TAG_KEYS, CONTAINERS_NONPROD_TAG_VALUES)
+    d13 = _draft(
+        active.where(nonprod & fargate & ~spot), service=F.lit("AmazonECS"), resource_type=F.lit("ecs_service"),
+        resource_id=F.col("service_name"), check_id=F.lit("aws.ecs.service.nonprod.on_demand"), severity_level=F.lit("low"),
+        severity_score=F.lit(260),
+    )
+    return d11.unionByName(d12).unionByName(d13)

@@ -544,3 +544,36 @@ def d21_d22(spark, sf):
 def d62_d63(spark, sf):
     lg = bound(spark, sf, "log_groups").withColumn("tags", _tag_map(("keep", "tag_keep")))
     return D.log_retention_findings(lg).unionByName(D.custom_metric_findings(bound(spark, sf, "metric_filters")))
+
+
+@query(
+    "d11_d13_ecs",
+    oracle=binding_cte("ecs_clusters", "ecs_services")
+    + """,
+a AS (SELECT *, list_filter(list_transform(string_split(capacity_providers, ','), lambda x: upper(trim(x))), lambda x: x <> '') AS prov
+      FROM ecs_services WHERE upper(trim(status)) = 'ACTIVE' AND desired_count > 0)
+SELECT """
+    + _sel(service="AmazonECS", rtype="ecs_cluster", rid="cluster_name", check="aws.ecs.cluster.possibly.unused", lvl="'low'", score="240",
+           detail="''")
+    + " FROM ecs_clusters WHERE active_services = 0 AND running_tasks = 0 AND pending_tasks = 0 AND container_instances = 0 UNION ALL SELECT "
+    + _sel(service="AmazonECS", rtype="ecs_service", rid="service_name", check="aws.ecs.service.zero.running", lvl="'medium'", score="620",
+           detail="CAST(desired_count AS VARCHAR)")
+    + " FROM a WHERE running_count = 0 UNION ALL SELECT "
+    + _sel(service="AmazonECS", rtype="ecs_service", rid="service_name", check="aws.ecs.service.nonprod.on_demand", lvl="'low'", score="260",
+           detail="''")
+    + """ FROM a WHERE lower(trim(env_key)) IN ('env', 'environment', 'stage', 'tier')
+          AND lower(trim(COALESCE(env_value, ''))) IN ('dev', 'test', 'qa', 'uat', 'staging', 'sandbox', 'nonprod', 'non-prod')
+          AND (upper(trim(COALESCE(launch_type, ''))) = 'FARGATE' OR list_contains(prov, 'FARGATE'))
+          AND NOT list_bool_or(list_transform(prov, lambda x: ends_with(x, 'SPOT'))) IS TRUE""",
+)
+def d11_d13(spark, sf):
+    svc = bound(spark, sf, "ecs_services")
+    svc = svc.withColumns(
+        {
+            "providers": F.split("capacity_providers", ","),
+            "tags": F.map_from_entries(
+                F.filter(F.array(F.struct(F.col("env_key").alias("key"), F.col("env_value").alias("value"))), lambda e: e["value"].isNotNull())
+            ),
+        }
+    )
+    return D.ecs_findings(bound(spark, sf, "ecs_clusters"), svc)

@@ -495,6 +495,33 @@ SELECT 'tenant-' || CAST(l.l_partkey % 3 AS STRING) AS tenant_id,
 FROM {lineitem} l WHERE l.l_linenumber <= 2
 """
 
+# ECS clusters (one per supplier) and services (one per order).
+ECS_CLUSTERS_SQL = """
+SELECT 'tenant-' || CAST(s.s_suppkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + s.s_suppkey % 7 AS STRING) AS account_id,
+       'eu-central-1' AS region,
+       'ecs-' || CAST(s.s_suppkey AS STRING) AS cluster_name,
+       s.s_suppkey % 4 AS active_services, s.s_suppkey % 3 AS running_tasks,
+       CASE WHEN s.s_suppkey % 5 = 0 THEN 1 ELSE 0 END AS pending_tasks,
+       CASE WHEN s.s_suppkey % 2 = 0 THEN 0 ELSE 2 END AS container_instances
+FROM {supplier} s
+"""
+
+ECS_SERVICES_SQL = """
+SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + o.o_custkey % 7 AS STRING) AS account_id,
+       'eu-central-1' AS region,
+       'svc-' || CAST(o.o_orderkey AS STRING) AS service_name,
+       CASE WHEN o.o_orderkey % 10 = 0 THEN 'DRAINING' ELSE 'ACTIVE' END AS status,
+       o.o_orderkey % 4 AS desired_count,
+       CASE WHEN o.o_custkey % 3 = 0 THEN 0 ELSE o.o_orderkey % 4 END AS running_count,
+       CASE o.o_orderpriority WHEN '1-URGENT' THEN 'EC2' WHEN '2-HIGH' THEN '' ELSE 'fargate' END AS launch_type,
+       CASE o.o_custkey % 4 WHEN 0 THEN 'FARGATE_SPOT,FARGATE' WHEN 1 THEN 'FARGATE' WHEN 2 THEN '' ELSE 'ec2-cp' END AS capacity_providers,
+       CASE o.o_orderkey % 3 WHEN 0 THEN 'Environment' WHEN 1 THEN 'stage' ELSE 'owner' END AS env_key,
+       CASE o.o_orderkey % 5 WHEN 0 THEN 'dev' WHEN 1 THEN 'prod' WHEN 2 THEN ' Staging ' WHEN 3 THEN 'qa' END AS env_value
+FROM {orders} o
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -520,6 +547,8 @@ BINDINGS = {
     "images": (IMAGES_SQL, ("lineitem",)),
     "log_groups": (LOG_GROUPS_SQL, ("part",)),
     "metric_filters": (METRIC_FILTERS_SQL, ("lineitem",)),
+    "ecs_clusters": (ECS_CLUSTERS_SQL, ("supplier",)),
+    "ecs_services": (ECS_SERVICES_SQL, ("orders",)),
 }
 
 
