@@ -862,3 +862,69 @@ def ecs_findings(clusters: DataFrame, services: DataFrame) -> DataFrame:
         severity_score=F.lit(260),
     )
     return d11.unionByName(d12).unionByName(d13)
+
+
+# ---------------------------------------------------------------------------
+# Commitments: savings plans (D-SP1, D-SP2, A20)
+# ---------------------------------------------------------------------------
+
+
+def savings_plan_findings(
+    instances: DataFrame, plans: DataFrame, on_demand: DataFrame, *, min_gap_per_hour: str = "0.05",
+    low_utilization_pct: float = 80.0, savings_factor: str = "0.25", unused_factor: str = "1.00",
+) -> DataFrame:
+    """Per account and region: on-demand demand ($/h, from running instances and the price
+    dimension) against active commitment ($/h). Coverage gap (D-SP1) and low utilization
+    (D-SP2); the five most common instance types ride along (A20, ranked within the scope)."""
+    keys = ["tenant_id", "account_id", "region"]
+    od = on_demand.select(F.lower("instance_type").alias("instance_type"), F.col("monthly_usd").cast("decimal(18,4)").alias("od"))
+    inst = instances.select(*keys, F.lower(F.trim("instance_type")).alias("instance_type")).where(F.col("instance_type") != "")
+    demand = inst.join(od, "instance_type", "left").groupBy(*keys).agg(
+        F.round(F.sum(F.when(F.col("od") > 0, F.col("od"))) / F.lit(730), 4).cast("decimal(18,4)").alias("demand")
+    )
+    types = inst.groupBy(*keys, "instance_type").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys).orderBy(F.col("n").desc(), F.col("instance_type"))
+    top = (
+        types.withColumn("_r", F.row_number().over(w))
+        .where("_r <= 5")
+        .groupBy(*keys)
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "instance_type", "n"))), lambda x: F.concat(x["instance_type"], F.lit(":"), x["n"].cast("string"))), ",").alias("top_types"))
+    )
+    commit = plans.where(F.col("commitment") > 0).groupBy(*keys).agg(F.round(F.sum("commitment"), 4).cast("decimal(18,4)").alias("commitment"))
+    zero = F.lit(0).cast("decimal(18,4)")
+    b = demand.join(commit, keys, "full").join(top, keys, "left").fillna({"top_types": ""})
+    b = b.withColumns({"demand": F.coalesce("demand", zero), "commitment": F.coalesce("commitment", zero)})
+    b = b.where((F.col("demand") > 0) | (F.col("commitment") > 0))
+    covered = F.least("demand", "commitment")
+    b = b.withColumns(
+        {
+            "uncovered": F.greatest(zero, F.col("demand") - F.col("commitment")),
+            "unused": F.greatest(zero, F.col("commitment") - F.col("demand")),
+            "utilization": F.when(F.col("commitment") > 0, covered * 100.0 / F.col("commitment")).otherwise(100.0),
+        }
+    )
+    gap_cost = F.round(F.col("uncovered") * 730, 2)
+    sp1 = _draft(
+        b.where(F.col("uncovered") >= F.lit(min_gap_per_hour).cast("decimal(18,4)")),
+        service=F.lit("AmazonEC2"),
+        resource_type=F.lit("account"),
+        resource_id=F.col("account_id"),
+        check_id=F.lit("aws.ec2.savings.plans.coverage.gap"),
+        severity_level=F.when(F.col("uncovered") >= 1, "high").otherwise("medium"),
+        severity_score=F.when(F.col("uncovered") >= 1, 700).otherwise(560),
+        monthly_cost=gap_cost.cast(MONEY),
+        monthly_savings=F.round(gap_cost * F.lit(savings_factor).cast("decimal(4,2)"), 2).cast(MONEY),
+        detail=F.concat_ws("|", F.col("demand").cast("string"), F.col("commitment").cast("string"), F.col("top_types")),
+    )
+    sp2 = _draft(
+        b.where((F.col("commitment") > 0) & (F.col("utilization") < low_utilization_pct) & (F.col("unused") > 0)),
+        service=F.lit("AmazonEC2"),
+        resource_type=F.lit("account"),
+        resource_id=F.col("account_id"),
+        check_id=F.lit("aws.ec2.savings.plans.utilization.low"),
+        severity_level=F.when(F.col("utilization") < 50.0, "high").otherwise("medium"),
+        severity_score=F.when(F.col("utilization") < 50.0, 680).otherwise(540),
+        monthly_cost=F.round(F.col("unused") * 730 * F.lit(unused_factor).cast("decimal(4,2)"), 2).cast(MONEY),
+        detail=F.concat_ws("|", F.col("demand").cast("string"), F.col("commitment").cast("string"), F.col("top_types")),
+    )
+    return sp1.unionByName(sp2)

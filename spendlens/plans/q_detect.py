@@ -577,3 +577,36 @@ def d11_d13(spark, sf):
         }
     )
     return D.ecs_findings(bound(spark, sf, "ecs_clusters"), svc)
+
+
+@query(
+    "d_sp1_sp2_savings_plans",
+    oracle=binding_cte("instances", "savings_plans")
+    + f""",
+od AS (SELECT instance_type, CAST(monthly_usd AS DECIMAL(18,4)) AS od FROM (VALUES {", ".join(f"('{t}', '{p}')" for t, p in ON_DEMAND)}) t(instance_type, monthly_usd)),
+inst AS (SELECT tenant_id, account_id, region, lower(trim(instance_type)) AS instance_type FROM instances WHERE lower(trim(instance_type)) <> ''),
+dem AS (SELECT tenant_id, account_id, region, CAST(round(sum(CASE WHEN od.od > 0 THEN od.od END) / 730, 4) AS DECIMAL(18,4)) AS demand
+        FROM inst LEFT JOIN od USING (instance_type) GROUP BY ALL),
+ty AS (SELECT tenant_id, account_id, region, instance_type, count(*) AS n FROM inst GROUP BY ALL),
+top AS (SELECT tenant_id, account_id, region, string_agg(instance_type || ':' || CAST(n AS VARCHAR), ',' ORDER BY r) AS top_types FROM (
+          SELECT *, row_number() OVER (PARTITION BY tenant_id, account_id, region ORDER BY n DESC, instance_type) AS r FROM ty) WHERE r <= 5 GROUP BY ALL),
+com AS (SELECT tenant_id, account_id, region, CAST(round(sum(commitment), 4) AS DECIMAL(18,4)) AS commitment FROM savings_plans WHERE commitment > 0 GROUP BY ALL),
+b0 AS (SELECT tenant_id, account_id, region, COALESCE(demand, 0) AS demand, COALESCE(commitment, 0) AS commitment
+       FROM dem FULL JOIN com USING (tenant_id, account_id, region)),
+b AS (SELECT b0.*, COALESCE(top.top_types, '') AS top_types, greatest(0, demand - commitment) AS uncovered, greatest(0, commitment - demand) AS unused,
+             CASE WHEN commitment > 0 THEN least(demand, commitment) * 100.0 / commitment ELSE 100.0 END AS utilization
+      FROM b0 LEFT JOIN top USING (tenant_id, account_id, region) WHERE demand > 0 OR commitment > 0)
+SELECT """
+    + _sel(service="AmazonEC2", rtype="account", rid="account_id", check="aws.ec2.savings.plans.coverage.gap",
+           lvl="CASE WHEN uncovered >= 1 THEN 'high' ELSE 'medium' END", score="CASE WHEN uncovered >= 1 THEN 700 ELSE 560 END",
+           cost="round(uncovered * 730, 2)", savings="round(round(uncovered * 730, 2) * 0.25, 2)",
+           detail="concat_ws('|', CAST(demand AS VARCHAR), CAST(commitment AS VARCHAR), top_types)")
+    + " FROM b WHERE uncovered >= 0.05 UNION ALL SELECT "
+    + _sel(service="AmazonEC2", rtype="account", rid="account_id", check="aws.ec2.savings.plans.utilization.low",
+           lvl="CASE WHEN utilization < 50.0 THEN 'high' ELSE 'medium' END", score="CASE WHEN utilization < 50.0 THEN 680 ELSE 540 END",
+           cost="round(unused * 730 * 1.00, 2)", detail="concat_ws('|', CAST(demand AS VARCHAR), CAST(commitment AS VARCHAR), top_types)")
+    + " FROM b WHERE commitment > 0 AND utilization < 80.0 AND unused > 0",
+)
+def d_sp(spark, sf):
+    od = spark.createDataFrame(ON_DEMAND, "instance_type string, monthly_usd string")
+    return D.savings_plan_findings(bound(spark, sf, "instances"), bound(spark, sf, "savings_plans"), od)

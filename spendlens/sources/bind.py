@@ -522,6 +522,16 @@ SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
 FROM {orders} o
 """
 
+# Savings plans: one commitment per pending order (USD per hour).
+SAVINGS_PLANS_SQL = """
+SELECT 'tenant-' || CAST(o.o_orderkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + o.o_custkey % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       'sp-' || CAST(o.o_orderkey AS STRING) AS plan_id,
+       CAST(o.o_orderkey % 7 AS DECIMAL(18,4)) * CAST(0.35 AS DECIMAL(18,4)) AS commitment
+FROM {orders} o WHERE o.o_orderstatus = 'P'
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -549,6 +559,7 @@ BINDINGS = {
     "metric_filters": (METRIC_FILTERS_SQL, ("lineitem",)),
     "ecs_clusters": (ECS_CLUSTERS_SQL, ("supplier",)),
     "ecs_services": (ECS_SERVICES_SQL, ("orders",)),
+    "savings_plans": (SAVINGS_PLANS_SQL, ("orders",)),
 }
 
 
