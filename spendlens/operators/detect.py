@@ -928,3 +928,46 @@ def savings_plan_findings(
         detail=F.concat_ws("|", F.col("demand").cast("string"), F.col("commitment").cast("string"), F.col("top_types")),
     )
     return sp1.unionByName(sp2)
+
+
+# ---------------------------------------------------------------------------
+# Backup: plans without selections (D47), rules without lifecycle (D48), stale recovery points
+# ---------------------------------------------------------------------------
+
+
+def backup_findings(
+    plans: DataFrame, selections: DataFrame, recovery_points: DataFrame, as_of, *, stale_days: int = 90,
+    skip_if_deleting_within_days: int = 14, warm_usd: str = "0.05", cold_usd: str = "0.01",
+) -> DataFrame:
+    """D47 plan with no selection (anti-join), D48 rule whose lifecycle moves and deletes
+    nothing (rules exploded with their position), D49 recovery point older than N days,
+    not deleted/expired, not expiring within M days, not suppressed; cost = size x class price."""
+    now = F.lit(as_of).cast("timestamp")
+    d47 = _draft(
+        plans.join(selections.select("plan_id").distinct(), "plan_id", "left_anti"),
+        service=F.lit("AWSBackup"), resource_type=F.lit("backup_plan"), resource_id=F.col("plan_id"),
+        check_id=F.lit("aws.backup.plans.no.selections"), severity_level=F.lit("low"), severity_score=F.lit(45),
+    )
+    rules = plans.select("tenant_id", "account_id", "region", "plan_id", F.posexplode("rules").alias("pos", "rule"))
+    no_lc = rules.where(F.coalesce(F.col("rule.move_days"), F.lit(0)) == 0).where(F.coalesce(F.col("rule.delete_days"), F.lit(0)) == 0)
+    d48 = _draft(
+        no_lc, service=F.lit("AWSBackup"), resource_type=F.lit("backup_rule"),
+        resource_id=F.concat(F.col("plan_id"), F.lit("#"), (F.col("pos") + 1).cast("string")),
+        check_id=F.lit("aws.backup.rules.no.lifecycle"), severity_level=F.lit("medium"), severity_score=F.lit(70),
+    )
+    rp = recovery_points.where(
+        F.col("created").isNotNull()
+        & ~F.upper(F.coalesce("status", F.lit(""))).isin("DELETED", "EXPIRED")
+        & (F.col("created") < now - F.make_interval(days=F.lit(stale_days)))
+        & (F.col("delete_at").isNull() | (F.col("delete_at") > now + F.make_interval(days=F.lit(skip_if_deleting_within_days))))
+        & ~suppressed(F.col("tags"), EBS_SUPPRESS_KEYS, EBS_SUPPRESS_VALUES)
+    )
+    unit = F.when(F.upper("storage_class") == "COLD", F.lit(cold_usd)).otherwise(F.lit(warm_usd)).cast("decimal(12,6)")
+    raw = F.col("size_gb").cast("decimal(18,2)") * unit
+    cost = F.when(raw > 0, F.round(raw, 2)).cast(MONEY)
+    d49 = _draft(
+        rp, service=F.lit("AWSBackup"), resource_type=F.lit("recovery_point"), resource_id=F.col("recovery_point_arn"),
+        check_id=F.lit("aws.backup.recovery.points.stale"), severity_level=F.lit("medium"), severity_score=F.lit(65),
+        monthly_cost=cost, monthly_savings=cost, detail=F.col("vault_name"),
+    )
+    return d47.unionByName(d48).unionByName(d49)

@@ -610,3 +610,42 @@ SELECT """
 def d_sp(spark, sf):
     od = spark.createDataFrame(ON_DEMAND, "instance_type string, monthly_usd string")
     return D.savings_plan_findings(bound(spark, sf, "instances"), bound(spark, sf, "savings_plans"), od)
+
+
+AS_OF_BACKUP = "2000-01-01 00:00:00"
+
+
+@query(
+    "d47_d49_backup",
+    oracle=binding_cte("backup_plans", "backup_selections", "recovery_points")
+    + f""",
+r AS (SELECT tenant_id, account_id, region, plan_id, 1 AS pos, r1_move_days AS mv, r1_delete_days AS dl FROM backup_plans
+      UNION ALL SELECT tenant_id, account_id, region, plan_id, 2, r2_move_days, r2_delete_days FROM backup_plans),
+rp AS (SELECT *, CASE WHEN CAST(size_gb AS DECIMAL(18,2)) * CASE WHEN upper(storage_class) = 'COLD' THEN CAST(0.01 AS DECIMAL(12,6))
+                  ELSE CAST(0.05 AS DECIMAL(12,6)) END > 0
+                  THEN round(CAST(size_gb AS DECIMAL(18,2)) * CASE WHEN upper(storage_class) = 'COLD' THEN CAST(0.01 AS DECIMAL(12,6))
+                  ELSE CAST(0.05 AS DECIMAL(12,6)) END, 2) END AS c
+       FROM recovery_points
+       WHERE created IS NOT NULL AND upper(COALESCE(status, '')) NOT IN ('DELETED', 'EXPIRED')
+         AND created < TIMESTAMP '{AS_OF_BACKUP}' - INTERVAL 90 DAY
+         AND (delete_at IS NULL OR delete_at > TIMESTAMP '{AS_OF_BACKUP}' + INTERVAL 14 DAY) AND tag_retain IS NULL)
+SELECT """
+    + _sel(service="AWSBackup", rtype="backup_plan", rid="plan_id", check="aws.backup.plans.no.selections", lvl="'low'", score="45", detail="''")
+    + " FROM backup_plans WHERE plan_id NOT IN (SELECT plan_id FROM backup_selections) UNION ALL SELECT "
+    + _sel(service="AWSBackup", rtype="backup_rule", rid="plan_id || '#' || CAST(pos AS VARCHAR)", check="aws.backup.rules.no.lifecycle",
+           lvl="'medium'", score="70", detail="''")
+    + " FROM r WHERE COALESCE(mv, 0) = 0 AND COALESCE(dl, 0) = 0 UNION ALL SELECT "
+    + _sel(service="AWSBackup", rtype="recovery_point", rid="recovery_point_arn", check="aws.backup.recovery.points.stale", lvl="'medium'",
+           score="65", cost="c", savings="c", detail="vault_name")
+    + " FROM rp",
+)
+def d47_d49(spark, sf):
+    plans = bound(spark, sf, "backup_plans").withColumn(
+        "rules",
+        F.array(
+            F.struct(F.col("r1_move_days").alias("move_days"), F.col("r1_delete_days").alias("delete_days")),
+            F.struct(F.col("r2_move_days").alias("move_days"), F.col("r2_delete_days").alias("delete_days")),
+        ),
+    )
+    rps = bound(spark, sf, "recovery_points").withColumn("tags", _tag_map(("retain", "tag_retain")))
+    return D.backup_findings(plans, bound(spark, sf, "backup_selections"), rps, AS_OF_BACKUP)

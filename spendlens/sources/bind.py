@@ -532,6 +532,40 @@ SELECT 'tenant-' || CAST(o.o_orderkey % 3 AS STRING) AS tenant_id,
 FROM {orders} o WHERE o.o_orderstatus = 'P'
 """
 
+# Backup plans (one per supplier, two rules each), selections (from line items),
+# recovery points (one per order).
+BACKUP_PLANS_SQL = """
+SELECT 'tenant-' || CAST(s.s_suppkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + s.s_suppkey % 7 AS STRING) AS account_id,
+       'eu-west-1' AS region,
+       'plan-' || CAST(s.s_suppkey AS STRING) AS plan_id,
+       CASE WHEN s.s_suppkey % 3 = 0 THEN NULL ELSE 30 END AS r1_move_days,
+       CASE WHEN s.s_suppkey % 4 = 0 THEN 0 WHEN s.s_suppkey % 4 = 1 THEN NULL ELSE 365 END AS r1_delete_days,
+       CASE WHEN s.s_suppkey % 5 = 0 THEN 0 END AS r2_move_days,
+       CASE WHEN s.s_suppkey % 2 = 0 THEN 35 END AS r2_delete_days
+FROM {supplier} s
+"""
+
+BACKUP_SELECTIONS_SQL = """
+SELECT DISTINCT 'plan-' || CAST(l.l_suppkey AS STRING) AS plan_id
+FROM {lineitem} l WHERE l.l_partkey % 5 = 0 AND l.l_suppkey % 3 <> 1
+"""
+
+RECOVERY_POINTS_SQL = """
+SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + o.o_custkey % 7 AS STRING) AS account_id,
+       'eu-west-1' AS region,
+       'rp-' || CAST(o.o_orderkey AS STRING) AS recovery_point_arn,
+       'vault-' || CAST(o.o_custkey % 30 AS STRING) AS vault_name,
+       CAST(o.o_orderdate AS TIMESTAMP) AS created,
+       CASE o.o_orderkey % 10 WHEN 0 THEN 'DELETED' WHEN 1 THEN 'expired' ELSE 'COMPLETED' END AS status,
+       CASE WHEN o.o_orderkey % 3 = 0 THEN NULL ELSE CAST(o.o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY * (o.o_orderkey % 2000) END AS delete_at,
+       CAST(o.o_totalprice / 1000 AS DECIMAL(18,2)) AS size_gb,
+       CASE WHEN o.o_orderkey % 4 = 0 THEN 'COLD' ELSE 'WARM' END AS storage_class,
+       CASE WHEN o.o_custkey % 19 = 0 THEN 'true' END AS tag_retain
+FROM {orders} o
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -560,6 +594,9 @@ BINDINGS = {
     "ecs_clusters": (ECS_CLUSTERS_SQL, ("supplier",)),
     "ecs_services": (ECS_SERVICES_SQL, ("orders",)),
     "savings_plans": (SAVINGS_PLANS_SQL, ("orders",)),
+    "backup_plans": (BACKUP_PLANS_SQL, ("supplier",)),
+    "backup_selections": (BACKUP_SELECTIONS_SQL, ("lineitem",)),
+    "recovery_points": (RECOVERY_POINTS_SQL, ("orders",)),
 }
 
 
