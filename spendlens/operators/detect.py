@@ -971,3 +971,60 @@ def backup_findings(
         monthly_cost=cost, monthly_savings=cost, detail=F.col("vault_name"),
     )
     return d47.unionByName(d48).unionByName(d49)
+
+
+# ---------------------------------------------------------------------------
+# Compute: EC2 stopped long (D2), old generation (D3), IMDSv1 allowed
+# ---------------------------------------------------------------------------
+
+# Old-generation EC2 instance families.
+EC2_OLD_FAMILIES = ("t1", "t2", "m1", "m2", "m3", "c1", "c3", "r3", "i2", "d2", "g2", "p2", "x1", "x1e")
+# Fixed value: stop time inside the state-transition reason, "(YYYY-MM-DD[ HH:MM:SS])".
+STOP_REASON_PATTERN = r"\((\d{4}-\d{2}-\d{2}(?: \d{2}:\d{2}:\d{2})?)\)"
+
+
+def ec2_instance_findings(
+    instances: DataFrame, volumes: DataFrame, prices: DataFrame, as_of, *, stopped_min_days: int = 30,
+) -> DataFrame:
+    """D2 stopped for >= N days (stop time from the transition reason, else launch time), with the
+    attached volumes' size and storage cost (exploded device list joined to volumes and prices);
+    D3 old-generation family; D4 IMDSv1 allowed (http tokens not 'required', missing counts)."""
+    now = F.lit(as_of).cast("timestamp")
+    raw = F.regexp_extract(F.coalesce("state_reason", F.lit("")), STOP_REASON_PATTERN, 1)
+    stop_ts = F.coalesce(
+        F.try_to_timestamp(F.nullif(raw, F.lit("")), F.lit("yyyy-MM-dd HH:mm:ss")),
+        F.try_to_timestamp(F.nullif(raw, F.lit("")), F.lit("yyyy-MM-dd")),
+        F.col("launch_time"),
+    )
+    age = ((F.unix_micros(now) - F.unix_micros(stop_ts)) / F.lit(86400e6)).cast("int")
+    stopped = instances.where(F.lower("state") == "stopped").withColumn("age_days", age).where(
+        F.col("age_days").isNotNull() & (F.col("age_days") >= stopped_min_days)
+    )
+    devices = stopped.select("instance_id", F.explode("volume_ids").alias("volume_id"))
+    p = prices.select("region", "volume_type", F.col("usd_per_gb_month").cast("decimal(12,6)").alias("price"))
+    vols = volumes.select("volume_id", "region", F.lower(F.coalesce("volume_type", F.lit("gp2"))).alias("volume_type"), "size_gb").join(
+        p, ["region", "volume_type"], "left"
+    )
+    storage = devices.join(vols, "volume_id").groupBy("instance_id").agg(
+        F.sum("size_gb").alias("size_gib"), F.sum(F.col("size_gb").cast("decimal(18,2)") * F.coalesce("price", F.lit(0))).alias("storage_cost")
+    )
+    s = stopped.join(storage, "instance_id", "left")
+    d2 = _draft(
+        s, service=F.lit("AmazonEC2"), resource_type=F.lit("instance"), resource_id=F.col("instance_id"),
+        check_id=F.lit("aws.ec2.instances.stopped.long"), severity_level=F.lit("low"), severity_score=F.lit(350),
+        monthly_cost=F.round(F.coalesce("storage_cost", F.lit(0)), 2).cast(MONEY),
+        monthly_savings=F.round(F.coalesce("storage_cost", F.lit(0)), 2).cast(MONEY),
+        detail=F.concat_ws("|", F.col("age_days").cast("string"), F.coalesce(F.col("size_gib"), F.lit(0)).cast("string")),
+    )
+    family = F.split(F.lower(F.coalesce("instance_type", F.lit(""))), r"\.").getItem(0)
+    d3 = _draft(
+        instances.withColumn("family", family).where(F.col("family").isin(*EC2_OLD_FAMILIES)), service=F.lit("AmazonEC2"),
+        resource_type=F.lit("instance"), resource_id=F.col("instance_id"), check_id=F.lit("aws.ec2.instances.old.generation"),
+        severity_level=F.lit("low"), severity_score=F.lit(250), detail=F.col("family"),
+    )
+    d4 = _draft(
+        instances.where(F.coalesce(F.lower(F.trim("http_tokens")), F.lit("")) != "required"), service=F.lit("AmazonEC2"),
+        resource_type=F.lit("instance"), resource_id=F.col("instance_id"), check_id=F.lit("aws.ec2.instances.security.imdsv1.allowed"),
+        severity_level=F.lit("high"), severity_score=F.lit(800), detail=F.coalesce(F.col("http_tokens"), F.lit("missing")),
+    )
+    return d2.unionByName(d3).unionByName(d4)

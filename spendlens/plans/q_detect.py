@@ -649,3 +649,39 @@ def d47_d49(spark, sf):
     )
     rps = bound(spark, sf, "recovery_points").withColumn("tags", _tag_map(("retain", "tag_retain")))
     return D.backup_findings(plans, bound(spark, sf, "backup_selections"), rps, AS_OF_BACKUP)
+
+
+AS_OF_EC2 = "2024-01-01 00:00:00"
+
+
+@query(
+    "d2_d4_ec2_instances",
+    oracle=binding_cte("ec2", "volumes")
+    + rf""",
+pr AS (SELECT * FROM {PRICES_VALUES}),
+st AS (
+  SELECT *, COALESCE(TRY_CAST(NULLIF(regexp_extract(COALESCE(state_reason, ''), '\((\d{{4}}-\d{{2}}-\d{{2}}(?: \d{{2}}:\d{{2}}:\d{{2}})?)\)', 1), '') AS TIMESTAMP),
+                     launch_time) AS stop_ts
+  FROM ec2 WHERE lower(state) = 'stopped'),
+sa AS (SELECT *, CAST(trunc((epoch_us(TIMESTAMP '{AS_OF_EC2}') - epoch_us(stop_ts)) / 86400e6) AS INTEGER) AS age_days FROM st),
+so AS (SELECT * FROM sa WHERE age_days >= 30),
+stor AS (SELECT so.instance_id, sum(v.size_gb) AS size_gib, sum(CAST(v.size_gb AS DECIMAL(18,2)) * COALESCE(pr.price, 0)) AS storage_cost
+         FROM so JOIN volumes v ON v.volume_id = so.volume_id
+         LEFT JOIN pr ON pr.region = v.region AND pr.volume_type = lower(COALESCE(v.volume_type, 'gp2')) GROUP BY so.instance_id),
+s AS (SELECT so.*, stor.size_gib, stor.storage_cost FROM so LEFT JOIN stor USING (instance_id))
+SELECT """
+    + _sel(service="AmazonEC2", rtype="instance", rid="instance_id", check="aws.ec2.instances.stopped.long", lvl="'low'", score="350",
+           cost="round(COALESCE(storage_cost, 0), 2)", savings="round(COALESCE(storage_cost, 0), 2)",
+           detail="CAST(age_days AS VARCHAR) || '|' || CAST(COALESCE(size_gib, 0) AS VARCHAR)")
+    + " FROM s UNION ALL SELECT "
+    + _sel(service="AmazonEC2", rtype="instance", rid="instance_id", check="aws.ec2.instances.old.generation", lvl="'low'", score="250",
+           detail="string_split(lower(COALESCE(instance_type, '')), '.')[1]")
+    + " FROM ec2 WHERE string_split(lower(COALESCE(instance_type, '')), '.')[1] IN "
+    + "('t1', 't2', 'm1', 'm2', 'm3', 'c1', 'c3', 'r3', 'i2', 'd2', 'g2', 'p2', 'x1', 'x1e') UNION ALL SELECT "
+    + _sel(service="AmazonEC2", rtype="instance", rid="instance_id", check="aws.ec2.instances.security.imdsv1.allowed", lvl="'high'",
+           score="800", detail="COALESCE(http_tokens, 'missing')")
+    + " FROM ec2 WHERE COALESCE(lower(trim(http_tokens)), '') <> 'required'",
+)
+def d2_d4(spark, sf):
+    inst = bound(spark, sf, "ec2").withColumn("volume_ids", F.array("volume_id"))
+    return D.ec2_instance_findings(inst, bound(spark, sf, "volumes"), _prices(spark), AS_OF_EC2)

@@ -566,6 +566,27 @@ SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
 FROM {orders} o
 """
 
+# EC2 instances (one per part) with one attached volume (the part's volume).
+EC2_SQL = """
+SELECT 'tenant-' || CAST(p.p_partkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + p.p_partkey % 7 AS STRING) AS account_id,
+       g.region AS region,
+       'i-' || CAST(p.p_partkey AS STRING) AS instance_id,
+       CASE p.p_size % 6 WHEN 0 THEN 't2.micro' WHEN 1 THEN 'm5.large' WHEN 2 THEN 'm3.medium' WHEN 3 THEN 'c3.large'
+            WHEN 4 THEN 'x1e.xlarge' ELSE 'c5.large' END AS instance_type,
+       CASE WHEN p.p_partkey % 3 = 0 THEN 'stopped' ELSE 'running' END AS state,
+       CASE p.p_partkey % 4 WHEN 0 THEN ''
+            WHEN 1 THEN 'User initiated (' || CAST(CAST(TIMESTAMP '2023-01-01 00:00:00' + INTERVAL 1 DAY * (p.p_partkey % 360) AS DATE) AS STRING) || ')'
+            WHEN 2 THEN 'User initiated (' || CAST(CAST(TIMESTAMP '2023-01-01 00:00:00' + INTERVAL 1 DAY * (p.p_partkey % 360) AS DATE) AS STRING) || ' 10:30:00)'
+            ELSE 'Server.SpotInstanceTermination' END AS state_reason,
+       TIMESTAMP '2023-06-01 00:00:00' + INTERVAL 1 DAY * (p.p_partkey % 200) AS launch_time,
+       CASE p.p_partkey % 5 WHEN 0 THEN 'optional' WHEN 1 THEN NULL ELSE 'required' END AS http_tokens,
+       'vol-' || CAST(p.p_partkey AS STRING) AS volume_id
+FROM {part} p
+JOIN (VALUES (0, 'us-east-1'), (1, 'us-west-2'), (2, 'eu-west-1'), (3, 'eu-central-1'), (4, 'ap-southeast-2')) AS g(idx, region)
+  ON g.idx = p.p_partkey % 5
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -597,6 +618,7 @@ BINDINGS = {
     "backup_plans": (BACKUP_PLANS_SQL, ("supplier",)),
     "backup_selections": (BACKUP_SELECTIONS_SQL, ("lineitem",)),
     "recovery_points": (RECOVERY_POINTS_SQL, ("orders",)),
+    "ec2": (EC2_SQL, ("part",)),
 }
 
 
