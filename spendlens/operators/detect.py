@@ -1028,3 +1028,62 @@ def ec2_instance_findings(
         severity_level=F.lit("high"), severity_score=F.lit(800), detail=F.coalesce(F.col("http_tokens"), F.lit("missing")),
     )
     return d2.unionByName(d3).unionByName(d4)
+
+
+# ---------------------------------------------------------------------------
+# Load balancers: no listeners (D56), idle (D57), no registered targets
+# ---------------------------------------------------------------------------
+
+ELB_SUPPRESS_KEYS = ("finops:ignore", "do-not-delete", "keep")
+
+
+def elbv2_findings(
+    lbs: DataFrame, listeners: DataFrame, target_groups: DataFrame, targets: DataFrame, metrics: DataFrame, as_of, *,
+    lookback_days: int = 14, min_points: int = 7, idle_p95: float = 1.0, min_age_days: int = 2, require_min_points: bool = True,
+) -> DataFrame:
+    """D56 load balancer without listeners (no further checks for it); D57 idle: p95 of
+    daily RequestCount (application) / NewFlowCount (network) <= threshold and age >= N days
+    (K11: a minimum number of daily points is required unless ``require_min_points`` is off,
+    in which case a missing series counts as 0); D58 forward target groups referenced
+    (lambda groups excluded) and none of them has a registered target."""
+    now = F.lit(as_of).cast("timestamp")
+    lb = lbs.where(~suppressed(F.col("tags"), ELB_SUPPRESS_KEYS))
+    with_listener = listeners.select("lb_name").distinct()
+    base = dict(service=F.lit("ElasticLoadBalancing"), resource_type=F.lit("load_balancer"), resource_id=F.col("lb_name"))
+    d56 = _draft(
+        lb.join(with_listener, "lb_name", "left_anti"), check_id=F.lit("aws.elbv2.load.balancers.no.listeners"),
+        severity_level=F.lit("high"), severity_score=F.lit(75), **base,
+    )
+    live = lb.join(with_listener, "lb_name", "left_semi")
+    req = series_stats(daily_series(metrics, "RequestCount", as_of, lookback_days)).select(
+        F.col("resource_id").alias("lb_name"), F.col("points").alias("req_points"), F.col("p95").alias("req_p95")
+    )
+    flows = series_stats(daily_series(metrics, "NewFlowCount", as_of, lookback_days)).select(
+        F.col("resource_id").alias("lb_name"), F.col("points").alias("flow_points"), F.col("p95").alias("flow_p95")
+    )
+    s = live.join(req, "lb_name", "left").join(flows, "lb_name", "left")
+    is_app = F.lower("lb_type") == "application"
+    points = F.when(is_app, F.col("req_points")).otherwise(F.col("flow_points"))
+    p95 = F.when(is_app, F.col("req_p95")).otherwise(F.col("flow_p95"))
+    enough = (F.coalesce(points, F.lit(0)) >= min_points) if require_min_points else F.lit(True)
+    idle = F.lower("lb_type").isin("application", "network") & enough & (F.coalesce(p95, F.lit(0.0)) <= idle_p95)
+    age = _age_days(F.col("created"), now)
+    d57 = _draft(
+        s.where(idle & (age >= min_age_days)), check_id=F.lit("aws.elbv2.load.balancers.idle"), severity_level=F.lit("medium"),
+        severity_score=F.lit(60), detail=F.format_string("%.6f", F.coalesce(p95, F.lit(0.0))), **base,
+    )
+    fwd = (
+        listeners.where(F.lower("action_type") == "forward")
+        .join(target_groups.where(F.lower("target_type") != "lambda"), "target_group")
+        .select("lb_name", "target_group")
+        .distinct()
+    )
+    has_targets = targets.select("target_group").distinct().withColumn("_t", F.lit(1))
+    per_lb = fwd.join(has_targets, "target_group", "left").groupBy("lb_name").agg(
+        F.count(F.lit(1)).alias("groups"), F.max(F.coalesce("_t", F.lit(0))).alias("any_targets")
+    )
+    d58 = _draft(
+        live.join(per_lb.where(F.col("any_targets") == 0), "lb_name"), check_id=F.lit("aws.elbv2.load.balancers.no.registered.targets"),
+        severity_level=F.lit("high"), severity_score=F.lit(75), detail=F.col("groups").cast("string"), **base,
+    )
+    return d56.unionByName(d57).unionByName(d58)

@@ -685,3 +685,45 @@ SELECT """
 def d2_d4(spark, sf):
     inst = bound(spark, sf, "ec2").withColumn("volume_ids", F.array("volume_id"))
     return D.ec2_instance_findings(inst, bound(spark, sf, "volumes"), _prices(spark), AS_OF_EC2)
+
+
+def _lb_metrics(spark, sf):
+    m = metrics(spark, sf).where(F.col("metric") == "error").withColumn("value", F.lit(1.0))
+    m = m.withColumn("resource_id", F.concat(F.lit("lb-"), (F.regexp_extract("resource_id", r"(\d+)$", 1).cast("long") % 100).cast("string")))
+    return m.withColumn("metric", F.lit("RequestCount")).unionByName(m.withColumn("metric", F.lit("NewFlowCount")))
+
+
+@query(
+    "d56_d58_load_balancers",
+    oracle=binding_cte("lbs", "listeners", "target_groups", "targets")
+    + f""",
+lb AS (SELECT * FROM lbs WHERE tag_keep IS NULL),
+wl AS (SELECT DISTINCT lb_name FROM listeners),
+live AS (SELECT * FROM lb WHERE lb_name IN (SELECT lb_name FROM wl)),
+d AS (SELECT 'lb-' || CAST(user_id % 100 AS VARCHAR) AS lb_name, CAST(ts AS DATE) AS day, sum(1.0) AS value FROM events
+      WHERE event_type = 'error' AND ts >= TIMESTAMP '{AS_OF_METRICS}' - INTERVAL 14 DAY AND ts < TIMESTAMP '{AS_OF_METRICS}' GROUP BY ALL),
+st AS (SELECT lb_name, count(*) AS points, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95 FROM d GROUP BY ALL),
+s AS (SELECT live.*, st.points, st.p95,
+             CAST(floor((epoch_us(TIMESTAMP '{AS_OF_METRICS}') - epoch_us(created)) / 86400e6) AS INTEGER) AS age
+      FROM live LEFT JOIN st USING (lb_name)),
+fwd AS (SELECT DISTINCT l.lb_name, l.target_group FROM listeners l JOIN target_groups g USING (target_group)
+        WHERE lower(l.action_type) = 'forward' AND lower(g.target_type) <> 'lambda'),
+per AS (SELECT lb_name, count(*) AS groups, max(CASE WHEN target_group IN (SELECT target_group FROM targets) THEN 1 ELSE 0 END) AS any_t
+        FROM fwd GROUP BY lb_name)
+SELECT """
+    + _sel(service="ElasticLoadBalancing", rtype="load_balancer", rid="lb_name", check="aws.elbv2.load.balancers.no.listeners",
+           lvl="'high'", score="75", detail="''")
+    + " FROM lb WHERE lb_name NOT IN (SELECT lb_name FROM wl) UNION ALL SELECT "
+    + _sel(service="ElasticLoadBalancing", rtype="load_balancer", rid="lb_name", check="aws.elbv2.load.balancers.idle", lvl="'medium'",
+           score="60", detail="printf('%.6f', COALESCE(p95, 0.0))")
+    + " FROM s WHERE lower(lb_type) IN ('application', 'network') AND COALESCE(points, 0) >= 7 AND COALESCE(p95, 0.0) <= 1.0 AND age >= 2"
+    + " UNION ALL SELECT "
+    + _sel(service="ElasticLoadBalancing", rtype="load_balancer", rid="lb_name", check="aws.elbv2.load.balancers.no.registered.targets",
+           lvl="'high'", score="75", detail="CAST(groups AS VARCHAR)")
+    + " FROM live JOIN per USING (lb_name) WHERE any_t = 0",
+)
+def d56_d58(spark, sf):
+    lbs = bound(spark, sf, "lbs").withColumn("tags", _tag_map(("keep", "tag_keep")))
+    return D.elbv2_findings(
+        lbs, bound(spark, sf, "listeners"), bound(spark, sf, "target_groups"), bound(spark, sf, "targets"), _lb_metrics(spark, sf), AS_OF_METRICS
+    )

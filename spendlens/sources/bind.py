@@ -587,6 +587,39 @@ JOIN (VALUES (0, 'us-east-1'), (1, 'us-west-2'), (2, 'eu-west-1'), (3, 'eu-centr
   ON g.idx = p.p_partkey % 5
 """
 
+# Load balancers (one per supplier), listeners (one per order), target groups (per part
+# residue) and registered targets (from line items).
+LBS_SQL = """
+SELECT 'tenant-' || CAST(s.s_suppkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + s.s_suppkey % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       'lb-' || CAST(s.s_suppkey AS STRING) AS lb_name,
+       CASE WHEN s.s_suppkey % 3 = 0 THEN 'network' ELSE 'application' END AS lb_type,
+       TIMESTAMP '2023-12-01 00:00:00' + INTERVAL 1 DAY * (s.s_suppkey % 62) AS created,
+       CASE WHEN s.s_suppkey % 23 = 0 THEN 'true' END AS tag_keep
+FROM {supplier} s
+"""
+
+LISTENERS_SQL = """
+SELECT DISTINCT 'lb-' || CAST(o.o_custkey % 150 + 30 AS STRING) AS lb_name,
+       CASE WHEN o.o_orderkey % 4 = 0 THEN 'fixed-response' ELSE 'forward' END AS action_type,
+       'tg-' || CAST(o.o_orderkey % 200 AS STRING) AS target_group
+FROM {orders} o
+"""
+
+TARGET_GROUPS_SQL = """
+SELECT DISTINCT 'tg-' || CAST(p.p_partkey % 200 AS STRING) AS target_group,
+       CASE WHEN p.p_partkey % 10 = 0 THEN 'lambda' ELSE 'instance' END AS target_type
+FROM {part} p
+"""
+
+TARGETS_SQL = """
+SELECT DISTINCT 'tg-' || CAST(l.l_orderkey % 400 AS STRING) AS target_group,
+       'i-' || CAST(l.l_partkey AS STRING) AS target_id,
+       CASE l.l_returnflag WHEN 'A' THEN 'healthy' WHEN 'N' THEN 'unhealthy' ELSE 'draining' END AS health
+FROM {lineitem} l WHERE (l.l_orderkey % 400) % 3 <> 0 AND l.l_linenumber = 1
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -619,6 +652,10 @@ BINDINGS = {
     "backup_selections": (BACKUP_SELECTIONS_SQL, ("lineitem",)),
     "recovery_points": (RECOVERY_POINTS_SQL, ("orders",)),
     "ec2": (EC2_SQL, ("part",)),
+    "lbs": (LBS_SQL, ("supplier",)),
+    "listeners": (LISTENERS_SQL, ("orders",)),
+    "target_groups": (TARGET_GROUPS_SQL, ("part",)),
+    "targets": (TARGETS_SQL, ("lineitem",)),
 }
 
 
