@@ -603,7 +603,7 @@ FROM {supplier} s
 LISTENERS_SQL = """
 SELECT DISTINCT 'lb-' || CAST(o.o_custkey % 150 + 30 AS STRING) AS lb_name,
        CASE WHEN o.o_orderkey % 4 = 0 THEN 'fixed-response' ELSE 'forward' END AS action_type,
-       'tg-' || CAST(o.o_orderkey % 200 AS STRING) AS target_group
+       'tg-' || CAST((o.o_custkey % 150 + 30) % 200 AS STRING) AS target_group
 FROM {orders} o
 """
 
