@@ -1087,3 +1087,43 @@ def elbv2_findings(
         severity_level=F.lit("high"), severity_score=F.lit(75), detail=F.col("groups").cast("string"), **base,
     )
     return d56.unionByName(d57).unionByName(d58)
+
+
+# ---------------------------------------------------------------------------
+# Edge: CloudFront caching disabled (D60), unused distribution
+# ---------------------------------------------------------------------------
+
+# Fixed value: id of the managed "caching disabled" cache policy.
+MANAGED_CACHING_DISABLED_POLICY_ID = "413f160f-4f18-4c0b-95c7-bf7f44e8f58b"
+
+
+def cloudfront_findings(
+    distributions: DataFrame, metrics: DataFrame, as_of, *, lookback_days: int = 14, min_points: int = 7,
+    idle_p95: float = 1.0, min_age_days: int = 7,
+) -> DataFrame:
+    """Enabled distribution whose default behavior uses the managed caching-disabled
+    policy, or (without a policy) has min / default / max TTL all <= 0. D61: enabled, at least
+    N days old, >= M daily request points and p95 daily requests <= threshold."""
+    now = F.lit(as_of).cast("timestamp")
+    d = distributions.where(F.coalesce("enabled", F.lit(False)))
+    pol = F.trim(F.coalesce("cache_policy_id", F.lit("")))
+    ttls_present = F.col("min_ttl").isNotNull() & F.col("default_ttl").isNotNull() & F.col("max_ttl").isNotNull()
+    reason = (
+        F.when(pol == MANAGED_CACHING_DISABLED_POLICY_ID, "managed_policy_caching_disabled")
+        .when(pol != "", "")
+        .when(ttls_present & (F.col("min_ttl") <= 0) & (F.col("default_ttl") <= 0) & (F.col("max_ttl") <= 0), "legacy_ttl_zero")
+        .otherwise("")
+    )
+    base = dict(service=F.lit("AmazonCloudFront"), resource_type=F.lit("distribution"), resource_id=F.col("distribution_id"))
+    d60 = _draft(
+        d.withColumn("reason", reason).where(F.col("reason") != ""), check_id=F.lit("aws.cloudfront.distributions.caching.disabled"),
+        severity_level=F.lit("medium"), severity_score=F.lit(520), detail=F.col("reason"), **base,
+    )
+    req = series_stats(daily_series(metrics, "Requests", as_of, lookback_days)).withColumnRenamed("resource_id", "distribution_id")
+    age = _age_days(F.col("created"), now)
+    cand = d.where(F.col("created").isNull() | (age >= min_age_days)).join(req, "distribution_id")
+    d61 = _draft(
+        cand.where((F.col("points") >= min_points) & (F.col("p95") <= idle_p95)), check_id=F.lit("aws.cloudfront.distributions.unused"),
+        severity_level=F.lit("medium"), severity_score=F.lit(560), detail=F.format_string("%.6f", F.col("p95")), **base,
+    )
+    return d60.unionByName(d61)

@@ -727,3 +727,33 @@ def d56_d58(spark, sf):
     return D.elbv2_findings(
         lbs, bound(spark, sf, "listeners"), bound(spark, sf, "target_groups"), bound(spark, sf, "targets"), _lb_metrics(spark, sf), AS_OF_METRICS
     )
+
+
+def _cf_metrics(spark, sf):
+    m = metrics(spark, sf).where(F.col("metric") == "view").withColumn("value", F.lit(1.0))
+    return m.withColumn("resource_id", F.regexp_replace("resource_id", "^r-", "dist-")).withColumn("metric", F.lit("Requests"))
+
+
+@query(
+    "d60_d61_cloudfront",
+    oracle=binding_cte("distributions")
+    + f""",
+d AS (SELECT *, trim(COALESCE(cache_policy_id, '')) AS pol FROM distributions WHERE COALESCE(enabled, false)),
+r AS (SELECT *, CASE WHEN pol = '413f160f-4f18-4c0b-95c7-bf7f44e8f58b' THEN 'managed_policy_caching_disabled' WHEN pol <> '' THEN ''
+                     WHEN min_ttl IS NOT NULL AND default_ttl IS NOT NULL AND max_ttl IS NOT NULL AND min_ttl <= 0 AND default_ttl <= 0 AND max_ttl <= 0
+                     THEN 'legacy_ttl_zero' ELSE '' END AS reason FROM d),
+dd AS (SELECT 'dist-' || CAST(user_id AS VARCHAR) AS distribution_id, CAST(ts AS DATE) AS day, sum(1.0) AS value FROM events
+       WHERE event_type = 'view' AND ts >= TIMESTAMP '{AS_OF_METRICS}' - INTERVAL 14 DAY AND ts < TIMESTAMP '{AS_OF_METRICS}' GROUP BY ALL),
+st AS (SELECT distribution_id, count(*) AS points, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95 FROM dd GROUP BY ALL),
+c AS (SELECT d.*, st.points, st.p95 FROM d JOIN st USING (distribution_id)
+      WHERE d.created IS NULL OR CAST(floor((epoch_us(TIMESTAMP '{AS_OF_METRICS}') - epoch_us(d.created)) / 86400e6) AS INTEGER) >= 7)
+SELECT """
+    + _sel(service="AmazonCloudFront", rtype="distribution", rid="distribution_id", check="aws.cloudfront.distributions.caching.disabled",
+           lvl="'medium'", score="520", detail="reason")
+    + " FROM r WHERE reason <> '' UNION ALL SELECT "
+    + _sel(service="AmazonCloudFront", rtype="distribution", rid="distribution_id", check="aws.cloudfront.distributions.unused",
+           lvl="'medium'", score="560", detail="printf('%.6f', p95)")
+    + " FROM c WHERE points >= 7 AND p95 <= 1.0",
+)
+def d60_d61(spark, sf):
+    return D.cloudfront_findings(bound(spark, sf, "distributions"), _cf_metrics(spark, sf), AS_OF_METRICS)

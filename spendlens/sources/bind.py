@@ -620,6 +620,21 @@ SELECT DISTINCT 'tg-' || CAST(l.l_orderkey % 400 AS STRING) AS target_group,
 FROM {lineitem} l WHERE (l.l_orderkey % 400) % 3 <> 0 AND l.l_linenumber = 1
 """
 
+# CloudFront distributions (one per customer); requests come from the user's view events.
+DISTRIBUTIONS_SQL = """
+SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + c.c_custkey % 7 AS STRING) AS account_id,
+       'global' AS region,
+       'dist-' || CAST(c.c_custkey AS STRING) AS distribution_id,
+       c.c_custkey % 9 <> 0 AS enabled,
+       TIMESTAMP '2023-12-01 00:00:00' + INTERVAL 1 DAY * (c.c_custkey % 60) AS created,
+       CASE c.c_custkey % 5 WHEN 0 THEN '413f160f-4f18-4c0b-95c7-bf7f44e8f58b' WHEN 1 THEN 'custom-policy' ELSE '' END AS cache_policy_id,
+       CASE WHEN c.c_custkey % 4 = 0 THEN 0 WHEN c.c_custkey % 4 = 1 THEN 0 END AS min_ttl,
+       CASE WHEN c.c_custkey % 4 = 0 THEN 0 WHEN c.c_custkey % 4 = 1 THEN 86400 END AS default_ttl,
+       CASE WHEN c.c_custkey % 4 = 0 THEN 0 WHEN c.c_custkey % 4 = 1 THEN 31536000 END AS max_ttl
+FROM {customer} c
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -656,6 +671,7 @@ BINDINGS = {
     "listeners": (LISTENERS_SQL, ("orders",)),
     "target_groups": (TARGET_GROUPS_SQL, ("part",)),
     "targets": (TARGETS_SQL, ("lineitem",)),
+    "distributions": (DISTRIBUTIONS_SQL, ("customer",)),
 }
 
 
