@@ -452,3 +452,21 @@ FROM lat l LEFT JOIN pol p USING (category)
 )
 def g6(spark, sf):
     return G.sla_backfill(_latest(spark, sf), G.default_policies(spark), AS_OF)
+
+
+@query(
+    "n2_run_status",
+    oracle=binding_cte("run_events", "run_locks")
+    + """,
+last AS (SELECT * EXCLUDE (r) FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, workspace, run_id ORDER BY event_ts DESC, status DESC) AS r FROM run_events) WHERE r = 1)
+SELECT l.tenant_id, l.workspace, l.run_id, l.event_ts,
+       CASE WHEN l.status = 'running' AND k.run_id IS NULL THEN 'failed' ELSE l.status END AS status,
+       (l.status = 'running' AND k.run_id IS NULL) AS stale
+FROM last l LEFT JOIN run_locks k USING (tenant_id, workspace, run_id)
+""",
+)
+def n2(spark, sf):
+    from ..sources.bind import bound
+
+    return H.run_status(bound(spark, sf, "run_events"), bound(spark, sf, "run_locks"))

@@ -635,6 +635,25 @@ SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
 FROM {customer} c
 """
 
+# Run state events (start + outcome per run; the newest year is still running) and live
+# run locks (held by one tenant).
+RUN_EVENTS_SQL = """
+SELECT DISTINCT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
+       'prod' AS workspace,
+       'run-' || CAST(year(o.o_orderdate) AS STRING) AS run_id,
+       CASE WHEN o.o_orderkey % 2 = 0 THEN 'running'
+            WHEN year(o.o_orderdate) % 7 = 0 THEN 'failed'
+            WHEN year(o.o_orderdate) = 2001 THEN 'running' ELSE 'ready' END AS status,
+       CAST(date_trunc('year', o.o_orderdate) AS TIMESTAMP) + INTERVAL 1 HOUR * (o.o_orderkey % 2) AS event_ts
+FROM {orders} o
+"""
+
+RUN_LOCKS_SQL = """
+SELECT DISTINCT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id, 'prod' AS workspace,
+       'run-' || CAST(year(o.o_orderdate) AS STRING) AS run_id
+FROM {orders} o WHERE o.o_custkey % 3 = 0
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -672,6 +691,8 @@ BINDINGS = {
     "target_groups": (TARGET_GROUPS_SQL, ("part",)),
     "targets": (TARGETS_SQL, ("lineitem",)),
     "distributions": (DISTRIBUTIONS_SQL, ("customer",)),
+    "run_events": (RUN_EVENTS_SQL, ("orders",)),
+    "run_locks": (RUN_LOCKS_SQL, ("orders",)),
 }
 
 
