@@ -470,3 +470,17 @@ def n2(spark, sf):
     from ..sources.bind import bound
 
     return H.run_status(bound(spark, sf, "run_events"), bound(spark, sf, "run_locks"))
+
+
+@query(
+    "q11_teams_member_counts",
+    oracle=binding_cte("teams", "team_members")
+    + """
+SELECT t.tenant_id, t.team_id, COALESCE(m.member_count, 0) AS member_count
+FROM teams t LEFT JOIN (SELECT tenant_id, team_id, count(*) AS member_count FROM team_members GROUP BY ALL) m USING (tenant_id, team_id)
+""",
+)
+def q11(spark, sf):
+    from ..sources.bind import bound
+
+    return G.team_member_counts(bound(spark, sf, "teams"), bound(spark, sf, "team_members"))

@@ -654,6 +654,18 @@ SELECT DISTINCT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id, 'prod
 FROM {orders} o WHERE o.o_custkey % 3 = 0
 """
 
+# Teams (per tenant and supplier nation) and members (customers by nation).
+TEAMS_SQL = """
+SELECT DISTINCT 'tenant-' || CAST(s.s_suppkey % 3 AS STRING) AS tenant_id, 'team-' || CAST(s.s_nationkey AS STRING) AS team_id
+FROM {supplier} s
+"""
+
+TEAM_MEMBERS_SQL = """
+SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id, 'team-' || CAST(c.c_nationkey % 20 AS STRING) AS team_id,
+       'user-' || CAST(c.c_custkey AS STRING) AS user_id
+FROM {customer} c
+"""
+
 BINDINGS = {
     "findings_flat": (FINDINGS_SQL, ("lineitem", "orders", "part")),
     "cost_facts": (COST_FACTS_SQL, ("lineitem", "orders")),
@@ -693,6 +705,8 @@ BINDINGS = {
     "distributions": (DISTRIBUTIONS_SQL, ("customer",)),
     "run_events": (RUN_EVENTS_SQL, ("orders",)),
     "run_locks": (RUN_LOCKS_SQL, ("orders",)),
+    "teams": (TEAMS_SQL, ("supplier",)),
+    "team_members": (TEAM_MEMBERS_SQL, ("customer",)),
 }
 
 
