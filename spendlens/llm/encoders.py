@@ -12,8 +12,10 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import process_cache
+from .common import process_cache, text_buffer
 
 #: segments remembered by a worker; beyond it those seen once are forgotten
 MEMO_SEGMENTS = 600_000
@@ -25,6 +27,13 @@ _PLAIN = re.compile(f"([{_LETTERS}]+)([.,;:!?]*)")
 _BLANKS = re.compile("[\n\t\r]")
 _ODD_SPACE = re.compile(r" (?![!-~\w])")
 _FIRST = "\x00"
+_BLANK_BYTES = np.arange(256, dtype=np.uint8)
+_BLANK_BYTES[[9, 10, 13]] = 0x20
+_LOWER_BYTES = _BLANK_BYTES.copy()
+_LOWER_BYTES[0x41:0x5B] += 32
+_SIGN = np.isin(np.arange(256), list(b".,;:!?"))
+_LETTER = np.zeros(256, bool)
+_LETTER[0x61:0x7B] = True
 
 
 def load_tokenizer(path: str):
@@ -78,6 +87,17 @@ class SegmentTable:
     def segments(self, text: str) -> list[str]:
         raise NotImplementedError
 
+    def pieces(self, column: pa.Array) -> pa.Array:
+        """Space-separated pieces of a string column as a list column."""
+        raise NotImplementedError
+
+    def odd(self, names: list[str], index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which texts have pieces that are no segments (those texts need ``segments``)."""
+        return np.zeros(len(bounds) - 1, bool)
+
+    def first_rows(self, row: np.ndarray, first: np.ndarray, names: list[str], index: np.ndarray) -> None:
+        """Correct the rows of the texts' first pieces, where those differ."""
+
     def plain(self, segment: str) -> tuple[str, str] | None:
         """(word, signs) as the model sees them, when both are one piece each."""
         raise NotImplementedError
@@ -88,19 +108,23 @@ class SegmentTable:
     # -- ids -------------------------------------------------------------
 
     def _ids(self, segments: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = []
+        out: list[list[int]] = []
         rest: list[int] = []
-        piece = self.tok.model.tokenize
+        piece, plain = self.tok.model.tokenize, self.plain
         signs: dict[str, list[int]] = {"": []}
         for i, s in enumerate(segments):
-            p = self.plain(s)
+            p = plain(s)
             if p is None:
                 rest.append(i)
-                out.append(None)
+                out.append([])
                 continue
-            if p[1] not in signs:
-                signs[p[1]] = self.tok.encode(p[1], add_special_tokens=False).ids
-            out.append([t.id for t in piece(p[0])] + signs[p[1]])
+            word, sign = p
+            ids = [t.id for t in piece(word)]
+            if sign:
+                if sign not in signs:
+                    signs[sign] = self.tok.encode(sign, add_special_tokens=False).ids
+                ids += signs[sign]
+            out.append(ids)
         for lo in range(0, len(rest), 10_000):
             part = rest[lo : lo + 10_000]
             for i, e in zip(part, self.tok.encode_batch([self.raw(segments[i]) for i in part], add_special_tokens=False), strict=True):
@@ -141,13 +165,7 @@ class SegmentTable:
         self.used = total
         self.start, self.length, self.seen = (self._grown(a, 1 << 14) for a in (ends - lens, lens, self.seen[keep] // 2))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the texts, and the offsets of the texts into them."""
-        if len(self.rows) > MEMO_SEGMENTS:
-            self._forget()
-        per_text = [self.segments(t) for t in texts]
-        counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
-        row = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(per_text)), np.int64, int(counts.sum()))
+    def _gather(self, row: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.rows.new:
             self._store_new()
         n = len(self.rows)
@@ -156,8 +174,37 @@ class SegmentTable:
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.pool[np.repeat(self.start[row] - (ends - lens), lens) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, bounds
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the texts, and the offsets of the texts into them."""
+        if len(self.rows) > MEMO_SEGMENTS:
+            self._forget()
+        per_text = [self.segments(t) for t in texts]
+        counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
+        row = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(per_text)), np.int64, int(counts.sum()))
+        return self._gather(row, counts)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a string column (null: empty); pieces are made distinct before look-up."""
+        if len(self.rows) > MEMO_SEGMENTS:
+            self._forget()
+        lists = self.pieces(column)
+        coded = lists.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        index = coded.indices.to_numpy()
+        row = np.fromiter(map(self.rows.__getitem__, names), np.int64, len(names))[index]
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        odd = self.odd(names, index, bounds)
+        self.first_rows(row, bounds[:-1], names, index)
+        ids, bounds = self._gather(row, np.diff(bounds))
+        if not odd.any():
+            return ids, bounds
+        slow, at = self.encode([t or "" for t in column.filter(pa.array(odd)).to_pylist()])
+        parts = [ids[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for k, r in enumerate(np.flatnonzero(odd).tolist()):
+            parts[r] = slow[at[k] : at[k + 1]]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 class BlankSegments(SegmentTable):
@@ -174,7 +221,28 @@ class BlankSegments(SegmentTable):
             text = text.lower()
         return text.split(" ")
 
+    def pieces(self, column: pa.Array) -> pa.Array:
+        data, offsets = text_buffer(column)
+        data = (_BLANK_BYTES if b"<|" in data.tobytes() else _LOWER_BYTES)[data]
+        # one sign between a letter and a blank is a piece of its own
+        sign = _SIGN[data]
+        if len(data):
+            sign[0] = False
+            sign[1:] &= _LETTER[data[:-1]]
+            after = np.append(data[1:] == 0x20, True)
+            heads = offsets[(offsets > 0) & (offsets < len(data))]
+            after[heads - 1] = True
+            sign[heads] = False
+            sign &= after
+        at = np.flatnonzero(sign)
+        data = np.insert(data, at, 0x20)
+        offsets = (offsets + np.searchsorted(at, offsets, "left")).astype(np.int32)
+        texts = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        return pc.split_pattern(texts, " ")
+
     def plain(self, segment: str) -> tuple[str, str] | None:
+        if segment.isascii() and segment.isalpha():
+            return segment.lower(), ""
         m = _PLAIN.fullmatch(segment)
         if m is None:
             return None
@@ -205,7 +273,22 @@ class SpaceSegments(SegmentTable):
                 out[-1] += " " + p if i else p
         return out
 
+    def pieces(self, column: pa.Array) -> pa.Array:
+        return pc.split_pattern(pc.fill_null(column, ""), " ")
+
+    def odd(self, names: list[str], index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        strange = np.array([not p or not ("!" <= p[0] <= "~" or p[0].isalnum()) for p in names], bool)
+        bad = strange[index] if len(strange) else np.zeros(0, bool)
+        bad[bounds[:-1]] = False
+        total = np.concatenate([[0], np.cumsum(bad)])
+        return total[bounds[1:]] > total[bounds[:-1]]
+
+    def first_rows(self, row: np.ndarray, first: np.ndarray, names: list[str], index: np.ndarray) -> None:
+        row[first] = [self.rows[_FIRST + names[i]] for i in index[first].tolist()]
+
     def plain(self, segment: str) -> tuple[str, str] | None:
+        if segment.isascii() and segment.isalpha():
+            return self.byte_shown[0x20] + segment, ""
         m = _PLAIN.fullmatch(segment)
         if m is None:
             return None

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keyed, new_folder, row_slices, stored, text_buffer
-from .encoders import BlankSegments, segment_table
+from .encoders import BlankSegments, load_tokenizer, segment_table
 from .files import resolve, unique_name
 
 MAGIC = b"SVBTOK01"
@@ -56,60 +56,94 @@ def encode_ranks(ranks: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return control, data, np.concatenate([[0], pad_ends // 4]), data_ends[bounds]
 
 
-def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The first ``n`` ranks of one row."""
-    lens = LENGTHS[control].ravel()[:n].astype(np.int64)
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start[i] .. start[i] + n[i] - 1 of all i, in order."""
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def decode_ranks(buf: np.ndarray, start: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
+    """Ranks of many documents: each has its control bytes at ``start``, then its data."""
+    n_control = -(-n_tokens // 4)
+    control = buf[_ranges(start, n_control)]
+    taken = _ranges(4 * (np.cumsum(n_control) - n_control), n_tokens)  # without padding
+    lens = LENGTHS[control].ravel()[taken].astype(np.int64)
     ends = np.cumsum(lens)
-    padded = np.concatenate([data, np.zeros(4, np.uint8)])
+    done = np.concatenate([[0], ends])[np.cumsum(n_tokens) - n_tokens]  # data bytes of earlier documents
+    at = ends - lens + np.repeat(start + n_control - done, n_tokens)
+    padded = np.concatenate([buf, np.zeros(4, np.uint8)])
     words = np.ndarray(shape=(len(padded) - 3,), dtype="<u4", buffer=padded, strides=(1,))
-    return words[ends - lens] & _MASKS[lens]
+    return words[at] & _MASKS[lens]
 
 
 # -- jobs --------------------------------------------------------------------
 
 
+def _width(tokenizer: str, end_id: int | None) -> str:
+    """Bytes of a stored id: two while the vocabulary allows."""
+    size = max(load_tokenizer(tokenizer).get_vocab_size(with_added_tokens=True), (end_id or 0) + 1)
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def encoded_ids(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every whole text; ``end_id`` closes each document."""
+    """(counts, doc_id, n, ids) of every whole text; ``end_id`` closes each document.
+
+    ``ids`` are little-endian bytes. Every task ends with a row of its own
+    (``counts`` true): how often it has met each id, 8 bytes an id.
+    """
+    width = _width(tokenizer, end_id)
+    names = ["counts", "doc_id", "n", "ids"]
 
     def run(batches):
         table = segment_table(tokenizer, BlankSegments)
+        seen = np.zeros(1, np.int64)
         for b in batches:
             _, offsets = text_buffer(b["text"])
             for lo, hi in row_slices(offsets, _SLICE):
-                ids, bounds = table.encode([t or "" for t in b["text"].slice(lo, hi - lo).to_pylist()])
+                ids, bounds = table.encode_column(b["text"].slice(lo, hi - lo))
                 if end_id is not None:
                     ids = np.insert(ids, bounds[1:], end_id)
                     bounds = bounds + np.arange(len(bounds))
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), lists], ["doc_id", "ids"])
+                n = np.bincount(ids, minlength=len(seen))
+                n[: len(seen)] += seen
+                seen = n
+                raw = ids.astype(width)
+                columns = [pa.array(np.zeros(hi - lo, bool)), b["doc_id"].slice(lo, hi - lo), pa.array(np.diff(bounds)), _binary(raw.view(np.uint8), bounds * raw.itemsize)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.nulls(1, pa.int64()), pa.array([0]), pa.array([seen.astype("<i8").tobytes()], pa.binary())], names)
 
-    return keyed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    rows = keyed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "counts boolean, doc_id long, n long, ids binary")
 
 
-def _flat(column) -> tuple[np.ndarray, np.ndarray]:
-    bounds = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0]
+def _flat(column, width: str) -> tuple[np.ndarray, np.ndarray]:
+    data, at = text_buffer(column)
+    size = np.dtype(width).itemsize
+    return np.frombuffer(np.ascontiguousarray(data), width), at // size
 
 
-def id_ranks(ids: DataFrame) -> np.ndarray:
-    """Ids by falling corpus frequency (one entry per distinct id: the vocabulary bounds it)."""
+def id_ranks(counts: DataFrame) -> np.ndarray:
+    """Ids by falling corpus frequency, from the tasks' counts (the vocabulary bounds the result)."""
 
-    def count(batches):
+    def add(batches):
         seen = np.zeros(1, np.int64)
         for b in batches:
-            n = np.bincount(_flat(b["ids"])[0])
-            seen = np.concatenate([seen, np.zeros(max(0, len(n) - len(seen)), np.int64)])
-            seen[: len(n)] += n
+            for raw in b["ids"]:
+                n = np.frombuffer(raw.as_buffer(), "<i8").copy()
+                if len(n) < len(seen):
+                    n, seen = seen, n
+                n[: len(seen)] += seen
+                seen = n
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    return counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.int64)
+    total = counts.select("ids").mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    return total.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.int64)
 
 
-def write_token_files(ids: DataFrame, folder: str, ranked: np.ndarray, tokens_per_file: int = 8_000_000, min_files: int = 64) -> DataFrame:
-    """Write the files; returns the stored manifest (part, file, n_docs, n_tokens)."""
-    sizes = ids.select("doc_id", F.size("ids").alias("n"))
+def write_token_files(ids: DataFrame, width: str, folder: str, ranked: np.ndarray, tokens_per_file: int = 8_000_000, min_files: int = 64) -> DataFrame:
+    """Write (doc_id, n, ids) to files; returns the stored manifest (part, file, n_docs, n_tokens)."""
+    sizes = ids.select("doc_id", "n")
     total, n_docs = sizes.agg(F.sum("n"), F.count("*")).first()
     parts = max(-(-int(total or 0) // tokens_per_file), min(min_files, n_docs // 16), 1)
     cuts = []
@@ -122,19 +156,23 @@ def write_token_files(ids: DataFrame, folder: str, ranked: np.ndarray, tokens_pe
 
     def code(batches):
         for b in batches:
-            flat, bounds = _flat(b["ids"])
-            control, data, c_at, d_at = encode_ranks(rank_of[flat], bounds)
-            key = b["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
-            raw = flat.astype("<u4").tobytes()
-            columns = [
-                pa.array(np.searchsorted(edges, key, "left").astype(np.int32)),
-                b["doc_id"],
-                pa.array(np.diff(bounds).astype(np.int64)),
-                pa.array([zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.int64()),
-                _binary(control, c_at),
-                _binary(data, d_at),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "n_tokens", "crc", "control", "data"])
+            _, at = text_buffer(b["ids"])
+            for lo, hi in row_slices(at, _SLICE):
+                part = b.slice(lo, hi - lo)
+                flat, bounds = _flat(part["ids"], width)
+                control, data, c_at, d_at = encode_ranks(rank_of[flat], bounds)
+                raw = flat.tobytes()
+                size = flat.itemsize
+                key = part["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
+                columns = [
+                    pa.array(np.searchsorted(edges, key, "left").astype(np.int32)),
+                    part["doc_id"],
+                    pa.array(np.diff(bounds).astype(np.int64)),
+                    pa.array([zlib.crc32(raw[size * i : size * j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.int64()),
+                    _binary(control, c_at),
+                    _binary(data, d_at),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "n_tokens", "crc", "control", "data"])
 
     def write(batches):
         out = _FileWriter(folder)
@@ -142,7 +180,7 @@ def write_token_files(ids: DataFrame, folder: str, ranked: np.ndarray, tokens_pe
             yield from out.add(b)
         yield from out.close()
 
-    rows = ids.mapInArrow(code, "part int, doc_id long, n_tokens long, crc long, control binary, data binary")
+    rows = ids.select("doc_id", "ids").mapInArrow(code, "part int, doc_id long, n_tokens long, crc long, control binary, data binary")
     ordered = rows.repartition("part").sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), F.col("crc"))
     return stored(ordered.select("part", "doc_id", "n_tokens", "control", "data").mapInArrow(write, "part int, file string, n_docs long, n_tokens long"), "token-manifest")
 
@@ -194,27 +232,23 @@ class _FileWriter:
         yield pa.RecordBatch.from_pylist([{"part": self.part, "file": self.name, "n_docs": len(columns[0]), "n_tokens": int(columns[2].sum())}], schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
 
-def read_documents(f, ranked: np.ndarray, piece: int = 8 << 20):
-    """(doc_id or None, ids) of an open file, in order, by ranges of ``piece`` bytes."""
+def read_documents(f, ranked: np.ndarray, piece: int = 4 << 20):
+    """(doc_ids, null flags, ids, bounds) of runs of documents of an open file, in order."""
     size = f.size()
-    n, at = np.frombuffer(f.read_at(24, size - 24)[:16], "<u8").tolist()
-    if f.read_at(8, size - 8) != MAGIC:
+    tail = f.read_at(24, size - 24)
+    if tail[16:] != MAGIC:
         raise ValueError("not a token-id file")
+    n, at = np.frombuffer(tail[:16], "<u8").tolist()
     index = f.read_at(n * 17, at)
     doc_id = np.frombuffer(index, "<i8", n)
-    null = np.frombuffer(index, np.uint8, n, 8 * n)
+    null = np.frombuffer(index, np.uint8, n, 8 * n).astype(bool)
     n_tokens = np.frombuffer(index, "<u4", n, 9 * n).astype(np.int64)
     n_data = np.frombuffer(index, "<u4", n, 13 * n).astype(np.int64)
-    n_control = -(-n_tokens // 4)
-    ends = np.cumsum(n_control + n_data)
-    offsets = np.concatenate([[0], ends])
+    offsets = np.concatenate([[0], np.cumsum(-(-n_tokens // 4) + n_data)])
     for lo, hi in row_slices(offsets, piece):
         buf = np.frombuffer(f.read_at(int(offsets[hi] - offsets[lo]), int(offsets[lo])), np.uint8)
-        for i in range(lo, hi):
-            p = int(offsets[i] - offsets[lo])
-            q = p + int(n_control[i])
-            ranks = decode_ranks(buf[p:q], buf[q : q + int(n_data[i])], int(n_tokens[i]))
-            yield None if null[i] else int(doc_id[i]), ranked[ranks]
+        ranks = decode_ranks(buf, offsets[lo:hi] - offsets[lo], n_tokens[lo:hi])
+        yield doc_id[lo:hi], null[lo:hi], ranked[ranks], np.concatenate([[0], np.cumsum(n_tokens[lo:hi])])
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, ranked: np.ndarray, folder: str, reduce: Callable[[np.ndarray], int]) -> DataFrame:
@@ -224,12 +258,12 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, ranked: np.ndarra
         fs, _ = resolve(folder)
         for b in batches:
             for file, start in zip(b["file"].to_pylist(), b["start"].to_pylist(), strict=True):
-                rows = []
                 with fs.open_input_file(file) as f:
-                    for doc_id, ids in read_documents(f, ranked):
-                        rows.append((doc_id, start, len(ids), reduce(ids)))
-                        start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "value"])
+                    for doc_ids, null, ids, bounds in read_documents(f, ranked):
+                        values = [reduce(ids[i:j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                        columns = [pa.array(doc_ids, pa.int64(), mask=null), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(values, pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "value"])
+                        start += int(bounds[-1])
 
     files = manifest.count()
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -241,11 +275,12 @@ def token_file_round_trip(docs: DataFrame, tokenizer: str, end_id: int | None =
     """Encode, rank, write and read back: (documents read, manifest, ids by rank)."""
     spark = docs.sparkSession
     path = new_folder(spark, "token-ids")
-    encoded_ids(docs, tokenizer, end_id, id_col, text_col).write.option("compression", "zstd").parquet(path)
-    ids = spark.read.schema("doc_id long, ids array<int>").parquet(path)
-    ranked = id_ranks(ids)
+    encoded = encoded_ids(docs, tokenizer, end_id, id_col, text_col)
+    encoded.write.option("compression", "zstd").partitionBy("counts").parquet(path)
+    stored_ids = spark.read.schema(encoded.schema).parquet(path)
+    ranked = id_ranks(stored_ids.where("counts"))
     folder = new_folder(spark, "token-files")
-    manifest = write_token_files(ids, folder, ranked)
+    manifest = write_token_files(stored_ids.where("NOT counts").select("doc_id", "n", "ids"), _width(tokenizer, end_id), folder, ranked)
     return read_token_files(spark, manifest, ranked, folder, reduce or checksum), manifest, ranked
 
 
