@@ -20,12 +20,14 @@ results. Other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, ascii_classes, keyed, row_slices, stored, text_buffer
+from .common import Words, ascii_classes, keyed, process_cache, row_slices, stored, text_buffer
 
 #: bytes that belong to words: digits, letters, everything outside ASCII
 WORD_BYTES = ascii_classes(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80)
@@ -199,6 +201,36 @@ def _search(docs: DataFrame, pairs: list[tuple[bytes, int | None]]) -> DataFrame
     return docs.mapInArrow(run, RESULT)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_patterns: int = 250_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows without any occurring window, with all their columns; a filter for each block of patterns."""
+    windows = stored(benchmark_windows(benchmark, window, item_col, item_text_col).select("pattern").distinct(), "benchmark-windows")
+    blocks = max(1, -(-windows.count() // block_patterns))
+    for i in range(blocks):
+        mine = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == i)
+        shared = docs.sparkSession.sparkContext.broadcast([bytes(r["pattern"]) for r in mine.collect()])
+        docs = docs.where(_clean(shared, uuid.uuid4().hex)(F.col(f"`{text_col}`")))
+    return docs
+
+
+def _clean(shared, name: str):
+    """Column function: no pattern of the broadcast occurs in the text."""
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        cache = process_cache("searches")
+        if name not in cache:
+            cache.clear()
+            cache[name] = WuManber(shared.value)
+        data, offsets = text_buffer(texts)
+        out = np.ones(len(texts), bool)
+        for lo, hi in row_slices(offsets, _SLICE):
+            words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD_BYTES)
+            out[lo + words.row[cache[name].find(words)[0]]] = False
+        return pa.array(out)
+
+    return clean
+
+
 def _spans(hit: np.ndarray, words: Words, n: int) -> pa.Array:
     """Runs of hit words by row, as word positions inside the row."""
     begin, end = hit.copy(), hit.copy()
