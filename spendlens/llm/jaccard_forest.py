@@ -374,3 +374,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5,
     first = of.groupBy("label").agg(F.min("least").alias("class_id"))
     of = of.join(first, "label").select("key", "class_id", "n_links", "n_copies")
     return signed.join(of, "key").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5, target_recall: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class (the least id; of repeated ids one row), with all its columns."""
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "forest-docs")
+    classes = near_duplicate_classes(numbered, threshold, k, target_recall, "__row", text_col).select(F.col("doc_id").alias("__row"), "class_id")
+    # classes of one row keep it anyhow; the others choose by (id, row)
+    ids = numbered.select("__row", F.col(f"`{id_col}`").alias("__id"))
+    chosen = ids.join(classes, "__row").groupBy("class_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).getField("__row").alias("__row"))
+    return numbered.join(chosen.select("__row"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -155,7 +155,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", **limits: float) -> DataFrame:
-    """The rows that pass, with all their columns: one pass for the references, one to filter."""
+    """The rows that pass, with all their columns; rows are stored beside their counts, so texts are read once."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    refs = language_references(base_counts(docs, F.lit(0), text_col, lang_col))
-    return with_verdict(base_counts(docs, row, text_col, lang_col), refs, **limits).where("kept").select("carried.*")
+    counts = stored(base_counts(docs, row, text_col, lang_col), "quality-rows")
+    return with_verdict(counts, language_references(counts), **limits).where("kept").select("carried.*")
