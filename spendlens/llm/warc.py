@@ -64,6 +64,8 @@ def with_roles(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), url_key(F.col("url")).alias("key"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= revisit_from, F.unhex(F.sha1(F.col("payload").cast("binary")))))
     groups = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND digest IS NOT NULL").select("digest", "first_id")
+    # stored first: the planner then knows the size, and moves no payloads for a small side
+    groups = stored(groups, "warc-groups")
     copy = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.join(groups, "digest", "left").select("key", "page_id", "url", "payload", F.when(copy, F.col("first_id")).alias("refers_to"))
 
