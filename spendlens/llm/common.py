@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -60,13 +60,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keyed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the wanted columns under fixed names, so other columns never clash.
 
-    Names are matched exactly when several differ only by case.
+    A name is matched exactly if it can be, else ignoring case; columns whose
+    names differ only by case are told apart by position.
     """
-    return df.select(*[F.col(f"`{src}`").alias(name) for name, src in columns.items()])
-
-
-def as_long(c: Column) -> Column:
-    return c.cast("long")
+    names = df.columns
+    lower = [n.lower() for n in names]
+    at = {name: names.index(src) if src in names else lower.index(src.lower()) for name, src in columns.items()}
+    by_place = df.toDF(*[f"_{i}" for i in range(len(names))])
+    return by_place.select(*[F.col(f"_{i}").alias(name) for name, i in at.items()])
 
 
 # -- inside Python tasks -----------------------------------------------------

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Words, ascii_classes, keyed, mixed, row_slices, span_hashes, stored, text_buffer
 from .components import components
 
-TREES, DEPTH, SHORTEST = 16, 8, 4
+TREES, DEPTH, SHORTEST = 32, 8, 4
 BLOCK = 512
 WORD_BYTES = ascii_classes(lambda b: b not in b"\x00\t\n\x0b\x0c\r ")
 _SLICE = 2 << 20
@@ -176,7 +176,7 @@ def _owned(rows: pa.Table, serial: int, least_equal: int):
                 half = len(index) // 2
                 out.append(
                     pa.RecordBatch.from_pylist(
-                        [{"cell": serial, "keys": [keys[base + m] for m in members.tolist()], "a": index[:half].astype("<i4").tobytes(), "b": index[half:].astype("<i4").tobytes(), "equal": equal[mine].astype(np.uint8).tobytes(), "depth": depth[mine].astype(np.uint8).tobytes()}],
+                        [{"cell": serial, "keys": [keys[base + m] for m in members.tolist()], "a": index[:half].astype("<i4").tobytes(), "b": index[half:].astype("<i4").tobytes(), "equal": np.minimum(equal[mine], 255).astype(np.uint8).tobytes(), "depth": depth[mine].astype(np.uint8).tobytes()}],
                         schema=_CELL,
                     )
                 )
@@ -227,7 +227,7 @@ def _depth_counts(cells: DataFrame) -> np.ndarray:
     out = np.zeros((DEPTH + 1) * 256, np.int64)
     for r in cells.select("equal", "depth").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         out[r["at"]] = r["n"]
-    return out.reshape(DEPTH + 1, 256)[:, : TREES * DEPTH + 1]
+    return out.reshape(DEPTH + 1, 256)
 
 
 # -- exact verification ------------------------------------------------------
@@ -322,7 +322,7 @@ def _verify(k: int, threshold: float, depth: int):
 # -- the join ----------------------------------------------------------------
 
 
-def similarity_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, target_recall: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, tuple[int, float]]:
+def similarity_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, target_recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, tuple[int, float]]:
     """(documents with key, links by key, (prefix depth, estimated recall)).
 
     Links: (key, n, root) - of each linked class the classes it links to in a
@@ -357,7 +357,7 @@ def similarity_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, target
     return signed.select("doc_id", "key"), links, (depth, recall)
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, target_recall: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, target_recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (doc_id, class_id, n_links, n_copies).
 
     ``class_id`` is the least doc_id of its component of links (equal texts
@@ -376,11 +376,11 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5,
     return signed.join(of, "key").select("doc_id", "class_id", "n_links", "n_copies")
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5, target_recall: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5, target_recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class (the least id; of repeated ids one row), with all its columns."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "forest-docs")
-    classes = near_duplicate_classes(numbered, threshold, k, target_recall, "__row", text_col).select(F.col("doc_id").alias("__row"), "class_id")
-    # classes of one row keep it anyhow; the others choose by (id, row)
-    ids = numbered.select("__row", F.col(f"`{id_col}`").alias("__id"))
-    chosen = ids.join(classes, "__row").groupBy("class_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).getField("__row").alias("__row"))
-    return numbered.join(chosen.select("__row"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, key = (n + "_" * sum(len(c) for c in docs.columns) for n in ("row", "id"))  # longer than any name there
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "forest-docs")
+    classes = near_duplicate_classes(numbered, threshold, k, target_recall, row, text_col).select(F.col("doc_id").alias(row), "class_id")
+    ids = numbered.select(row, F.col(f"`{id_col}`").alias(key))
+    chosen = ids.join(classes, row).groupBy("class_id").agg(F.min(F.struct(F.col(key).isNull(), key, row)).getField(row).alias(row))
+    return numbered.join(chosen.select(row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, ascii_classes, keyed, row_slices, span_hashes, stored, text_buffer
 
@@ -109,7 +110,7 @@ def column_features(texts: pa.Array) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, N_FEATURES), np.float32)
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(T.ArrayType(T.FloatType()))
 def features(texts: pa.Array) -> pa.Array:
     """Feature column of a text column."""
     x = column_features(texts)

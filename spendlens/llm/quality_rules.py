@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import keyed, stored
 
 #: fixed values: frequent words of each language
 COMMON_WORDS = {
@@ -149,7 +149,8 @@ def with_verdict(counts: DataFrame, refs: dict[str, dict[str, list[float]]], cla
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", **limits: float) -> DataFrame:
     """(doc_id, base counts, base_failed, class_distance, word_distance, kept) of every document."""
-    counts = stored(base_counts(docs, F.col(f"`{id_col}`"), text_col, lang_col), "quality-counts")
+    docs = keyed(docs, doc_id=id_col, text=text_col, **({"lang": lang_col} if lang_col else {}))
+    counts = stored(base_counts(docs, F.col("doc_id"), "text", lang_col and "lang"), "quality-counts")
     judged = with_verdict(counts, language_references(counts), **limits)
     return judged.withColumnRenamed("carried", "doc_id").drop("classes", "bins", "lang")
 
