@@ -325,8 +325,8 @@ def coherence_errors(df: DataFrame) -> Column:
         F.when(F.col("priority") < 0, F.lit("range:priority")),
         F.when(F.col("run_ts").isNull(), F.lit("type:run_ts")),
         F.when(
-            (F.col("status") != "fail") & (F.col("lifecycle.status") == "open"),
-            F.lit("coherence:lifecycle_open_requires_fail"),
+            F.col("status").isin("pass", "info") & F.col("lifecycle.status").isin("open", "acknowledged"),
+            F.lit("coherence:lifecycle_needs_problem_status"),
         ),
         F.when(has_actual & blank(F.col("actual.model.currency")), F.lit("coherence:actual_requires_currency")),
         F.when(
@@ -376,42 +376,63 @@ def _cast_leaf(c: Column, to: T.DataType) -> tuple[Column, Column]:
     return F.when(~empty, v), ~empty & v.isNull()
 
 
+def _cast_value(c: Column, src: T.DataType, to: T.DataType, path: str) -> tuple[Column, Column]:
+    """Cast a wire value of any shape; returns (value, array of paths that do not cast).
+
+    Structs are cast field by field (missing fields become NULL), arrays and
+    map values element by element; a leaf never raises.
+    """
+    none = F.array().cast("array<string>")
+    if isinstance(to, T.StructType):
+        if not isinstance(src, T.StructType):
+            return F.lit(None).cast(to), F.when(c.isNotNull(), F.array(F.lit(path))).otherwise(none)
+        have = {f.name: f.dataType for f in src.fields}
+        parts, bad = [], [none]
+        for f in to.fields:
+            if f.name not in have:
+                parts.append(F.lit(None).cast(f.dataType).alias(f.name))
+                continue
+            v, b = _cast_value(c.getField(f.name), have[f.name], f.dataType, f"{path}.{f.name}")
+            parts.append(v.alias(f.name))
+            bad.append(b)
+        return F.when(c.isNotNull(), F.struct(*parts)), F.when(c.isNotNull(), F.concat(*bad)).otherwise(none)
+    if isinstance(to, T.ArrayType):
+        if not isinstance(src, T.ArrayType):
+            return F.lit(None).cast(to), F.when(c.isNotNull(), F.array(F.lit(path))).otherwise(none)
+        value = F.transform(c, lambda x: _cast_value(x, src.elementType, to.elementType, path)[0])
+        bad = F.exists(c, lambda x: F.size(_cast_value(x, src.elementType, to.elementType, path)[1]) > 0)
+        return value, F.when(F.coalesce(bad, F.lit(False)), F.array(F.lit(path))).otherwise(none)
+    if isinstance(to, T.MapType):
+        if not isinstance(src, T.MapType):
+            return F.lit(None).cast(to), F.when(c.isNotNull(), F.array(F.lit(path))).otherwise(none)
+        value = F.transform_values(c, lambda k, x: _cast_value(x, src.valueType, to.valueType, path)[0])
+        bad = F.exists(F.map_values(c), lambda x: F.size(_cast_value(x, src.valueType, to.valueType, path)[1]) > 0)
+        return value.cast(to), F.when(F.coalesce(bad, F.lit(False)), F.array(F.lit(path))).otherwise(none)
+    if isinstance(src, (T.StructType, T.ArrayType, T.MapType)):
+        return F.lit(None).cast(to), F.when(c.isNotNull(), F.array(F.lit(path))).otherwise(none)
+    v, bad = _cast_leaf(c, to)
+    return v, F.when(bad, F.array(F.lit(path))).otherwise(none)
+
+
 def cast_for_storage(wire: DataFrame, schema: T.StructType = FINDING_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """Cast a wire frame (top-level + one level of structs) to the storage schema.
+    """Cast a wire frame to the storage schema, at any depth.
 
     Unknown fields are dropped, missing ones become NULL, '' becomes NULL for
     non-string leaves, booleans accept common synonyms. A row with any value
-    that is present but not castable goes to the rejects frame (with the
-    offending paths) instead of failing the job.
+    that is present but not castable (in structs, arrays and map values too)
+    goes to the rejects frame, with the offending paths, instead of failing
+    the job.
     """
-    cols, flags = [], []
-    present = set(wire.columns)
+    cols, bad = [], [F.array().cast("array<string>")]
+    present = {f.name: f.dataType for f in wire.schema.fields}
     for f in schema.fields:
         if f.name not in present:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
             continue
-        src_t = wire.schema[f.name].dataType
-        if isinstance(f.dataType, T.StructType) and isinstance(src_t, T.StructType):
-            sub_present = {sf.name for sf in src_t.fields}
-            parts = []
-            for sf in f.dataType.fields:
-                if sf.name not in sub_present:
-                    parts.append(F.lit(None).cast(sf.dataType).alias(sf.name))
-                elif isinstance(sf.dataType, (T.StructType, T.ArrayType, T.MapType)):
-                    parts.append(F.col(f"{f.name}.{sf.name}").cast(sf.dataType).alias(sf.name))
-                else:
-                    v, bad = _cast_leaf(F.col(f"{f.name}.{sf.name}"), sf.dataType)
-                    parts.append(v.alias(sf.name))
-                    flags.append(F.when(bad, F.lit(f"{f.name}.{sf.name}")))
-            cols.append(F.when(F.col(f.name).isNotNull(), F.struct(*parts)).alias(f.name))
-        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        else:
-            v, bad = _cast_leaf(F.col(f.name), f.dataType)
-            cols.append(v.alias(f.name))
-            flags.append(F.when(bad, F.lit(f.name)))
-    reject = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
-    typed = wire.select(*cols, reject.alias("_reject"))
+        v, b = _cast_value(F.col(f.name), present[f.name], f.dataType, f.name)
+        cols.append(v.alias(f.name))
+        bad.append(b)
+    typed = wire.select(*cols, F.concat(*bad).alias("_reject"))
     ok = typed.where(F.size("_reject") == 0).drop("_reject")
     rejects = typed.where(F.size("_reject") > 0).withColumnRenamed("_reject", "reject_paths")
     return ok, rejects

@@ -188,81 +188,56 @@ def _shape(df: DataFrame, **cols: Column) -> DataFrame:
 
 def rule_vault_risk(ri: DataFrame) -> DataFrame:
     """>= 2 of {no lifecycle, policy misconfig, stale recovery points, rules w/o lifecycle} per vault."""
-    s = _sig(ri)
-    vault_keys = ACCT_KEYS + ["vault_name", "vault_arn"]
-    vaults = (
-        s.where(
-            (F.col("status") == "fail")
-            & F.col("check_id").isin("aws.backup.vaults.no.lifecycle", "aws.backup.vaults.access.policy.misconfig")
-            & (F.col("resource_type") == "backup_vault")
-        )
-        .withColumn("vault_name", F.col("resource_id"))
-        .withColumn("vault_arn", F.col("resource_arn"))
-        .groupBy(*vault_keys)
-        .agg(
-            F.max(F.when(F.col("check_id") == "aws.backup.vaults.no.lifecycle", 1).otherwise(0)).alias("sig_guard"),
-            F.max(F.when(F.col("check_id") == "aws.backup.vaults.access.policy.misconfig", 1).otherwise(0)).alias("sig_policy"),
-            _fps().alias("vault_fps"),
-        )
-    )
-    stale = (
-        s.where((F.col("status") == "fail") & (F.col("check_id") == "aws.backup.recovery.points.stale"))
-        .withColumn(
-            "vault_name",
-            F.when(F.col("resource_type") == "backup_vault", F.col("resource_id")).otherwise(
-                F.coalesce(F.col("dimensions")["vault_name"], F.lit(""))
-            ),
-        )
-        .groupBy(*ACCT_KEYS, "vault_name")
-        .agg(F.count(F.lit(1)).alias("stale_n"), F.sum("cost").alias("stale_cost"), _fps().alias("stale_fps"))
-    )
-    rules = (
-        s.where((F.col("status") == "fail") & (F.col("check_id") == "aws.backup.rules.no.lifecycle"))
-        .withColumn(
-            "vault_name",
-            F.coalesce(
-                F.col("dimensions")["target_vault_name"],
-                F.col("dimensions")["target_vault"],
-                F.col("dimensions")["backup_vault"],
-                F.lit(""),
-            ),
-        )
-        .groupBy(*ACCT_KEYS, "vault_name")
-        .agg(F.count(F.lit(1)).alias("rules_n"), _fps().alias("rules_fps"))
-    )
-    plans = (
-        s.where((F.col("status") == "fail") & (F.col("check_id") == "aws.backup.plans.no.selections"))
-        .groupBy(*RUN_KEYS)
-        .agg(F.count(F.lit(1)).alias("plans_n"))
+    # one long list of (vault, signal) rows; a vault itself carries the first two signals
+    own = ("aws.backup.vaults.no.lifecycle", "aws.backup.vaults.access.policy.misconfig")
+    stale, no_rules = "aws.backup.recovery.points.stale", "aws.backup.rules.no.lifecycle"
+    failed = _sig(ri).where(F.col("status") == "fail")
+    dims = F.col("dimensions")
+    is_vault = F.col("resource_type") == "backup_vault"
+    vault = (
+        F.when(F.col("check_id") == no_rules, F.coalesce(dims["target_vault_name"], dims["target_vault"], dims["backup_vault"], F.lit("")))
+        .when(is_vault, F.col("resource_id"))
+        .otherwise(F.coalesce(dims["vault_name"], F.lit("")))
     )
+    rows = failed.where((F.col("check_id").isin(*own) & is_vault) | F.col("check_id").isin(stale, no_rules)).withColumn("vault_name", vault)
+    anchors = rows.where(F.col("check_id").isin(*own)).select(*ACCT_KEYS, "vault_name", F.col("resource_arn").alias("vault_arn")).distinct()
+    plans = failed.where(F.col("check_id") == "aws.backup.plans.no.selections").groupBy(*RUN_KEYS).agg(F.count(F.lit(1)).alias("plans_n"))
+
+    def times(*checks: str) -> Column:
+        return F.count_if(F.col("check_id").isin(*checks))
+
     c = (
-        vaults.join(stale, ACCT_KEYS + ["vault_name"], "left")
-        .join(rules, ACCT_KEYS + ["vault_name"], "left")
-        .join(plans, RUN_KEYS, "left")
-        .withColumn("stale_n", F.coalesce("stale_n", F.lit(0)))
-        .withColumn("stale_cost", F.coalesce("stale_cost", F.lit(0).cast(MONEY)))
-        .withColumn("rules_n", F.coalesce("rules_n", F.lit(0)))
-        .withColumn(
-            "signals",
-            F.col("sig_guard")
-            + F.col("sig_policy")
-            + F.when(F.col("stale_n") > 0, 1).otherwise(0)
-            + F.when(F.col("rules_n") > 0, 1).otherwise(0),
+        anchors.join(rows, ACCT_KEYS + ["vault_name"])
+        .where(~F.col("check_id").isin(*own) | F.col("resource_arn").eqNullSafe(F.col("vault_arn")))
+        .groupBy(*ACCT_KEYS, "vault_name", "vault_arn")
+        .agg(
+            F.count_distinct("check_id").alias("signals"),
+            times(own[0]).alias("guard_n"),
+            times(own[1]).alias("policy_n"),
+            times(stale).alias("stale_n"),
+            times(no_rules).alias("rules_n"),
+            F.coalesce(F.sum(F.when(F.col("check_id") == stale, F.col("cost"))), F.lit(0)).cast("decimal(28,6)").alias("stale_cost"),
+            _fps().alias("fps"),
         )
         .where(F.col("signals") >= 2)
+        .join(plans, RUN_KEYS, "left")
     )
     lvl, score = _sev(
         (F.col("signals") >= 3, "high", 900),
         ((F.col("signals") == 2) & (F.col("stale_n") > 0), "high", 850),
         default=("medium", 750),
     )
-    msg = F.concat(
-        F.lit('Vault "'), F.col("vault_name"), F.lit('" has '), F.col("signals").cast("string"), F.lit(" correlated risk signals. "),
-        F.when(F.col("sig_guard") == 1, F.lit("[no_retention_guardrail] ")).otherwise(F.lit("")),
-        F.when(F.col("sig_policy") == 1, F.lit("[access_policy_misconfig] ")).otherwise(F.lit("")),
-        F.when(F.col("stale_n") > 0, F.concat(F.lit("[stale_recovery_points="), F.col("stale_n").cast("string"), F.lit("] "))).otherwise(F.lit("")),
-        F.when(F.col("rules_n") > 0, F.concat(F.lit("[rules_missing_lifecycle="), F.col("rules_n").cast("string"), F.lit("] "))).otherwise(F.lit("")),
-        F.when(F.coalesce("plans_n", F.lit(0)) > 0, F.concat(F.lit(" Additional context: "), F.col("plans_n").cast("string"), F.lit(" backup plan(s) have no selections."))).otherwise(F.lit("")),
+    def part(n: Column, text: str) -> Column:
+        return F.when(n > 0, F.format_string(text, n))
+
+    msg = F.concat_ws(
+        "; ",
+        F.format_string("Vault %s combines %d risk signals", "vault_name", "signals"),
+        F.when(F.col("guard_n") > 0, F.lit("no retention lock")),
+        F.when(F.col("policy_n") > 0, F.lit("weak access policy")),
+        part(F.col("stale_n"), "%d stale recovery point(s)"),
+        part(F.col("rules_n"), "%d rule(s) without lifecycle"),
+        part(F.coalesce("plans_n", F.lit(0)), "the run also has %d plan(s) without selections"),
     )
     has_cost = F.col("stale_cost") > 0
     return _shape(
@@ -292,7 +267,7 @@ def rule_vault_risk(ri: DataFrame) -> DataFrame:
             F.lit("rules_no_lifecycle_count"), F.col("rules_n").cast("string"),
         ),
         metadata_json=F.concat(F.lit('{"correlation_rule":"vault_risk","signal_count":'), F.col("signals").cast("string"), F.lit("}")),
-        source_fingerprints=_concat_fps("vault_fps", "stale_fps", "rules_fps"),
+        source_fingerprints=F.col("fps"),
     )
 
 
@@ -416,10 +391,14 @@ def rule_custom_metrics_sprawl(ri: DataFrame, min_count: int = 5) -> DataFrame:
     )
 
 
-def _alarms(s: DataFrame, status: str) -> DataFrame:
+#: K1: a problem may be reported with any of these statuses (detectors differ)
+SIGNAL_STATUSES = ("fail", "warn", "info")
+
+
+def _alarms(s: DataFrame, statuses: Sequence[str]) -> DataFrame:
     return (
         s.where(
-            (F.col("status") == status)
+            F.col("status").isin(*statuses)
             & (F.col("check_id") == "aws.cloudwatch.alarms.high.count")
             & (F.col("resource_type") == "account")
         )
@@ -435,7 +414,7 @@ def _alarms(s: DataFrame, status: str) -> DataFrame:
 def rule_observability_sprawl(ri: DataFrame, min_metrics: int = 20) -> DataFrame:
     """Alarms-high-count and >= ``min_metrics`` custom metrics in the same account x region."""
     s = _sig(ri)
-    alarms = _alarms(s, "info")
+    alarms = _alarms(s, ("info",))
     metrics = (
         s.where(
             (F.col("status") == "info")
@@ -514,7 +493,7 @@ def rule_retention_missing_sprawl(ri: DataFrame, min_count: int = 1) -> DataFram
     )
 
 
-def rule_ec2_monitoring_cost(ri: DataFrame) -> DataFrame:
+def rule_ec2_monitoring_cost(ri: DataFrame, statuses: Sequence[str] = SIGNAL_STATUSES) -> DataFrame:
     """idle/stopped instances with log groups lacking retention and alarm cost (side aggregates joined)."""
     s = _sig(ri)
     ec2 = (
@@ -533,14 +512,14 @@ def rule_ec2_monitoring_cost(ri: DataFrame) -> DataFrame:
     )
     logs = (
         s.where(
-            (F.col("status") == "warn")
+            F.col("status").isin(*statuses)
             & (F.col("check_id") == "aws.logs.log.groups.retention.missing")
             & (F.col("resource_type") == "log_group")
         )
         .groupBy(*ACCT_KEYS)
         .agg(F.count_distinct("resource_id").alias("logs_n"), F.sum("cost").alias("logs_cost"))
     )
-    alarms = _alarms(s, "warn")
+    alarms = _alarms(s, statuses)
     c = ec2.join(logs, ACCT_KEYS, "left").join(alarms, ACCT_KEYS, "left").where(F.col("ec2_n") >= 1)
     zero = F.lit(0).cast(MONEY)
     logs_n = F.coalesce("logs_n", F.lit(0))
@@ -580,12 +559,12 @@ def rule_ec2_monitoring_cost(ri: DataFrame) -> DataFrame:
     )
 
 
-def rule_lambda_logs_cost(ri: DataFrame) -> DataFrame:
+def rule_lambda_logs_cost(ri: DataFrame, statuses: Sequence[str] = SIGNAL_STATUSES) -> DataFrame:
     """R7: '/aws/lambda/' log groups without retention, with lambda signals and alarms."""
     s = _sig(ri)
     logs = (
         s.where(
-            (F.col("status") == "warn")
+            F.col("status").isin(*statuses)
             & (F.col("check_id") == "aws.logs.log.groups.retention.missing")
             & (F.col("resource_type") == "log_group")
             & F.coalesce(F.col("dimensions")["log_group"], F.col("resource_id")).startswith("/aws/lambda/")
@@ -603,7 +582,7 @@ def rule_lambda_logs_cost(ri: DataFrame) -> DataFrame:
         .groupBy(*ACCT_KEYS)
         .agg(F.count_distinct("resource_id").alias("fn_n"), F.sum("cost").alias("fn_cost"))
     )
-    alarms = _alarms(s, "warn")
+    alarms = _alarms(s, statuses)
     c = logs.join(fns, ACCT_KEYS, "left").join(alarms, ACCT_KEYS, "left").where(F.col("logs_n") >= 1)
     zero = F.lit(0).cast(MONEY)
     ac = F.coalesce("alarms_cost", zero)
@@ -1010,13 +989,12 @@ def correlate(
     workspace_id: str = "",
     run_id: str = "",
     id_salt: str = "stable",
-    max_rows_per_rule: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run every enabled rule and union the meta-findings.
 
     Returns (meta_findings, report) where report has one row per rule with
-    the number emitted (computed from the union, not one job per rule). A row
-    cap, if given, is a check that raises - rows are never dropped.
+    the number emitted, 0 included (one aggregate over the union, not one job
+    per rule).
     """
     base = base_findings(findings, tenant_id, workspace_id, run_id)
     meta = run_meta(base)
@@ -1031,13 +1009,9 @@ def correlate(
     allm = outs[0]
     for o in outs[1:]:
         allm = allm.unionByName(o)
-    report = allm.groupBy(F.regexp_replace(F.col("source.source_ref"), "^correlation:", "").alias("rule_id")).agg(
-        F.count(F.lit(1)).alias("emitted")
-    )
-    if max_rows_per_rule is not None:
-        over = report.where(F.col("emitted") > max_rows_per_rule).limit(1).collect()
-        if over:
-            raise RuntimeError(f"rule {over[0]['rule_id']} emitted {over[0]['emitted']} rows > cap {max_rows_per_rule}")
+    counts = allm.groupBy(F.regexp_replace(F.col("source.source_ref"), "^correlation:", "").alias("rule_id")).agg(F.count(F.lit(1)).alias("emitted"))
+    ran = findings.sparkSession.createDataFrame([(r.rule_id,) for r in rules if r.enabled], "rule_id string")
+    report = ran.join(counts, "rule_id", "left").select("rule_id", F.coalesce("emitted", F.lit(0)).alias("emitted"))
     return allm, report
 
 

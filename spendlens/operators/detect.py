@@ -36,10 +36,12 @@ DRAFT_COLUMNS = [
     "detail",
 ]
 
-# Suppression tag keys / values / prefixes for storage and NAT resources.
+# Suppression tag keys / values / prefixes by resource family.
 EBS_SUPPRESS_KEYS = ("retain", "retention", "keep", "do_not_delete", "donotdelete", "backup", "purpose", "lifecycle")
 EBS_SUPPRESS_VALUES = ("retain", "retained", "keep", "true", "yes", "1", "permanent", "legal-hold")
 EBS_SUPPRESS_PREFIXES = ("keep", "retain", "do-not-delete", "do_not_delete", "donotdelete")
+LOGS_SUPPRESS_KEYS = ("retain", "retention", "keep", "do_not_delete", "donotdelete", "lifecycle")
+BACKUP_SUPPRESS_KEYS = ("retain", "legal-hold", "legal_hold", "backup-policy", "backup_policy", "suppress", "keep")
 NAT_SUPPRESS_KEYS = ("finops:ignore", "do-not-delete", "keep")
 REQUIRED_INSTANCE_TAGS = ("ApplicationId", "Environment", "Application")
 
@@ -67,7 +69,6 @@ class DetectorParams:
     lambda_gb_second_usd: float = 0.0000166667
     alarms_high_count: int = 100
     alarm_usd_per_month: float = 0.10
-    max_findings_per_type: int = 50_000
 
 
 def _draft(df: DataFrame, **cols: Column) -> DataFrame:
@@ -85,16 +86,6 @@ def _age_days(ts: Column, as_of: Column) -> Column:
     return F.floor((F.unix_micros(as_of) - F.unix_micros(ts)) / F.lit(86400e6)).cast("int")
 
 
-def cap_per_type(drafts: DataFrame, cap: int) -> DataFrame:
-    """At most ``cap`` findings per check id (deterministic by resource id).
-
-    Applied per (tenant, account, region, check) - the scope of one scan -
-    so no single task ranks a whole check across all tenants.
-    """
-    w = Window.partitionBy("tenant_id", "account_id", "region", "check_id").orderBy("resource_id")
-    return drafts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
-
-
 # ---------------------------------------------------------------------------
 # Storage: EBS volumes
 # ---------------------------------------------------------------------------
@@ -160,7 +151,7 @@ def ebs_volume_findings(volumes: DataFrame, prices: DataFrame, as_of, params: De
         severity_score=F.lit(900),
         detail=F.when(F.col("encrypted").isNull(), "unknown").otherwise("false"),
     )
-    return cap_per_type(d18.unionByName(d19).unionByName(d20), params.max_findings_per_type)
+    return d18.unionByName(d19).unionByName(d20)
 
 
 def instance_tag_findings(instances: DataFrame, required=REQUIRED_INSTANCE_TAGS, params: DetectorParams = DetectorParams()) -> DataFrame:
@@ -177,7 +168,7 @@ def instance_tag_findings(instances: DataFrame, required=REQUIRED_INSTANCE_TAGS,
         severity_score=F.lit(300),
         detail=F.array_join("_miss", ","),
     )
-    return cap_per_type(d, params.max_findings_per_type)
+    return d
 
 
 # ---------------------------------------------------------------------------
@@ -223,17 +214,20 @@ def nat_findings(
     bytes_scale: float = 1.0,
     params: DetectorParams = DetectorParams(),
 ) -> DataFrame:
-    """D52 orphaned (in no route, age >= 1 d), D53 cross-AZ (associated subnet in
+    """D52 orphaned (in no route, not being deleted, age >= 1 d or unknown), D53 cross-AZ (associated subnet in
     another AZ; route tables with an internet-gateway default route ignored),
     D54 idle (>= N daily points, p95 daily bytes below threshold), D55 high data
-    processing (bytes scaled to 30 days). Orphans skip D53-D55.
+    processing (bytes scaled to 30 days). Unreferenced gateways that are not
+    being deleted skip D53-D55.
     """
     now = F.lit(as_of).cast("timestamp")
     n = nats.where(~suppressed(F.col("tags"), NAT_SUPPRESS_KEYS)).withColumnRenamed("resource_id", "nat_id")
     referenced = routes.select(F.col("nat_gateway_id").alias("nat_id")).distinct()
     age = _age_days(F.col("create_time"), now)
     hourly_cost = F.lit(round(params.nat_hourly_usd * 730.0, 6)).cast(MONEY)
-    orphan = n.join(referenced, "nat_id", "left_anti").where(age >= params.nat_orphan_min_age_days)
+    unreferenced = n.join(referenced, "nat_id", "left_anti")
+    deleting = F.coalesce(F.lower("state"), F.lit("")) == "deleting"
+    orphan = unreferenced.where(~deleting & (F.col("create_time").isNull() | (age >= params.nat_orphan_min_age_days)))
     d52 = _draft(
         orphan,
         service=F.lit("AmazonVPC"),
@@ -244,9 +238,9 @@ def nat_findings(
         severity_score=F.lit(600),
         monthly_cost=hourly_cost,
         monthly_savings=hourly_cost,
-        detail=age.cast("string"),
+        detail=F.coalesce(age.cast("string"), F.lit("unknown")),
     )
-    live = n.join(referenced, "nat_id", "left_semi")
+    live = n.join(referenced, "nat_id", "left_semi").unionByName(unreferenced.where(deleting))
     # Routes x associations (equi joins), then the inequality filter on AZ
     private = routes.where(~F.col("has_igw_default")).select(F.col("nat_gateway_id").alias("nat_id"), "subnet_id").distinct()
     assoc = private.join(subnets.select("subnet_id", F.col("az").alias("subnet_az")), "subnet_id")
@@ -298,7 +292,7 @@ def nat_findings(
         monthly_cost=(data_cost + hourly_cost).cast(MONEY),
         detail=F.format_string("%.6f", F.col("gib")),
     )
-    return cap_per_type(d52.unionByName(d53).unionByName(d54).unionByName(d55), params.max_findings_per_type)
+    return d52.unionByName(d53).unionByName(d54).unionByName(d55)
 
 
 # ---------------------------------------------------------------------------
@@ -362,7 +356,7 @@ def lambda_findings(
         monthly_savings=F.round(F.greatest(cur_cost - new_cost, F.lit(0.0)), 6).cast(MONEY),
         detail=F.format_string("%.6f", F.col("dur_p95")),
     )
-    return cap_per_type(d9.unionByName(d10), params.max_findings_per_type)
+    return d9.unionByName(d10)
 
 
 # ---------------------------------------------------------------------------
@@ -385,6 +379,7 @@ def alarms_high_count(alarms: DataFrame, params: DetectorParams = DetectorParams
         severity_level=F.lit("low"),
         severity_score=F.lit(200),
         monthly_cost=cost,
+        monthly_savings=cost,
         detail=F.col("alarm_count").cast("string"),
     )
 
@@ -588,7 +583,7 @@ def rds_config_findings(dbs: DataFrame, params: DetectorParams = DetectorParams(
         severity_score=F.lit(750),
         detail=F.concat_ws(" ", F.lower(F.trim("engine")), F.trim("engine_version")),
     )
-    return cap_per_type(d39.unionByName(d42).unionByName(d43), params.max_findings_per_type)
+    return d39.unionByName(d42).unionByName(d43)
 
 
 def s3_governance_findings(buckets: DataFrame) -> DataFrame:
@@ -774,20 +769,16 @@ def ebs_snapshot_findings(
         severity_score=F.lit(750),
         detail=F.col("size_gb").cast("string"),
     )
-    return cap_per_type(d21.unionByName(d22), params.max_findings_per_type)
+    return d21.unionByName(d22)
 
 
 # ---------------------------------------------------------------------------
 # Observability: log retention (D62), custom metrics from log filters
 # ---------------------------------------------------------------------------
 
-# Suppression keys for log groups (same retention vocabulary as storage).
-LOGS_SUPPRESS_KEYS = EBS_SUPPRESS_KEYS
-
-
 def log_retention_findings(log_groups: DataFrame) -> DataFrame:
     """Log groups without a retention policy (never expire), unless suppressed."""
-    g = log_groups.where(F.col("retention_days").isNull() & ~suppressed(F.col("tags"), LOGS_SUPPRESS_KEYS, EBS_SUPPRESS_VALUES))
+    g = log_groups.where(F.col("retention_days").isNull() & ~suppressed(F.col("tags"), LOGS_SUPPRESS_KEYS, EBS_SUPPRESS_VALUES, EBS_SUPPRESS_PREFIXES))
     return _draft(
         g,
         service=F.lit("AmazonCloudWatch"),
@@ -960,7 +951,7 @@ def backup_findings(
         & ~F.upper(F.coalesce("status", F.lit(""))).isin("DELETED", "EXPIRED")
         & (F.col("created") < now - F.make_interval(days=F.lit(stale_days)))
         & (F.col("delete_at").isNull() | (F.col("delete_at") > now + F.make_interval(days=F.lit(skip_if_deleting_within_days))))
-        & ~suppressed(F.col("tags"), EBS_SUPPRESS_KEYS, EBS_SUPPRESS_VALUES)
+        & ~suppressed(F.col("tags"), BACKUP_SUPPRESS_KEYS, BACKUP_SUPPRESS_KEYS)
     )
     unit = F.when(F.upper("storage_class") == "COLD", F.lit(cold_usd)).otherwise(F.lit(warm_usd)).cast("decimal(12,6)")
     raw = F.col("size_gb").cast("decimal(18,2)") * unit
@@ -1031,7 +1022,7 @@ def ec2_instance_findings(
 
 
 # ---------------------------------------------------------------------------
-# Load balancers: no listeners (D56), idle (D57), no registered targets
+# Load balancers: no listeners (D56), idle (D57), no registered (D58) or healthy (D59) targets
 # ---------------------------------------------------------------------------
 
 ELB_SUPPRESS_KEYS = ("finops:ignore", "do-not-delete", "keep")
@@ -1040,19 +1031,23 @@ ELB_SUPPRESS_KEYS = ("finops:ignore", "do-not-delete", "keep")
 def elbv2_findings(
     lbs: DataFrame, listeners: DataFrame, target_groups: DataFrame, targets: DataFrame, metrics: DataFrame, as_of, *,
     lookback_days: int = 14, min_points: int = 7, idle_p95: float = 1.0, min_age_days: int = 2, require_min_points: bool = True,
+    hourly_usd: str = "0.0225",
 ) -> DataFrame:
-    """D56 load balancer without listeners (no further checks for it); D57 idle: p95 of
-    daily RequestCount (application) / NewFlowCount (network) <= threshold and age >= N days
-    (K11: a minimum number of daily points is required unless ``require_min_points`` is off,
-    in which case a missing series counts as 0); D58 forward target groups referenced
-    (lambda groups excluded) and none of them has a registered target."""
+    """Load balancers at least N days old (or of unknown age): D56 without listeners (no further
+    checks for it); D57 idle: p95 of daily RequestCount (application) / NewFlowCount (network)
+    <= threshold (K11: a minimum number of daily points is required unless
+    ``require_min_points`` is off, in which case a missing series counts as 0); D58 forward
+    target groups referenced (lambda groups excluded) and none of them has a registered
+    target; D59 targets registered, none healthy. Cost: the hourly price over 30 days."""
     now = F.lit(as_of).cast("timestamp")
-    lb = lbs.where(~suppressed(F.col("tags"), ELB_SUPPRESS_KEYS))
+    old_enough = F.col("created").isNull() | (F.unix_micros(now) - F.unix_micros("created") >= F.lit(min_age_days * 86400e6))
+    lb = lbs.where(~suppressed(F.col("tags"), ELB_SUPPRESS_KEYS) & old_enough)
+    monthly = F.round(F.lit(hourly_usd).cast("decimal(18,6)") * 24 * 30, 2).cast(MONEY)
     with_listener = listeners.select("lb_name").distinct()
     base = dict(service=F.lit("ElasticLoadBalancing"), resource_type=F.lit("load_balancer"), resource_id=F.col("lb_name"))
     d56 = _draft(
         lb.join(with_listener, "lb_name", "left_anti"), check_id=F.lit("aws.elbv2.load.balancers.no.listeners"),
-        severity_level=F.lit("high"), severity_score=F.lit(75), **base,
+        severity_level=F.lit("high"), severity_score=F.lit(75), monthly_cost=monthly, **base,
     )
     live = lb.join(with_listener, "lb_name", "left_semi")
     req = series_stats(daily_series(metrics, "RequestCount", as_of, lookback_days)).select(
@@ -1067,10 +1062,9 @@ def elbv2_findings(
     p95 = F.when(is_app, F.col("req_p95")).otherwise(F.col("flow_p95"))
     enough = (F.coalesce(points, F.lit(0)) >= min_points) if require_min_points else F.lit(True)
     idle = F.lower("lb_type").isin("application", "network") & enough & (F.coalesce(p95, F.lit(0.0)) <= idle_p95)
-    age = _age_days(F.col("created"), now)
     d57 = _draft(
-        s.where(idle & (age >= min_age_days)), check_id=F.lit("aws.elbv2.load.balancers.idle"), severity_level=F.lit("medium"),
-        severity_score=F.lit(60), detail=F.format_string("%.6f", F.coalesce(p95, F.lit(0.0))), **base,
+        s.where(idle), check_id=F.lit("aws.elbv2.load.balancers.idle"), severity_level=F.lit("medium"),
+        severity_score=F.lit(60), monthly_savings=monthly, detail=F.format_string("%.6f", F.coalesce(p95, F.lit(0.0))), **base,
     )
     fwd = (
         listeners.where(F.lower("action_type") == "forward")
@@ -1078,15 +1072,20 @@ def elbv2_findings(
         .select("lb_name", "target_group")
         .distinct()
     )
-    has_targets = targets.select("target_group").distinct().withColumn("_t", F.lit(1))
-    per_lb = fwd.join(has_targets, "target_group", "left").groupBy("lb_name").agg(
-        F.count(F.lit(1)).alias("groups"), F.max(F.coalesce("_t", F.lit(0))).alias("any_targets")
+    registered = targets.groupBy("target_group").agg(F.lit(1).alias("_t"), F.max((F.col("health") == "healthy").cast("int")).alias("_h"))
+    per_lb = fwd.join(registered, "target_group", "left").groupBy("lb_name").agg(
+        F.count(F.lit(1)).alias("groups"), F.max(F.coalesce("_t", F.lit(0))).alias("any_targets"), F.max(F.coalesce("_h", F.lit(0))).alias("any_healthy")
     )
+    checked = live.join(per_lb, "lb_name")
     d58 = _draft(
-        live.join(per_lb.where(F.col("any_targets") == 0), "lb_name"), check_id=F.lit("aws.elbv2.load.balancers.no.registered.targets"),
+        checked.where(F.col("any_targets") == 0), check_id=F.lit("aws.elbv2.load.balancers.no.registered.targets"),
+        severity_level=F.lit("high"), severity_score=F.lit(75), monthly_savings=monthly, detail=F.col("groups").cast("string"), **base,
+    )
+    d59 = _draft(
+        checked.where((F.col("any_targets") == 1) & (F.col("any_healthy") == 0)), check_id=F.lit("aws.elbv2.load.balancers.no.healthy.targets"),
         severity_level=F.lit("high"), severity_score=F.lit(75), detail=F.col("groups").cast("string"), **base,
     )
-    return d56.unionByName(d57).unionByName(d58)
+    return d56.unionByName(d57).unionByName(d58).unionByName(d59)
 
 
 # ---------------------------------------------------------------------------

@@ -154,23 +154,40 @@ def sla_replay(state_events: DataFrame, latest: DataFrame, category_policies: Da
 
 
 def apply_extensions(governance: DataFrame, extensions: DataFrame) -> DataFrame:
-    """Add extension days per finding (sum of extension events), count them and
-    clear the breach stamp when the extension asks for it and the new deadline is ahead."""
-    ext = extensions.groupBy(*KEY).agg(
+    """Add the days of every extension event (days, event_ts) to a finding's deadline.
+
+    Events apply in time order. One that leaves the deadline behind its own time
+    keeps the breach stamp (or stamps its time); one that moves the deadline to
+    its time or later clears it. Without a deadline there is no breach.
+    """
+    so_far = Window.partitionBy(*KEY).orderBy("event_ts", "days").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ev = extensions.select(*KEY, "days", "event_ts").join(governance.select(*KEY, "sla_deadline"), KEY)
+    moved = F.col("sla_deadline") + F.make_interval(secs=F.sum(F.col("days") * 86400).over(so_far))
+    ev = ev.withColumn("_late", moved < F.col("event_ts"))
+    ev = ev.withColumn("_in_time", F.max(F.when(~F.col("_late"), F.col("event_ts"))).over(Window.partitionBy(*KEY)))
+    after = F.col("_late") & (F.col("_in_time").isNull() | (F.col("event_ts") > F.col("_in_time")))
+    ext = ev.groupBy(*KEY).agg(
         F.sum(F.col("days") * 86400).cast("long").alias("_ext"),
         F.count(F.lit(1)).alias("_cnt"),
-        F.max(F.col("clear_breach").cast("int")).alias("_clear"),
+        F.max("_in_time").alias("_in_time"),
+        F.min(F.when(after, F.col("event_ts"))).alias("_stamp"),
     )
     g = governance.join(ext, KEY, "left")
     ext_s = F.coalesce("_ext", F.lit(0))
-    new_deadline = F.when(F.col("sla_deadline").isNotNull(), F.col("sla_deadline") + F.make_interval(secs=ext_s))
-    return (
-        g.withColumn("sla_extension_seconds", F.col("sla_extension_seconds") + ext_s)
-        .withColumn("sla_extended_count", F.col("sla_extended_count") + F.coalesce("_cnt", F.lit(0)))
-        .withColumn("sla_deadline", new_deadline)
-        .withColumn("sla_breached_at", F.when(F.coalesce("_clear", F.lit(0)) == 1, F.lit(None)).otherwise(F.col("sla_breached_at")))
-        .drop("_ext", "_cnt", "_clear")
+    breach = (
+        F.when(F.col("_cnt").isNull(), F.col("sla_breached_at"))
+        .when(F.col("sla_deadline").isNull() | F.col("_stamp").isNull(), F.lit(None))
+        .when(F.col("_in_time").isNull(), F.coalesce("sla_breached_at", "_stamp"))
+        .otherwise(F.col("_stamp"))
     )
+    return g.withColumns(
+        {
+            "sla_extension_seconds": F.col("sla_extension_seconds") + ext_s,
+            "sla_extended_count": F.col("sla_extended_count") + F.coalesce("_cnt", F.lit(0)),
+            "sla_breached_at": breach,
+            "sla_deadline": F.when(F.col("sla_deadline").isNotNull(), F.col("sla_deadline") + F.make_interval(secs=ext_s)),
+        }
+    ).drop("_ext", "_cnt", "_in_time", "_stamp")
 
 
 def current_state(state_events: DataFrame, subject_type: str) -> DataFrame:
@@ -231,10 +248,18 @@ def finding_current(latest: DataFrame, state_events: DataFrame, governance: Data
     )
 
 
-def sla_backfill(latest: DataFrame, category_policies: DataFrame, as_of, check_overrides: DataFrame | None = None) -> DataFrame:
-    """Governance rows for open findings that never had an event: opened at detection, deadline by policy."""
+def sla_backfill(latest: DataFrame, category_policies: DataFrame, as_of, check_overrides: DataFrame | None = None, state_events: DataFrame | None = None) -> DataFrame:
+    """Governance rows for open findings that never had an event: opened at detection, deadline by policy.
+
+    A finding with any event of its own (``state_events``) has its clock from
+    the replay and is left out; one without is open.
+    """
     now = F.lit(as_of).cast("timestamp")
     d = resolve_sla_days(latest, category_policies, check_overrides)
+    if state_events is not None:
+        ev = state_events.withColumnRenamed("workspace_id", "workspace") if "workspace_id" in state_events.columns else state_events
+        known = ev.where(F.col("subject_type") == "finding").select("tenant_id", "workspace", F.col("subject_id").alias("fingerprint")).distinct()
+        d = d.join(known, KEY, "left_anti")
     opened = F.coalesce(F.col("detected_at"), now)
     return d.select(
         *KEY,

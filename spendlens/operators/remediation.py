@@ -101,7 +101,7 @@ def remediation_impact(actions: DataFrame, runs: DataFrame, presence: DataFrame)
             F.max(F.when(F.col("run_ts") <= F.col("finalized_at"), snap)).alias("_before"),
             F.max(snap).alias("_ever"),
         )
-        .select(*akey, F.coalesce(F.col("_before.s"), F.col("_ever.s")).alias("baseline_raw"))
+        .select(*akey, F.coalesce(F.col("_before"), F.col("_ever")).getField("s").alias("baseline_raw"))
     )
     cur = hist.select(*KEY, F.col("run_id").alias("latest_run_id"), F.col("s").alias("current_raw"), F.lit(True).alias("_present"))
     j = (

@@ -157,7 +157,7 @@ n AS (SELECT *, resource_id AS nat_id,
              CAST(floor((epoch_us(TIMESTAMP '{AS_OF_METRICS}') - epoch_us(create_time)) / 86400e6) AS INTEGER) AS age
       FROM nats WHERE tag_keep IS NULL),
 ref AS (SELECT DISTINCT nat_gateway_id AS nat_id FROM routes),
-live AS (SELECT * FROM n WHERE nat_id IN (SELECT nat_id FROM ref)),
+live AS (SELECT * FROM n WHERE nat_id IN (SELECT nat_id FROM ref) OR state = 'deleting'),
 cross_az AS (
   SELECT l.nat_id, count(DISTINCT r.subnet_id) AS cross_subnets
   FROM live l JOIN (SELECT DISTINCT nat_gateway_id, subnet_id FROM routes WHERE NOT has_igw_default) r ON r.nat_gateway_id = l.nat_id
@@ -181,8 +181,8 @@ s AS (SELECT live.*, st.points, st.total, st.p95, st.total * (30.0 / st.points)
     oracle=NAT_CTE
     + "SELECT "
     + _sel(service="AmazonVPC", rtype="nat_gateway", rid="nat_id", check="aws.ec2.nat.gateways.orphaned", lvl="'medium'", score="600",
-           cost="32.85", savings="32.85", detail="CAST(age AS VARCHAR)")
-    + " FROM n WHERE nat_id NOT IN (SELECT nat_id FROM ref) AND age >= 1 UNION ALL SELECT "
+           cost="32.85", savings="32.85", detail="COALESCE(CAST(age AS VARCHAR), 'unknown')")
+    + " FROM n WHERE nat_id NOT IN (SELECT nat_id FROM ref) AND state <> 'deleting' AND (create_time IS NULL OR age >= 1) UNION ALL SELECT "
     + _sel(service="AmazonVPC", rtype="nat_gateway", rid="nat_id", check="aws.ec2.nat.gateways.cross.az", lvl="'low'", score="350",
            detail="CAST(cross_subnets AS VARCHAR)")
     + " FROM live JOIN cross_az USING (nat_id) UNION ALL SELECT "
@@ -258,7 +258,7 @@ def d9_d10(spark, sf):
     oracle=binding_cte("alarms")
     + "SELECT "
     + _sel(service="AmazonCloudWatch", rtype="account", rid="account_id", check="aws.cloudwatch.alarms.high.count", status="'info'",
-           lvl="'low'", score="200", cost="count(*) * 0.10", detail="CAST(count(*) AS VARCHAR)")
+           lvl="'low'", score="200", cost="count(*) * 0.10", savings="count(*) * 0.10", detail="CAST(count(*) AS VARCHAR)")
     + " FROM alarms GROUP BY tenant_id, account_id, region HAVING count(*) >= 100",
 )
 def d64(spark, sf):
@@ -535,14 +535,14 @@ def d21_d22(spark, sf):
     + "FROM metric_filters WHERE namespace IS NOT NULL AND metric_name IS NOT NULL GROUP BY ALL) SELECT "
     + _sel(service="AmazonCloudWatch", rtype="log_group", rid="log_group", check="aws.logs.log.groups.retention.missing", lvl="'medium'",
            score="450", detail="''")
-    + " FROM log_groups WHERE retention_days IS NULL AND tag_keep IS NULL UNION ALL SELECT "
+    + " FROM log_groups WHERE retention_days IS NULL AND tag_keep IS NULL AND tag_owner IS NULL UNION ALL SELECT "
     + _sel(service="AmazonCloudWatch", rtype="custom_metric", rid="namespace || ':' || metric_name",
            check="aws.cloudwatch.custom.metrics.from.log.filters", status="'info'", lvl="'low'", score="150", cost="0.30", savings="0.30",
            detail="CAST(filters AS VARCHAR) || '|' || CAST(log_groups AS VARCHAR)")
     + " FROM pm",
 )
 def d62_d63(spark, sf):
-    lg = bound(spark, sf, "log_groups").withColumn("tags", _tag_map(("keep", "tag_keep")))
+    lg = bound(spark, sf, "log_groups").withColumn("tags", _tag_map(("keep", "tag_keep"), ("purpose", "tag_purpose"), ("owner", "tag_owner")))
     return D.log_retention_findings(lg).unionByName(D.custom_metric_findings(bound(spark, sf, "metric_filters")))
 
 
@@ -628,7 +628,7 @@ rp AS (SELECT *, CASE WHEN CAST(size_gb AS DECIMAL(18,2)) * CASE WHEN upper(stor
        FROM recovery_points
        WHERE created IS NOT NULL AND upper(COALESCE(status, '')) NOT IN ('DELETED', 'EXPIRED')
          AND created < TIMESTAMP '{AS_OF_BACKUP}' - INTERVAL 90 DAY
-         AND (delete_at IS NULL OR delete_at > TIMESTAMP '{AS_OF_BACKUP}' + INTERVAL 14 DAY) AND tag_retain IS NULL)
+         AND (delete_at IS NULL OR delete_at > TIMESTAMP '{AS_OF_BACKUP}' + INTERVAL 14 DAY) AND tag_retain IS NULL AND tag_legal_hold IS NULL)
 SELECT """
     + _sel(service="AWSBackup", rtype="backup_plan", rid="plan_id", check="aws.backup.plans.no.selections", lvl="'low'", score="45", detail="''")
     + " FROM backup_plans WHERE plan_id NOT IN (SELECT plan_id FROM backup_selections) UNION ALL SELECT "
@@ -647,7 +647,7 @@ def d47_d49(spark, sf):
             F.struct(F.col("r2_move_days").alias("move_days"), F.col("r2_delete_days").alias("delete_days")),
         ),
     )
-    rps = bound(spark, sf, "recovery_points").withColumn("tags", _tag_map(("retain", "tag_retain")))
+    rps = bound(spark, sf, "recovery_points").withColumn("tags", _tag_map(("retain", "tag_retain"), ("Legal-Hold", "tag_legal_hold"), ("lifecycle", "tag_lifecycle")))
     return D.backup_findings(plans, bound(spark, sf, "backup_selections"), rps, AS_OF_BACKUP)
 
 
@@ -697,30 +697,32 @@ def _lb_metrics(spark, sf):
     "d56_d58_load_balancers",
     oracle=binding_cte("lbs", "listeners", "target_groups", "targets")
     + f""",
-lb AS (SELECT * FROM lbs WHERE tag_keep IS NULL),
+lb AS (SELECT * FROM lbs WHERE tag_keep IS NULL AND (created IS NULL OR TIMESTAMP '{AS_OF_METRICS}' - created >= INTERVAL 2 DAY)),
 wl AS (SELECT DISTINCT lb_name FROM listeners),
 live AS (SELECT * FROM lb WHERE lb_name IN (SELECT lb_name FROM wl)),
 d AS (SELECT 'lb-' || CAST(user_id % 100 AS VARCHAR) AS lb_name, CAST(ts AS DATE) AS day, sum(1.0) AS value FROM events
       WHERE event_type = 'error' AND ts >= TIMESTAMP '{AS_OF_METRICS}' - INTERVAL 14 DAY AND ts < TIMESTAMP '{AS_OF_METRICS}' GROUP BY ALL),
 st AS (SELECT lb_name, count(*) AS points, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95 FROM d GROUP BY ALL),
-s AS (SELECT live.*, st.points, st.p95,
-             CAST(floor((epoch_us(TIMESTAMP '{AS_OF_METRICS}') - epoch_us(created)) / 86400e6) AS INTEGER) AS age
-      FROM live LEFT JOIN st USING (lb_name)),
+s AS (SELECT live.*, st.points, st.p95 FROM live LEFT JOIN st USING (lb_name)),
 fwd AS (SELECT DISTINCT l.lb_name, l.target_group FROM listeners l JOIN target_groups g USING (target_group)
         WHERE lower(l.action_type) = 'forward' AND lower(g.target_type) <> 'lambda'),
-per AS (SELECT lb_name, count(*) AS groups, max(CASE WHEN target_group IN (SELECT target_group FROM targets) THEN 1 ELSE 0 END) AS any_t
+per AS (SELECT lb_name, count(*) AS groups, max(CASE WHEN target_group IN (SELECT target_group FROM targets) THEN 1 ELSE 0 END) AS any_t,
+               max(CASE WHEN target_group IN (SELECT target_group FROM targets WHERE health = 'healthy') THEN 1 ELSE 0 END) AS any_h
         FROM fwd GROUP BY lb_name)
 SELECT """
     + _sel(service="ElasticLoadBalancing", rtype="load_balancer", rid="lb_name", check="aws.elbv2.load.balancers.no.listeners",
-           lvl="'high'", score="75", detail="''")
+           lvl="'high'", score="75", cost="16.20", detail="''")
     + " FROM lb WHERE lb_name NOT IN (SELECT lb_name FROM wl) UNION ALL SELECT "
     + _sel(service="ElasticLoadBalancing", rtype="load_balancer", rid="lb_name", check="aws.elbv2.load.balancers.idle", lvl="'medium'",
-           score="60", detail="printf('%.6f', COALESCE(p95, 0.0))")
-    + " FROM s WHERE lower(lb_type) IN ('application', 'network') AND COALESCE(points, 0) >= 7 AND COALESCE(p95, 0.0) <= 1.0 AND age >= 2"
+           score="60", savings="16.20", detail="printf('%.6f', COALESCE(p95, 0.0))")
+    + " FROM s WHERE lower(lb_type) IN ('application', 'network') AND COALESCE(points, 0) >= 7 AND COALESCE(p95, 0.0) <= 1.0"
     + " UNION ALL SELECT "
     + _sel(service="ElasticLoadBalancing", rtype="load_balancer", rid="lb_name", check="aws.elbv2.load.balancers.no.registered.targets",
+           lvl="'high'", score="75", savings="16.20", detail="CAST(groups AS VARCHAR)")
+    + " FROM live JOIN per USING (lb_name) WHERE any_t = 0 UNION ALL SELECT "
+    + _sel(service="ElasticLoadBalancing", rtype="load_balancer", rid="lb_name", check="aws.elbv2.load.balancers.no.healthy.targets",
            lvl="'high'", score="75", detail="CAST(groups AS VARCHAR)")
-    + " FROM live JOIN per USING (lb_name) WHERE any_t = 0",
+    + " FROM live JOIN per USING (lb_name) WHERE any_t = 1 AND any_h = 0",
 )
 def d56_d58(spark, sf):
     lbs = bound(spark, sf, "lbs").withColumn("tags", _tag_map(("keep", "tag_keep")))

@@ -448,10 +448,11 @@ def j17(spark, sf):
 SELECT l.tenant_id, l.workspace, l.fingerprint, l.detected_at AS first_detected_at, l.detected_at AS first_opened_at, p.sla_days,
        CASE WHEN p.sla_days IS NOT NULL THEN l.detected_at + to_days(CAST(p.sla_days AS INTEGER)) END AS sla_deadline
 FROM lat l LEFT JOIN pol p USING (category)
+WHERE NOT EXISTS (SELECT 1 FROM state_events x WHERE x.subject_type = 'finding' AND x.tenant_id = l.tenant_id AND x.workspace_id = l.workspace AND x.subject_id = l.fingerprint)
 """,
 )
 def g6(spark, sf):
-    return G.sla_backfill(_latest(spark, sf), G.default_policies(spark), AS_OF)
+    return G.sla_backfill(_latest(spark, sf), G.default_policies(spark), AS_OF, state_events=state_events(spark, sf))
 
 
 @query(

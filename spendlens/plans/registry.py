@@ -31,12 +31,6 @@ def query(name: str, oracle: str | None = None, headline: bool = False):
 
 def load_all() -> dict[str, Entry]:
     # Importing the modules registers their queries.
-    from . import q_contract, q_cost, q_read  # noqa: F401
-
-    for mod in ("q_correlate", "q_trends", "q_history", "q_governance", "q_remediation", "q_recommend", "q_detect"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    from . import q_contract, q_correlate, q_cost, q_detect, q_emit, q_history, q_read, q_remediation, q_trends  # noqa: F401
+
     return REGISTRY

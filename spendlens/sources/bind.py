@@ -250,7 +250,7 @@ STATE_EVENTS_SQL = f"""
 SELECT
   'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
   'prod' AS workspace_id,
-  'finding' AS subject_type,
+  CASE WHEN l.l_partkey % 10 = 3 THEN 'ticket' ELSE 'finding' END AS subject_type,
   'tenant-' || CAST(o.o_custkey % 3 AS STRING) || ':' || CAST(100000000000 + l.l_partkey % 7 AS STRING) || ':'
     || c.check_id || ':r-' || CAST(l.l_partkey AS STRING) AS subject_id,
   CASE WHEN l.l_quantity < 10 THEN 'resolved'
@@ -322,8 +322,8 @@ SELECT DISTINCT
   'r-' || CAST(e.user_id AS STRING) AS resource_id,
   'subnet-' || CAST(e.user_id % 12 AS STRING) AS subnet_id,
   'us-east-1' || CASE e.user_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS az,
-  'available' AS state,
-  TIMESTAMP '2023-12-01 00:00:00' + INTERVAL 1 DAY * (e.user_id % 90) AS create_time,
+  CASE WHEN e.user_id % 29 = 0 THEN 'deleting' ELSE 'available' END AS state,
+  CASE WHEN e.user_id % 31 = 0 THEN NULL ELSE TIMESTAMP '2023-12-01 00:00:00' + INTERVAL 1 DAY * (e.user_id % 90) END AS create_time,
   128 * (1 + e.user_id % 16) AS memory_mb,
   3 + e.user_id % 30 AS timeout_s,
   CASE WHEN e.user_id % 11 = 0 THEN 'true' END AS tag_keep
@@ -348,13 +348,13 @@ SELECT 'subnet-' || CAST(k AS STRING) AS subnet_id,
 FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS s(k)
 """
 
-# CloudWatch alarms: one per error event, owned by the user's account.
+# CloudWatch alarms: one per event; error events crowd into seven accounts, the others spread.
 ALARMS_SQL = """
 SELECT 'tenant-' || CAST(e.user_id % 3 AS STRING) AS tenant_id,
-       CAST(100000000000 + e.user_id % 7 AS STRING) AS account_id,
+       CAST(100000000000 + CASE WHEN e.event_type = 'error' THEN e.user_id % 7 ELSE 7 + e.user_id % 990 END AS STRING) AS account_id,
        'us-east-1' AS region,
        'alarm-' || CAST(e.event_id AS STRING) AS alarm_name
-FROM {events} e WHERE e.event_type = 'error'
+FROM {events} e
 """
 
 # Running instances (one per 'N' line item) and reservations (one per finished order).
@@ -480,7 +480,9 @@ SELECT 'tenant-' || CAST(p.p_partkey % 3 AS STRING) AS tenant_id,
        'us-east-1' AS region,
        CASE WHEN p.p_partkey % 2 = 0 THEN '/aws/lambda/' ELSE '/app/' END || replace(p.p_name, ' ', '-') || '-' || CAST(p.p_partkey AS STRING) AS log_group,
        CASE WHEN p.p_size % 3 = 0 THEN NULL ELSE 30 END AS retention_days,
-       CASE WHEN p.p_brand = 'Brand#3' THEN 'true' END AS tag_keep
+       CASE WHEN p.p_brand = 'Brand#3' THEN 'true' END AS tag_keep,
+       CASE WHEN p.p_partkey % 7 = 0 THEN 'audit' END AS tag_purpose,
+       CASE WHEN p.p_partkey % 37 = 0 THEN 'Permanent' END AS tag_owner
 FROM {part} p
 """
 
@@ -492,7 +494,7 @@ SELECT 'tenant-' || CAST(l.l_partkey % 3 AS STRING) AS tenant_id,
        'lg-' || CAST(l.l_partkey AS STRING) AS log_group,
        'Custom/' || CAST(l.l_suppkey % 5 AS STRING) AS namespace,
        'm' || CAST(l.l_orderkey % 40 AS STRING) AS metric_name
-FROM {lineitem} l WHERE l.l_linenumber <= 2
+FROM {lineitem} l
 """
 
 # ECS clusters (one per supplier) and services (one per order).
@@ -562,7 +564,9 @@ SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
        CASE WHEN o.o_orderkey % 3 = 0 THEN NULL ELSE CAST(o.o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY * (o.o_orderkey % 2000) END AS delete_at,
        CAST(o.o_totalprice / 1000 AS DECIMAL(18,2)) AS size_gb,
        CASE WHEN o.o_orderkey % 4 = 0 THEN 'COLD' ELSE 'WARM' END AS storage_class,
-       CASE WHEN o.o_custkey % 19 = 0 THEN 'true' END AS tag_retain
+       CASE WHEN o.o_custkey % 19 = 0 THEN 'true' END AS tag_retain,
+       CASE WHEN o.o_custkey % 17 = 0 THEN 'case-7' END AS tag_legal_hold,
+       CASE WHEN o.o_custkey % 13 = 0 THEN 'x' END AS tag_lifecycle
 FROM {orders} o
 """
 
@@ -595,7 +599,7 @@ SELECT 'tenant-' || CAST(s.s_suppkey % 3 AS STRING) AS tenant_id,
        'us-east-1' AS region,
        'lb-' || CAST(s.s_suppkey AS STRING) AS lb_name,
        CASE WHEN s.s_suppkey % 3 = 0 THEN 'network' ELSE 'application' END AS lb_type,
-       TIMESTAMP '2023-12-01 00:00:00' + INTERVAL 1 DAY * (s.s_suppkey % 62) AS created,
+       CASE WHEN s.s_suppkey % 13 = 0 THEN NULL ELSE TIMESTAMP '2023-12-01 00:00:00' + INTERVAL 1 DAY * (s.s_suppkey % 62) END AS created,
        CASE WHEN s.s_suppkey % 23 = 0 THEN 'true' END AS tag_keep
 FROM {supplier} s
 """
@@ -614,10 +618,10 @@ FROM {part} p
 """
 
 TARGETS_SQL = """
-SELECT DISTINCT 'tg-' || CAST(l.l_orderkey % 400 AS STRING) AS target_group,
+SELECT DISTINCT CASE WHEN (l.l_orderkey % 400) % 3 <> 0 AND l.l_linenumber = 1 THEN 'tg-' ELSE 'other-tg-' END || CAST(l.l_orderkey % 400 AS STRING) AS target_group,
        'i-' || CAST(l.l_partkey AS STRING) AS target_id,
-       CASE l.l_returnflag WHEN 'A' THEN 'healthy' WHEN 'N' THEN 'unhealthy' ELSE 'draining' END AS health
-FROM {lineitem} l WHERE (l.l_orderkey % 400) % 3 <> 0 AND l.l_linenumber = 1
+       CASE WHEN (l.l_orderkey % 400) % 5 = 0 THEN 'unhealthy' WHEN l.l_returnflag = 'A' THEN 'healthy' WHEN l.l_returnflag = 'N' THEN 'unhealthy' ELSE 'draining' END AS health
+FROM {lineitem} l
 """
 
 # CloudFront distributions (one per customer); requests come from the user's view events.

@@ -41,3 +41,14 @@ def test_impact_outcomes(spark):
     assert out["a3"].verification_status == "pending_post_run"
     assert out["a3"].realized_monthly_savings == 0
     assert out["a4"].verification_status == "execution_failed"
+
+
+def test_newest_snapshot_without_savings_counts_as_zero(spark):
+    runs = spark.createDataFrame([("t", "w", "r1", D(2024, 1, 1), "ready"), ("t", "w", "r2", D(2024, 2, 1), "ready")], "tenant_id string, workspace_id string, run_id string, run_ts timestamp, status string")
+    presence = spark.createDataFrame(
+        [("t", "w", "fp", "r1", D(2024, 1, 1), None), ("t", "w", "fp", "r2", D(2024, 2, 1), Decimal("500"))],
+        "tenant_id string, workspace string, fingerprint string, run_id string, run_ts timestamp, estimated_monthly_savings decimal(18,6)",
+    )
+    actions = spark.createDataFrame([("t", "w", "a", "fp", "c", "stop", "completed", D(2024, 1, 15))], "tenant_id string, workspace_id string, action_id string, fingerprint string, check_id string, action_type string, status string, updated_at timestamp")
+    r = M.remediation_impact(actions, runs, presence).first()
+    assert r.baseline_estimated_monthly_savings == 0 and r.current_estimated_monthly_savings == Decimal("500")
