@@ -50,6 +50,7 @@ RULE_COLUMNS = [
     "dimensions",
     "metadata_json",
     "source_fingerprints",
+    "sources",
 ]
 
 
@@ -119,12 +120,35 @@ def _sig(ri: DataFrame) -> DataFrame:
     )
 
 
+def _source_hash(c: Column) -> Column:
+    """96 bits of a fingerprint's MD5 as a number."""
+    m = F.md5(c.cast("binary"))
+    half = lambda at: F.conv(F.substring(m, at, 12), 16, 10).cast("decimal(15,0)")
+    return (half(1) * F.lit(1 << 48).cast("decimal(15,0)") + half(13)).cast("decimal(29,0)")
+
+
 def _fps(c: str = "fingerprint") -> Column:
-    return F.array_sort(F.collect_set(c))
+    """Digest of a group's distinct source fingerprints: their number and the sum of their
+    hashes. Its size does not grow with the group, and digests of disjoint sets add up."""
+    h = _source_hash(F.col(c))
+    return F.struct(F.count_distinct(h).alias("n"), F.sum_distinct(h).cast("decimal(38,0)").alias("h"))
 
 
 def _concat_fps(*cols: str) -> Column:
-    return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in cols])))
+    """Digest of several sides' sources (checks differ from side to side, so no source is in two)."""
+    zero = F.lit(0).cast("decimal(38,0)")
+    n, h = F.lit(0).cast("long"), zero
+    for c in cols:
+        n = n + F.coalesce(F.col(c)["n"], F.lit(0))
+        h = (h + F.coalesce(F.col(c)["h"], zero)).cast("decimal(38,0)")
+    return F.struct(n.alias("n"), h.alias("h"))
+
+
+def _listed_sources(c: Column) -> Column:
+    """The same digest of fingerprints a user rule lists."""
+    each = F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
+    total = F.aggregate(each, F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + _source_hash(x)).cast("decimal(38,0)"))
+    return F.struct(F.size(each).cast("long").alias("n"), total.alias("h"))
 
 
 def _sev(*tiers: tuple[Column, str, int], default: tuple[str, int]) -> tuple[Column, Column]:
@@ -169,6 +193,7 @@ def _shape(df: DataFrame, **cols: Column) -> DataFrame:
         "severity_score": F.lit(None).cast("int"),
         "title": F.lit(""),
         "source_fingerprints": F.array().cast("array<string>"),
+        "sources": F.lit(None).cast("struct<n:bigint,h:decimal(38,0)>"),
     }
     out = []
     for c in RULE_COLUMNS:
@@ -267,7 +292,7 @@ def rule_vault_risk(ri: DataFrame) -> DataFrame:
             F.lit("rules_no_lifecycle_count"), F.col("rules_n").cast("string"),
         ),
         metadata_json=F.concat(F.lit('{"correlation_rule":"vault_risk","signal_count":'), F.col("signals").cast("string"), F.lit("}")),
-        source_fingerprints=F.col("fps"),
+        sources=F.col("fps"),
     )
 
 
@@ -334,7 +359,7 @@ def rule_ebs_unattached_unencrypted(ri: DataFrame) -> DataFrame:
             F.lit("signals"), F.lit("unattached,unencrypted"),
         ),
         metadata_json=F.lit('{"correlation_rule":"ebs_unattached_unencrypted"}'),
-        source_fingerprints=F.col("fps"),
+        sources=F.col("fps"),
     )
 
 
@@ -350,7 +375,8 @@ def rule_custom_metrics_sprawl(ri: DataFrame, min_count: int = 5) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("cost").alias("cost"),
-            F.array_sort(F.collect_set(F.coalesce(F.col("dimensions")["namespace"], F.lit("")))).alias("namespaces"),
+            F.min(F.col("dimensions")["namespace"]).alias("first_ns"),
+            F.max(F.col("dimensions")["namespace"]).alias("last_ns"),
             _fps().alias("fps"),
         )
         .where(F.col("n") >= min_count)
@@ -361,11 +387,11 @@ def rule_custom_metrics_sprawl(ri: DataFrame, min_count: int = 5) -> DataFrame:
         ((F.col("n") >= 50) | (F.col("cost") >= 50), "medium", 760),
         default=("medium", 650),
     )
-    msg = F.concat(
-        F.lit("Found "), F.col("n").cast("string"), F.lit(" custom metric(s) created by log metric filters in region "), F.col("region"), F.lit(". "),
-        F.when(has_cost, F.concat(F.lit("Estimated recurring cost ≈ $"), _text2(F.col("cost")), F.lit("/month. "))).otherwise(F.lit("")),
-        F.lit("Example namespaces: "), F.array_join(F.slice("namespaces", 1, 5), ", "),
-        F.when(F.col("n") > 5, F.lit(" …")).otherwise(F.lit("")),
+    msg = F.concat_ws(
+        "; ",
+        F.format_string("Region %s: %d metrics fed by log filters", "region", "n"),
+        F.when(has_cost, F.concat(F.lit("about $"), _text2(F.col("cost")), F.lit(" a month"))),
+        F.concat(F.lit("namespaces from "), F.col("first_ns"), F.lit(" to "), F.col("last_ns")),
     )
     return _shape(
         g,
@@ -387,7 +413,7 @@ def rule_custom_metrics_sprawl(ri: DataFrame, min_count: int = 5) -> DataFrame:
             F.lit('{"correlation_rule":"custom_metrics_sprawl","metric_count":'), F.col("n").cast("string"),
             F.lit(',"monthly_cost_sum":'), _text2(F.col("cost")), F.lit("}"),
         ),
-        source_fingerprints=F.col("fps"),
+        sources=F.col("fps"),
     )
 
 
@@ -453,7 +479,7 @@ def rule_observability_sprawl(ri: DataFrame, min_metrics: int = 20) -> DataFrame
         dimensions=F.create_map(
             F.lit("alarm_count"), ac.cast("string"), F.lit("custom_metric_count"), F.col("n").cast("string")
         ),
-        source_fingerprints=_concat_fps("alarm_fps", "metric_fps"),
+        sources=_concat_fps("alarm_fps", "metric_fps"),
     )
 
 
@@ -466,7 +492,7 @@ def rule_retention_missing_sprawl(ri: DataFrame, min_count: int = 1) -> DataFram
     )
     g = (
         s.groupBy(*ACCT_KEYS)
-        .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("resource_id")).alias("names"), _fps().alias("fps"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("resource_id").alias("first_name"), F.max("resource_id").alias("last_name"), _fps().alias("fps"))
         .where(F.col("n") >= min_count)
     )
     lvl, score = _sev((F.col("n") >= 50, "high", 900), (F.col("n") >= 10, "medium", 750), default=("medium", 650))
@@ -482,14 +508,11 @@ def rule_retention_missing_sprawl(ri: DataFrame, min_count: int = 1) -> DataFram
         severity_level=lvl,
         severity_score=score,
         title=F.lit("Many CloudWatch Log Groups have no retention policy"),
-        message=F.concat(
-            F.lit("Found "), F.col("n").cast("string"), F.lit(" log group(s) without a retention policy in region "), F.col("region"),
-            F.lit(". Examples: "), F.array_join(F.slice("names", 1, 5), ", "), F.when(F.col("n") > 5, F.lit(" …")).otherwise(F.lit("")),
-        ),
+        message=F.format_string("Region %s keeps %d log groups forever (%s to %s)", "region", "n", "first_name", "last_name"),
         confidence=F.lit(10),
-        notes=F.lit("No direct cost rollup available; governance / cost-growth risk signal."),
+        notes=F.lit("Risk of growing cost; no amount is known."),
         dimensions=F.create_map(F.lit("log_groups_missing_retention"), F.col("n").cast("string"), F.lit("region"), F.col("region")),
-        source_fingerprints=F.col("fps"),
+        sources=F.col("fps"),
     )
 
 
@@ -555,7 +578,7 @@ def rule_ec2_monitoring_cost(ri: DataFrame, statuses: Sequence[str] = SIGNAL_STA
             F.lit("cw_log_groups_no_retention"), logs_n.cast("string"),
             F.lit("cw_alarm_count"), F.coalesce("alarm_count", F.lit(0)).cast("string"),
         ),
-        source_fingerprints=F.col("ec2_fps"),
+        sources=F.col("ec2_fps"),
     )
 
 
@@ -615,7 +638,7 @@ def rule_lambda_logs_cost(ri: DataFrame, statuses: Sequence[str] = SIGNAL_STATUS
             F.lit("lambda_log_groups_count"), n.cast("string"), F.lit("lambda_functions_count"), fn_n.cast("string"),
             F.lit("alarm_count"), alarm_n.cast("string"),
         ),
-        source_fingerprints=F.col("log_fps"),
+        sources=F.col("log_fps"),
     )
 
 
@@ -687,7 +710,7 @@ def rule_nat_ec2_traffic(ri: DataFrame) -> DataFrame:
             F.lit("nat_gateway_count"), F.col("nat_n").cast("string"), F.lit("idle_nat_count"), F.col("idle_n").cast("string"),
             F.lit("underutilized_ec2_count"), ec2_n.cast("string"),
         ),
-        source_fingerprints=_concat_fps("nat_fps", "ec2_fps"),
+        sources=_concat_fps("nat_fps", "ec2_fps"),
     )
 
 
@@ -757,7 +780,7 @@ def rule_rds_s3_backup(ri: DataFrame) -> DataFrame:
             F.lit("rds_instance_count"), F.col("rds_n").cast("string"), F.lit("backup_vaults_no_lifecycle"), vault_n.cast("string"),
             F.lit("s3_buckets_no_lifecycle"), s3_n.cast("string"),
         ),
-        source_fingerprints=_concat_fps("rds_fps", "vault_fps", "s3_fps"),
+        sources=_concat_fps("rds_fps", "vault_fps", "s3_fps"),
     )
 
 
@@ -797,7 +820,7 @@ def rule_cooccurrence(
         message=F.concat(F.lit("signals: "), F.array_join(names, ",")),
         monthly_cost=F.when(F.col("cost") > 0, F.col("cost")),
         dimensions=F.create_map(F.lit("signals"), F.array_join(names, ","), F.lit("signal_count"), n.cast("string")),
-        source_fingerprints=F.col("fps"),
+        sources=F.col("fps"),
     )
 
 
@@ -896,18 +919,16 @@ BUILTIN_RULES = [
 def finalize(raw: DataFrame, rule: Rule, meta: DataFrame, *, id_salt: str = "stable") -> DataFrame:
     """Rule output -> storage findings with deterministic identity.
 
-    issue key = {rule_id, sources = sorted distinct source fingerprints joined
-    by ','}; fingerprint/finding_id via the contract hashes. Run metadata
+    issue key = {rule_id, sources = digest of the distinct source fingerprints
+    (number and hash sum, defined at any size)}; fingerprint/finding_id via the contract hashes. Run metadata
     comes from the per-run aggregate (J8).
     """
     missing = [c for c in ("tenant_id", "workspace_id", "run_id", "account_id", "status") if c not in raw.columns]
     if missing:
         raise ValueError(f"rule {rule.rule_id} output lacks {missing}")
     j = raw.join(meta, RUN_KEYS, "left")
-    sources = F.array_join(
-        F.array_sort(F.array_distinct(F.filter(F.coalesce("source_fingerprints", F.array().cast("array<string>")), lambda x: F.trim(x) != ""))),
-        ",",
-    )
+    digest = F.coalesce("sources", _listed_sources(F.col("source_fingerprints")))
+    sources = F.concat_ws(":", digest["n"].cast("string"), F.coalesce(digest["h"], F.lit(0)).cast("string"))
     drafts = j.select(
         "tenant_id",
         "workspace_id",
@@ -1015,6 +1036,31 @@ def correlate(
     return allm, report
 
 
+def evidence(findings: DataFrame, meta: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The source findings behind meta-findings, one row each.
+
+    A meta-finding's identity holds only a digest of its sources; they are
+    listed here: findings of the checks its rule needs, in the same run,
+    account and region (and of the same resource, unless it speaks for the
+    account). Columns: tenant_id, workspace_id, run_id, meta_fingerprint,
+    rule_id, check_id, fingerprint.
+    """
+    spark = findings.sparkSession
+    needs = spark.createDataFrame([(r.rule_id, c) for r in rules for c in r.required_check_ids], "rule_id string, check_id string")
+    m = meta.select(
+        *RUN_KEYS,
+        F.col("scope.account_id").alias("account_id"),
+        F.col("scope.region").alias("region"),
+        F.col("scope.resource_type").alias("meta_type"),
+        F.col("scope.resource_id").alias("meta_resource"),
+        F.regexp_replace(F.col("source.source_ref"), "^correlation:", "").alias("rule_id"),
+        F.col("fingerprint").alias("meta_fingerprint"),
+    ).join(needs, "rule_id")
+    s = _sig(findings).select(*ACCT_KEYS, "check_id", "resource_id", "fingerprint").distinct()
+    same = (F.col("meta_type") == "account") | (F.col("resource_id") == F.col("meta_resource"))
+    return s.join(m, ACCT_KEYS + ["check_id"]).where(same).select(*RUN_KEYS, "meta_fingerprint", "rule_id", "check_id", "fingerprint")
+
+
 def meta_flat(meta: DataFrame) -> DataFrame:
     """Flat projection of meta-findings used by the registered queries."""
     return meta.select(

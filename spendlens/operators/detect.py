@@ -420,7 +420,7 @@ def reserved_instance_findings(
     Everything is grouped counts and equi-joins on the base key; no per-instance
     state. ``on_demand(instance_type, monthly_usd)`` is a price dimension.
     """
-    inst = instances.select(
+    inst = instances.where(F.lower("state") == "running").select(
         "tenant_id", "account_id", "region",
         F.lower(F.trim("instance_type")).alias("instance_type"),
         normalize_platform(F.col("platform")).alias("platform"),
@@ -428,7 +428,7 @@ def reserved_instance_findings(
         F.coalesce(F.nullif(F.lower(F.trim("az")), F.lit("")), F.lit("unknown")).alias("az"),
     ).where(F.col("instance_type") != "")
     run_az = inst.groupBy(*RI_BASE, "az").agg(F.count(F.lit(1)).alias("running"))
-    res = reservations.select(
+    res = reservations.where(F.lower("state") == "active").select(
         "tenant_id", "account_id", "region",
         F.lower(F.trim("instance_type")).alias("instance_type"),
         normalize_platform(F.col("product_description")).alias("platform"),
@@ -869,7 +869,7 @@ def savings_plan_findings(
     (D-SP2); the five most common instance types ride along (A20, ranked within the scope)."""
     keys = ["tenant_id", "account_id", "region"]
     od = on_demand.select(F.lower("instance_type").alias("instance_type"), F.col("monthly_usd").cast("decimal(18,4)").alias("od"))
-    inst = instances.select(*keys, F.lower(F.trim("instance_type")).alias("instance_type")).where(F.col("instance_type") != "")
+    inst = instances.where(F.lower("state") == "running").select(*keys, F.lower(F.trim("instance_type")).alias("instance_type")).where(F.col("instance_type") != "")
     demand = inst.join(od, "instance_type", "left").groupBy(*keys).agg(
         F.round(F.sum(F.when(F.col("od") > 0, F.col("od"))) / F.lit(730), 4).cast("decimal(18,4)").alias("demand")
     )
@@ -881,7 +881,7 @@ def savings_plan_findings(
         .groupBy(*keys)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "instance_type", "n"))), lambda x: F.concat(x["instance_type"], F.lit(":"), x["n"].cast("string"))), ",").alias("top_types"))
     )
-    commit = plans.where(F.col("commitment") > 0).groupBy(*keys).agg(F.round(F.sum("commitment"), 4).cast("decimal(18,4)").alias("commitment"))
+    commit = plans.where((F.lower("state") == "active") & (F.col("commitment") > 0)).groupBy(*keys).agg(F.round(F.sum("commitment"), 4).cast("decimal(18,4)").alias("commitment"))
     zero = F.lit(0).cast("decimal(18,4)")
     b = demand.join(commit, keys, "full").join(top, keys, "left").fillna({"top_types": ""})
     b = b.withColumns({"demand": F.coalesce("demand", zero), "commitment": F.coalesce("commitment", zero)})

@@ -310,13 +310,13 @@ od AS (SELECT instance_type, CAST(monthly_usd AS DECIMAL(18,4)) AS od FROM (VALU
 inst AS (
   SELECT tenant_id, account_id, region, lower(trim(instance_type)) AS instance_type, {_PLATFORM.format(c='platform')} AS platform,
          {_TENANCY.format(c='tenancy')} AS tenancy, COALESCE(NULLIF(lower(trim(az)), ''), 'unknown') AS az
-  FROM instances WHERE lower(trim(instance_type)) <> ''),
+  FROM instances WHERE state = 'running' AND lower(trim(instance_type)) <> ''),
 run_az AS (SELECT {_RI_BASE}, az, count(*) AS running FROM inst GROUP BY ALL),
 res AS (
   SELECT tenant_id, account_id, region, lower(trim(instance_type)) AS instance_type, {_PLATFORM.format(c='product_description')} AS platform,
          {_TENANCY.format(c='instance_tenancy')} AS tenancy, lower(trim(COALESCE(scope, ''))) AS scope, lower(trim(COALESCE(az, ''))) AS az,
          CAST(instance_count AS BIGINT) AS cnt
-  FROM reservations WHERE lower(trim(instance_type)) <> '' AND instance_count > 0),
+  FROM reservations WHERE state = 'active' AND lower(trim(instance_type)) <> '' AND instance_count > 0),
 res_az AS (SELECT {_RI_BASE}, az, sum(cnt) AS reserved FROM res WHERE contains(scope, 'availability') AND az <> '' GROUP BY ALL),
 res_reg AS (SELECT {_RI_BASE}, sum(cnt) AS regional FROM res WHERE NOT (contains(scope, 'availability') AND az <> '') GROUP BY ALL),
 azj AS (SELECT {_RI_BASE}, az, COALESCE(running, 0) AS running, COALESCE(reserved, 0) AS reserved
@@ -584,13 +584,13 @@ def d11_d13(spark, sf):
     oracle=binding_cte("instances", "savings_plans")
     + f""",
 od AS (SELECT instance_type, CAST(monthly_usd AS DECIMAL(18,4)) AS od FROM (VALUES {", ".join(f"('{t}', '{p}')" for t, p in ON_DEMAND)}) t(instance_type, monthly_usd)),
-inst AS (SELECT tenant_id, account_id, region, lower(trim(instance_type)) AS instance_type FROM instances WHERE lower(trim(instance_type)) <> ''),
+inst AS (SELECT tenant_id, account_id, region, lower(trim(instance_type)) AS instance_type FROM instances WHERE state = 'running' AND lower(trim(instance_type)) <> ''),
 dem AS (SELECT tenant_id, account_id, region, CAST(round(sum(CASE WHEN od.od > 0 THEN od.od END) / 730, 4) AS DECIMAL(18,4)) AS demand
         FROM inst LEFT JOIN od USING (instance_type) GROUP BY ALL),
 ty AS (SELECT tenant_id, account_id, region, instance_type, count(*) AS n FROM inst GROUP BY ALL),
 top AS (SELECT tenant_id, account_id, region, string_agg(instance_type || ':' || CAST(n AS VARCHAR), ',' ORDER BY r) AS top_types FROM (
           SELECT *, row_number() OVER (PARTITION BY tenant_id, account_id, region ORDER BY n DESC, instance_type) AS r FROM ty) WHERE r <= 5 GROUP BY ALL),
-com AS (SELECT tenant_id, account_id, region, CAST(round(sum(commitment), 4) AS DECIMAL(18,4)) AS commitment FROM savings_plans WHERE commitment > 0 GROUP BY ALL),
+com AS (SELECT tenant_id, account_id, region, CAST(round(sum(commitment), 4) AS DECIMAL(18,4)) AS commitment FROM savings_plans WHERE state = 'active' AND commitment > 0 GROUP BY ALL),
 b0 AS (SELECT tenant_id, account_id, region, COALESCE(demand, 0) AS demand, COALESCE(commitment, 0) AS commitment
        FROM dem FULL JOIN com USING (tenant_id, account_id, region)),
 b AS (SELECT b0.*, COALESCE(top.top_types, '') AS top_types, greatest(0, demand - commitment) AS uncovered, greatest(0, commitment - demand) AS unused,
@@ -688,9 +688,10 @@ def d2_d4(spark, sf):
 
 
 def _lb_metrics(spark, sf):
-    m = metrics(spark, sf).where(F.col("metric") == "error").withColumn("value", F.lit(1.0))
+    m = metrics(spark, sf).withColumn("value", F.lit(1.0))
     m = m.withColumn("resource_id", F.concat(F.lit("lb-"), (F.regexp_extract("resource_id", r"(\d+)$", 1).cast("long") % 100).cast("string")))
-    return m.withColumn("metric", F.lit("RequestCount")).unionByName(m.withColumn("metric", F.lit("NewFlowCount")))
+    named = lambda name: m.withColumn("metric", F.when(F.col("metric") == "error", name).otherwise(F.col("metric")))
+    return named("RequestCount").unionByName(named("NewFlowCount"))
 
 
 @query(
@@ -732,8 +733,8 @@ def d56_d58(spark, sf):
 
 
 def _cf_metrics(spark, sf):
-    m = metrics(spark, sf).where(F.col("metric") == "view").withColumn("value", F.lit(1.0))
-    return m.withColumn("resource_id", F.regexp_replace("resource_id", "^r-", "dist-")).withColumn("metric", F.lit("Requests"))
+    m = metrics(spark, sf).withColumn("value", F.lit(1.0)).withColumn("metric", F.when(F.col("metric") == "view", "Requests").otherwise(F.col("metric")))
+    return m.withColumn("resource_id", F.regexp_replace("resource_id", "^r-", "dist-"))
 
 
 @query(

@@ -272,7 +272,7 @@ ACTIONS_SQL = f"""
 SELECT
   'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
   'prod' AS workspace_id,
-  'act-' || CAST(o.o_orderkey AS STRING) AS action_id,
+  'act-' || CAST(l.l_orderkey AS STRING) || '.' || CAST(l.l_linenumber AS STRING) AS action_id,
   'tenant-' || CAST(o.o_custkey % 3 AS STRING) || ':' || CAST(100000000000 + l.l_partkey % 7 AS STRING) || ':'
     || c.check_id || ':r-' || CAST(l.l_partkey AS STRING) AS fingerprint,
   c.check_id AS check_id,
@@ -281,7 +281,7 @@ SELECT
   CAST(o.o_orderdate AS TIMESTAMP) - INTERVAL 2 DAY AS requested_at,
   CAST(o.o_orderdate AS TIMESTAMP) AS updated_at
 FROM {{orders}} o
-JOIN {{lineitem}} l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1
+JOIN {{lineitem}} l ON l.l_orderkey = o.o_orderkey
 {CATALOG_JOIN}
 """
 
@@ -330,22 +330,22 @@ SELECT DISTINCT
 FROM {events} e
 """
 
-# Route tables: one NAT route + one subnet association per order; every fifth
-# table also has an internet-gateway default route.
+# Route tables: one NAT route + one subnet association per order; those of every
+# fifth customer also have an internet-gateway default route.
 ROUTES_SQL = """
 SELECT DISTINCT
-  'rtb-' || CAST(o.o_orderkey % 97 AS STRING) AS route_table_id,
-  'r-' || CAST(o.o_custkey % 200 + 50 AS STRING) AS nat_gateway_id,
-  'subnet-' || CAST(o.o_orderkey % 12 AS STRING) AS subnet_id,
-  (o.o_orderkey % 97) % 5 = 0 AS has_igw_default
+  'rtb-' || CAST(o.o_orderkey AS STRING) AS route_table_id,
+  'r-' || CAST(o.o_custkey + 50 AS STRING) AS nat_gateway_id,
+  'subnet-' || CAST(o.o_custkey AS STRING) AS subnet_id,
+  o.o_custkey % 5 = 0 AS has_igw_default
 FROM {orders} o
 """
 
-# Subnet -> availability zone (12 subnets, zone by id % 3).
+# Subnet -> availability zone (a subnet per customer).
 SUBNETS_SQL = """
-SELECT 'subnet-' || CAST(k AS STRING) AS subnet_id,
-       'us-east-1' || CASE k % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS az
-FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS s(k)
+SELECT 'subnet-' || CAST(c.c_custkey AS STRING) AS subnet_id,
+       'us-east-1' || CASE c.c_custkey % 7 % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS az
+FROM {customer} c
 """
 
 # CloudWatch alarms: one per event; error events crowd into seven accounts, the others spread.
@@ -365,8 +365,9 @@ SELECT 'tenant-' || CAST(l.l_orderkey % 3 AS STRING) AS tenant_id,
        CASE l.l_partkey % 4 WHEN 0 THEN 'm5.large' WHEN 1 THEN 'M5.xlarge' WHEN 2 THEN 'c5.large' ELSE 't3.micro' END AS instance_type,
        CASE l.l_suppkey % 5 WHEN 0 THEN 'Linux/UNIX' WHEN 1 THEN 'Windows' WHEN 2 THEN 'Red Hat Enterprise Linux' WHEN 3 THEN 'SUSE Linux' ELSE '' END AS platform,
        CASE WHEN l.l_orderkey % 7 = 0 THEN 'Dedicated' ELSE 'default' END AS tenancy,
-       CASE l.l_linenumber % 4 WHEN 0 THEN 'us-east-1a' WHEN 1 THEN 'us-east-1b' WHEN 2 THEN 'US-EAST-1c' ELSE '' END AS az
-FROM {lineitem} l WHERE l.l_returnflag = 'N'
+       CASE l.l_linenumber % 4 WHEN 0 THEN 'us-east-1a' WHEN 1 THEN 'us-east-1b' WHEN 2 THEN 'US-EAST-1c' ELSE '' END AS az,
+       CASE WHEN l.l_returnflag = 'N' THEN 'running' ELSE 'stopped' END AS state
+FROM {lineitem} l
 """
 
 RESERVATIONS_SQL = """
@@ -378,8 +379,9 @@ SELECT 'tenant-' || CAST(o.o_orderkey % 3 AS STRING) AS tenant_id,
        CASE WHEN o.o_orderkey % 7 = 0 THEN 'dedicated' ELSE 'default' END AS instance_tenancy,
        CASE WHEN o.o_orderkey % 2 = 0 THEN 'Availability Zone' ELSE 'Region' END AS scope,
        CASE WHEN o.o_orderkey % 2 = 0 THEN 'us-east-1' || CASE o.o_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END END AS az,
-       o.o_orderkey % 5 + 1 AS instance_count
-FROM {orders} o WHERE o.o_orderstatus = 'F'
+       o.o_orderkey % 5 + 1 AS instance_count,
+       CASE WHEN o.o_orderstatus = 'F' THEN 'active' ELSE 'retired' END AS state
+FROM {orders} o
 """
 
 # RDS instances (one per customer), S3 buckets (one per part), EKS clusters (one per supplier).
@@ -447,10 +449,10 @@ FROM {supplier} s
 """
 
 ENIS_SQL = """
-SELECT DISTINCT 'eni-' || CAST(l.l_orderkey % 1000 AS STRING) AS eni_id,
-       'i-' || CAST(l.l_orderkey % 1000 AS STRING) AS instance_id,
-       'sg-' || CAST(l.l_suppkey AS STRING) AS group_id
-FROM {lineitem} l WHERE l.l_suppkey % 4 <> 0 AND l.l_linenumber = 1
+SELECT DISTINCT 'eni-' || CAST(l.l_orderkey AS STRING) AS eni_id,
+       'i-' || CAST(l.l_orderkey AS STRING) AS instance_id,
+       CASE WHEN l.l_suppkey % 4 <> 0 AND l.l_linenumber = 1 THEN 'sg-' ELSE 'other-sg-' END || CAST(l.l_suppkey AS STRING) AS group_id
+FROM {lineitem} l
 """
 
 # EBS snapshots (one per order) and the snapshots images refer to (from line items).
@@ -469,8 +471,9 @@ FROM {orders} o
 """
 
 IMAGES_SQL = """
-SELECT DISTINCT 'ami-' || CAST(l.l_partkey AS STRING) AS image_id, 'snap-' || CAST(l.l_orderkey AS STRING) AS snapshot_id
-FROM {lineitem} l WHERE l.l_linenumber = 3 AND l.l_returnflag = 'R'
+SELECT DISTINCT 'ami-' || CAST(l.l_partkey AS STRING) AS image_id,
+       CASE WHEN l.l_linenumber = 3 AND l.l_returnflag = 'R' THEN 'snap-' ELSE 'other-snap-' END || CAST(l.l_orderkey AS STRING) AS snapshot_id
+FROM {lineitem} l
 """
 
 # Log groups (one per part) and metric filters on them (one per early line item).
@@ -530,8 +533,9 @@ SELECT 'tenant-' || CAST(o.o_orderkey % 3 AS STRING) AS tenant_id,
        CAST(100000000000 + o.o_custkey % 7 AS STRING) AS account_id,
        'us-east-1' AS region,
        'sp-' || CAST(o.o_orderkey AS STRING) AS plan_id,
-       CAST(o.o_orderkey % 7 AS DECIMAL(18,4)) * CAST(0.35 AS DECIMAL(18,4)) AS commitment
-FROM {orders} o WHERE o.o_orderstatus = 'P'
+       CAST(o.o_orderkey % 7 AS DECIMAL(18,4)) * CAST(0.35 AS DECIMAL(18,4)) AS commitment,
+       CASE WHEN o.o_orderstatus = 'P' THEN 'active' ELSE 'retired' END AS state
+FROM {orders} o
 """
 
 # Backup plans (one per supplier, two rules each), selections (from line items),
@@ -549,8 +553,8 @@ FROM {supplier} s
 """
 
 BACKUP_SELECTIONS_SQL = """
-SELECT DISTINCT 'plan-' || CAST(l.l_suppkey AS STRING) AS plan_id
-FROM {lineitem} l WHERE l.l_partkey % 5 = 0 AND l.l_suppkey % 3 <> 1
+SELECT DISTINCT CASE WHEN l.l_partkey % 5 = 0 AND l.l_suppkey % 3 <> 1 THEN 'plan-' ELSE 'other-plan-' END || CAST(l.l_suppkey AS STRING) AS plan_id
+FROM {lineitem} l
 """
 
 RECOVERY_POINTS_SQL = """
@@ -605,22 +609,22 @@ FROM {supplier} s
 """
 
 LISTENERS_SQL = """
-SELECT DISTINCT 'lb-' || CAST(o.o_custkey % 150 + 30 AS STRING) AS lb_name,
+SELECT DISTINCT 'lb-' || CAST(o.o_custkey AS STRING) AS lb_name,
        CASE WHEN o.o_orderkey % 4 = 0 THEN 'fixed-response' ELSE 'forward' END AS action_type,
-       'tg-' || CAST((o.o_custkey % 150 + 30) % 200 AS STRING) AS target_group
+       'tg-' || CAST(o.o_custkey AS STRING) AS target_group
 FROM {orders} o
 """
 
 TARGET_GROUPS_SQL = """
-SELECT DISTINCT 'tg-' || CAST(p.p_partkey % 200 AS STRING) AS target_group,
+SELECT 'tg-' || CAST(p.p_partkey AS STRING) AS target_group,
        CASE WHEN p.p_partkey % 10 = 0 THEN 'lambda' ELSE 'instance' END AS target_type
 FROM {part} p
 """
 
 TARGETS_SQL = """
-SELECT DISTINCT CASE WHEN (l.l_orderkey % 400) % 3 <> 0 AND l.l_linenumber = 1 THEN 'tg-' ELSE 'other-tg-' END || CAST(l.l_orderkey % 400 AS STRING) AS target_group,
-       'i-' || CAST(l.l_partkey AS STRING) AS target_id,
-       CASE WHEN (l.l_orderkey % 400) % 5 = 0 THEN 'unhealthy' WHEN l.l_returnflag = 'A' THEN 'healthy' WHEN l.l_returnflag = 'N' THEN 'unhealthy' ELSE 'draining' END AS health
+SELECT DISTINCT CASE WHEN l.l_partkey % 3 <> 0 THEN 'tg-' ELSE 'other-tg-' END || CAST(l.l_partkey AS STRING) AS target_group,
+       'i-' || CAST(l.l_orderkey AS STRING) AS target_id,
+       CASE WHEN l.l_partkey % 5 = 0 THEN 'unhealthy' WHEN l.l_returnflag = 'A' THEN 'healthy' WHEN l.l_returnflag = 'N' THEN 'unhealthy' ELSE 'draining' END AS health
 FROM {lineitem} l
 """
 
@@ -654,8 +658,8 @@ FROM {orders} o
 
 RUN_LOCKS_SQL = """
 SELECT DISTINCT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id, 'prod' AS workspace,
-       'run-' || CAST(year(o.o_orderdate) AS STRING) AS run_id
-FROM {orders} o WHERE o.o_custkey % 3 = 0
+       CASE WHEN o.o_custkey % 3 = 0 THEN 'run-' ELSE 'ended-run-' END || CAST(year(o.o_orderdate) AS STRING) AS run_id
+FROM {orders} o
 """
 
 # Teams (per tenant and supplier nation) and members (customers by nation).
@@ -682,7 +686,7 @@ BINDINGS = {
     "volumes": (VOLUMES_SQL, ("part",)),
     "nats": (NATS_SQL, ("events",)),
     "routes": (ROUTES_SQL, ("orders",)),
-    "subnets": (SUBNETS_SQL, ()),
+    "subnets": (SUBNETS_SQL, ("customer",)),
     "alarms": (ALARMS_SQL, ("events",)),
     "instances": (INSTANCES_SQL, ("lineitem",)),
     "reservations": (RESERVATIONS_SQL, ("orders",)),
