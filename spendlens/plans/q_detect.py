@@ -147,7 +147,9 @@ def _nats(spark, sf):
 
 
 def _nat_metrics(spark, sf):
-    return metrics(spark, sf).withColumn("metric", F.lit("BytesOutToDestination"))
+    m = metrics(spark, sf).withColumn("metric", F.lit("BytesOutToDestination"))
+    busy = F.regexp_extract("resource_id", r"(\d+)$", 1).cast("long") % 5 == 0
+    return m.withColumn("value", F.when(busy, F.col("value") * 1e6).otherwise(F.col("value")))
 
 
 NAT_CTE = (
@@ -164,7 +166,7 @@ cross_az AS (
   JOIN subnets s ON s.subnet_id = r.subnet_id
   WHERE s.az <> l.az GROUP BY l.nat_id),
 daily AS (
-  SELECT 'r-' || CAST(user_id AS VARCHAR) AS nat_id, CAST(ts AS DATE) AS day, sum(value) * 5000.0 AS value
+  SELECT 'r-' || CAST(user_id AS VARCHAR) AS nat_id, CAST(ts AS DATE) AS day, sum(value * CASE WHEN user_id % 5 = 0 THEN 1e6 ELSE 1 END) * 5000.0 AS value
   FROM events WHERE ts >= TIMESTAMP '{AS_OF_METRICS}' - INTERVAL 14 DAY AND ts < TIMESTAMP '{AS_OF_METRICS}'
   GROUP BY ALL),
 st AS (

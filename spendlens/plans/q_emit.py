@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from ..operators import correlate as C
 from ..operators.emit import CATALOG, drafts_to_findings
-from . import q_detect  # noqa: F401  (its queries are the detectors)
+from . import q_detect, q_rightsize  # noqa: F401  (their queries are the detectors)
 from .registry import REGISTRY, query
 
 RUN_ID, RUN_TS = "scan-2024-02-01", "2024-02-01 00:00:00"
-DETECTORS = ["d18_d20_ebs_volumes", "d21_d22_ebs_snapshots", "d7_instance_tags_missing", "d2_d4_ec2_instances", "d52_d55_nat_gateways", "d9_d10_lambda", "d62_d63_logs_and_custom_metrics", "d64_alarms_high_count", "d56_d58_load_balancers", "d47_d49_backup"]
+DETECTORS = [
+    "d1_underutilized_instances", "d2_d4_ec2_instances", "d5_d8_security_groups", "d6_credit_issues", "d7_instance_tags_missing", "d9_d10_lambda",
+    "d11_d13_ecs", "d14_d16_eks_clusters", "d17_eks_nodegroups", "d18_d20_ebs_volumes", "d21_d22_ebs_snapshots", "d25_d27_efs_configuration",
+    "d35_d37_s3_governance", "d39_d42_d43_rds_config", "d40_d41_d44_rds_rightsizing", "d45_d46_rds_snapshots", "d47_d49_backup", "d52_d55_nat_gateways",
+    "d56_d58_load_balancers", "d60_d61_cloudfront", "d62_d63_logs_and_custom_metrics", "d64_alarms_high_count", "d_ri1_ri2_reserved_instances", "d_sp1_sp2_savings_plans",
+]
 
 
 def scan(spark, sf) -> DataFrame:
@@ -32,7 +37,7 @@ scanned AS MATERIALIZED (
     sha256('{{"check_id":"' || d.check_id || '","issue":{{"check_id":"' || d.check_id || '","resource_id":"' || resource_id || '"}},"scope":{{"account_id":"' || account_id
       || '","billing_account_id":"","cloud":"aws","region":"' || region || '","resource_arn":"","resource_id":"' || resource_id || '","resource_type":"' || resource_type
       || '","service":"' || lower(service) || '"}},"tenant_id":"' || tenant_id || '"}}') AS fingerprint,
-    CASE WHEN detail = '' THEN '' WHEN len(string_split(detail, '|')) = len(string_split(c.parts, ','))
+    CASE WHEN detail = '' THEN '' WHEN c.parts <> '' AND len(string_split(detail, '|')) = len(string_split(c.parts, ','))
          THEN array_to_string(list_sort(list_transform(list_zip(string_split(c.parts, ','), string_split(detail, '|')), lambda z: z[1] || '=' || z[2])), ';')
          ELSE 'detail=' || detail END AS dims
   FROM drafts d JOIN cat c USING (check_id))
@@ -65,7 +70,7 @@ ebs AS (SELECT {_KEYS}, resource_id FROM scanned WHERE status = 'fail' AND check
         GROUP BY ALL HAVING count(DISTINCT check_id) = 2),
 logs AS (SELECT {_KEYS}, count(*) AS n, count(*) FILTER (resource_id LIKE '/aws/lambda/%') AS lambda_n FROM scanned
          WHERE status = 'fail' AND check_id = 'aws.logs.log.groups.retention.missing' GROUP BY ALL),
-idle AS (SELECT {_KEYS}, count(DISTINCT resource_id) AS n FROM scanned WHERE check_id = 'aws.ec2.instances.stopped.long' GROUP BY ALL)
+idle AS (SELECT {_KEYS}, count(DISTINCT resource_id) AS n FROM scanned WHERE check_id IN ('aws.ec2.instances.stopped.long', 'aws.ec2.instances.underutilized') GROUP BY ALL)
 SELECT 'aws.ec2.correlation.ebs.unattached.unencrypted' AS check_id, tenant_id, account_id, region, resource_id FROM ebs
 UNION ALL SELECT 'aws.logs.correlation.retention.missing.sprawl', {_KEYS}, account_id FROM logs
 UNION ALL SELECT 'aws.ec2.correlation.cloudwatch.monitoring.cost', {_KEYS}, account_id FROM idle

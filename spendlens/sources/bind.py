@@ -396,7 +396,11 @@ SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
        CASE c.c_custkey % 5 WHEN 0 THEN 'db.m3.large' WHEN 1 THEN 'db.m5.large' WHEN 2 THEN 'db.t2.micro'
             WHEN 3 THEN 'm4.large' ELSE 'db.r4' END AS instance_class,
        CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'stopped' ELSE 'available' END AS status,
-       CASE WHEN c.c_acctbal > 0 THEN CAST(floor(c.c_acctbal / 100) AS BIGINT) ELSE 0 END AS allocated_gb
+       CASE WHEN c.c_acctbal > 0 THEN CAST(floor(c.c_acctbal / 100) AS BIGINT) ELSE 0 END AS allocated_gb,
+       c.c_custkey % 3 = 0 AS multi_az,
+       CASE WHEN c.c_custkey % 2 = 0 THEN 'db-' || CAST(c.c_custkey + 1 AS STRING) END AS replica_of,
+       CASE c.c_custkey % 6 WHEN 0 THEN 'Dev' WHEN 1 THEN 'prod' WHEN 2 THEN 'qa' WHEN 3 THEN 'UAT' END AS tag_env,
+       CASE c.c_custkey % 10 WHEN 4 THEN 'Disaster_Recovery' WHEN 6 THEN 'reporting' END AS tag_role
 FROM {customer} c
 """
 
@@ -416,6 +420,41 @@ SELECT 'tenant-' || CAST(p.p_partkey % 3 AS STRING) AS tenant_id,
 FROM {part} p
 """
 
+EKS_NODEGROUPS_SQL = """
+SELECT 'ng-' || CAST(o.o_orderkey AS STRING) AS nodegroup_name,
+       'eks-' || CAST(o.o_custkey AS STRING) AS cluster_name,
+       CAST(o.o_orderkey % 3 AS INT) AS desired_size,
+       CASE o.o_orderkey % 5 WHEN 0 THEN 'SPOT' WHEN 1 THEN NULL ELSE 'on_demand' END AS capacity_type,
+       CASE o.o_orderkey % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'Sandbox' END AS tag_stage
+FROM {orders} o
+"""
+
+EFS_SQL = """
+SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + c.c_custkey % 7 AS STRING) AS account_id,
+       'eu-west-1' AS region,
+       'fs-' || CAST(c.c_custkey AS STRING) AS file_system_id,
+       CASE c.c_custkey % 4 WHEN 0 THEN 'AFTER_30_DAYS' WHEN 1 THEN ' ' END AS to_ia,
+       CASE WHEN c.c_custkey % 6 = 1 THEN 'AFTER_90_DAYS' END AS to_archive,
+       CASE c.c_custkey % 5 WHEN 0 THEN 'disabled' WHEN 1 THEN NULL ELSE 'ENABLED' END AS backup_status,
+       CASE c.c_custkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS encrypted
+FROM {customer} c
+"""
+
+RDS_SNAPSHOTS_SQL = """
+SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + o.o_custkey % 7 AS STRING) AS account_id,
+       'eu-west-1' AS region,
+       'rsnap-' || CAST(o.o_orderkey AS STRING) AS snapshot_id,
+       CASE WHEN o.o_orderkey % 3 = 0 THEN 'automated' WHEN o.o_orderkey % 3 = 1 THEN 'Manual' ELSE 'manual-copy' END AS snapshot_type,
+       CASE WHEN o.o_orderkey % 4 = 0 THEN 'cluster' ELSE 'db' END AS kind,
+       CASE o.o_orderkey % 5 WHEN 0 THEN 'gone-' || CAST(o.o_custkey AS STRING) WHEN 1 THEN '' ELSE 'db-' || CAST(o.o_custkey AS STRING) END AS source_id,
+       CASE WHEN o.o_orderkey % 7 = 0 THEN 'us-east-1' END AS source_region,
+       CAST(o.o_orderdate AS TIMESTAMP) AS created,
+       CAST(o.o_totalprice / 1000 AS DECIMAL(18,2)) AS size_gb
+FROM {orders} o
+"""
+
 EKS_SQL = """
 SELECT 'tenant-' || CAST(s.s_suppkey % 3 AS STRING) AS tenant_id,
        CAST(100000000000 + s.s_suppkey % 7 AS STRING) AS account_id,
@@ -609,7 +648,7 @@ FROM {supplier} s
 """
 
 LISTENERS_SQL = """
-SELECT DISTINCT 'lb-' || CAST(o.o_custkey AS STRING) AS lb_name,
+SELECT DISTINCT CASE WHEN o.o_custkey % 9 = 4 THEN 'retired-lb-' ELSE 'lb-' END || CAST(o.o_custkey AS STRING) AS lb_name,
        CASE WHEN o.o_orderkey % 4 = 0 THEN 'fixed-response' ELSE 'forward' END AS action_type,
        'tg-' || CAST(o.o_custkey AS STRING) AS target_group
 FROM {orders} o
@@ -691,6 +730,9 @@ BINDINGS = {
     "instances": (INSTANCES_SQL, ("lineitem",)),
     "reservations": (RESERVATIONS_SQL, ("orders",)),
     "dbs": (DBS_SQL, ("customer",)),
+    "eks_nodegroups": (EKS_NODEGROUPS_SQL, ("orders",)),
+    "efs": (EFS_SQL, ("customer",)),
+    "rds_snapshots": (RDS_SNAPSHOTS_SQL, ("orders",)),
     "buckets": (BUCKETS_SQL, ("part",)),
     "eks": (EKS_SQL, ("supplier",)),
     "sgs": (SGS_SQL, ("supplier",)),

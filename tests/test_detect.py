@@ -61,3 +61,38 @@ def test_load_balancers(spark):
 def test_alarm_count(spark, n, flagged):
     out = D.alarms_high_count(spark.createDataFrame([(*SCOPE, f"a{i}") for i in range(n)], SC + ", alarm_name string")).collect()
     assert bool(out) == flagged and all(r.monthly_savings == r.monthly_cost for r in out)
+
+
+def test_size_ladder(spark):
+    from pyspark.sql import functions as F
+
+    from spendlens.operators.rightsize import smaller_type
+
+    rows = spark.createDataFrame([("m5.xlarge",), (" M5.Large ",), ("t3.nano",), ("m5.metal",), ("m5",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(smaller_type(F.col("t"))).collect()] == ["m5.large", "m5.medium", None, None, None, None, None]
+
+
+def test_underutilized_price_hit_fallback_and_none(spark):
+    from spendlens.operators.rightsize import underutilized_instances
+
+    types = {"hit": "m5.xlarge", "fallback": "m3.large", "none": "z9.large", "busy": "m5.xlarge", "silent": "m5.xlarge", "stopped": "m5.xlarge"}
+    inst = spark.createDataFrame([(*SCOPE, n, t, "stopped" if n == "stopped" else "running") for n, t in types.items()], SC + ", instance_id string, instance_type string, state string")
+    at = NOW - dt.timedelta(days=1)
+    points = [(n, "CPUUtilization", at, 90.0 if n == "busy" else 10.0) for n in types if n != "silent"] + [(n, "NetworkIn", at, 512 * 1024.0) for n in types if n != "silent"]
+    metrics = spark.createDataFrame(points, "resource_id string, metric string, ts timestamp, value double")
+    prices = spark.createDataFrame([("eu-west-1", "ec2_hour", "m5.xlarge", 0.2, "pricing_api"), ("eu-west-1", "ec2_hour", "m5.large", 0.1, "pricing_api")], "region string, kind string, key string, unit_price double, source string")
+    got = {r.resource_id: r for r in underutilized_instances(inst, metrics, prices, AS_OF, fallback={"m3.large": 0.1}).collect()}
+    assert set(got) == {"hit", "fallback", "none"}
+    assert (float(got["hit"].monthly_cost), float(got["hit"].monthly_savings), got["hit"].confidence) == (146.0, 73.0, 90)
+    assert (float(got["fallback"].monthly_cost), float(got["fallback"].monthly_savings), got["fallback"].confidence) == (73.0, 73.0, 0)
+    assert got["none"].monthly_cost is None and got["none"].confidence == 0
+
+
+def test_rds_snapshots(spark):
+    from spendlens.operators.rightsize import rds_snapshots
+
+    old, new = NOW - dt.timedelta(days=40), NOW - dt.timedelta(days=3)
+    rows = [("gone", "manual", "db", "db-9", None, new), ("elsewhere", "manual", "db", "db-9", "us-east-1", old), ("young", "manual", "db", "db-1", None, new), ("auto", "automated", "db", "db-1", None, old), ("old", "Manual", "db", "db-1", None, old), ("cluster", "manual", "cluster", "db-1", None, old)]
+    snaps = spark.createDataFrame([(*SCOPE, *r, 10.0) for r in rows], SC + ", snapshot_id string, snapshot_type string, kind string, source_id string, source_region string, created timestamp, size_gb double")
+    out = rds_snapshots(snaps, spark.createDataFrame([("db", "db-1")], "kind string, source_id string"), AS_OF)
+    assert ids(out, "aws.rds.snapshots.orphaned") == ["cluster", "gone"] and ids(out, "aws.rds.snapshots.manual.old") == ["elsewhere", "old"]
