@@ -80,8 +80,9 @@ def group_key(check_id: Column, category: Column, title: Column, mask: bool = Tr
     return F.sha1(F.nullif(base, F.lit("")))
 
 
-def read_model_fields(findings: DataFrame, mask_titles: bool = True) -> DataFrame:
-    """P16 (+P15, P17): read-model columns with scope-then-top-level fallbacks, blanks -> NULL."""
+def _leaves(findings: DataFrame) -> DataFrame:
+    """The read model's columns but the group key, whose title masking is dear; a given
+    key rides along as ``_given_key``."""
     cols = set(findings.columns)
 
     def top(name: str) -> Column:
@@ -90,10 +91,6 @@ def read_model_fields(findings: DataFrame, mask_titles: bool = True) -> DataFram
     check = nullif_blank(F.col("check_id"))
     cat0 = F.coalesce(F.trim(F.col("category")), F.lit("")) if "category" in cols else F.lit("")
     category = F.when(cat0 == "", derive_category(F.coalesce(check, F.lit("")))).otherwise(cat0)
-    title = nullif_blank(F.col("title"))
-    gk = F.coalesce(nullif_blank(F.col("group_key")), group_key(check, category, title, mask_titles)) if "group_key" in cols else group_key(
-        check, category, title, mask_titles
-    )
     return findings.select(
         "tenant_id",
         F.col("workspace_id").alias("workspace"),
@@ -104,17 +101,27 @@ def read_model_fields(findings: DataFrame, mask_titles: bool = True) -> DataFram
         check.alias("check_id"),
         F.coalesce(nullif_blank(F.col("scope.service")), top("service")).alias("service"),
         nullif_blank(F.col("severity.level")).alias("severity"),
-        title.alias("title"),
+        nullif_blank(F.col("title")).alias("title"),
         F.col("estimated.monthly_savings").cast(MONEY).alias("estimated_monthly_savings"),
         F.col("estimated.confidence").cast("int").alias("est_confidence"),
         F.coalesce(nullif_blank(F.col("scope.region")), top("region")).alias("region"),
         F.coalesce(nullif_blank(F.col("scope.account_id")), top("account_id")).alias("account_id"),
         category.alias("category"),
-        gk.alias("group_key"),
+        top("group_key").alias("_given_key"),
         F.col("run_ts").alias("detected_at"),
     )
 
 
+def _with_group_key(leaves: DataFrame, mask_titles: bool) -> DataFrame:
+    gk = F.coalesce("_given_key", group_key(F.col("check_id"), F.col("category"), F.col("title"), mask_titles))
+    return leaves.select(*[gk.alias("group_key") if c == "_given_key" else F.col(c) for c in leaves.columns])
+
+
+def read_model_fields(findings: DataFrame, mask_titles: bool = True) -> DataFrame:
+    """P16 (+P15, P17): read-model columns with scope-then-top-level fallbacks, blanks -> NULL."""
+    return _with_group_key(_leaves(findings), mask_titles)
+
+
 def dedup_within_run(rows: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
     """One row per (tenant, workspace, run, fingerprint); first by finding_id wins."""
     w = Window.partitionBy("tenant_id", "workspace", "run_id", "fingerprint").orderBy(*(order or [F.col("finding_id")]))
@@ -132,6 +139,18 @@ def latest_per_key(presence: DataFrame, keys: Sequence[str] = ("tenant_id", "wor
     return presence.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def latest_of_runs(findings: DataFrame, runs: DataFrame, mask_titles: bool = True) -> DataFrame:
+    """W1 over W2 in one window: the newest row per fingerprint over the ready runs.
+
+    Same rows as ``latest_per_key(ingest_run(...)[0])``, with one shuffle (rank 1 is
+    kept before it already) and the group key made for the surviving rows only.
+    """
+    ready = runs.where(F.col("status") == "ready").select("tenant_id", F.col("workspace_id").alias("workspace"), "run_id")
+    rows = _leaves(findings).join(ready, ["tenant_id", "workspace", "run_id"], "left_semi")
+    w = Window.partitionBy("tenant_id", "workspace", "fingerprint").orderBy(F.col("run_ts").desc(), F.col("run_id").desc(), F.col("finding_id"))
+    return _with_group_key(rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"), mask_titles)
+
+
 def upsert_latest(latest: DataFrame, presence_new: DataFrame) -> DataFrame:
     """U5-style upsert: W1 over old latest ∪ new presence (touches only the union)."""
     return latest_per_key(latest.unionByName(presence_new, allowMissingColumns=True))

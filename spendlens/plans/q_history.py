@@ -57,7 +57,7 @@ def _presence(spark, sf):
 
 
 def _latest(spark, sf):
-    return H.latest_per_key(_presence(spark, sf))
+    return H.latest_of_runs(findings(spark, sf), runs(spark, sf))
 
 
 @query("n1_presence", oracle=HIST_CTE + "SELECT * FROM pres")
@@ -252,8 +252,7 @@ cur2 AS (
 
 
 def _current(spark, sf):
-    p = _presence(spark, sf)
-    lat = H.latest_per_key(p)
+    lat = _latest(spark, sf)
     ev = state_events(spark, sf)
     gov = G.sla_replay(ev, lat, G.default_policies(spark))
     return G.finding_current(lat, ev, gov, AS_OF)
@@ -261,8 +260,7 @@ def _current(spark, sf):
 
 @query("g4_sla_replay", oracle=HIST_CTE + GOV_CTE + "SELECT * FROM gov")
 def g4(spark, sf):
-    p = _presence(spark, sf)
-    lat = H.latest_per_key(p)
+    lat = _latest(spark, sf)
     return G.sla_replay(state_events(spark, sf), lat, G.default_policies(spark))
 
 
