@@ -437,7 +437,27 @@ SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
        CASE c.c_custkey % 4 WHEN 0 THEN 'AFTER_30_DAYS' WHEN 1 THEN ' ' END AS to_ia,
        CASE WHEN c.c_custkey % 6 = 1 THEN 'AFTER_90_DAYS' END AS to_archive,
        CASE c.c_custkey % 5 WHEN 0 THEN 'disabled' WHEN 1 THEN NULL ELSE 'ENABLED' END AS backup_status,
-       CASE c.c_custkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS encrypted
+       CASE c.c_custkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS encrypted,
+       CASE WHEN c.c_custkey % 2 = 0 THEN 'provisioned' ELSE 'bursting' END AS throughput_mode
+FROM {customer} c
+"""
+
+FSX_SQL = """
+SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + c.c_custkey % 7 AS STRING) AS account_id,
+       'eu-west-1' AS region,
+       'fsx-' || CAST(c.c_custkey AS STRING) AS file_system_id,
+       CASE c.c_custkey % 4 WHEN 0 THEN 'LUSTRE' WHEN 1 THEN 'ONTAP' ELSE 'WINDOWS' END AS fs_type,
+       CASE WHEN c.c_custkey % 3 = 0 THEN 'MULTI_AZ_1' WHEN c.c_custkey % 3 = 1 THEN 'SINGLE_AZ_2' END AS deployment,
+       CAST(1024 * (c.c_custkey % 9) AS INT) AS storage_gib,
+       CAST(c.c_custkey % 5 * 16 AS INT) AS throughput,
+       CASE WHEN c.c_custkey % 5 < 3 THEN 'SSD' ELSE 'HDD' END AS storage_type,
+       CASE WHEN c.c_custkey % 11 = 0 THEN NULL ELSE CAST(c.c_custkey % 10 AS INT) END AS backup_days,
+       CASE c.c_custkey % 4 WHEN 2 THEN false WHEN 3 THEN true END AS copy_tags,
+       CASE c.c_custkey % 7 WHEN 0 THEN '1:08:00' WHEN 1 THEN '3:18:30' WHEN 2 THEN '7:19:00' WHEN 3 THEN 'daily' WHEN 4 THEN ' ' END AS maintenance,
+       CASE c.c_custkey % 6 WHEN 0 THEN 'my-DEV-box' WHEN 1 THEN 'prod' WHEN 2 THEN 'sbx' END AS tag_environment,
+       CASE WHEN c.c_custkey % 2 = 0 THEN 'app' END AS tag_application,
+       CASE WHEN c.c_custkey % 5 = 4 THEN 'qa share' WHEN c.c_custkey % 5 = 3 THEN 'files' END AS tag_name
 FROM {customer} c
 """
 
@@ -732,6 +752,7 @@ BINDINGS = {
     "dbs": (DBS_SQL, ("customer",)),
     "eks_nodegroups": (EKS_NODEGROUPS_SQL, ("orders",)),
     "efs": (EFS_SQL, ("customer",)),
+    "fsx": (FSX_SQL, ("customer",)),
     "rds_snapshots": (RDS_SNAPSHOTS_SQL, ("orders",)),
     "buckets": (BUCKETS_SQL, ("part",)),
     "eks": (EKS_SQL, ("supplier",)),

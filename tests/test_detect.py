@@ -96,3 +96,29 @@ def test_rds_snapshots(spark):
     snaps = spark.createDataFrame([(*SCOPE, *r, 10.0) for r in rows], SC + ", snapshot_id string, snapshot_type string, kind string, source_id string, source_region string, created timestamp, size_gb double")
     out = rds_snapshots(snaps, spark.createDataFrame([("db", "db-1")], "kind string, source_id string"), AS_OF)
     assert ids(out, "aws.rds.snapshots.orphaned") == ["cluster", "gone"] and ids(out, "aws.rds.snapshots.manual.old") == ["elsewhere", "old"]
+
+
+def test_fsx_windows_settings_and_activity(spark):
+    from spendlens.operators.filesystems import fsx_findings
+
+    tags = {"Application": "a", "applicationId": "1", "environment": "prod"}
+    rows = [
+        ("good", "WINDOWS", "SINGLE_AZ_1", 100, 32, "HDD", 7, True, "1:07:59", tags),
+        ("bad", "WINDOWS", "MULTI_AZ_1", 4096, 32, "SSD", 0, False, "", {"Name": "my-dev-share"}),
+        ("low", "WINDOWS", None, 4095, 0, "HDD", 6, None, "1:18:00", tags),
+    ]
+    f = spark.createDataFrame([(*SCOPE, *r) for r in rows], SC + ", file_system_id string, fs_type string, deployment string, storage_gib int, throughput int, storage_type string, backup_days int, copy_tags boolean, maintenance string, tags map<string,string>")
+    at = NOW - dt.timedelta(days=1)
+    m = spark.createDataFrame([("good", "ThroughputUtilization", at, 50.0), ("low", "DataReadBytes", at, 0.0)], "resource_id string, metric string, ts timestamp, value double")
+    prices = spark.createDataFrame([("eu-west-1", "fsx_gb_month", "ssd", 0.13, "pricing_api"), ("eu-west-1", "fsx_gb_month", "hdd", 0.03, "pricing_api")], "region string, kind string, key string, unit_price double, source string")
+    got = {}
+    for r in fsx_findings(f, m, prices, AS_OF).collect():
+        got.setdefault(r.resource_id, {})[r.check_id.removeprefix("aws.fsx.")] = r
+    assert "good" not in got
+    assert set(got["bad"]) == {
+        "filesystems.missing.required.tags", "filesystems.possible.unused", "filesystems.large.and.inactive", "filesystems.multi.az.in.nonprod",
+        "windows.backups.disabled", "windows.copy.tags.to.backups.disabled", "windows.maintenance.window.missing", "windows.storage.type.mismatch",
+    }
+    assert set(got["low"]) == {"filesystems.possible.unused", "windows.backup.retention.low", "windows.maintenance.window.business.hours"}
+    assert got["bad"]["filesystems.possible.unused"].confidence == 35 and got["low"]["filesystems.possible.unused"].confidence == 60
+    assert float(got["bad"]["windows.storage.type.mismatch"].monthly_savings) == 409.6
