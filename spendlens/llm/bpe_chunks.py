@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE_VALUES, _INVERSE, _powers, keyed, new_folder, row_slices, text_buffer
+from .common import _BASE, _BYTE_VALUES, _INVERSE, _powers, keyed, new_folder, release_memory, row_slices, text_buffer
 from .encoders import SpaceSegments, load_tokenizer, segment_table
 
 WINDOW = 32
@@ -179,6 +179,7 @@ def shared_chunks(rows: DataFrame, mean_bytes: int) -> DataFrame:
                 for k in _keys(part.tobytes(), edges.tolist()):
                     seen[k] = seen.get(k, 0) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["key", "n"])
+        release_memory()
 
     return rows.select("text").mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
 
@@ -242,6 +243,7 @@ def _pieces(rows: DataFrame, tokenizer: str, have: np.ndarray, mean_bytes: int,
                     yield as_rows(len(refs), {"kind": pa.array([_REF] * len(refs), pa.int32()), "rid": pa.array([rid + r for r, _, _ in refs], pa.int64()), "doc_id": pa.array([ids_in[lo + r] for r, _, _ in refs], pa.int64()), "pos": pa.array([p for _, p, _ in refs], pa.int32()), "key": pa.array([k for _, _, k in refs], pa.binary())})
                     yield as_rows(len(store), {"kind": pa.array([_TEXT] * len(store), pa.int32()), "key": pa.array(list(store), pa.binary()), "payload": pa.array(list(store.values()), pa.binary())})
                 rid += hi - lo
+        release_memory()
 
     return rows.mapInArrow(run, _PIECES + out.sql)
 
@@ -290,6 +292,7 @@ def _put_together(parts: DataFrame, width: str, out: _Output) -> DataFrame:
             ready.append((doc[1], np.frombuffer(b"".join(got), width)))
         if ready:
             yield flush()
+        release_memory()
 
     ordered = parts.repartition("rid").sortWithinPartitions("rid", "pos")
     return ordered.select("rid", "doc_id", "payload").mapInArrow(run, "doc_id long" + out.sql)

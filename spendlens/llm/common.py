@@ -57,12 +57,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: what goes to a Python task at once; texts differ in length, so bytes bound it too
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python tasks by small Arrow batches."""
+    for name, value in BATCH_CONF.items():
+        spark.conf.set(name, value)
+
+
 def keyed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the wanted columns under fixed names, so other columns never clash.
 
     A name is matched exactly if it can be, else ignoring case; columns whose
     names differ only by case are told apart by position.
     """
+    small_batches(df.sparkSession)
     names = df.columns
     lower = [n.lower() for n in names]
     at = {name: names.index(src) if src in names else lower.index(src.lower()) for name, src in columns.items()}
@@ -82,6 +93,19 @@ def process_cache(name: str) -> dict:
     return mod.__dict__.setdefault(name, {})
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the row offsets into them (null: empty)."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from .common import process_cache, text_buffer
 
 #: segments remembered by a worker; beyond it those seen once are forgotten
-MEMO_SEGMENTS = 600_000
+MEMO_SEGMENTS = 400_000
 
 # letters that every Unicode version since 3.0 treats alike (no case or
 # normalization surprises)

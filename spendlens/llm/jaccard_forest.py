@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, ascii_classes, keyed, mixed, row_slices, span_hashes, stored, text_buffer
+from .common import Words, ascii_classes, keyed, mixed, release_memory, row_slices, span_hashes, stored, text_buffer
 from .components import components
 
 TREES, DEPTH, SHORTEST = 32, 8, 4
@@ -75,6 +75,7 @@ def _signature_rows(k: int):
                 sig = signatures(*shingle_hashes(words, k))
                 sig_col = pa.array([s.tobytes() if n else None for s, n in zip(sig, np.diff(words.first).tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), b["key"].slice(lo, hi - lo), sig_col], ["doc_id", "key", "sig"])
+        release_memory()
 
     return run
 
