@@ -151,6 +151,11 @@ def _listed_sources(c: Column) -> Column:
     return F.struct(F.size(each).cast("long").alias("n"), total.alias("h"))
 
 
+def _per_month(cost: Column) -> Column:
+    """``about $x a month`` for a cost above 0, else NULL."""
+    return F.when(cost > 0, F.concat(F.lit("about $"), _text2(cost), F.lit(" a month")))
+
+
 def _sev(*tiers: tuple[Column, str, int], default: tuple[str, int]) -> tuple[Column, Column]:
     lvl, score = None, None
     for cond, l_, s_ in tiers:
@@ -207,7 +212,8 @@ def _shape(df: DataFrame, **cols: Column) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Built-in rules
+# Built-in rules (ids, check names, titles and thresholds are fixed values: group keys and
+# users' filters hang on them; messages are our own)
 # ---------------------------------------------------------------------------
 
 
@@ -281,7 +287,7 @@ def rule_vault_risk(ri: DataFrame) -> DataFrame:
         severity_score=score,
         title=F.lit("Backup vault has correlated retention / governance risks"),
         message=msg,
-        recommendation=F.lit("Enforce vault lock guardrails and plan rule lifecycle; tighten the vault access policy; prune stale recovery points."),
+        recommendation=F.lit("Lock the vault, give every rule a lifecycle, narrow who may enter, and let old points expire."),
         monthly_cost=F.when(has_cost, F.col("stale_cost")),
         confidence=F.when(has_cost, 50).otherwise(10),
         dimensions=F.create_map(
@@ -322,12 +328,14 @@ def rule_ebs_unattached_unencrypted(ri: DataFrame) -> DataFrame:
         .where((F.col("sig_un") == 1) & (F.col("sig_enc") == 1))
     )
     has_cost = F.col("cost") > 0
-    msg = F.concat(
-        F.lit("Volume "), F.col("resource_id"), F.lit(" is both unattached and unencrypted. "),
-        F.when(F.col("size_gb") != "", F.concat(F.lit("Size="), F.col("size_gb"), F.lit("GB. "))).otherwise(F.lit("")),
-        F.when(F.col("volume_type") != "", F.concat(F.lit("Type="), F.col("volume_type"), F.lit(". "))).otherwise(F.lit("")),
-        F.when(F.col("age_days") != "", F.concat(F.lit("Idle ~"), F.col("age_days"), F.lit(" days. "))).otherwise(F.lit("")),
-        F.when(has_cost, F.concat(F.lit("Estimated storage cost ≈ $"), _text2(F.col("cost")), F.lit("/month."))).otherwise(F.lit("")),
+    said = lambda c, text: F.when(F.col(c) != "", F.format_string(text, c))
+    msg = F.concat_ws(
+        "; ",
+        F.format_string("%s holds plain data and serves no instance", "resource_id"),
+        said("volume_type", "type %s"),
+        said("size_gb", "%s GB"),
+        said("age_days", "%s days old"),
+        _per_month(F.col("cost")),
     )
     lvl, score = _sev((F.col("cost") >= 50, "high", 900), default=("high", 850))
     return _shape(
@@ -346,7 +354,7 @@ def rule_ebs_unattached_unencrypted(ri: DataFrame) -> DataFrame:
         severity_score=score,
         title=F.lit("Unattached and unencrypted EBS volume"),
         message=msg,
-        recommendation=F.lit("If unused, snapshot (encrypted) and delete the volume; if needed, migrate to an encrypted copy."),
+        recommendation=F.lit("Keep an encrypted snapshot if the data matters, then remove the volume."),
         monthly_savings=F.when(has_cost, F.col("cost")),
         monthly_cost=F.when(has_cost, F.col("cost")),
         confidence=F.when(has_cost, 55).otherwise(30),
@@ -390,7 +398,7 @@ def rule_custom_metrics_sprawl(ri: DataFrame, min_count: int = 5) -> DataFrame:
     msg = F.concat_ws(
         "; ",
         F.format_string("Region %s: %d metrics fed by log filters", "region", "n"),
-        F.when(has_cost, F.concat(F.lit("about $"), _text2(F.col("cost")), F.lit(" a month"))),
+        _per_month(F.col("cost")),
         F.concat(F.lit("namespaces from "), F.col("first_ns"), F.lit(" to "), F.col("last_ns")),
     )
     return _shape(
@@ -469,10 +477,7 @@ def rule_observability_sprawl(ri: DataFrame, min_metrics: int = 20) -> DataFrame
         severity_level=lvl,
         severity_score=score,
         title=F.lit("CloudWatch alarms and custom metrics indicate observability sprawl"),
-        message=F.concat(
-            F.lit("alarms="), ac.cast("string"), F.lit(", custom_metrics="), F.col("n").cast("string"),
-            F.when(has_cost, F.concat(F.lit(", estimated_recurring_cost≈$"), _text2(F.col("cost")), F.lit("/month"))).otherwise(F.lit("")),
-        ),
+        message=F.concat_ws("; ", F.format_string("%d alarms beside %d custom metrics", ac, "n"), _per_month(F.col("cost"))),
         monthly_savings=F.when(has_cost, F.col("cost")),
         monthly_cost=F.when(has_cost, F.col("cost")),
         confidence=F.when(has_cost, 55).otherwise(20),
@@ -566,10 +571,7 @@ def rule_ec2_monitoring_cost(ri: DataFrame, statuses: Sequence[str] = SIGNAL_STA
         severity_level=lvl,
         severity_score=score,
         title=F.lit("EC2 instances with unused CloudWatch monitoring cost"),
-        message=F.concat(
-            n.cast("string"), F.lit(" idle or stopped instance(s); "), logs_n.cast("string"), F.lit(" log group(s) without retention. "),
-            F.when((lc + ac) > 0, F.concat(F.lit("Estimated CloudWatch cost ≈ $"), _text2(lc + ac), F.lit("/month. "))).otherwise(F.lit("")),
-        ),
+        message=F.concat_ws("; ", F.format_string("%d instances do no work while %d log groups keep their data", n, logs_n), _per_month(lc + ac)),
         monthly_savings=_money(F.greatest(lc, ac) * F.lit(0.3).cast("decimal(2,1)")),
         monthly_cost=_money(lc + ac),
         confidence=F.lit(40),
@@ -626,11 +628,7 @@ def rule_lambda_logs_cost(ri: DataFrame, statuses: Sequence[str] = SIGNAL_STATUS
         severity_level=lvl,
         severity_score=score,
         title=F.lit("Lambda functions paying for unused CloudWatch Logs"),
-        message=F.concat(
-            n.cast("string"), F.lit(" Lambda log group(s) without retention. "),
-            F.when(fn_n > 0, F.concat(fn_n.cast("string"), F.lit(" Lambda function(s) also detected. "))).otherwise(F.lit("")),
-            F.when(total > 0, F.concat(F.lit("Estimated CloudWatch Logs cost ≈ $"), _text2(total), F.lit("/month. "))).otherwise(F.lit("")),
-        ),
+        message=F.concat_ws("; ", F.format_string("%d function log groups never expire, %d functions have findings of their own", n, fn_n), _per_month(total)),
         monthly_savings=_money(total * F.lit(0.5).cast("decimal(2,1)")),
         monthly_cost=_money(total),
         confidence=F.lit(35),
@@ -697,11 +695,11 @@ def rule_nat_ec2_traffic(ri: DataFrame) -> DataFrame:
         severity_level=lvl,
         severity_score=score,
         title=F.lit("Traffic flowing through expensive NAT Gateways unnecessarily"),
-        message=F.concat(
-            F.col("nat_n").cast("string"), F.lit(" NAT gateway(s) flagged ("), F.col("idle_n").cast("string"), F.lit(" idle, "),
-            F.col("high_n").cast("string"), F.lit(" high data, "), F.col("xaz_n").cast("string"), F.lit(" cross-AZ); "),
-            ec2_n.cast("string"), F.lit(" underutilized instance(s). "),
-            F.when(total > 0, F.concat(F.lit("Estimated combined cost ≈ $"), _text2(total), F.lit("/month. "))).otherwise(F.lit("")),
+        message=F.concat_ws(
+            "; ",
+            F.format_string("Gateways: %d (idle %d, busy %d, other zones %d)", "nat_n", "idle_n", "high_n", "xaz_n"),
+            F.format_string("instances with little load: %d", ec2_n),
+            _per_month(total),
         ),
         monthly_savings=_money(total * F.lit(0.35).cast("decimal(3,2)")),
         monthly_cost=_money(total),
@@ -768,11 +766,7 @@ def rule_rds_s3_backup(ri: DataFrame) -> DataFrame:
         severity_level=lvl,
         severity_score=score,
         title=F.lit("RDS backups stored in S3 without lifecycle management"),
-        message=F.concat(
-            F.col("rds_n").cast("string"), F.lit(" RDS instance(s); "), vault_n.cast("string"), F.lit(" vault(s) and "),
-            s3_n.cast("string"), F.lit(" bucket(s) without lifecycle. "),
-            F.when(total > 0, F.concat(F.lit("Estimated monthly backup cost ≈ $"), _text2(total), F.lit("/month. "))).otherwise(F.lit("")),
-        ),
+        message=F.concat_ws("; ", F.format_string("Databases: %d, vaults: %d, buckets that keep everything: %d", "rds_n", vault_n, s3_n), _per_month(total)),
         monthly_savings=_money(total * F.lit(0.4).cast("decimal(2,1)")),
         monthly_cost=_money(total),
         confidence=F.lit(45),
