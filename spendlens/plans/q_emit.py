@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import correlate as C
 from ..operators.emit import CATALOG, drafts_to_findings
-from . import q_detect, q_filesystems, q_rightsize  # noqa: F401  (their queries are the detectors)
+from . import q_detect, q_filesystems, q_rightsize, q_vaults  # noqa: F401  (their queries are the detectors)
 from .registry import REGISTRY, query
 
 RUN_ID, RUN_TS = "scan-2024-02-01", "2024-02-01 00:00:00"
@@ -17,7 +17,7 @@ DETECTORS = [
     "d1_underutilized_instances", "d2_d4_ec2_instances", "d5_d8_security_groups", "d6_credit_issues", "d7_instance_tags_missing", "d9_d10_lambda",
     "d11_d13_ecs", "d14_d16_eks_clusters", "d17_eks_nodegroups", "d18_d20_ebs_volumes", "d21_d22_ebs_snapshots", "d23_d24_efs_use", "d25_d27_efs_configuration",
     "d28_d34_fsx",
-    "d35_d37_s3_governance", "d39_d42_d43_rds_config", "d40_d41_d44_rds_rightsizing", "d45_d46_rds_snapshots", "d47_d49_backup", "d52_d55_nat_gateways",
+    "d35_d37_s3_governance", "d39_d42_d43_rds_config", "d40_d41_d44_rds_rightsizing", "d45_d46_rds_snapshots", "d47_d49_backup", "d50_vault_locks", "d52_d55_nat_gateways",
     "d56_d58_load_balancers", "d60_d61_cloudfront", "d62_d63_logs_and_custom_metrics", "d64_alarms_high_count", "d_ri1_ri2_reserved_instances", "d_sp1_sp2_savings_plans",
 ]
 

@@ -442,6 +442,17 @@ SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
 FROM {customer} c
 """
 
+VAULTS_SQL = """
+SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + c.c_custkey % 7 AS STRING) AS account_id,
+       'eu-west-1' AS region,
+       'vault-' || CAST(c.c_custkey AS STRING) AS vault_name,
+       CASE c.c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS locked,
+       CASE c.c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 30 END AS min_days,
+       CASE c.c_custkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 365 WHEN 2 THEN 3650 WHEN 3 THEN 400 END AS max_days
+FROM {customer} c
+"""
+
 FSX_SQL = """
 SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
        CAST(100000000000 + c.c_custkey % 7 AS STRING) AS account_id,
@@ -753,6 +764,7 @@ BINDINGS = {
     "eks_nodegroups": (EKS_NODEGROUPS_SQL, ("orders",)),
     "efs": (EFS_SQL, ("customer",)),
     "fsx": (FSX_SQL, ("customer",)),
+    "vaults": (VAULTS_SQL, ("customer",)),
     "rds_snapshots": (RDS_SNAPSHOTS_SQL, ("orders",)),
     "buckets": (BUCKETS_SQL, ("part",)),
     "eks": (EKS_SQL, ("supplier",)),

@@ -122,3 +122,13 @@ def test_fsx_windows_settings_and_activity(spark):
     assert set(got["low"]) == {"filesystems.possible.unused", "windows.backup.retention.low", "windows.maintenance.window.business.hours"}
     assert got["bad"]["filesystems.possible.unused"].confidence == 35 and got["low"]["filesystems.possible.unused"].confidence == 60
     assert float(got["bad"]["windows.storage.type.mismatch"].monthly_savings) == 409.6
+
+
+def test_vault_locks(spark):
+    from spendlens.operators.vaults import vault_locks
+
+    rows = [("good", True, 7, 365), ("unset", None, None, None), ("idle", False, 0, 0), ("open-end", True, 30, None), ("short", True, 3, 365), ("long", None, 30, 4000)]
+    v = spark.createDataFrame([(*SCOPE, *r) for r in rows], SC + ", vault_name string, locked boolean, min_days int, max_days int")
+    got = {r.resource_id: r.detail.split("|")[0] for r in vault_locks(v, expected_min_days=7, expected_max_days=400).collect()}
+    assert got == {"unset": "missing", "idle": "missing", "open-end": "no_max", "short": "out_of_standard", "long": "out_of_standard"}
+    assert {r.resource_id for r in vault_locks(v).collect()} == {"unset", "idle", "open-end"}
