@@ -17,9 +17,6 @@ import pyarrow.compute as pc
 
 from .common import process_cache, text_buffer
 
-#: segments remembered by a worker; beyond it those seen once are forgotten
-MEMO_SEGMENTS = 400_000
-
 # letters that every Unicode version since 3.0 treats alike (no case or
 # normalization surprises)
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ"
@@ -70,7 +67,13 @@ class _Rows(dict):
 
 
 class SegmentTable:
-    """Ids of distinct segments of one tokenizer."""
+    """Ids of distinct segments of one tokenizer.
+
+    ``memo`` segments are remembered by a worker; beyond it those seen once
+    are forgotten.
+    """
+
+    memo = 400_000
 
     def __init__(self, path: str):
         self.tok = load_tokenizer(path)
@@ -152,7 +155,7 @@ class SegmentTable:
     def _forget(self) -> None:
         n = len(self.rows)
         keep = np.flatnonzero(self.seen[:n] > 1)
-        if len(keep) > MEMO_SEGMENTS // 2:
+        if len(keep) > self.memo // 2:
             keep = keep[:0]
         keys = list(self.rows)
         lens = self.length[keep]
@@ -178,7 +181,7 @@ class SegmentTable:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and the offsets of the texts into them."""
-        if len(self.rows) > MEMO_SEGMENTS:
+        if len(self.rows) > self.memo:
             self._forget()
         per_text = [self.segments(t) for t in texts]
         counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
@@ -187,7 +190,7 @@ class SegmentTable:
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for a string column (null: empty); pieces are made distinct before look-up."""
-        if len(self.rows) > MEMO_SEGMENTS:
+        if len(self.rows) > self.memo:
             self._forget()
         lists = self.pieces(column)
         coded = lists.values.dictionary_encode()
@@ -214,6 +217,8 @@ class BlankSegments(SegmentTable):
     more segments equal.
     """
 
+    memo = 600_000
+
     def segments(self, text: str) -> list[str]:
         if _BLANKS.search(text):
             text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")

@@ -42,9 +42,7 @@ def test_segments_equal_the_library_on_random_texts(path, kind):
 
 
 def test_forgetting_keeps_ids_right(monkeypatch):
-    from spendlens.llm import encoders
-
-    monkeypatch.setattr(encoders, "MEMO_SEGMENTS", 40)
+    monkeypatch.setattr(BlankSegments, "memo", 40)
     table, tok = BlankSegments(WORD), Tokenizer.from_file(WORD)
     for i, t in texts() * 2:
         ids, _ = table.encode_column(pa.array([t], pa.string()))
