@@ -6,9 +6,12 @@ and written as gzip members, an archive per task. Beside each archive goes an
 index shard: lines (key, page id, offset, length) in compressed blocks of
 ``BLOCK_LINES``, and a sparse directory with the first key of every block.
 
-Reading: a query finds its shard among the first keys of the shards, its block
-by binary search in the shard's directory, its line by binary search in the
-block, and then the record by a range read.
+An archive may end between captures of one key, and rows of one key and page id
+are cut into tasks by their row number, so a hot key is not one task's work.
+
+Reading: a query finds its shards among the first keys of the shards (all that
+may hold its key), its block by binary search in the shard's directory, its line
+by binary search in the block, and then the record by a range read.
 
 Defined results: a null payload is empty; a null url has the empty key; a null
 page id orders first, never is a group's response when another id exists, and
@@ -60,14 +63,14 @@ def url_key(url: Column) -> Column:
 
 
 def with_roles(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
-    """(key, page_id, url, payload, refers_to): payload groups found by digest, roles joined back."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), url_key(F.col("url")).alias("key"))
+    """(key, page_id, row, url, payload, refers_to): payload groups found by digest, roles joined back."""
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), url_key(F.col("url")).alias("key"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= revisit_from, F.unhex(F.sha1(F.col("payload").cast("binary")))))
     groups = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND digest IS NOT NULL").select("digest", "first_id")
     # stored first: the planner then knows the size, and moves no payloads for a small side
     groups = stored(groups, "warc-groups")
     copy = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(groups, "digest", "left").select("key", "page_id", "url", "payload", F.when(copy, F.col("first_id")).alias("refers_to"))
+    return rows.join(groups, "digest", "left").select("key", "page_id", "row", "url", "payload", F.when(copy, F.col("first_id")).alias("refers_to"))
 
 
 # -- records -----------------------------------------------------------------
@@ -135,11 +138,13 @@ class _Shard:
         self.lines: list[str] = []
         self.directory: list[str] = []
         self.first: tuple[str, int] | None = None
+        self.last: tuple[str, int] | None = None
         self.captures = 0
 
     def add(self, key: str, page_id: int, member: bytes) -> None:
         if self.first is None:
             self.first = (key, page_id)
+        self.last = (key, page_id)
         if not self.lines:
             self.block_first = f"{_line(key)}\t{page_id}"
         self.archive.write(member)
@@ -163,7 +168,7 @@ class _Shard:
         self.index.close()
         with self.fs.open_output_stream(f"{self.name}.dir.gz", compression=None) as f:
             f.write(zlib.compress("".join(self.directory).encode()))
-        return {"key": self.first[0], "page_id": self.first[1], "shard": self.name, "captures": self.captures, "blocks": len(self.directory)}
+        return {"key": self.first[0], "page_id": self.first[1], "last_key": self.last[0], "last_id": self.last[1], "shard": self.name, "captures": self.captures, "blocks": len(self.directory)}
 
 
 def _line(key: str) -> str:
@@ -171,7 +176,13 @@ def _line(key: str) -> str:
     return key.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n").replace("\r", "\\r") if not key.isprintable() or "\\" in key else key
 
 
-_MANIFEST = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("shard", pa.string()), ("captures", pa.int64()), ("blocks", pa.int64())])
+_MANIFEST = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("last_key", pa.string()), ("last_id", pa.int64()), ("shard", pa.string()), ("captures", pa.int64()), ("blocks", pa.int64())])
+
+
+def in_key_order(rows: DataFrame) -> DataFrame:
+    """Range partitions by key and page id; equal ones are cut by row number."""
+    order = ["key", F.col("page_id").asc_nulls_first(), "row"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
 
 
 def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, date: str = "2024-01-01T00:00:00Z") -> CaptureIndex:
@@ -192,12 +203,11 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, date: s
         if shard is not None:
             yield pa.RecordBatch.from_pylist([shard.close()], schema=_MANIFEST)
 
-    rows = with_roles(pages, revisit_from)
-    ordered = rows.repartitionByRange("key", F.col("page_id").asc_nulls_first()).sortWithinPartitions("key", F.col("page_id").asc_nulls_first())
-    manifest = stored(ordered.mapInArrow(write, "key string, page_id long, shard string, captures long, blocks long"), "warc-manifest")
-    # one row per archive
-    found = sorted((r["key"], r["page_id"], r["shard"]) for r in manifest.select("key", "page_id", "shard").collect())
-    return CaptureIndex(folder, [(k, p) for k, p, _ in found], [s for _, _, s in found])
+    ordered = in_key_order(with_roles(pages, revisit_from))
+    manifest = stored(ordered.mapInArrow(write, "key string, page_id long, last_key string, last_id long, shard string, captures long, blocks long"), "warc-manifest")
+    # one row per archive; of those with the same first key the one that goes beyond it comes last
+    found = sorted(((r["key"], r["page_id"]), (r["last_key"], r["last_id"]), r["shard"]) for r in manifest.drop("captures", "blocks").collect())
+    return CaptureIndex(folder, [first for first, _, _ in found], [s for _, _, s in found])
 
 
 # -- reading -----------------------------------------------------------------
@@ -270,11 +280,12 @@ def read_captures(index: CaptureIndex, queries: DataFrame) -> DataFrame:
     payload_bytes and payload_digest (both of the full payload).
     """
 
-    def shard_of(keys, page_ids):
+    def shards_of(keys, page_ids):
         import pandas as pd
 
-        at = [max(bisect.bisect_right(index.first, (k, _NULL_ID if pd.isna(p) else int(p))) - 1, 0) for k, p in zip(keys, page_ids, strict=True)]
-        return pd.Series(at, dtype="int32")
+        wanted = list(zip(keys, page_ids.tolist(), strict=True))
+        # the last shard that starts below the key may end with it; all that start at it hold it
+        return pd.Series([list(range(max(bisect.bisect_left(index.first, w) - 1, 0), bisect.bisect_right(index.first, w))) for w in wanted])
 
     def read(batches):
         fs, _ = resolve(index.folder)
@@ -297,7 +308,7 @@ def read_captures(index: CaptureIndex, queries: DataFrame) -> DataFrame:
     if not index.shard:
         return spark.createDataFrame([], fields)
     asked = queries.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long")).distinct()
-    asked = asked.withColumn("shard", F.pandas_udf(shard_of, "int")("key", F.col("page_id")))
+    asked = asked.withColumn("shard", F.explode(F.pandas_udf(shards_of, "array<int>")("key", F.coalesce("page_id", F.lit(_NULL_ID)))))  # without nulls, ids do not become floats
     ordered = asked.repartition("shard").sortWithinPartitions("shard", "key", F.col("page_id").asc_nulls_first())
     return ordered.mapInArrow(read, fields)
 

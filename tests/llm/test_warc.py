@@ -4,6 +4,7 @@ import hashlib
 
 import pyarrow.fs as fs
 from llm_helpers import collected, order, prose
+from pyspark.sql import functions as F
 
 from spendlens.llm import warc
 from spendlens.llm.common import new_folder
@@ -65,5 +66,26 @@ def test_files_are_gzip_members_and_lookups_hit_or_miss(spark):
     assert got == {3: None, 77: 69}
 
 
+def test_repeated_captures_across_archive_cuts(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300)
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    hot = [(None, None, f"<p>{prose(15, i)}</p>") for i in range(40)] + [(7, "http://h3.example.org/p3", f"<i>{prose(9, 60 + i)}</i>") for i in range(25)]
+    rows = PAGES + hot + [(5, "http://n.org/", "x"), (5, "http://n.org/", "x")] * 8
+    assert read(archive_round_trip(table(spark, rows))) == order(brute(rows))
+    # big ids beside nulls are kept apart
+    rows = [(i, "http://a.org/", f"<p>{i}</p>") for i in ((1 << 60) + 1, (1 << 60) + 2, None)] * 3
+    assert read(archive_round_trip(table(spark, rows))) == order(brute(rows))
+
+
+def test_a_hot_key_is_written_by_several_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = table(spark, [(None, None, f"<p>{i}</p>") for i in range(400)]).select("page_id", "url", "html")
+        tasks = warc.in_key_order(warc.with_roles(rows)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 300
+
+
 def test_empty_table(spark):
     assert collected(archive_round_trip(table(spark, []))) == []
