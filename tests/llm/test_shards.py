@@ -1,5 +1,5 @@
 import bisect
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from llm_helpers import collected, crc, documents, prose, texts
 from pyspark.sql import functions as F
@@ -25,6 +25,21 @@ def test_near_equal_bytes_even_with_a_hot_text(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.02 * sum(sizes) / 8 + 2 * 400
 
 
+def test_near_equal_bytes_even_with_repeated_rows(spark):
+    rows = [(i, prose(20, i % 200)) for i in range(2000)] + [(None, "hot row " * 9)] * 1000 + [(77, "again and again " * 5)] * 1000
+    got = collected(histogram_shards(documents(spark, rows), n_shards=8).select("doc_id", "text", "size", "shard", "slot"))
+    assert Counter((i, t) for i, t, *_ in got) == Counter(rows)
+    sizes, slots = Counter(), defaultdict(list)
+    for _, _, size, shard, slot in got:
+        sizes[shard] += size
+        slots[shard].append(slot)
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 8 + 2 * 400
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    # equal texts of a shard follow each other
+    hot = {s: [x for _, t, _, shard, x in got if shard == s and t.startswith("hot row")] for s in sizes}
+    assert all(max(x) - min(x) == len(x) - 1 for x in hot.values() if x) and sum(map(bool, hot.values())) > 1
+
+
 def test_splitter_counts_are_exact(spark):
     rows = [(i * 7919 % 1000003, i * 104729 % 1000, 1 + i % 50) for i in range(3000)]
     rows = [(a << 43, b << 53, s) for a, b, s in rows]
