@@ -9,8 +9,11 @@
 3. From the depth of the longest shared prefix and the estimated similarity of
    all pairs met, the prefixes are shortened from ``DEPTH`` on until the
    recall estimated for pairs at or above the threshold reaches the target.
-4. Pairs left by signature (threshold less five standard errors) are verified
-   on the exact shingle sets of the whole texts, many pairs of a cell at once.
+   That depth is only reported: it is an estimate over all pairs together, in
+   which a large group of very similar texts outweighs marginal pairs elsewhere.
+4. All pairs met and left by signature (threshold less five standard errors)
+   are verified, whatever the depth of their prefix, on the exact shingle sets
+   of the whole texts, many pairs of a cell at once.
    A cell gives one row per linked class (its links there, its local group),
    never a row per pair; link counts add up as each pair has one owner.
 5. Groups are joined to components in Spark.
@@ -274,7 +277,7 @@ def _groups(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verify(k: int, threshold: float, depth: int):
+def _verify(k: int, threshold: float):
     """Links of cells; a cell comes as its header (pairs) and then its texts by position."""
 
     def run(batches):
@@ -283,8 +286,7 @@ def _verify(k: int, threshold: float, depth: int):
         def finish():
             if not state:
                 return None
-            d = np.frombuffer(state["depth"], np.uint8)
-            a, b = (np.frombuffer(state[x], "<i4")[d >= depth] for x in "ab")
+            a, b = (np.frombuffer(state[x], "<i4") for x in "ab")
             texts = [t.encode() for t in state["texts"]]
             data = np.frombuffer(b"".join(texts), np.uint8)
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -310,7 +312,7 @@ def _verify(k: int, threshold: float, depth: int):
                 if r["pos"] < 0:
                     if found := finish():
                         yield rows(found)
-                    state = {"a": r["a"], "b": r["b"], "depth": r["depth"], "texts": [], "keys": []}
+                    state = {"a": r["a"], "b": r["b"], "texts": [], "keys": []}
                 else:
                     state["texts"].append(r["text"])
                     state["keys"].append(r["key"])
@@ -326,6 +328,8 @@ def _verify(k: int, threshold: float, depth: int):
 def similarity_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, target_recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, tuple[int, float]]:
     """(documents with key, links by key, (prefix depth, estimated recall)).
 
+    The depth is the longest at which the recall estimated over all pairs would
+    reach the target; links come from all pairs that meet at ``SHORTEST``.
     Links: (key, n, root) - of each linked class the classes it links to in a
     cell, and one member of its group there.
     """
@@ -351,10 +355,10 @@ def similarity_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, target
     needed = places.select("key").distinct().join(classes.select("key", "rep"), "key")
     texts = rows.join(needed, (rows["key"] == needed["key"]) & rows["doc_id"].eqNullSafe(needed["rep"])).select(rows["key"], "text").dropDuplicates(["key"])
     none = F.lit(None).cast("binary")
-    bodies = places.join(texts, "key").select("cell", "pos", "key", "text", none.alias("a"), none.alias("b"), none.alias("depth"))
-    heads = cells.select("cell", F.lit(-1).alias("pos"), none.alias("key"), F.lit(None).cast("string").alias("text"), "a", "b", "depth")
+    bodies = places.join(texts, "key").select("cell", "pos", "key", "text", none.alias("a"), none.alias("b"))
+    heads = cells.select("cell", F.lit(-1).alias("pos"), none.alias("key"), F.lit(None).cast("string").alias("text"), "a", "b")
     together = bodies.unionByName(heads).repartition("cell").sortWithinPartitions("cell", "pos")
-    links = stored(together.mapInArrow(_verify(k, threshold, depth), "key binary, n long, root binary"), "forest-links")
+    links = stored(together.mapInArrow(_verify(k, threshold), "key binary, n long, root binary"), "forest-links")
     return signed.select("doc_id", "key"), links, (depth, recall)
 
 

@@ -76,6 +76,17 @@ def test_one_of_each_class_stays(spark):
     assert sorted(x for x in ids if x is not None) == sorted({c for _, c, _, _ in want if c is not None})
 
 
+def test_a_hot_group_costs_no_marginal_links(spark):
+    # of 3,000 such pairs the one that shares no prefix of 8 minima
+    draw = random.Random(998)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+    pair = [" ".join(words), " ".join(["first", *words[1:30], "other", *words[31:]])]
+    hot = prose(400, 11)
+    rows = [(0, pair[0]), (1, pair[1])] + [(10 + i, f"{hot} end{i}") for i in range(60)]
+    got = J.near_duplicate_classes(documents(spark, rows))
+    assert order(collected(got)) == order(brute(rows))
+
+
 def test_empty_table(spark):
     assert collected(J.near_duplicate_classes(documents(spark, []))) == []
 
