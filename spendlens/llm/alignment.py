@@ -43,7 +43,11 @@ from .packing import pack_multisets, unpack_multisets
 B_SPACE = 1 << 15
 #: pairs sent to every task (24 bytes each)
 HOT_PAIRS = 1 << 18
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
+#: longer segments go to the tokenizer itself
+LONG = 400
+# Fixed value: how byte-level BPE splits text before merging.
+BYTE_LEVEL_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: distinct links a task holds before it hands their counts on
 HELD_LINKS = 1 << 21
 
@@ -107,6 +111,53 @@ def segments(text: str) -> list[str]:
     return out
 
 
+class TokenBytes:
+    """The bytes of all tokens of a vocabulary in one array."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.length) - self.length
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def spells(self, ids: np.ndarray, segment: np.ndarray, raw: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each segment spell its bytes."""
+        n = self.length[ids]
+        ends = np.cumsum(n)
+        made = self.data[np.repeat(self.start[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        total = np.bincount(segment, weights=n, minlength=len(raw)).astype(np.int64)
+        good = total == size
+        want = np.frombuffer(b"".join([r for r, ok in zip(raw, good.tolist(), strict=True) if ok]), np.uint8)
+        have = made[np.repeat(good, total)]
+        wrong = np.repeat(np.arange(len(raw)), np.where(good, size, 0))[have != want]
+        good[wrong] = False
+        return good
+
+
+def ranked_bpe(path: str, tokens: list[bytes]):
+    """The same byte-level BPE by token rank (tiktoken), which encodes short texts much faster.
+
+    Only for a vocabulary whose merges make tokens in the order of their ids, split by the
+    byte-level rule; None for any other.
+    """
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    plain = plain and not model.get("dropout") and not model.get("ignore_merges") and not model.get("byte_fallback")
+    if not plain:
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get(x + y, -1) for x, y in pairs]
+    bytes_first = sorted(model["vocab"][c] for c in byte_letters().values() if c in model["vocab"])
+    if len(bytes_first) != 256 or made != list(range(256, 256 + len(made))) or bytes_first != list(range(256)):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks={tokens[i]: i for i in range(256 + len(made))}, special_tokens={})
+
+
 class Aligner:
     """Aligned segments of a worker: ids are kept as link keys, same-byte A ids and the groups' text."""
 
@@ -116,8 +167,8 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = load_pair(path_a, path_b)
         self.vocab = vocabularies(path_a, path_b)
-        self.a_len = np.array([len(x) for x in self.vocab.a_bytes], np.int64)
-        self.b_len = np.array([len(x) for x in self.vocab.b_bytes], np.int64)
+        self.bytes_a, self.bytes_b = TokenBytes(self.vocab.a_bytes), TokenBytes(self.vocab.b_bytes)
+        self.ranked = ranked_bpe(path_a, self.vocab.a_bytes)
         self._clear()
 
     def _clear(self) -> None:
@@ -127,6 +178,12 @@ class Aligner:
         self.pools = {"same": (np.zeros(0, np.int64), np.zeros(1, np.int64)), "link": (np.zeros(0, np.int64), np.zeros(1, np.int64))}
         self.bytes = 0
 
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked is None:
+            return [e.ids for lo in range(0, len(texts), 10_000) for e in self.a.encode_batch(texts[lo : lo + 10_000], add_special_tokens=False)]
+        ordinary, library = self.ranked.encode_ordinary, self.a.encode
+        return [ordinary(t) if len(t) < LONG else library(t, add_special_tokens=False).ids for t in texts]
+
     def _take(self, name: str, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values of the segments in order, how many each has)."""
         pool, bounds = self.pools[name]
@@ -152,40 +209,58 @@ class Aligner:
             self._clear()
 
     def _add(self, new: list[str]) -> None:
-        ids_a = [e.ids for lo in range(0, len(new), 10_000) for e in self.a.encode_batch([" " + s for s in new[lo : lo + 10_000]], add_special_tokens=False)]
+        ids_a = self.encode_a([" " + s for s in new])
         ids_b = self.b.encode(new, num_threads=1) if new else []
-        spell_a, spell_b = self.vocab.a_bytes.__getitem__, self.vocab.b_bytes.__getitem__
         raw = [(" " + s).encode() for s in new]
-        good = np.array([b"".join(map(spell_a, x)) == r == b"".join(map(spell_b, y)) for x, y, r in zip(ids_a, ids_b, raw, strict=True)], bool)
-        which = np.flatnonzero(good)
-        flat_a = np.fromiter(chain.from_iterable(ids_a[i] for i in which.tolist()), np.int64)
-        flat_b = np.fromiter(chain.from_iterable(ids_b[i] for i in which.tolist()), np.int64)
-        end_a, end_b = np.cumsum(self.a_len[flat_a]), np.cumsum(self.b_len[flat_b])
-        seg_end = np.cumsum([len(raw[i]) for i in which.tolist()]).astype(np.int64)
-        cut = np.intersect1d(end_a, end_b, assume_unique=True)
-        n_a = np.bincount(np.searchsorted(cut, end_a), minlength=len(cut))
-        n_b = np.bincount(np.searchsorted(cut, end_b), minlength=len(cut))
-        last_a, last_b = np.cumsum(n_a) - 1, np.cumsum(n_b) - 1
-        a, b = flat_a[last_a], flat_b[last_b]
+        n_new = len(new)
+        size = np.fromiter(map(len, raw), np.int64, n_new)
+        good = np.ones(n_new, bool)
+        flat, of_seg = [], []
+        for ids, table in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            count = np.fromiter(map(len, ids), np.int64, n_new)
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int64, int(count.sum())))
+            of_seg.append(np.repeat(np.arange(n_new), count))
+            good &= table.spells(flat[-1], of_seg[-1], raw, size)
+        (flat_a, flat_b), (seg_a, seg_b) = ([f[good[o]] for f, o in zip(flat, of_seg, strict=True)], [o[good[o]] for o in of_seg])
+        end_a, end_b = np.cumsum(self.bytes_a.length[flat_a]), np.cumsum(self.bytes_b.length[flat_b])
+        cut, at_a, _ = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
+        group_a, group_b = np.searchsorted(cut, end_a), np.searchsorted(cut, end_b)
+        n_a, n_b = np.bincount(group_a, minlength=len(cut)), np.bincount(group_b, minlength=len(cut))
+        a, b = flat_a[np.cumsum(n_a) - 1], flat_b[np.cumsum(n_b) - 1]
         same = (n_a == 1) & (n_b == 1) & (self.vocab.same[a] == b)
-        of = which[np.searchsorted(seg_end, cut)] if len(cut) else cut
-        n_groups = np.bincount(of, minlength=len(new))
-        fact = np.zeros((len(new), 4), np.int64)
-        fact[:, 0] = np.bincount(of, weights=n_a, minlength=len(new))
-        fact[:, 1] = np.bincount(of, weights=n_b, minlength=len(new))
-        fact[:, 2], fact[:, 3] = n_groups, good
+        of = seg_a[at_a]
+        n_groups = np.bincount(of, minlength=n_new)
+        fact = np.stack([np.bincount(seg_a, minlength=n_new), np.bincount(seg_b, minlength=n_new), n_groups, good], axis=1)
         self.fact = np.concatenate([self.fact, fact])
-        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.seen = np.concatenate([self.seen, np.zeros(n_new, np.int64)])
         for name, values, mask in (("same", a, same), ("link", a * B_SPACE + b, ~same)):
             pool, bounds = self.pools[name]
-            n = np.bincount(of[mask], minlength=len(new))
+            n = np.bincount(of[mask], minlength=n_new)
             self.pools[name] = np.concatenate([pool, values[mask]]), np.concatenate([bounds, bounds[-1] + np.cumsum(n)])
-        sa, sb = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        groups = [f"{','.join(sa[i:j])}|{','.join(sb[k:m])}" for i, j, k, m in zip((last_a - n_a + 1).tolist(), (last_a + 1).tolist(), (last_b - n_b + 1).tolist(), (last_b + 1).tolist(), strict=True)]
-        at = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-        made = [";".join(groups[i:j]).encode() for i, j in zip(at[:-1], at[1:], strict=True)]
+        made = self._texts(flat_a, flat_b, group_a, group_b, n_a, n_b, n_groups)
         self.text += made
-        self.bytes += sum(map(len, made)) + sum(map(len, raw))
+        self.bytes += sum(map(len, made)) + int(size.sum())
+
+    @staticmethod
+    def _texts(flat_a, flat_b, group_a, group_b, n_a, n_b, n_groups) -> list[bytes]:
+        """``a1,a2|b1;a3|b2`` of each segment, written for all of them at once."""
+        before_a, before_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
+        place_a = np.arange(len(flat_a)) + before_b[group_a]
+        place_b = np.arange(len(flat_b)) + before_a[group_b + 1]
+        ids, mark = np.empty(len(flat_a) + len(flat_b), np.int64), np.full(len(flat_a) + len(flat_b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = flat_a, flat_b
+        ends_a, ends_b = place_a[before_a[1:] - 1], place_b[before_b[1:] - 1]
+        mark[ends_a], mark[ends_b] = ord("|"), ord(";")
+        powers = 10 ** np.arange(5, -1, -1)
+        digits = ((ids[:, None] // powers) % 10 + ord("0")).astype(np.uint8)
+        width = np.searchsorted(powers[::-1][1:], ids, "right") + 1  # of each id
+        cells = np.concatenate([digits, mark[:, None]], axis=1)
+        shown = np.arange(7) >= 6 - width[:, None]
+        out = cells[shown].tobytes()
+        # a segment's text ends before the mark of its last group
+        last = np.cumsum(width + 1)[ends_b]
+        ends = np.concatenate([[0], last])[np.cumsum(n_groups)].tolist()
+        return [out[lo : max(lo, hi - 1)] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
 
     def align(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(table row of every segment, bounds of the texts) of a string column (null: no segment)."""
@@ -199,8 +274,13 @@ class Aligner:
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
         # texts in which a piece is no segment of its own are cut one by one
-        blank = np.array([not p for p in names], bool)
-        opens = np.array([bool(p) and _opens(p) for p in names], bool)
+        spelled, at = text_buffer(coded.dictionary)
+        blank = np.diff(at) == 0
+        first = np.zeros(len(names), np.uint8)
+        first[~blank] = spelled[at[:-1][~blank]]
+        opens = (first >= 0x21) & (first <= 0x7E)
+        other = np.flatnonzero(first >= 0x80)
+        opens[other] = [_opens(names[i]) for i in other.tolist()]
         starts = opens[index] if len(names) else np.zeros(0, bool)
         if len(index):
             starts[1:] &= ~blank[index[:-1]]
@@ -213,7 +293,7 @@ class Aligner:
         used[index[plain]] = True
         of_name = np.zeros(len(names), np.int64)
         at = np.flatnonzero(used)
-        of_name[at] = [self.rows[names[i]] for i in at.tolist()]
+        of_name[at] = list(map(self.rows.__getitem__, names if len(at) == len(names) else [names[i] for i in at.tolist()]))
         row = of_name[index]
         if odd.any():
             parts, counts = [], np.diff(bounds).copy()
