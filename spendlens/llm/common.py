@@ -7,7 +7,6 @@ numpy / pyarrow but not this package on their path.
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Iterator
@@ -19,6 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
@@ -26,19 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares (``spark.checkpoint.dir``).
-
-    Only a purely local session without the setting gets a scratch folder; on a
-    cluster a missing setting is an error, not a machine-local fallback.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        path = tempfile.mkdtemp(prefix="spendlens-llm-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """The folder every executor shares."""
+    return ensure_checkpoint_dir(spark).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -84,13 +74,44 @@ def keyed(df: DataFrame, **columns: str) -> DataFrame:
 # -- inside Python tasks -----------------------------------------------------
 
 
-def process_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker (reused from task to task)."""
+def _caches() -> dict:
     key = "_spendlens_worker_cache"
     mod = sys.modules.get(key)
     if mod is None:
         mod = sys.modules[key] = types.ModuleType(key)
-    return mod.__dict__.setdefault(name, {})
+    return mod.__dict__
+
+
+def process_cache(name: str) -> dict:
+    """A dict that lives in the Python worker (reused from task to task) until another operator begins there."""
+    return _caches().setdefault(name, {})
+
+
+def new_owner() -> str:
+    """Names one call of an operator, whose tasks share what their workers cache."""
+    return uuid.uuid4().hex
+
+
+def begin(owner: str) -> None:
+    """Drop what the worker still keeps of other operators' calls."""
+    kept = _caches()
+    if kept.get("_owner") != owner:
+        for name in [n for n, v in kept.items() if isinstance(v, dict)]:
+            del kept[name]
+        kept["_owner"] = owner
+        release_memory()
+
+
+def owned(owner: str, fn):
+    """``fn`` for ``mapInArrow`` as part of one operator call: its workers hold no other call's
+    caches, and give freed memory back after each task."""
+
+    def run(batches):
+        begin(owner)
+        yield from fn(batches)
+        release_memory()
+
+    return run
 
 
 def release_memory() -> None:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, ascii_classes, keyed, mixed, new_folder, process_cache, release_memory, row_slices, span_hashes, stored, text_buffer
+from .common import Words, ascii_classes, keyed, mixed, new_folder, new_owner, owned, process_cache, row_slices, span_hashes, stored, text_buffer
 from .files import resolve
 from .frequent import frequent_from
 from .log_bloom import KEY_BITS, PART_SCHEMA, LogBloom, build_filter, counted, loaded, parts
@@ -41,9 +41,9 @@ HOT_WORDS = 1 << 20
 HOT_LENGTH = 48
 #: training text (bytes) a shard of the filter stands for
 SHARD_TEXT = 4 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: n-gram keys a task holds before it hands their counts on
-HELD_KEYS = 6 << 20
+HELD_KEYS = 4 << 20
 
 _BEGIN, _END = np.uint64(0x51ED270B9F652295), np.uint64(0xA24BAED4963EE407)
 _SEPARATORS = {0x20, *range(0x09, 0x0E)}
@@ -74,7 +74,7 @@ class Tokens:
         self.row = words.row
         first = np.zeros(len(self.names), np.int64)
         first[self.index[::-1]] = np.arange(len(words))[::-1]
-        name_hash = span_hashes(words.canon, words.start[first], words.end[first])
+        self.name_hash = name_hash = span_hashes(words.canon, words.start[first], words.end[first])
         # each text as begin, words, end
         size = self.per_row + 2
         last = np.cumsum(size) - 1
@@ -84,6 +84,9 @@ class Tokens:
         inner = np.ones(len(h), bool)
         inner[self.start] = inner[last] = False
         h[inner] = name_hash[self.index]
+        self.inner = inner
+        #: keys of the distinct words, then of the begin and the end
+        self.word_keys = mixed(np.append(name_hash, [_BEGIN, _END])) >> np.uint64(64 - KEY_BITS)
         self.seq_row = np.repeat(np.arange(n), size)
         self.is_begin = np.zeros(len(h), bool)
         self.is_begin[self.start] = True
@@ -119,7 +122,6 @@ def _count_words(lut: np.ndarray):
                     held = []
         if held:
             yield from merged().to_batches()
-        release_memory()
 
     return count
 
@@ -142,41 +144,65 @@ def _count_grams(lut: np.ndarray, order: int, shard_bits: int):
                         keys, n = keys[:0], n[:0]
         keys, n = counted(np.concatenate([keys, *fresh]), np.concatenate([n, np.ones(n_fresh, np.int64)]))
         yield parts(keys, n, shard_bits)
-        release_memory()
 
     return count
 
 
-def train_filter(docs: DataFrame, *, order: int = 2, shard_text: int = SHARD_TEXT, **options) -> LogBloom:
+def train_filter(docs: DataFrame, owner: str, *, order: int = 2, shard_text: int = SHARD_TEXT, **options) -> LogBloom:
     """Filter of all n-grams up to ``order`` of the training rows of (text, train)."""
     size = docs.where("train").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     shard_bits = max(1, int(-(-size // shard_text)).bit_length())
-    partial = docs.select("text", "train").mapInArrow(_count_grams(word_classes(), order, shard_bits), PART_SCHEMA)
+    partial = docs.select("text", "train").mapInArrow(owned(owner, _count_grams(word_classes(), order, shard_bits)), PART_SCHEMA)
     return build_filter(partial, shard_bits, **options)
 
 
-def _hot_words(path: str) -> tuple[pa.Array, np.ndarray]:
-    """(words with their space, counts) of the stored table of frequent words."""
+def _hot_words(path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words with their space, counts, hashes) of the stored table of frequent words, by hash."""
     cache = process_cache("hot-words")
     if path not in cache:
         import pyarrow.dataset as ds
 
         fs, place = resolve(path)
-        t = ds.dataset(place, filesystem=fs, format="parquet").to_table(columns=["word", "n"])
+        t = ds.dataset(place, filesystem=fs, format="parquet").to_table(columns=["word", "n"]).combine_chunks()
+        data, at = text_buffer(t.column("word"))
+        hashes = span_hashes(data, at[:-1], at[1:] - 1)
+        by = np.argsort(hashes, kind="stable")
         cache.clear()
-        cache[path] = t.column("word").combine_chunks().cast(pa.binary()), t.column("n").to_numpy()
+        cache[path] = t.column("word").combine_chunks().cast(pa.binary()).take(pa.array(by)), t.column("n").to_numpy()[by], hashes[by]
     return cache[path]
 
 
+def hot_counts(t: "Tokens", path: str) -> np.ndarray:
+    """Count of each distinct word of the slice that is a frequent one, else -1."""
+    words, counts, hashes = _hot_words(path)
+    out = np.full(len(t.names), -1, np.int64)
+    if not len(words) or not len(out):
+        return out
+    at = np.minimum(np.searchsorted(hashes, t.name_hash), len(hashes) - 1)
+    # words of equal hash stand side by side; bytes decide
+    open_ = np.flatnonzero(hashes[at] == t.name_hash)
+    at = at[open_]
+    while len(open_):
+        same = pc.equal(t.names.take(pa.array(open_)), words.take(pa.array(at))).to_numpy(zero_copy_only=False)
+        out[open_[same]] = counts[at[same]]
+        open_, at = open_[~same], at[~same] + 1
+        more = (at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == t.name_hash[open_])
+        open_, at = open_[more], at[more]
+    return out
+
+
 def gram_levels(t: Tokens, bloom: LogBloom, lo: int, hi: int) -> np.ndarray:
-    """[order, tokens] levels of the n-grams in the round's shards (0 for all others)."""
+    """[order, tokens] levels of the n-grams in the round's shards (0 for all others); each distinct
+    n-gram of the slice is probed once."""
     table = loaded(bloom, lo, hi)
     out = np.zeros((len(t.grams), len(t.depth)), np.uint8)
-    for k, g in enumerate(t.grams):
+    word = table.levels(t.word_keys)
+    out[0, t.inner] = word[:-2][t.index]
+    out[0, ~t.inner] = np.where(t.is_begin[~t.inner], word[-2], word[-1])
+    for k, g in enumerate(t.grams[1:], 1):
         at = np.flatnonzero(t.depth >= k)
-        level = np.zeros(len(at), np.uint8)
-        table.add_levels(g[at], level)
-        out[k, at] = level
+        keys, place = np.unique(g[at], return_inverse=True)
+        out[k, at] = table.levels(keys)[place]
     return out
 
 
@@ -213,7 +239,6 @@ def _score(lut: np.ndarray, order: int, bloom: LogBloom, which: int, hot_path: s
                     yield _scored(batch.slice(a, b - a), t, levels)
                 else:
                     yield _kept(batch.slice(a, b - a), t, levels)
-        release_memory()
 
     def _by_order(old: np.ndarray, t: Tokens, order: int) -> np.ndarray:
         return old.reshape(-1, order).T if len(old) else np.zeros((order, 0), np.uint8)
@@ -226,12 +251,9 @@ def _score(lut: np.ndarray, order: int, bloom: LogBloom, which: int, hot_path: s
 
     def _scored(batch, t: Tokens, levels: np.ndarray) -> pa.RecordBatch:
         scores = log_probabilities(levels, t, estimates, n, v, mass)
-        words, counts = _hot_words(hot_path)
-        place = pc.index_in(t.names, value_set=words).to_numpy(zero_copy_only=False) if len(words) else np.full(len(t.names), np.nan)
-        hot = ~np.isnan(place.astype(float))
-        count = np.zeros(len(t.names))
-        count[hot] = counts[place[hot].astype(np.int64)]
-        logs = np.where(hot, np.log10(count + 1), 0.0)
+        count = hot_counts(t, hot_path)
+        hot = count >= 0
+        logs = np.log10(np.maximum(count, 0) + 1.0)
         base = np.bincount(t.row, weights=logs[t.index], minlength=t.n_rows) + np.log10(ends + 1)
         known = np.bincount(t.row, weights=hot[t.index], minlength=t.n_rows).astype(np.int64) + (ends > 0)
         rare = ~hot[t.index]
@@ -264,17 +286,17 @@ def score_texts(
     mass: float = 4.0,
     hot_words: int = HOT_WORDS,
     shard_text: int = SHARD_TEXT,
-    bits_per_entry: int = 10,
+    bits_per_entry: int = 12,
     round_bytes: int = 128 << 20,
 ) -> DataFrame:
     """Every text with its token counts, exact unigram base score and model score.
 
     ``train`` (over a column ``doc_id``) chooses the rows learnt from.
     """
-    spark = docs.sparkSession
+    spark, owner = docs.sparkSession, new_owner()
     rows = keyed(docs, doc_id=doc_id, text=text).withColumn("train", in_training(F.col("doc_id")) if train is None else train)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    words = stored(rows.select("text", "train").mapInArrow(_count_words(word_classes()), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = stored(rows.select("text", "train").mapInArrow(owned(owner, _count_words(word_classes())), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = rows.where("train").count()
     n, v = total["n"] + ends, total["v"] + (1 if ends else 0)
@@ -282,15 +304,15 @@ def score_texts(
     least = frequent_from(words.where(short), "n", hot_words)
     hot_path = new_folder(spark, "hot-words")
     words.where(short & (F.col("n") >= least)).write.parquet(hot_path)
-    bloom = train_filter(rows, order=order, shard_text=shard_text, bits_per_entry=bits_per_entry, round_bytes=round_bytes)
+    bloom = train_filter(rows, owner, order=order, shard_text=shard_text, bits_per_entry=bits_per_entry, round_bytes=round_bytes)
     made = rows.withColumn("levels", F.lit(None).cast("binary"))
     lut = word_classes()
     for which in range(len(bloom.rounds) - 1):
         step = _score(lut, order, bloom, which, hot_path, n, v, ends, mass)
-        made = stored(made.mapInArrow(step, f"doc_id {kind}, text string, train boolean, levels binary"), "levels")
+        made = stored(made.mapInArrow(owned(owner, step), f"doc_id {kind}, text string, train boolean, levels binary"), "levels")
     step = _score(lut, order, bloom, len(bloom.rounds) - 1, hot_path, n, v, ends, mass)
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, times: int>>"
-    made = stored(made.mapInArrow(step, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
+    made = stored(made.mapInArrow(owned(owner, step), schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
     others = words.where(~short | (F.col("n") < least))
     asked = made.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.times")
     found = asked.join(others, "word").groupBy("_row").agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_logs"))

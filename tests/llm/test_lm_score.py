@@ -86,6 +86,24 @@ def test_keys_and_counts():
     assert level_of(np.array([1, 2, 3, 4, 10**6]), 1.5).tolist() == [1, 2, 3, 4, 35]
 
 
+def test_filter_never_counts_too_low_and_seldom_too_high():
+    from spendlens.llm.log_bloom import Loaded, _build, parts
+
+    draw = np.random.default_rng(3)
+    keys = np.unique(draw.integers(0, 1 << 48, 40_000, dtype=np.uint64))
+    counts = np.minimum(draw.zipf(1.7, len(keys)), 10_000)
+    made = _build(1.5, 4, 12)(pa.Table.from_batches([parts(keys, counts, 1)]).slice(0, 1))
+    table = Loaded.__new__(Loaded)
+    table.bloom, table.lo, table.hi = LogBloom("", 1, 1.5, 4, [(0, 1)], 0, 0), 0, 1
+    table.data = np.frombuffer(made["bits"][0].as_py(), "<u8")
+    table.words, table.start = np.array([len(table.data), 0], np.uint64), np.zeros(2, np.int64)
+    mine = keys < np.uint64(1 << 47)
+    got, want = table.levels(keys[mine]).astype(int), level_of(counts[mine], 1.5)
+    assert (got >= want).all() and (got > want).mean() < 0.03
+    unseen = np.setdiff1d(draw.integers(0, 1 << 47, 40_000, dtype=np.uint64), keys)
+    assert (table.levels(unseen) > 0).mean() < 0.03 and not table.levels(keys[~mine]).any()
+
+
 def test_table_of_words_is_exact_for_repeated_words():
     from spendlens.llm.lm_score import Tokens, word_classes
 
