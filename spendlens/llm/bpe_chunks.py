@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE_VALUES, _INVERSE, _powers, keyed, new_folder, release_memory, row_slices, text_buffer
+from .common import _BASE, _BYTE_VALUES, _INVERSE, _powers, keyed, new_folder, new_owner, owned, row_slices, text_buffer
 from .encoders import SpaceSegments, load_tokenizer, segment_table
 
 WINDOW = 32
@@ -104,7 +104,7 @@ def _bit_places(keys: list[bytes], bits: int) -> np.ndarray:
     return (words & np.uint32(bits - 1)).astype(np.int64)
 
 
-def shared_filter(keys: DataFrame, max_bits: int = 1 << 26) -> np.ndarray:
+def shared_filter(keys: DataFrame, owner: str, max_bits: int = 1 << 26) -> np.ndarray:
     """Bytes of a filter with 4 bits per key; at most ``max_bits`` (8 MB) for any input."""
     n = keys.count()
     bits = min(max_bits, max(1 << 13, 1 << (16 * n).bit_length()))
@@ -118,7 +118,7 @@ def shared_filter(keys: DataFrame, max_bits: int = 1 << 26) -> np.ndarray:
         used = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(w[used])], ["word", "bits"])
 
-    got = keys.mapInArrow(words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    got = keys.mapInArrow(owned(owner, words), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out.view(np.uint8)
@@ -165,7 +165,7 @@ class _Output:
 # -- jobs --------------------------------------------------------------------
 
 
-def shared_chunks(rows: DataFrame, mean_bytes: int) -> DataFrame:
+def shared_chunks(rows: DataFrame, mean_bytes: int, owner: str) -> DataFrame:
     """Keys of chunks that occur twice or more in the corpus."""
 
     def count(batches):
@@ -179,12 +179,11 @@ def shared_chunks(rows: DataFrame, mean_bytes: int) -> DataFrame:
                 for k in _keys(part.tobytes(), edges.tolist()):
                     seen[k] = seen.get(k, 0) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["key", "n"])
-        release_memory()
 
-    return rows.select("text").mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    return rows.select("text").mapInArrow(owned(owner, count), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
 
 
-def _pieces(rows: DataFrame, tokenizer: str, have: np.ndarray, mean_bytes: int, width: str, out: _Output) -> DataFrame:
+def _pieces(rows: DataFrame, tokenizer: str, have: np.ndarray, mean_bytes: int, width: str, out: _Output, owner: str) -> DataFrame:
     """Rows by kind: finished documents, windows, chunk references, chunk texts (once a slice)."""
     empty = {"kind": pa.int32(), "rid": pa.int64(), "doc_id": pa.int64(), "pos": pa.int32(), "key": pa.binary(), "payload": pa.binary()}
     schema = pa.schema([*map(pa.field, empty, empty.values()), *out.fields])
@@ -243,12 +242,11 @@ def _pieces(rows: DataFrame, tokenizer: str, have: np.ndarray, mean_bytes: int,
                     yield as_rows(len(refs), {"kind": pa.array([_REF] * len(refs), pa.int32()), "rid": pa.array([rid + r for r, _, _ in refs], pa.int64()), "doc_id": pa.array([ids_in[lo + r] for r, _, _ in refs], pa.int64()), "pos": pa.array([p for _, p, _ in refs], pa.int32()), "key": pa.array([k for _, _, k in refs], pa.binary())})
                     yield as_rows(len(store), {"kind": pa.array([_TEXT] * len(store), pa.int32()), "key": pa.array(list(store), pa.binary()), "payload": pa.array(list(store.values()), pa.binary())})
                 rid += hi - lo
-        release_memory()
 
-    return rows.mapInArrow(run, _PIECES + out.sql)
+    return rows.mapInArrow(owned(owner, run), _PIECES + out.sql)
 
 
-def _encoded_chunks(pieces: DataFrame, tokenizer: str, width: str) -> DataFrame:
+def _encoded_chunks(pieces: DataFrame, tokenizer: str, width: str, owner: str) -> DataFrame:
     """(key, ids of the chunk's middle): each distinct shared chunk encoded once."""
 
     def run(batches):
@@ -262,10 +260,10 @@ def _encoded_chunks(pieces: DataFrame, tokenizer: str, width: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["key"], pa.array([ids[i:j].astype(width).tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], ["key", "payload"])
 
     once = pieces.where(F.col("kind") == _TEXT).groupBy("key").agg(F.first("payload").alias("payload"))
-    return once.mapInArrow(run, "key binary, payload binary")
+    return once.mapInArrow(owned(owner, run), "key binary, payload binary")
 
 
-def _put_together(parts: DataFrame, width: str, out: _Output) -> DataFrame:
+def _put_together(parts: DataFrame, width: str, out: _Output, owner: str) -> DataFrame:
     """Documents from their windows and chunk ids, in order of position."""
 
     def run(batches):
@@ -292,10 +290,9 @@ def _put_together(parts: DataFrame, width: str, out: _Output) -> DataFrame:
             ready.append((doc[1], np.frombuffer(b"".join(got), width)))
         if ready:
             yield flush()
-        release_memory()
 
     ordered = parts.repartition("rid").sortWithinPartitions("rid", "pos")
-    return ordered.select("rid", "doc_id", "payload").mapInArrow(run, "doc_id long" + out.sql)
+    return ordered.select("rid", "doc_id", "payload").mapInArrow(owned(owner, run), "doc_id long" + out.sql)
 
 
 def encode_by_chunks(docs: DataFrame, tokenizer: str, columns: list[str] | None = None, mean_bytes: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,17 +308,18 @@ def encode_by_chunks(docs: DataFrame, tokenizer: str, columns: list[str] | None
     width = "<u2" if load_tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
     out = _Output(tokenizer, columns or ["ids"])
     keys_at = new_folder(spark, "bpe-shared")
-    shared_chunks(rows, mean_bytes).write.parquet(keys_at)
-    have = shared_filter(spark.read.schema("key binary").parquet(keys_at))
-    made = _pieces(rows, tokenizer, have, mean_bytes, width, out)
+    owner = new_owner()
+    shared_chunks(rows, mean_bytes, owner).write.parquet(keys_at)
+    have = shared_filter(spark.read.schema("key binary").parquet(keys_at), owner)
+    made = _pieces(rows, tokenizer, have, mean_bytes, width, out, owner)
     at = new_folder(spark, "bpe-pieces")
     made.write.option("compression", "zstd").partitionBy("kind").parquet(at)
     pieces = spark.read.schema(made.schema).parquet(at)
-    chunks = _encoded_chunks(pieces, tokenizer, width)
+    chunks = _encoded_chunks(pieces, tokenizer, width, owner)
     refs = pieces.where(F.col("kind") == _REF).select("rid", "doc_id", "pos", "key").join(chunks, "key").select("rid", "doc_id", "pos", "payload")
     windows = pieces.where(F.col("kind") == _LOCAL).select("rid", "doc_id", "pos", "payload")
     whole = pieces.where(F.col("kind") == _WHOLE).select("doc_id", *out.columns)
-    return whole.unionByName(_put_together(refs.unionByName(windows), width, out))
+    return whole.unionByName(_put_together(refs.unionByName(windows), width, out, owner))
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -332,4 +330,4 @@ def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(tok.decode_batch([x or [] for x in b["ids"].to_pylist()], skip_special_tokens=False), pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(owned(new_owner(), run), "doc_id long, text string")

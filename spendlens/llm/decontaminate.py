@@ -20,14 +20,13 @@ results. Other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, ascii_classes, keyed, process_cache, row_slices, stored, text_buffer
+from .common import Words, ascii_classes, begin, keyed, new_owner, owned, process_cache, row_slices, stored, text_buffer
 
 #: bytes that belong to words: digits, letters, everything outside ASCII
 WORD_BYTES = ascii_classes(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80)
@@ -155,7 +154,7 @@ def benchmark_windows(benchmark: DataFrame, window: int, id_col: str = "item_id"
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.binary()), pa.array([i for _, i in pairs], pa.int64())], ["pattern", "item_id"])
 
     rows = keyed(benchmark, item_id=id_col, text=text_col).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(cut, "pattern binary, item_id long").distinct()
+    return rows.mapInArrow(owned(new_owner(), cut), "pattern binary, item_id long").distinct()
 
 
 def _search(docs: DataFrame, pairs: list[tuple[bytes, int | None]]) -> DataFrame:
@@ -198,28 +197,29 @@ def _search(docs: DataFrame, pairs: list[tuple[bytes, int | None]]) -> DataFrame
                     ["doc_id", "n_words", "n_hit", "spans", "items"],
                 )
 
-    return docs.mapInArrow(run, RESULT)
+    return docs.mapInArrow(owned(new_owner(), run), RESULT)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_patterns: int = 250_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows without any occurring window, with all their columns; a filter for each block of patterns."""
     windows = stored(benchmark_windows(benchmark, window, item_col, item_text_col).select("pattern").distinct(), "benchmark-windows")
     blocks = max(1, -(-windows.count() // block_patterns))
+    owner = new_owner()
     for i in range(blocks):
         mine = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == i)
         shared = docs.sparkSession.sparkContext.broadcast([bytes(r["pattern"]) for r in mine.collect()])
-        docs = docs.where(_clean(shared, uuid.uuid4().hex)(F.col(f"`{text_col}`")))
+        docs = docs.where(_clean(shared, owner, i)(F.col(f"`{text_col}`")))
     return docs
 
 
-def _clean(shared, name: str):
-    """Column function: no pattern of the broadcast occurs in the text."""
+def _clean(shared, owner: str, name: int):
+    """Column function: no pattern of the broadcast occurs in the text; a worker keeps the tables of all blocks."""
 
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
+        begin(owner)
         cache = process_cache("searches")
         if name not in cache:
-            cache.clear()
             cache[name] = WuManber(shared.value)
         data, offsets = text_buffer(texts)
         out = np.ones(len(texts), bool)

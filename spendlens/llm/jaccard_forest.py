@@ -4,8 +4,9 @@
    signature of ``TREES * DEPTH`` 16-bit minima over its word shingles.
 2. A tree sorts the classes by its ``DEPTH`` minima, a prefix trie laid out by
    the ``SHORTEST`` first of them; classes that share those meet in a cell.
-   Cells above ``BLOCK`` members are dealt into pairs of blocks, so no task
-   holds more than two blocks. A pair belongs to the first tree it meets in.
+   Cells above ``BLOCK`` members or ``BLOCK_BYTES`` of text are dealt into pairs
+   of blocks, so a task holds no more than two blocks, and of each text only its
+   shingles. A pair belongs to the first tree it meets in.
 3. From the depth of the longest shared prefix and the estimated similarity of
    all pairs met, the prefixes are shortened from ``DEPTH`` on until the
    recall estimated for pairs at or above the threshold reaches the target.
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, ascii_classes, keyed, mixed, release_memory, row_slices, span_hashes, stored, text_buffer
+from .common import Words, ascii_classes, keyed, mixed, new_owner, owned, row_slices, span_hashes, stored, text_buffer
 from .components import components
 
 TREES, DEPTH, SHORTEST = 32, 8, 4
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 WORD_BYTES = ascii_classes(lambda b: b not in b"\x00\t\n\x0b\x0c\r ")
 _SLICE = 2 << 20
 _draw = np.random.default_rng(8)
@@ -77,8 +78,8 @@ def _signature_rows(k: int):
                 words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD_BYTES)
                 sig = signatures(*shingle_hashes(words, k))
                 sig_col = pa.array([s.tobytes() if n else None for s, n in zip(sig, np.diff(words.first).tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), b["key"].slice(lo, hi - lo), sig_col], ["doc_id", "key", "sig"])
-        release_memory()
+                size = pa.array(np.diff(offsets[lo : hi + 1]), pa.int64())
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(lo, hi - lo), b["key"].slice(lo, hi - lo), sig_col, size], ["doc_id", "key", "sig", "bytes"])
 
     return run
 
@@ -89,7 +90,7 @@ def _tree_rows(batches):
         sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint16).reshape(n, TREES, DEPTH)
         prefix = np.ascontiguousarray(sig[:, :, :SHORTEST]).view("<i8").reshape(n, TREES)
         for t in range(TREES):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.ascontiguousarray(prefix[:, t])), b["key"]], ["tree", "prefix", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.ascontiguousarray(prefix[:, t])), b["key"], b["bytes"]], ["tree", "prefix", "key", "bytes"])
 
 
 # -- pairs of a cell ---------------------------------------------------------
@@ -218,7 +219,7 @@ def choose_depth(counts: np.ndarray, threshold: float, target: float) -> tuple[i
     return SHORTEST, float(counts.sum() / everything)
 
 
-def _depth_counts(cells: DataFrame) -> np.ndarray:
+def _depth_counts(cells: DataFrame, owner: str) -> np.ndarray:
     def count(batches):
         n = np.zeros((DEPTH + 1) * 256, np.int64)
         for b in batches:
@@ -229,7 +230,7 @@ def _depth_counts(cells: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["at", "n"])
 
     out = np.zeros((DEPTH + 1) * 256, np.int64)
-    for r in cells.select("equal", "depth").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in cells.select("equal", "depth").mapInArrow(owned(owner, count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         out[r["at"]] = r["n"]
     return out.reshape(DEPTH + 1, 256)
 
@@ -283,18 +284,23 @@ def _verify(k: int, threshold: float):
     def run(batches):
         state: dict = {}
 
-        def finish():
-            if not state:
-                return None
-            a, b = (np.frombuffer(state[x], "<i4") for x in "ab")
+        def shingle():
+            """Texts read so far become sorted shingle hashes; the texts go."""
             texts = [t.encode() for t in state["texts"]]
+            state["texts"], state["held"] = [], 0
             data = np.frombuffer(b"".join(texts), np.uint8)
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            sets: list[np.ndarray] = []
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             for lo, hi in row_slices(offsets, _SLICE):
                 words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD_BYTES)
                 h, bounds = shingle_hashes(words, k)
-                sets.extend(np.unique(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+                state["sets"].extend(np.unique(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+
+        def finish():
+            if not state:
+                return None
+            a, b = (np.frombuffer(state[x], "<i4") for x in "ab")
+            shingle()
+            sets = state["sets"]
             ok = exact_links(sets, a, b, threshold)
             a, b = a[ok], b[ok]
             n = np.bincount(a, minlength=len(sets)) + np.bincount(b, minlength=len(sets))
@@ -312,10 +318,13 @@ def _verify(k: int, threshold: float):
                 if r["pos"] < 0:
                     if found := finish():
                         yield rows(found)
-                    state = {"a": r["a"], "b": r["b"], "texts": [], "keys": []}
+                    state = {"a": r["a"], "b": r["b"], "texts": [], "keys": [], "sets": [], "held": 0}
                 else:
                     state["texts"].append(r["text"])
                     state["keys"].append(r["key"])
+                    state["held"] += len(r["text"])
+                    if state["held"] > _SLICE:
+                        shingle()
         if found := finish():
             yield rows(found)
 
@@ -335,13 +344,14 @@ def similarity_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, target
     """
     rows = keyed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    signed = stored(rows.select("doc_id", "key", "text").mapInArrow(_signature_rows(k), "doc_id long, key binary, sig binary"), "forest-signed")
-    classes = signed.where("sig is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("rep"))
+    owner = new_owner()
+    signed = stored(rows.select("doc_id", "key", "text").mapInArrow(owned(owner, _signature_rows(k)), "doc_id long, key binary, sig binary, bytes long"), "forest-signed")
+    classes = signed.where("sig is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("rep"), F.first("bytes").alias("bytes"))
     classes = stored(classes, "forest-classes")
-    trees = classes.select("key", "sig").mapInArrow(_tree_rows, "tree int, prefix long, key binary")
-    met = trees.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1")
-    members = trees.join(met, ["tree", "prefix"]).join(classes.select("key", "sig"), "key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    trees = classes.select("key", "sig", "bytes").mapInArrow(owned(owner, _tree_rows), "tree int, prefix long, key binary, bytes long")
+    met = trees.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.sum("bytes").alias("total")).where("size > 1")
+    members = trees.drop("bytes").join(met, ["tree", "prefix"]).join(classes.select("key", "sig"), "key")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int")
     members = members.withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), blocks).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.select("tree", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "sig")
@@ -349,8 +359,8 @@ def similarity_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, target
     margin = 5 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
     least_equal = int(np.ceil((threshold - margin) * TREES * DEPTH))
     ordered = members.repartition(*cell).sortWithinPartitions(*cell)
-    cells = stored(ordered.mapInArrow(_cells(least_equal), _CELL_SQL), "forest-cells")
-    depth, recall = choose_depth(_depth_counts(cells), threshold, target_recall)
+    cells = stored(ordered.mapInArrow(owned(owner, _cells(least_equal)), _CELL_SQL), "forest-cells")
+    depth, recall = choose_depth(_depth_counts(cells, owner), threshold, target_recall)
     places = cells.select("cell", F.posexplode("keys").alias("pos", "key"))
     needed = places.select("key").distinct().join(classes.select("key", "rep"), "key")
     texts = rows.join(needed, (rows["key"] == needed["key"]) & rows["doc_id"].eqNullSafe(needed["rep"])).select(rows["key"], "text").dropDuplicates(["key"])
@@ -358,7 +368,7 @@ def similarity_links(docs: DataFrame, threshold: float = 0.8, k: int = 5, target
     bodies = places.join(texts, "key").select("cell", "pos", "key", "text", none.alias("a"), none.alias("b"))
     heads = cells.select("cell", F.lit(-1).alias("pos"), none.alias("key"), F.lit(None).cast("string").alias("text"), "a", "b")
     together = bodies.unionByName(heads).repartition("cell").sortWithinPartitions("cell", "pos")
-    links = stored(together.mapInArrow(_verify(k, threshold), "key binary, n long, root binary"), "forest-links")
+    links = stored(together.mapInArrow(owned(owner, _verify(k, threshold)), "key binary, n long, root binary"), "forest-links")
     return signed.select("doc_id", "key"), links, (depth, recall)
 
 

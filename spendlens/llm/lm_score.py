@@ -37,13 +37,13 @@ from .frequent import frequent_from
 from .log_bloom import KEY_BITS, PART_SCHEMA, LogBloom, build_filter, counted, loaded, parts
 
 #: words sent to every task, each of at most HOT_LENGTH bytes
-HOT_WORDS = 1 << 20
+HOT_WORDS = 1 << 19
 HOT_LENGTH = 48
 #: training text (bytes) a shard of the filter stands for
 SHARD_TEXT = 4 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: n-gram keys a task holds before it hands their counts on
-HELD_KEYS = 4 << 20
+HELD_KEYS = 3 << 20
 
 _BEGIN, _END = np.uint64(0x51ED270B9F652295), np.uint64(0xA24BAED4963EE407)
 _SEPARATORS = {0x20, *range(0x09, 0x0E)}
@@ -286,7 +286,7 @@ def score_texts(
     mass: float = 4.0,
     hot_words: int = HOT_WORDS,
     shard_text: int = SHARD_TEXT,
-    bits_per_entry: int = 12,
+    bits_per_entry: int = 10,
     round_bytes: int = 128 << 20,
 ) -> DataFrame:
     """Every text with its token counts, exact unigram base score and model score.

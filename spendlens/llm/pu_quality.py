@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, ascii_classes, keyed, row_slices, span_hashes, stored, text_buffer
+from .common import Words, ascii_classes, begin, keyed, new_owner, row_slices, span_hashes, stored, text_buffer
 
 _SLICE = 2 << 20
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".,;:", b"!?", b"'\"()[]-", b"#*$%&<>=+@/\\^~_", b"|"]
@@ -110,11 +110,16 @@ def column_features(texts: pa.Array) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, N_FEATURES), np.float32)
 
 
-@F.arrow_udf(T.ArrayType(T.FloatType()))
-def features(texts: pa.Array) -> pa.Array:
-    """Feature column of a text column."""
-    x = column_features(texts)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
+def features_of(owner: str):
+    """Features of a text column, as a column function."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def features(texts: pa.Array) -> pa.Array:
+        begin(owner)
+        x = column_features(texts)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
+
+    return features
 
 
 # -- model -------------------------------------------------------------------
@@ -200,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = 5_000) -> Model:
     positive = _first_ids(pool.select("doc_id").join(learn.where("quality = 1"), "doc_id", "left_semi"), max_fit).withColumn("positive", F.lit(True))
     unlabelled = _first_ids(pool, max_fit).withColumn("positive", F.lit(False))
     drawn = stored(positive.unionByName(unlabelled), "quality-sample")  # at most 2 * max_fit ids
-    got = pool.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "positive"]).select("doc_id", "positive", features("text").alias("x"))
+    got = pool.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "positive"]).select("doc_id", "positive", features_of(new_owner())("text").alias("x"))
     rows = got.orderBy("positive", "doc_id").toPandas()
     x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), N_FEATURES)
     mask = rows["positive"].to_numpy(bool)
@@ -209,9 +214,11 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = 5_000) -> Model:
 
 def score_of(model: Model):
     """Score of a text column, as a column function."""
+    owner = new_owner()
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
+        begin(owner)
         return pa.array(model.score(column_features(texts)))
 
     return score

@@ -117,3 +117,11 @@ def test_components_of_a_long_path_and_a_star(spark):
     r.shuffle(edges)
     got = dict(collected(components(spark.createDataFrame(edges, "u long, v long"))))
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {1000: 100}
+
+
+def test_cells_are_bounded_by_bytes(spark, monkeypatch):
+    rows = [(i, prose(60, 5) + f" tail{i} end{i % 7}") for i in range(40)] + [(100 + i, prose(3_000, 9) + f" {i}") for i in range(6)]
+    want = order(collected(J.near_duplicate_classes(documents(spark, rows))))
+    monkeypatch.setattr(J, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(J, "_SLICE", 1_000)
+    assert order(collected(J.near_duplicate_classes(documents(spark, rows)))) == want

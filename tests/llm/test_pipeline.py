@@ -42,3 +42,23 @@ def test_stages_equal_brute_force_on_the_rows_kept_before(spark):
 
 def test_stage_list():
     assert len(C.STAGES) == 5 and C.ORACLE_SQL is None
+
+
+def test_runs_again_in_the_same_session_and_on_odd_rows(spark, tmp_path):
+    first = sorted(r["doc_id"] for r in C.run(spark, SF).select("doc_id").collect())
+    assert sorted(r["doc_id"] for r in C.run(spark, SF).select("doc_id").collect()) == first
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0).selectExpr("*", "cast('x' as string) AS KEY", "1L AS size")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert C.run(spark, str(tmp_path)).collect() == []
+
+
+def test_workers_keep_only_the_running_operators_caches():
+    from spendlens.llm.common import begin, owned, process_cache
+
+    begin("one")
+    process_cache("tables")["x"] = 1
+    begin("one")
+    assert process_cache("tables") == {"x": 1}
+    assert list(owned("two", lambda batches: (process_cache("tables").get("x"), *batches))([7])) == [None, 7]
