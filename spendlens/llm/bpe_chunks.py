@@ -319,7 +319,7 @@ def encode_by_chunks(docs: DataFrame, tokenizer: str, columns: list[str] | None
     refs = pieces.where(F.col("kind") == _REF).select("rid", "doc_id", "pos", "key").join(chunks, "key").select("rid", "doc_id", "pos", "payload")
     windows = pieces.where(F.col("kind") == _LOCAL).select("rid", "doc_id", "pos", "payload")
     whole = pieces.where(F.col("kind") == _WHOLE).select("doc_id", *out.columns)
-    return whole.unionByName(_put_together(refs.unionByName(windows), width, out, owner))
+    return whole.unionByName(_put_together(refs.unionByName(windows), width, out, new_owner()))  # needs no segment table
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:

@@ -99,6 +99,7 @@ def begin(owner: str) -> None:
         for name in [n for n, v in kept.items() if isinstance(v, dict)]:
             del kept[name]
         kept["_owner"] = owner
+        pa.set_memory_pool(pa.system_memory_pool())  # what Arrow frees goes back to the system
         release_memory()
 
 

@@ -73,7 +73,7 @@ class SegmentTable:
     are forgotten.
     """
 
-    memo = 400_000
+    memo = 250_000
 
     def __init__(self, path: str):
         self.tok = load_tokenizer(path)
