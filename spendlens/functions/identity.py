@@ -108,8 +108,3 @@ def finding_id_col(tenant_id: Column, fingerprint: Column, salt: Column) -> Colu
 def action_id_col(seed: Column) -> Column:
     """M1: 'act_' + first 24 hex chars of sha256(seed)."""
     return F.concat(F.lit("act_"), F.substring(F.sha2(seed, 256), 1, 24))
-
-
-def group_key_col(check_id: Column, category: Column, title_norm: Column) -> Column:
-    """sha1(check + '|' + category + '|' + normalized title)."""
-    return F.sha1(F.concat_ws("|", F.coalesce(check_id, F.lit("")), F.coalesce(category, F.lit("")), title_norm))

@@ -450,26 +450,91 @@ def money_type_guard(wire: DataFrame, paths=("estimated.monthly_savings", "estim
     return wire.withColumn("money_violations", viol).where(F.size("money_violations") > 0)
 
 
+# The wire form of a finding. Text, money (decimal as text), time (ISO text in
+# UTC), whole numbers with their default, lists of text, and structs of these.
+_TEXT, _MONEY, _TIME, _LIST = "text", "money", "time", "list"
+WIRE_STRUCTS: dict = {
+    "severity": {"level": _TEXT, "score": 0},
+    "scope": dict.fromkeys(
+        ("cloud", "provider_partition", "organization_id", "billing_account_id", "account_id", "region", "availability_zone", "service", "resource_type", "resource_id", "resource_arn"), _TEXT
+    ),
+    "estimated": {"monthly_savings": _MONEY, "monthly_cost": _MONEY, "one_time_savings": _MONEY, "confidence": 0, "notes": _TEXT},
+    "actual": {
+        **dict.fromkeys(("cost_7d", "cost_30d", "cost_mtd", "cost_prev_month", "savings_7d", "savings_30d"), _MONEY),
+        "model": dict.fromkeys(("currency", "cost_model", "granularity", "period_start", "period_end"), _TEXT),
+        "attribution": {"method": _TEXT, "confidence": 0, "matched_keys": _LIST},
+    },
+    "lifecycle": {"status": _TEXT, **dict.fromkeys(("first_seen_ts", "last_seen_ts", "resolved_ts", "snooze_until_ts"), _TIME)},
+    "source": {"source_type": _TEXT, "source_ref": _TEXT, "schema_version": 1},
+}
+WIRE_TEXTS = (
+    "tenant_id", "workspace_id", "engine_name", "engine_version", "rulepack_version", "check_id", "check_name", "category", "sub_category", "status", "title", "message",
+    "advice", "recommendation", "remediation", "metadata_json", "run_id",
+)
+
+
+def iso_utc(c: Column, is_time: bool) -> Column:
+    """A time as ISO text in UTC (``...Z``); text that ends in Z stays, other text is parsed (no
+    zone: UTC), and what is no time becomes empty."""
+    text = F.lit("") if is_time else F.trim(c.cast("string"))
+    t = c.cast("timestamp") if is_time else F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX")))
+    whole = F.unix_micros(t) % 1_000_000 == 0
+    iso = F.when(whole, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    return F.coalesce(iso if is_time else F.when(text.endswith("Z"), text).otherwise(iso), F.lit(""))
+
+
+def decimal_text(c: Column) -> Column:
+    """A number as text; text that is no number, and NULL, become empty."""
+    text = F.trim(c.cast("string"))
+    return F.coalesce(F.when(text.try_cast("decimal(38,18)").isNotNull() | text.try_cast("double").isNotNull(), text), F.lit(""))
+
+
+def _wire_value(c: Column | None, have: T.DataType | None, want) -> Column:
+    """One value of the wire form from what the row has (``None``: nothing)."""
+    if isinstance(want, dict):
+        inner = have if isinstance(have, T.StructType) else T.StructType([])
+        given = {f.name: f.dataType for f in inner.fields}
+        return F.struct(*[_wire_value(c[n] if n in given else None, given.get(n), w).alias(n) for n, w in want.items()])
+    if want == _LIST:
+        return F.coalesce(c.cast("array<string>"), F.array().cast("array<string>")) if isinstance(have, T.ArrayType) else F.array().cast("array<string>")
+    if isinstance(want, int):
+        return F.lit(want) if c is None else F.coalesce(c.try_cast("int") if not isinstance(have, T.StringType) else F.trim(c).try_cast("int"), F.lit(want))
+    if c is None:
+        return F.lit("")
+    if want == _TIME:
+        return iso_utc(c, isinstance(have, (T.TimestampType, T.TimestampNTZType, T.DateType)))
+    if want == _MONEY:
+        return F.lit("") if isinstance(have, T.BooleanType) else decimal_text(c)
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _of_value(fn):
+    return lambda k, v: fn(v)
+
+
 def normalize_wire(df: DataFrame) -> DataFrame:
-    """Wire clean-up before cast: trimmed strings, advice<->recommendation alias,
-    string defaults for text fields, string-valued maps."""
-    out = df
-    text_fields = ["title", "message", "remediation", "check_name", "category", "sub_category", "metadata_json"]
-    for c in text_fields:
-        if c in out.columns:
-            out = out.withColumn(c, F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")))
-    if "recommendation" in out.columns or "advice" in out.columns:
-        rec = F.coalesce(
-            *[F.when(~blank(F.col(c)), F.trim(F.col(c))) for c in ("advice", "recommendation") if c in out.columns], F.lit("")
-        )
-        out = out.withColumn("advice", rec).withColumn("recommendation", rec)
-    for m in ("tags", "labels", "dimensions"):
-        if m in out.columns:
-            out = out.withColumn(m, F.transform_values(F.col(m), lambda k, v: F.coalesce(v.cast("string"), F.lit(""))))
-    for c in ("status", "check_id", "tenant_id"):
-        if c in out.columns:
-            out = out.withColumn(c, norm_str(c))
-    return out
+    """Findings of any producer in the wire form: every struct and its fields there, times as
+    ISO text in UTC, money as decimal text, maps of text, lists, texts never NULL, and advice
+    and recommendation standing in for each other. Other columns pass through.
+    """
+    have = {f.name: f.dataType for f in df.schema.fields}
+    col = lambda n: F.col(n) if n in have else None
+    out = {n: _wire_value(col(n), have.get(n), w) for n, w in WIRE_STRUCTS.items()}
+    out |= {n: _wire_value(col(n), have.get(n), _TIME) for n in ("run_ts", "ingested_ts")}
+    out |= {n: _wire_value(col(n), have.get(n), _TEXT) for n in WIRE_TEXTS}
+    filled = lambda a, b: F.when(out[a] == "", out[b]).otherwise(out[a])
+    out |= {"advice": filled("advice", "recommendation"), "recommendation": filled("recommendation", "advice")}
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    none = F.create_map().cast("map<string,string>")
+    for n in ("tags", "labels", "dimensions", "metrics"):
+        value = _of_value(decimal_text if n == "metrics" else text)
+        out[n] = F.coalesce(F.transform_values(F.col(n), value), none) if isinstance(have.get(n), T.MapType) else none
+    out["frameworks"] = _wire_value(col("frameworks"), have.get("frameworks"), _LIST)
+    out["links"] = F.array().cast("array<struct<label:string,url:string>>")
+    if isinstance(have.get("links"), T.ArrayType):
+        cleaned = F.transform(F.col("links"), lambda x: F.struct(text(x["label"]).alias("label"), text(x["url"]).alias("url")))
+        out["links"] = F.coalesce(cleaned, out["links"])
+    return df.withColumns(out)
 
 
 # ---------------------------------------------------------------------------

@@ -10,10 +10,13 @@ User rules are SQL text over the view ``rule_input`` or Python callables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import MONEY, confidence_0_100, money_or_zero
@@ -63,6 +66,10 @@ class Rule:
     sql: str | None = None
     enabled: bool = True
     params: dict = field(default_factory=dict)
+    #: predicate of the findings whose fingerprints the rule's digest counts, and the grain it
+    #: counts them at (resource, vault or account); ``evidence`` lists them by both
+    sources: Callable[..., Column] | None = None
+    grain: str = "account"
 
 
 # ---------------------------------------------------------------------------
@@ -211,6 +218,94 @@ def _shape(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(*out)
 
 
+# ---------------------------------------------------------------------------
+# What the built-in rules count as sources (shared with ``evidence``)
+# ---------------------------------------------------------------------------
+
+#: K1: a problem may be reported with any of these statuses (detectors differ)
+SIGNAL_STATUSES = ("fail", "warn", "info")
+
+VAULT_OWN = ("aws.backup.vaults.no.lifecycle", "aws.backup.vaults.access.policy.misconfig")
+STALE_POINTS, ENDLESS_RULES = "aws.backup.recovery.points.stale", "aws.backup.rules.no.lifecycle"
+NAT_CHECKS = ("aws.ec2.nat.gateways.idle", "aws.ec2.nat.gateways.high.data.processing", "aws.ec2.nat.gateways.cross.az")
+
+
+def _signal(checks: Sequence[str], resource_type: str, statuses: Sequence[str] = ("fail",)) -> Column:
+    return F.col("status").isin(*statuses) & F.col("check_id").isin(*checks) & (F.col("resource_type") == resource_type)
+
+
+def vault_of() -> Column:
+    """The vault a finding speaks of: itself, or the one its dimensions name."""
+    dims = F.col("dimensions")
+    return (
+        F.when(F.col("check_id") == ENDLESS_RULES, F.coalesce(dims["target_vault_name"], dims["target_vault"], dims["backup_vault"], F.lit("")))
+        .when(F.col("resource_type") == "backup_vault", F.col("resource_id"))
+        .otherwise(F.coalesce(dims["vault_name"], F.lit("")))
+    )
+
+
+def vault_signals() -> Column:
+    own = F.col("check_id").isin(*VAULT_OWN) & (F.col("resource_type") == "backup_vault")
+    return (F.col("status") == "fail") & (own | F.col("check_id").isin(STALE_POINTS, ENDLESS_RULES))
+
+
+def volume_signals() -> Column:
+    return _signal(("aws.ec2.ebs.unattached.volume", "aws.ec2.ebs.volume.unencrypted"), "ebs_volume")
+
+
+def metric_signals() -> Column:
+    return _signal(("aws.cloudwatch.custom.metrics.from.log.filters",), "custom_metric", ("info",))
+
+
+def alarm_signals(statuses: Sequence[str] = SIGNAL_STATUSES) -> Column:
+    return _signal(("aws.cloudwatch.alarms.high.count",), "account", statuses)
+
+
+def observability_signals() -> Column:
+    return alarm_signals(("info",)) | metric_signals()
+
+
+def log_signals(statuses: Sequence[str] = ("fail",)) -> Column:
+    return _signal(("aws.logs.log.groups.retention.missing",), "log_group", statuses)
+
+
+def idle_instance_signals(statuses: Sequence[str] = SIGNAL_STATUSES) -> Column:
+    return _signal(("aws.ec2.instances.underutilized", "aws.ec2.instances.stopped.long"), "instance", ("fail", "warn"))
+
+
+def lambda_log_signals(statuses: Sequence[str] = SIGNAL_STATUSES) -> Column:
+    return log_signals(statuses) & F.coalesce(F.col("dimensions")["log_group"], F.col("resource_id")).startswith("/aws/lambda/")
+
+
+def nat_signals() -> Column:
+    gateway = F.regexp_replace(F.col("resource_type"), "-", "_") == "nat_gateway"
+    return F.col("status").isin("fail", "warn") & F.col("check_id").isin(*NAT_CHECKS) & gateway
+
+
+def underutilized_signals() -> Column:
+    return _signal(("aws.ec2.instances.underutilized",), "instance")
+
+
+def traffic_signals() -> Column:
+    return nat_signals() | underutilized_signals()
+
+
+def database_signals() -> Column:
+    return _signal(("aws.rds.instances.stopped.storage", "aws.rds.storage.overprovisioned"), "db_instance", ("fail", "warn"))
+
+
+def kept_vault_signals() -> Column:
+    return _signal(("aws.backup.vaults.no.lifecycle", "aws.backup.recovery.points.stale"), "backup_vault")
+
+
+def kept_bucket_signals() -> Column:
+    return _signal(("aws.s3.bucket.lifecycle.missing", "aws.s3.governance.lifecycle.missing"), "bucket")
+
+
+def backup_signals() -> Column:
+    return database_signals() | kept_vault_signals() | kept_bucket_signals()
+
+
 # ---------------------------------------------------------------------------
 # Built-in rules (ids, check names, titles and thresholds are fixed values: group keys and
 # users' filters hang on them; messages are our own)
@@ -220,17 +315,9 @@ def _shape(df: DataFrame, **cols: Column) -> DataFrame:
 def rule_vault_risk(ri: DataFrame) -> DataFrame:
     """>= 2 of {no lifecycle, policy misconfig, stale recovery points, rules w/o lifecycle} per vault."""
     # one long list of (vault, signal) rows; a vault itself carries the first two signals
-    own = ("aws.backup.vaults.no.lifecycle", "aws.backup.vaults.access.policy.misconfig")
-    stale, no_rules = "aws.backup.recovery.points.stale", "aws.backup.rules.no.lifecycle"
+    own, stale, no_rules = VAULT_OWN, STALE_POINTS, ENDLESS_RULES
     failed = _sig(ri).where(F.col("status") == "fail")
-    dims = F.col("dimensions")
-    is_vault = F.col("resource_type") == "backup_vault"
-    vault = (
-        F.when(F.col("check_id") == no_rules, F.coalesce(dims["target_vault_name"], dims["target_vault"], dims["backup_vault"], F.lit("")))
-        .when(is_vault, F.col("resource_id"))
-        .otherwise(F.coalesce(dims["vault_name"], F.lit("")))
-    )
-    rows = failed.where((F.col("check_id").isin(*own) & is_vault) | F.col("check_id").isin(stale, no_rules)).withColumn("vault_name", vault)
+    rows = failed.where(vault_signals()).withColumn("vault_name", vault_of())
     anchors = rows.where(F.col("check_id").isin(*own)).select(*ACCT_KEYS, "vault_name", F.col("resource_arn").alias("vault_arn")).distinct()
     plans = failed.where(F.col("check_id") == "aws.backup.plans.no.selections").groupBy(*RUN_KEYS).agg(F.count(F.lit(1)).alias("plans_n"))
 
@@ -304,11 +391,7 @@ def rule_vault_risk(ri: DataFrame) -> DataFrame:
 
 def rule_ebs_unattached_unencrypted(ri: DataFrame) -> DataFrame:
     """R2: the same volume is both unattached and unencrypted."""
-    s = _sig(ri).where(
-        (F.col("status") == "fail")
-        & F.col("check_id").isin("aws.ec2.ebs.unattached.volume", "aws.ec2.ebs.volume.unencrypted")
-        & (F.col("resource_type") == "ebs_volume")
-    )
+    s = _sig(ri).where(volume_signals())
     un = F.col("check_id") == "aws.ec2.ebs.unattached.volume"
 
     def dim(k: str) -> Column:
@@ -373,11 +456,7 @@ def rule_ebs_unattached_unencrypted(ri: DataFrame) -> DataFrame:
 
 def rule_custom_metrics_sprawl(ri: DataFrame, min_count: int = 5) -> DataFrame:
     """>= ``min_count`` custom metrics from log filters per account x region."""
-    s = _sig(ri).where(
-        (F.col("status") == "info")
-        & (F.col("check_id") == "aws.cloudwatch.custom.metrics.from.log.filters")
-        & (F.col("resource_type") == "custom_metric")
-    )
+    s = _sig(ri).where(metric_signals())
     g = (
         s.groupBy(*ACCT_KEYS)
         .agg(
@@ -425,17 +504,9 @@ def rule_custom_metrics_sprawl(ri: DataFrame, min_count: int = 5) -> DataFrame:
     )
 
 
-#: K1: a problem may be reported with any of these statuses (detectors differ)
-SIGNAL_STATUSES = ("fail", "warn", "info")
-
-
 def _alarms(s: DataFrame, statuses: Sequence[str]) -> DataFrame:
     return (
-        s.where(
-            F.col("status").isin(*statuses)
-            & (F.col("check_id") == "aws.cloudwatch.alarms.high.count")
-            & (F.col("resource_type") == "account")
-        )
+        s.where(alarm_signals(statuses))
         .groupBy(*ACCT_KEYS)
         .agg(
             F.max(F.col("dimensions")["alarm_count"].try_cast("int")).alias("alarm_count"),
@@ -450,11 +521,7 @@ def rule_observability_sprawl(ri: DataFrame, min_metrics: int = 20) -> DataFrame
     s = _sig(ri)
     alarms = _alarms(s, ("info",))
     metrics = (
-        s.where(
-            (F.col("status") == "info")
-            & (F.col("check_id") == "aws.cloudwatch.custom.metrics.from.log.filters")
-            & (F.col("resource_type") == "custom_metric")
-        )
+        s.where(metric_signals())
         .groupBy(*ACCT_KEYS)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), _fps().alias("metric_fps"))
     )
@@ -488,18 +555,27 @@ def rule_observability_sprawl(ri: DataFrame, min_metrics: int = 20) -> DataFrame
     )
 
 
+def first_names(s: DataFrame, n: int = 5) -> DataFrame:
+    """T5: the first ``n`` resource names of each account and region, sorted, as ``names``.
+
+    Every partition passes on at most the rows of its ``n`` least names (the rank is a group
+    limit), so neither the names of a large account nor their list reach one task.
+    """
+    w = Window.partitionBy(*ACCT_KEYS).orderBy("resource_id")
+    few = s.select(*ACCT_KEYS, "resource_id").withColumn("_k", F.dense_rank().over(w)).where(F.col("_k") <= n)
+    return few.groupBy(*ACCT_KEYS).agg(F.array_sort(F.collect_set("resource_id")).alias("names"))
+
+
 def rule_retention_missing_sprawl(ri: DataFrame, min_count: int = 1) -> DataFrame:
     """Log groups without retention per account x region; tiers 50 / 10."""
-    s = _sig(ri).where(
-        (F.col("status") == "fail")
-        & (F.col("check_id") == "aws.logs.log.groups.retention.missing")
-        & (F.col("resource_type") == "log_group")
-    )
+    s = _sig(ri).where(log_signals())
     g = (
         s.groupBy(*ACCT_KEYS)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("resource_id").alias("first_name"), F.max("resource_id").alias("last_name"), _fps().alias("fps"))
+        .agg(F.count(F.lit(1)).alias("n"), _fps().alias("fps"))
         .where(F.col("n") >= min_count)
     )
+    g = g.join(first_names(s), ACCT_KEYS, "left")
+    listed = F.concat(F.array_join("names", ", "), F.when(F.col("n") > F.size("names"), ", ...").otherwise(""))
     lvl, score = _sev((F.col("n") >= 50, "high", 900), (F.col("n") >= 10, "medium", 750), default=("medium", 650))
     return _shape(
         g,
@@ -513,7 +589,7 @@ def rule_retention_missing_sprawl(ri: DataFrame, min_count: int = 1) -> DataFram
         severity_level=lvl,
         severity_score=score,
         title=F.lit("Many CloudWatch Log Groups have no retention policy"),
-        message=F.format_string("Region %s keeps %d log groups forever (%s to %s)", "region", "n", "first_name", "last_name"),
+        message=F.format_string("Region %s keeps %d log groups forever: %s", F.col("region"), F.col("n"), listed),
         confidence=F.lit(10),
         notes=F.lit("Risk of growing cost; no amount is known."),
         dimensions=F.create_map(F.lit("log_groups_missing_retention"), F.col("n").cast("string"), F.lit("region"), F.col("region")),
@@ -525,11 +601,7 @@ def rule_ec2_monitoring_cost(ri: DataFrame, statuses: Sequence[str] = SIGNAL_STA
     """idle/stopped instances with log groups lacking retention and alarm cost (side aggregates joined)."""
     s = _sig(ri)
     ec2 = (
-        s.where(
-            F.col("status").isin("fail", "warn")
-            & F.col("check_id").isin("aws.ec2.instances.underutilized", "aws.ec2.instances.stopped.long")
-            & (F.col("resource_type") == "instance")
-        )
+        s.where(idle_instance_signals(statuses))
         .groupBy(*ACCT_KEYS)
         .agg(
             F.count_distinct("resource_id").alias("ec2_n"),
@@ -539,11 +611,7 @@ def rule_ec2_monitoring_cost(ri: DataFrame, statuses: Sequence[str] = SIGNAL_STA
         )
     )
     logs = (
-        s.where(
-            F.col("status").isin(*statuses)
-            & (F.col("check_id") == "aws.logs.log.groups.retention.missing")
-            & (F.col("resource_type") == "log_group")
-        )
+        s.where(log_signals(statuses))
         .groupBy(*ACCT_KEYS)
         .agg(F.count_distinct("resource_id").alias("logs_n"), F.sum("cost").alias("logs_cost"))
     )
@@ -588,12 +656,7 @@ def rule_lambda_logs_cost(ri: DataFrame, statuses: Sequence[str] = SIGNAL_STATUS
     """R7: '/aws/lambda/' log groups without retention, with lambda signals and alarms."""
     s = _sig(ri)
     logs = (
-        s.where(
-            F.col("status").isin(*statuses)
-            & (F.col("check_id") == "aws.logs.log.groups.retention.missing")
-            & (F.col("resource_type") == "log_group")
-            & F.coalesce(F.col("dimensions")["log_group"], F.col("resource_id")).startswith("/aws/lambda/")
-        )
+        s.where(lambda_log_signals(statuses))
         .groupBy(*ACCT_KEYS)
         .agg(
             F.count_distinct("resource_id").alias("logs_n"),
@@ -643,19 +706,14 @@ def rule_lambda_logs_cost(ri: DataFrame, statuses: Sequence[str] = SIGNAL_STATUS
 def rule_nat_ec2_traffic(ri: DataFrame) -> DataFrame:
     """NAT gateway signals (idle / high data / cross-AZ) with underutilized EC2."""
     s = _sig(ri)
-    nat_ids = ("aws.ec2.nat.gateways.idle", "aws.ec2.nat.gateways.high.data.processing", "aws.ec2.nat.gateways.cross.az")
     nat = (
-        s.where(
-            F.col("status").isin("fail", "warn")
-            & F.col("check_id").isin(*nat_ids)
-            & (F.regexp_replace(F.col("resource_type"), "-", "_") == "nat_gateway")
-        )
+        s.where(nat_signals())
         .groupBy(*ACCT_KEYS)
         .agg(
             F.count_distinct("resource_id").alias("nat_n"),
             *[
                 F.count_distinct(F.when(F.col("check_id") == cid, F.col("resource_id"))).alias(a)
-                for cid, a in zip(nat_ids, ("idle_n", "high_n", "xaz_n"))
+                for cid, a in zip(NAT_CHECKS, ("idle_n", "high_n", "xaz_n"))
             ],
             F.sum("cost").alias("nat_cost"),
             _fps().alias("nat_fps"),
@@ -663,11 +721,7 @@ def rule_nat_ec2_traffic(ri: DataFrame) -> DataFrame:
         )
     )
     ec2 = (
-        s.where(
-            (F.col("status") == "fail")
-            & (F.col("check_id") == "aws.ec2.instances.underutilized")
-            & (F.col("resource_type") == "instance")
-        )
+        s.where(underutilized_signals())
         .groupBy(*ACCT_KEYS)
         .agg(F.count_distinct("resource_id").alias("ec2_n"), F.sum("cost").alias("ec2_cost"), _fps().alias("ec2_fps"))
     )
@@ -716,20 +770,12 @@ def rule_rds_s3_backup(ri: DataFrame) -> DataFrame:
     """RDS signals with backup vaults and buckets lacking lifecycle (side aggregates joined)."""
     s = _sig(ri)
     rds = (
-        s.where(
-            F.col("status").isin("fail", "warn")
-            & F.col("check_id").isin("aws.rds.instances.stopped.storage", "aws.rds.storage.overprovisioned")
-            & (F.col("resource_type") == "db_instance")
-        )
+        s.where(database_signals())
         .groupBy(*ACCT_KEYS)
         .agg(F.count_distinct("resource_id").alias("rds_n"), F.sum("cost").alias("rds_cost"), _fps().alias("rds_fps"), F.max("sev").alias("rds_sev"))
     )
     vault = (
-        s.where(
-            (F.col("status") == "fail")
-            & F.col("check_id").isin("aws.backup.vaults.no.lifecycle", "aws.backup.recovery.points.stale")
-            & (F.col("resource_type") == "backup_vault")
-        )
+        s.where(kept_vault_signals())
         .groupBy(*ACCT_KEYS)
         .agg(
             F.count_distinct("resource_id").alias("vault_n"),
@@ -739,11 +785,7 @@ def rule_rds_s3_backup(ri: DataFrame) -> DataFrame:
         )
     )
     s3 = (
-        s.where(
-            (F.col("status") == "fail")
-            & F.col("check_id").isin("aws.s3.bucket.lifecycle.missing", "aws.s3.governance.lifecycle.missing")
-            & (F.col("resource_type") == "bucket")
-        )
+        s.where(kept_bucket_signals())
         .groupBy(*ACCT_KEYS)
         .agg(F.count_distinct("resource_id").alias("s3_n"), F.sum("cost").alias("s3_cost"), _fps().alias("s3_fps"))
     )
@@ -831,18 +873,22 @@ BUILTIN_RULES = [
             "aws.backup.plans.no.selections",
         ),
         rule_vault_risk,
+        sources=vault_signals,
+        grain="vault",
     ),
     Rule(
         "aws.cloudwatch.correlation.custom.metrics.sprawl",
         "CloudWatch custom metrics sprawl (correlated)",
         ("aws.cloudwatch.custom.metrics.from.log.filters",),
         rule_custom_metrics_sprawl,
+        sources=metric_signals,
     ),
     Rule(
         "aws.cloudwatch.correlation.observability.sprawl",
         "CloudWatch observability sprawl (correlated)",
         ("aws.cloudwatch.alarms.high.count", "aws.cloudwatch.custom.metrics.from.log.filters"),
         rule_observability_sprawl,
+        sources=observability_signals,
     ),
     Rule(
         "aws.ec2.correlation.cloudwatch.monitoring.cost",
@@ -854,12 +900,15 @@ BUILTIN_RULES = [
             "aws.cloudwatch.alarms.high.count",
         ),
         rule_ec2_monitoring_cost,
+        sources=idle_instance_signals,
     ),
     Rule(
         "aws.ec2.correlation.ebs.unattached.unencrypted",
         "EBS unattached + unencrypted volume (correlated)",
         ("aws.ec2.ebs.unattached.volume", "aws.ec2.ebs.volume.unencrypted"),
         rule_ebs_unattached_unencrypted,
+        sources=volume_signals,
+        grain="resource",
     ),
     Rule(
         "aws.lambda.correlation.cloudwatch.logs.cost",
@@ -871,12 +920,14 @@ BUILTIN_RULES = [
             "aws.cloudwatch.alarms.high.count",
         ),
         rule_lambda_logs_cost,
+        sources=lambda_log_signals,
     ),
     Rule(
         "aws.logs.correlation.retention.missing.sprawl",
         "CloudWatch Logs retention missing (correlated)",
         ("aws.logs.log.groups.retention.missing",),
         rule_retention_missing_sprawl,
+        sources=log_signals,
     ),
     Rule(
         "aws.nat.correlation.ec2.traffic",
@@ -888,6 +939,7 @@ BUILTIN_RULES = [
             "aws.ec2.instances.underutilized",
         ),
         rule_nat_ec2_traffic,
+        sources=traffic_signals,
     ),
     Rule(
         "aws.rds.correlation.s3.backup.lifecycle",
@@ -901,6 +953,7 @@ BUILTIN_RULES = [
             "aws.s3.governance.lifecycle.missing",
         ),
         rule_rds_s3_backup,
+        sources=backup_signals,
     ),
 ]
 
@@ -910,6 +963,10 @@ BUILTIN_RULES = [
 # ---------------------------------------------------------------------------
 
 
+#: dimension of a meta-finding that holds the digest of its sources
+SOURCES_KEY = "source_digest"
+
+
 def finalize(raw: DataFrame, rule: Rule, meta: DataFrame, *, id_salt: str = "stable") -> DataFrame:
     """Rule output -> storage findings with deterministic identity.
 
@@ -952,7 +1009,7 @@ def finalize(raw: DataFrame, rule: Rule, meta: DataFrame, *, id_salt: str = "sta
         money_or_zero(F.col("monthly_cost")).alias("monthly_cost"),
         confidence_0_100(F.col("confidence")).alias("confidence"),
         F.coalesce(F.nullif(F.col("notes"), F.lit("")), F.lit("Correlated meta-finding.")).alias("notes"),
-        "dimensions",
+        F.map_concat(F.map_filter(F.coalesce("dimensions", F.create_map().cast("map<string,string>")), lambda k, v: k != SOURCES_KEY), F.create_map(F.lit(SOURCES_KEY), sources)).alias("dimensions"),
         "metadata_json",
         F.create_map(F.lit("rule_id"), F.lit(rule.rule_id), F.lit("sources"), sources).alias("issue_key"),
         F.lit(f"correlation:{rule.rule_id}").alias("source_ref"),
@@ -976,23 +1033,23 @@ def _run_one(spark_base: DataFrame, rule: Rule) -> DataFrame:
     ri = rule_input(spark_base, rule.required_check_ids)
     if rule.fn is not None:
         return rule.fn(ri, **rule.params) if rule.params else rule.fn(ri)
-    spark = ri.sparkSession
-    text = rule.sql or ""
-    out = spark.sql(text, rule_input=ri) if "{rule_input}" in text else _sql_over_view(spark, ri, text)
+    out = _sql_over(ri, rule.sql or "")
     missing = [c for c in ("tenant_id", "workspace_id", "run_id", "account_id", "status") if c not in out.columns]
     if missing:
         raise ValueError(f"rule {rule.rule_id} output lacks required columns {missing}")
     return _conform(out)
 
 
-def _sql_over_view(spark, ri: DataFrame, text: str) -> DataFrame:
-    ri.createOrReplaceTempView("rule_input")
-    return spark.sql(text)
+def _sql_over(ri: DataFrame, text: str) -> DataFrame:
+    """The rule's SQL with ``rule_input`` bound to the frame (no name is left in the session)."""
+    if "{rule_input}" not in text:
+        text = re.sub(r"\brule_input\b", "{rule_input}", text.replace("{", "{{").replace("}", "}}"))
+    return ri.sparkSession.sql(text, rule_input=ri)
 
 
 def _conform(df: DataFrame) -> DataFrame:
     """Project a user rule's output onto RULE_COLUMNS (missing -> defaults)."""
-    given = {c: F.col(c) for c in RULE_COLUMNS if c in df.columns}
+    given = {"region": F.lit("")} | {c: F.col(c) for c in RULE_COLUMNS if c in df.columns}
     return _shape(df, **given)
 
 
@@ -1004,55 +1061,123 @@ def correlate(
     workspace_id: str = "",
     run_id: str = "",
     id_salt: str = "stable",
+    fail_fast: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Run every enabled rule and union the meta-findings.
 
-    Returns (meta_findings, report) where report has one row per rule with
-    the number emitted, 0 included (one aggregate over the union, not one job
-    per rule).
+    Returns (meta_findings, report); the report has one row per enabled rule with the number
+    emitted, 0 included (one aggregate over the union, not one job per rule), and the error of
+    a rule that has none. Without ``fail_fast`` a rule that Spark cannot analyze, or whose
+    output lacks columns, is such a row and the others run.
     """
     base = base_findings(findings, tenant_id, workspace_id, run_id)
+    outs, errors = _planned(base, rules, id_salt, fail_fast)
+    if not outs:
+        return _typed_empty(findings), _report(findings.sparkSession, rules, errors, None)
+    allm = reduce(DataFrame.unionByName, outs)
+    return allm, _report(findings.sparkSession, rules, errors, allm)
+
+
+def _planned(base: DataFrame, rules: Sequence[Rule], id_salt: str, fail_fast: bool) -> tuple[list[DataFrame], dict[str, str]]:
+    """The analyzed plan of each enabled rule, and the error of those without one."""
     meta = run_meta(base)
-    outs = []
+    outs, errors = [], {}
     for r in rules:
         if not r.enabled:
             continue
-        outs.append(finalize(_run_one(base, r), r, meta, id_salt=id_salt))
-    if not outs:
-        empty = findings.sparkSession.createDataFrame([], "rule_id string, emitted long")
-        return findings.limit(0), empty
-    allm = outs[0]
-    for o in outs[1:]:
-        allm = allm.unionByName(o)
+        try:
+            outs.append(finalize(_run_one(base, r), r, meta, id_salt=id_salt))
+        except (PySparkException, ValueError) as e:
+            if fail_fast:
+                raise
+            errors[r.rule_id] = (e.getCondition() or type(e).__name__) if isinstance(e, PySparkException) else str(e)
+    return outs, errors
+
+
+def _typed_empty(findings: DataFrame) -> DataFrame:
+    return findings.where(F.lit(False))
+
+
+def _report(spark, rules: Sequence[Rule], errors: dict[str, str], allm: DataFrame | None) -> DataFrame:
+    ran = spark.createDataFrame([(r.rule_id, errors.get(r.rule_id)) for r in rules if r.enabled], "rule_id string, error string")
+    if allm is None:
+        return ran.select("rule_id", F.lit(0).cast("long").alias("emitted"), "error")
     counts = allm.groupBy(F.regexp_replace(F.col("source.source_ref"), "^correlation:", "").alias("rule_id")).agg(F.count(F.lit(1)).alias("emitted"))
-    ran = findings.sparkSession.createDataFrame([(r.rule_id,) for r in rules if r.enabled], "rule_id string")
-    report = ran.join(counts, "rule_id", "left").select("rule_id", F.coalesce("emitted", F.lit(0)).alias("emitted"))
-    return allm, report
+    return ran.join(counts, "rule_id", "left").select("rule_id", F.coalesce("emitted", F.lit(0)).alias("emitted"), "error")
 
 
-def evidence(findings: DataFrame, meta: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def store_correlated(findings: DataFrame, rules: Sequence[Rule], path: str, *, id_salt: str = "stable", fail_fast: bool = False) -> DataFrame:
+    """R10 as a job: write the meta-findings to ``path`` and return the report, counted from what
+    was written, so no rule runs twice."""
+    outs, errors = _planned(findings, rules, id_salt, fail_fast)
+    spark = findings.sparkSession
+    if not outs:
+        return _report(spark, rules, errors, None)
+    reduce(DataFrame.unionByName, outs).write.mode("overwrite").parquet(path)
+    return _report(spark, rules, errors, spark.read.parquet(path))
+
+
+def evidence(findings: DataFrame, meta: DataFrame, rules: Sequence[Rule], *, salts: int = 32) -> DataFrame:
     """The source findings behind meta-findings, one row each.
 
-    A meta-finding's identity holds only a digest of its sources; they are
-    listed here: findings of the checks its rule needs, in the same run,
-    account and region (and of the same resource, unless it speaks for the
-    account). Columns: tenant_id, workspace_id, run_id, meta_fingerprint,
-    rule_id, check_id, fingerprint.
+    A meta-finding's identity holds only a digest of its sources; here they are listed by the
+    very predicates the rules count with. One pass over the findings notes for each which
+    rules count it and at which grain; the notes meet their meta-findings by an equi-join on
+    run, account, region, rule and subject (the resource, the vault, or the account). At the
+    account grain the notes are dealt over ``salts`` keys and the few meta-findings copied to
+    each, so a hot account is no single task. Rules of users list their sources themselves.
+
+    Columns: tenant_id, workspace_id, run_id, meta_fingerprint, rule_id, subject, check_id,
+    fingerprint. Count and hash sum equal each meta-finding's digest (``evidence_digests``).
     """
-    spark = findings.sparkSession
-    needs = spark.createDataFrame([(r.rule_id, c) for r in rules for c in r.required_check_ids], "rule_id string, check_id string")
+    told = [r for r in rules if r.sources is not None]
+    checks = sorted({c for r in told for c in r.required_check_ids})
+    arn = F.coalesce("resource_arn", F.lit(""))
+    any_arn = F.lit(None).cast("string")
+    spread = F.pmod(F.xxhash64("fingerprint"), F.lit(salts)).cast("int")
+    subject = {
+        "resource": (F.col("resource_id"), arn, F.lit(0)),
+        # points and rules name the vault only; a vault's own findings must be of the same vault
+        "vault": (vault_of(), F.when(F.col("check_id").isin(*VAULT_OWN), arn).otherwise(any_arn), F.lit(0)),
+        "account": (F.col("account_id"), any_arn, spread),
+    }
+
+    def note(r: Rule) -> Column:
+        who, named, salt = subject[r.grain]
+        counted = r.sources(**{k: v for k, v in r.params.items() if k == "statuses"})
+        return F.when(counted, F.struct(F.lit(r.rule_id).alias("rule_id"), who.alias("subject"), named.alias("arn"), salt.alias("salt")))
+
+    s = _sig(findings.where(F.col("check_id").isin(*checks)))
+    notes = s.select(*ACCT_KEYS, "check_id", "fingerprint", F.explode(F.array_compact(F.array(*map(note, told)))).alias("note"))
+    notes = notes.select(*ACCT_KEYS, "check_id", "fingerprint", "note.*").distinct()
+    by_account = [r.rule_id for r in told if r.grain == "account"]
     m = meta.select(
         *RUN_KEYS,
         F.col("scope.account_id").alias("account_id"),
         F.col("scope.region").alias("region"),
-        F.col("scope.resource_type").alias("meta_type"),
-        F.col("scope.resource_id").alias("meta_resource"),
         F.regexp_replace(F.col("source.source_ref"), "^correlation:", "").alias("rule_id"),
+        F.col("scope.resource_id").alias("subject"),
+        F.coalesce("scope.resource_arn", F.lit("")).alias("meta_arn"),
         F.col("fingerprint").alias("meta_fingerprint"),
-    ).join(needs, "rule_id")
-    s = _sig(findings).select(*ACCT_KEYS, "check_id", "resource_id", "fingerprint").distinct()
-    same = (F.col("meta_type") == "account") | (F.col("resource_id") == F.col("meta_resource"))
-    return s.join(m, ACCT_KEYS + ["check_id"]).where(same).select(*RUN_KEYS, "meta_fingerprint", "rule_id", "check_id", "fingerprint")
+    )
+    copies = F.when(F.col("rule_id").isin(*by_account), salts).otherwise(1)
+    m = m.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    same = F.col("arn").isNull() | (F.col("arn") == F.col("meta_arn"))
+    for k in (*ACCT_KEYS, "rule_id", "subject", "salt"):
+        same &= notes[k].eqNullSafe(m[k])
+    keep = [notes[k] for k in (*RUN_KEYS, "rule_id", "subject", "check_id", "fingerprint")]
+    return notes.join(m, same).select(*keep[: len(RUN_KEYS)], "meta_fingerprint", *keep[len(RUN_KEYS) :])
+
+
+def evidence_digests(listed: DataFrame, meta: DataFrame) -> DataFrame:
+    """Per meta-finding the digest it carries, the one of its listed sources, and whether they agree."""
+    h = F.sum(_source_hash(F.col("fingerprint"))).cast("decimal(38,0)")
+    found = listed.groupBy(*RUN_KEYS, "rule_id", "meta_fingerprint").agg(F.count(F.lit(1)).alias("sources"), F.concat_ws(":", F.count(F.lit(1)).cast("string"), h.cast("string")).alias("listed_digest"))
+    m = meta.select(
+        *RUN_KEYS, F.regexp_replace(F.col("source.source_ref"), "^correlation:", "").alias("rule_id"), F.col("fingerprint").alias("meta_fingerprint"), F.col("dimensions")[SOURCES_KEY].alias("digest")
+    )
+    out = m.join(found, [*RUN_KEYS, "rule_id", "meta_fingerprint"], "left")
+    return out.withColumns({"sources": F.coalesce("sources", F.lit(0)), "agree": F.col("digest") == F.coalesce("listed_digest", F.lit("0:0"))})
 
 
 def meta_flat(meta: DataFrame) -> DataFrame:

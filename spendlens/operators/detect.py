@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import MONEY
 from ..functions.stats import percentile_floor
 from ..functions.tags import missing_required, suppressed
+from ..sources.prices import price_ladder
 
 DRAFT_COLUMNS = [
     "tenant_id",
@@ -36,6 +37,15 @@ DRAFT_COLUMNS = [
     "detail",
 ]
 
+#: where a name is unique; inventories, metrics and references all carry these columns and join on them
+SCOPE = ["tenant_id", "account_id", "region"]
+
+# Prices (USD) that stand in where no table has one.
+NAT_USD = {"hour": 0.045, "gb": 0.045}
+LAMBDA_GB_SECOND_USD = 0.0000166667
+LB_HOUR_USD = {"application": 0.0225, "network": 0.0225}
+BACKUP_GB_MONTH_USD = {"warm": 0.05, "cold": 0.01}
+
 # Suppression tag keys / values / prefixes by resource family.
 EBS_SUPPRESS_KEYS = ("retain", "retention", "keep", "do_not_delete", "donotdelete", "backup", "purpose", "lifecycle")
 EBS_SUPPRESS_VALUES = ("retain", "retained", "keep", "true", "yes", "1", "permanent", "legal-hold")
@@ -57,8 +67,6 @@ class DetectorParams:
     nat_idle_p95_daily_bytes: float = 1_048_576.0
     nat_high_data_gib_month: float = 100.0
     nat_orphan_min_age_days: int = 1
-    nat_hourly_usd: float = 0.045
-    nat_data_usd_per_gb: float = 0.045
     lambda_lookback_days: int = 14
     lambda_min_daily_points: int = 7
     lambda_idle_p95_daily_invocations: float = 1.0
@@ -66,7 +74,6 @@ class DetectorParams:
     lambda_max_p95_duration_ms: float = 250.0
     lambda_max_duration_to_timeout: float = 0.20
     lambda_min_invocations: int = 100
-    lambda_gb_second_usd: float = 0.0000166667
     alarms_high_count: int = 100
     alarm_usd_per_month: float = 0.10
 
@@ -177,7 +184,7 @@ def instance_tag_findings(instances: DataFrame, required=REQUIRED_INSTANCE_TAGS,
 
 
 def daily_series(metrics: DataFrame, metric: str, as_of, lookback_days: int, *, agg: str = "sum", scale: float = 1.0) -> DataFrame:
-    """Daily points (resource_id, day, value) of one metric over [as_of - lookback, as_of).
+    """Daily points (scope, resource_id, day, value) of one metric over [as_of - lookback, as_of).
 
     Pre-aggregates raw points to one row per resource and day (map-side
     partial aggregation), which bounds every later per-resource list.
@@ -185,12 +192,12 @@ def daily_series(metrics: DataFrame, metric: str, as_of, lookback_days: int, *,
     now = F.lit(as_of).cast("timestamp")
     m = metrics.where((F.col("metric") == metric) & (F.col("ts") >= now - F.make_interval(days=F.lit(lookback_days))) & (F.col("ts") < now))
     fn = {"sum": F.sum, "avg": F.avg, "max": F.max}[agg]
-    return m.groupBy("resource_id", F.to_date("ts").alias("day")).agg((fn("value") * F.lit(scale)).alias("value"))
+    return m.groupBy(*SCOPE, "resource_id", F.to_date("ts").alias("day")).agg((fn("value") * F.lit(scale)).alias("value"))
 
 
 def series_stats(daily: DataFrame, p: float = 0.95) -> DataFrame:
     """Per resource: points, sum, max and floor percentile of the daily values."""
-    return daily.groupBy("resource_id").agg(
+    return daily.groupBy(*SCOPE, "resource_id").agg(
         F.count(F.lit(1)).alias("points"),
         F.sum("value").alias("total"),
         F.max("value").alias("max_value"),
@@ -212,19 +219,23 @@ def nat_findings(
     *,
     bytes_metric: str = "BytesOutToDestination",
     bytes_scale: float = 1.0,
+    prices: DataFrame | None = None,
     params: DetectorParams = DetectorParams(),
 ) -> DataFrame:
     """D52 orphaned (in no route, not being deleted, age >= 1 d or unknown), D53 cross-AZ (associated subnet in
     another AZ; route tables with an internet-gateway default route ignored),
     D54 idle (>= N daily points, p95 daily bytes below threshold), D55 high data
     processing (bytes scaled to 30 days). Unreferenced gateways that are not
-    being deleted skip D53-D55.
+    being deleted skip D53-D55. ``prices``: kind ``nat``, keys ``hour`` and ``gb``.
     """
     now = F.lit(as_of).cast("timestamp")
     n = nats.where(~suppressed(F.col("tags"), NAT_SUPPRESS_KEYS)).withColumnRenamed("resource_id", "nat_id")
+    for k in ("hour", "gb"):
+        n = price_ladder(n, prices, kind="nat", region=F.col("region"), key=F.lit(k), as_of=as_of, fallback=NAT_USD, name=f"{k}_usd")
     referenced = routes.select(F.col("nat_gateway_id").alias("nat_id")).distinct()
     age = _age_days(F.col("create_time"), now)
-    hourly_cost = F.lit(round(params.nat_hourly_usd * 730.0, 6)).cast(MONEY)
+    hourly_cost = F.round(F.col("hour_usd") * 730.0, 6).cast(MONEY)
+    hour_conf = F.col("hour_usd_confidence").cast("int")
     unreferenced = n.join(referenced, "nat_id", "left_anti")
     deleting = F.coalesce(F.lower("state"), F.lit("")) == "deleting"
     orphan = unreferenced.where(~deleting & (F.col("create_time").isNull() | (age >= params.nat_orphan_min_age_days)))
@@ -238,6 +249,7 @@ def nat_findings(
         severity_score=F.lit(600),
         monthly_cost=hourly_cost,
         monthly_savings=hourly_cost,
+        confidence=hour_conf,
         detail=F.coalesce(age.cast("string"), F.lit("unknown")),
     )
     live = n.join(referenced, "nat_id", "left_semi").unionByName(unreferenced.where(deleting))
@@ -264,7 +276,7 @@ def nat_findings(
     stats = series_stats(daily_series(metrics, bytes_metric, as_of, params.nat_lookback_days, scale=bytes_scale)).withColumnRenamed(
         "resource_id", "nat_id"
     )
-    s = live.join(stats, "nat_id")
+    s = live.join(stats, [*SCOPE, "nat_id"])
     idle = s.where((F.col("points") >= params.nat_min_daily_points) & (F.col("p95") < params.nat_idle_p95_daily_bytes))
     d54 = _draft(
         idle,
@@ -276,11 +288,12 @@ def nat_findings(
         severity_score=F.lit(500),
         monthly_cost=hourly_cost,
         monthly_savings=hourly_cost,
+        confidence=hour_conf,
         detail=F.format_string("%.6f", F.col("p95")),
     )
     monthly_gib = F.col("total") * (30.0 / F.col("points")) / F.lit(1024.0**3)
     high = s.withColumn("gib", monthly_gib).where(F.col("gib") >= params.nat_high_data_gib_month)
-    data_cost = (F.col("gib") * params.nat_data_usd_per_gb).cast(MONEY)
+    data_cost = (F.col("gib") * F.col("gb_usd")).cast(MONEY)
     d55 = _draft(
         high,
         service=F.lit("AmazonVPC"),
@@ -290,6 +303,7 @@ def nat_findings(
         severity_level=F.lit("medium"),
         severity_score=F.lit(550),
         monthly_cost=(data_cost + hourly_cost).cast(MONEY),
+        confidence=F.least(hour_conf, F.col("gb_usd_confidence")).cast("int"),
         detail=F.format_string("%.6f", F.col("gib")),
     )
     return d52.unionByName(d53).unionByName(d54).unionByName(d55)
@@ -307,18 +321,22 @@ def lambda_findings(
     *,
     invocations_metric: str = "Invocations",
     duration_metric: str = "Duration",
+    prices: DataFrame | None = None,
     params: DetectorParams = DetectorParams(),
 ) -> DataFrame:
     """D9 unused (>= N daily points, p95 daily invocations <= 1); D10 memory
     over-provisioned (>= 1024 MB, 0 < p95 duration <= 250 ms, duration/timeout
-    <= 0.2, >= 100 invocations) for functions not flagged unused."""
+    <= 0.2, >= 100 invocations) for functions not flagged unused. ``prices``: kind ``lambda``,
+    key ``gb_second``."""
     inv = series_stats(daily_series(metrics, invocations_metric, as_of, params.lambda_lookback_days)).select(
-        "resource_id", F.col("points").alias("inv_points"), F.col("total").alias("inv_total"), F.col("p95").alias("inv_p95")
+        *SCOPE, "resource_id", F.col("points").alias("inv_points"), F.col("total").alias("inv_total"), F.col("p95").alias("inv_p95")
     )
     dur = series_stats(daily_series(metrics, duration_metric, as_of, params.lambda_lookback_days, agg="avg")).select(
-        "resource_id", F.col("points").alias("dur_points"), F.col("p95").alias("dur_p95")
+        *SCOPE, "resource_id", F.col("points").alias("dur_points"), F.col("p95").alias("dur_p95")
     )
-    f = functions.join(inv, "resource_id", "left").join(dur, "resource_id", "left")
+    name = [*SCOPE, "resource_id"]
+    f = functions.join(inv, name, "left").join(dur, name, "left")
+    f = price_ladder(f, prices, kind="lambda", region=F.col("region"), key=F.lit("gb_second"), as_of=as_of, fallback=LAMBDA_GB_SECOND_USD, name="usd")
     unused = (F.coalesce("inv_points", F.lit(0)) >= params.lambda_min_daily_points) & (
         F.col("inv_p95") <= params.lambda_idle_p95_daily_invocations
     )
@@ -329,6 +347,7 @@ def lambda_findings(
         check_id=F.lit("aws.lambda.functions.unused"),
         severity_level=F.lit("low"),
         severity_score=F.lit(320),
+        confidence=F.lit(20),
         detail=F.format_string("%.6f", F.col("inv_p95")),
     )
     over = (
@@ -343,8 +362,8 @@ def lambda_findings(
     )
     monthly_inv = F.col("inv_total") / F.greatest(F.col("inv_points"), F.lit(1)) * 30.0
     gb = F.col("memory_mb") / 1024.0
-    cur_cost = monthly_inv * (F.col("dur_p95") / 1000.0) * gb * params.lambda_gb_second_usd
-    new_cost = monthly_inv * (F.col("dur_p95") * 1.2 / 1000.0) * (gb * 0.5) * params.lambda_gb_second_usd
+    cur_cost = monthly_inv * (F.col("dur_p95") / 1000.0) * gb * F.col("usd")
+    new_cost = monthly_inv * (F.col("dur_p95") * 1.2 / 1000.0) * (gb * 0.5) * F.col("usd")
     d10 = _draft(
         f.where(over),
         service=F.lit("AWSLambda"),
@@ -354,6 +373,7 @@ def lambda_findings(
         severity_score=F.lit(560),
         monthly_cost=F.round(cur_cost, 6).cast(MONEY),
         monthly_savings=F.round(F.greatest(cur_cost - new_cost, F.lit(0.0)), 6).cast(MONEY),
+        confidence=F.greatest(F.lit(20), F.least(F.col("usd_confidence"), F.lit(55))).cast("int"),
         detail=F.format_string("%.6f", F.col("dur_p95")),
     )
     return d9.unionByName(d10)
@@ -837,10 +857,12 @@ def ecs_findings(clusters: DataFrame, services: DataFrame) -> DataFrame:
         idle, service=F.lit("AmazonECS"), resource_type=F.lit("ecs_cluster"), resource_id=F.col("cluster_name"),
         check_id=F.lit("aws.ecs.cluster.possibly.unused"), severity_level=F.lit("low"), severity_score=F.lit(240),
     )
+    # a service name is unique in its cluster
+    service = F.concat_ws("/", "cluster_name", "service_name")
     active = services.where((F.upper(F.trim("status")) == "ACTIVE") & (F.col("desired_count") > 0))
     d12 = _draft(
         active.where(F.col("running_count") == 0), service=F.lit("AmazonECS"), resource_type=F.lit("ecs_service"),
-        resource_id=F.col("service_name"), check_id=F.lit("aws.ecs.service.zero.running"), severity_level=F.lit("medium"),
+        resource_id=service, check_id=F.lit("aws.ecs.service.zero.running"), severity_level=F.lit("medium"),
         severity_score=F.lit(620), detail=F.col("desired_count").cast("string"),
     )
     providers = F.filter(F.transform(F.col("providers"), lambda x: F.upper(F.trim(x))), lambda x: x != "")
@@ -849,7 +871,7 @@ def ecs_findings(clusters: DataFrame, services: DataFrame) -> DataFrame:
     nonprod = non_production(F.col("tags"), CONTAINERS_NONPROD_TAG_KEYS, CONTAINERS_NONPROD_TAG_VALUES)
     d13 = _draft(
         active.where(nonprod & fargate & ~spot), service=F.lit("AmazonECS"), resource_type=F.lit("ecs_service"),
-        resource_id=F.col("service_name"), check_id=F.lit("aws.ecs.service.nonprod.on_demand"), severity_level=F.lit("low"),
+        resource_id=service, check_id=F.lit("aws.ecs.service.nonprod.on_demand"), severity_level=F.lit("low"),
         severity_score=F.lit(260),
     )
     return d11.unionByName(d12).unionByName(d13)
@@ -928,11 +950,12 @@ def savings_plan_findings(
 
 def backup_findings(
     plans: DataFrame, selections: DataFrame, recovery_points: DataFrame, as_of, *, stale_days: int = 90,
-    skip_if_deleting_within_days: int = 14, warm_usd: str = "0.05", cold_usd: str = "0.01",
+    skip_if_deleting_within_days: int = 14, prices: DataFrame | None = None,
 ) -> DataFrame:
     """D47 plan with no selection (anti-join), D48 rule whose lifecycle moves and deletes
     nothing (rules exploded with their position), D49 recovery point older than N days,
-    not deleted/expired, not expiring within M days, not suppressed; cost = size x class price."""
+    not deleted/expired, not expiring within M days, not suppressed; cost = size x class price
+    (``prices``: kind ``backup_gb_month``, keys ``warm`` and ``cold``)."""
     now = F.lit(as_of).cast("timestamp")
     d47 = _draft(
         plans.join(selections.select("plan_id").distinct(), "plan_id", "left_anti"),
@@ -953,13 +976,15 @@ def backup_findings(
         & (F.col("delete_at").isNull() | (F.col("delete_at") > now + F.make_interval(days=F.lit(skip_if_deleting_within_days))))
         & ~suppressed(F.col("tags"), BACKUP_SUPPRESS_KEYS, BACKUP_SUPPRESS_KEYS)
     )
-    unit = F.when(F.upper("storage_class") == "COLD", F.lit(cold_usd)).otherwise(F.lit(warm_usd)).cast("decimal(12,6)")
-    raw = F.col("size_gb").cast("decimal(18,2)") * unit
+    stored_as = F.when(F.upper("storage_class") == "COLD", "cold").otherwise("warm")
+    rp = price_ladder(rp, prices, kind="backup_gb_month", region=F.col("region"), key=stored_as, as_of=as_of, fallback=BACKUP_GB_MONTH_USD, name="usd")
+    raw = F.col("size_gb").cast("decimal(18,2)") * F.col("usd").cast("decimal(12,6)")
     cost = F.when(raw > 0, F.round(raw, 2)).cast(MONEY)
     d49 = _draft(
         rp, service=F.lit("AWSBackup"), resource_type=F.lit("recovery_point"), resource_id=F.col("recovery_point_arn"),
         check_id=F.lit("aws.backup.recovery.points.stale"), severity_level=F.lit("medium"), severity_score=F.lit(65),
         monthly_cost=cost, monthly_savings=cost, detail=F.col("vault_name"),
+        confidence=F.when(raw > 0, F.least(F.lit(90), F.greatest(F.lit(20), F.col("usd_confidence") + 10))).otherwise(10).cast("int"),
     )
     return d47.unionByName(d48).unionByName(d49)
 
@@ -1031,32 +1056,37 @@ ELB_SUPPRESS_KEYS = ("finops:ignore", "do-not-delete", "keep")
 def elbv2_findings(
     lbs: DataFrame, listeners: DataFrame, target_groups: DataFrame, targets: DataFrame, metrics: DataFrame, as_of, *,
     lookback_days: int = 14, min_points: int = 7, idle_p95: float = 1.0, min_age_days: int = 2, require_min_points: bool = True,
-    hourly_usd: str = "0.0225",
+    prices: DataFrame | None = None,
 ) -> DataFrame:
     """Load balancers at least N days old (or of unknown age): D56 without listeners (no further
     checks for it); D57 idle: p95 of daily RequestCount (application) / NewFlowCount (network)
     <= threshold (K11: a minimum number of daily points is required unless
     ``require_min_points`` is off, in which case a missing series counts as 0); D58 forward
     target groups referenced (lambda groups excluded) and none of them has a registered
-    target; D59 targets registered, none healthy. Cost: the hourly price over 30 days."""
+    target; D59 targets registered, none healthy. Cost: the hourly price over 30 days. Names
+    of load balancers and target groups are unique in their account and region only.
+    ``prices``: kind ``lb_hour``, key the type."""
+    name, group = [*SCOPE, "lb_name"], [*SCOPE, "target_group"]
     now = F.lit(as_of).cast("timestamp")
     old_enough = F.col("created").isNull() | (F.unix_micros(now) - F.unix_micros("created") >= F.lit(min_age_days * 86400e6))
     lb = lbs.where(~suppressed(F.col("tags"), ELB_SUPPRESS_KEYS) & old_enough)
-    monthly = F.round(F.lit(hourly_usd).cast("decimal(18,6)") * 24 * 30, 2).cast(MONEY)
-    with_listener = listeners.select("lb_name").distinct()
+    lb = price_ladder(lb, prices, kind="lb_hour", region=F.col("region"), key=F.lower("lb_type"), as_of=as_of, fallback=LB_HOUR_USD, name="usd")
+    monthly = F.round(F.col("usd").cast("decimal(18,6)") * 24 * 30, 2).cast(MONEY)
+    conf = F.col("usd_confidence").cast("int")
+    with_listener = listeners.select(*name).distinct()
     base = dict(service=F.lit("ElasticLoadBalancing"), resource_type=F.lit("load_balancer"), resource_id=F.col("lb_name"))
     d56 = _draft(
-        lb.join(with_listener, "lb_name", "left_anti"), check_id=F.lit("aws.elbv2.load.balancers.no.listeners"),
-        severity_level=F.lit("high"), severity_score=F.lit(75), monthly_cost=monthly, **base,
+        lb.join(with_listener, name, "left_anti"), check_id=F.lit("aws.elbv2.load.balancers.no.listeners"),
+        severity_level=F.lit("high"), severity_score=F.lit(75), monthly_cost=monthly, confidence=conf, **base,
     )
-    live = lb.join(with_listener, "lb_name", "left_semi")
+    live = lb.join(with_listener, name, "left_semi")
     req = series_stats(daily_series(metrics, "RequestCount", as_of, lookback_days)).select(
-        F.col("resource_id").alias("lb_name"), F.col("points").alias("req_points"), F.col("p95").alias("req_p95")
+        *SCOPE, F.col("resource_id").alias("lb_name"), F.col("points").alias("req_points"), F.col("p95").alias("req_p95")
     )
     flows = series_stats(daily_series(metrics, "NewFlowCount", as_of, lookback_days)).select(
-        F.col("resource_id").alias("lb_name"), F.col("points").alias("flow_points"), F.col("p95").alias("flow_p95")
+        *SCOPE, F.col("resource_id").alias("lb_name"), F.col("points").alias("flow_points"), F.col("p95").alias("flow_p95")
     )
-    s = live.join(req, "lb_name", "left").join(flows, "lb_name", "left")
+    s = live.join(req, name, "left").join(flows, name, "left")
     is_app = F.lower("lb_type") == "application"
     points = F.when(is_app, F.col("req_points")).otherwise(F.col("flow_points"))
     p95 = F.when(is_app, F.col("req_p95")).otherwise(F.col("flow_p95"))
@@ -1064,22 +1094,22 @@ def elbv2_findings(
     idle = F.lower("lb_type").isin("application", "network") & enough & (F.coalesce(p95, F.lit(0.0)) <= idle_p95)
     d57 = _draft(
         s.where(idle), check_id=F.lit("aws.elbv2.load.balancers.idle"), severity_level=F.lit("medium"),
-        severity_score=F.lit(60), monthly_savings=monthly, detail=F.format_string("%.6f", F.coalesce(p95, F.lit(0.0))), **base,
+        severity_score=F.lit(60), monthly_savings=monthly, confidence=conf, detail=F.format_string("%.6f", F.coalesce(p95, F.lit(0.0))), **base,
     )
     fwd = (
         listeners.where(F.lower("action_type") == "forward")
-        .join(target_groups.where(F.lower("target_type") != "lambda"), "target_group")
-        .select("lb_name", "target_group")
+        .join(target_groups.where(F.lower("target_type") != "lambda").select(*group), group)
+        .select(*name, "target_group")
         .distinct()
     )
-    registered = targets.groupBy("target_group").agg(F.lit(1).alias("_t"), F.max((F.col("health") == "healthy").cast("int")).alias("_h"))
-    per_lb = fwd.join(registered, "target_group", "left").groupBy("lb_name").agg(
+    registered = targets.groupBy(*group).agg(F.lit(1).alias("_t"), F.max((F.col("health") == "healthy").cast("int")).alias("_h"))
+    per_lb = fwd.join(registered, group, "left").groupBy(*name).agg(
         F.count(F.lit(1)).alias("groups"), F.max(F.coalesce("_t", F.lit(0))).alias("any_targets"), F.max(F.coalesce("_h", F.lit(0))).alias("any_healthy")
     )
-    checked = live.join(per_lb, "lb_name")
+    checked = live.join(per_lb, name)
     d58 = _draft(
         checked.where(F.col("any_targets") == 0), check_id=F.lit("aws.elbv2.load.balancers.no.registered.targets"),
-        severity_level=F.lit("high"), severity_score=F.lit(75), monthly_savings=monthly, detail=F.col("groups").cast("string"), **base,
+        severity_level=F.lit("high"), severity_score=F.lit(75), monthly_savings=monthly, confidence=conf, detail=F.col("groups").cast("string"), **base,
     )
     d59 = _draft(
         checked.where((F.col("any_targets") == 1) & (F.col("any_healthy") == 0)), check_id=F.lit("aws.elbv2.load.balancers.no.healthy.targets"),
@@ -1120,7 +1150,7 @@ def cloudfront_findings(
     )
     req = series_stats(daily_series(metrics, "Requests", as_of, lookback_days)).withColumnRenamed("resource_id", "distribution_id")
     age = _age_days(F.col("created"), now)
-    cand = d.where(F.col("created").isNull() | (age >= min_age_days)).join(req, "distribution_id")
+    cand = d.where(F.col("created").isNull() | (age >= min_age_days)).join(req, [*SCOPE, "distribution_id"])
     d61 = _draft(
         cand.where((F.col("points") >= min_points) & (F.col("p95") <= idle_p95)), check_id=F.lit("aws.cloudfront.distributions.unused"),
         severity_level=F.lit("medium"), severity_score=F.lit(560), detail=F.format_string("%.6f", F.col("p95")), **base,

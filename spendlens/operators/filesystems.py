@@ -13,7 +13,7 @@ from ..functions.coerce import MONEY
 from ..functions.stats import percentile_floor
 from ..functions.tags import missing_required, non_production
 from ..sources.prices import price_lookup
-from .detect import _draft, daily_series
+from .detect import SCOPE, _draft, daily_series
 
 #: fixed values: tags every FSx file system needs, and words of test environments
 FSX_REQUIRED_TAGS = ("application", "applicationId", "environment")
@@ -31,8 +31,8 @@ def _in_window(metrics: DataFrame, as_of, days: int) -> DataFrame:
 
 def _hourly_p95(metrics: DataFrame, metric: str, name: str, agg) -> DataFrame:
     """p95 of the hourly points of a metric, by file system."""
-    hours = metrics.where(F.col("metric") == metric).groupBy("resource_id", F.date_trunc("hour", "ts").alias("hour")).agg(agg("value").alias("value"))
-    return hours.groupBy(F.col("resource_id").alias("file_system_id")).agg(percentile_floor(F.col("value"), 0.95).alias(name))
+    hours = metrics.where(F.col("metric") == metric).groupBy(*SCOPE, "resource_id", F.date_trunc("hour", "ts").alias("hour")).agg(agg("value").alias("value"))
+    return hours.groupBy(*SCOPE, F.col("resource_id").alias("file_system_id")).agg(percentile_floor(F.col("value"), 0.95).alias(name))
 
 
 def efs_use(
@@ -42,15 +42,16 @@ def efs_use(
     """D23 unused: enough days with reads and writes, p95 of their daily sum and the most client
     connections at or below the limits. D24 provisioned throughput whose hourly IO-limit
     percentage never exceeds the limit (needs points)."""
-    days = lambda m, n: daily_series(metrics, m, as_of, lookback_days).select("resource_id", "day", F.col("value").alias(n))
-    io = days("DataReadIOBytes", "r").join(days("DataWriteIOBytes", "w"), ["resource_id", "day"]).groupBy("resource_id").agg(
+    name = [*SCOPE, "resource_id"]
+    days = lambda m, n: daily_series(metrics, m, as_of, lookback_days).select(*name, "day", F.col("value").alias(n))
+    io = days("DataReadIOBytes", "r").join(days("DataWriteIOBytes", "w"), [*name, "day"]).groupBy(*name).agg(
         F.count(F.lit(1)).alias("points"), percentile_floor(F.col("r") + F.col("w"), 0.95).alias("io_p95")
     )
-    seen = _in_window(metrics, as_of, lookback_days).groupBy("resource_id").agg(
+    seen = _in_window(metrics, as_of, lookback_days).groupBy(*name).agg(
         F.max(F.when(F.col("metric") == "ClientConnections", F.col("value"))).alias("connections"),
         F.max(F.when(F.col("metric") == "PercentIOLimit", F.col("value"))).alias("io_limit"),
     )
-    f = filesystems.withColumn("resource_id", F.col("file_system_id")).join(io, "resource_id", "left").join(seen, "resource_id", "left")
+    f = filesystems.withColumn("resource_id", F.col("file_system_id")).join(io, name, "left").join(seen, name, "left")
     base = dict(service=F.lit("AmazonEFS"), resource_type=F.lit("file_system"), resource_id=F.col("file_system_id"))
     unused = (F.col("points") >= min_points) & (F.col("io_p95") <= idle_p95_bytes) & (F.coalesce("connections", F.lit(0.0)) <= max_connections)
     d23 = _draft(
@@ -77,11 +78,12 @@ def fsx_findings(
     backup_days, copy_tags, maintenance (``d:HH:MM``), tags.
     """
     m = _in_window(metrics, as_of, lookback_days)
-    act = m.where(F.col("metric").isin(*FSX_ACTIVITY)).groupBy(F.col("resource_id").alias("file_system_id")).agg(F.max((F.col("value") > 0).cast("int")).alias("active"))
-    f = filesystems.join(act, "file_system_id", "left").withColumn("seen", F.col("active").isNotNull()).withColumn("active", F.coalesce("active", F.lit(0)) == 1)
-    for i, name in enumerate(FSX_UTILIZATION):
-        f = f.join(_hourly_p95(m, name, f"u{i}", F.avg), "file_system_id", "left")
-    f = f.join(_hourly_p95(m, "DataReadBytes", "read95", F.sum), "file_system_id", "left").join(_hourly_p95(m, "DataWriteBytes", "write95", F.sum), "file_system_id", "left")
+    name = [*SCOPE, "file_system_id"]
+    act = m.where(F.col("metric").isin(*FSX_ACTIVITY)).groupBy(*SCOPE, F.col("resource_id").alias("file_system_id")).agg(F.max((F.col("value") > 0).cast("int")).alias("active"))
+    f = filesystems.join(act, name, "left").withColumn("seen", F.col("active").isNotNull()).withColumn("active", F.coalesce("active", F.lit(0)) == 1)
+    for i, metric in enumerate(FSX_UTILIZATION):
+        f = f.join(_hourly_p95(m, metric, f"u{i}", F.avg), name, "left")
+    f = f.join(_hourly_p95(m, "DataReadBytes", "read95", F.sum), name, "left").join(_hourly_p95(m, "DataWriteBytes", "write95", F.sum), name, "left")
     f = f.withColumn("util", F.coalesce(*[F.col(f"u{i}") for i in range(len(FSX_UTILIZATION))]))
     rw = (F.coalesce("read95", F.lit(0.0)) + F.coalesce("write95", F.lit(0.0))) / 3600.0 / 1024.0**2
     f = f.withColumn("mib_s", F.when(F.col("read95").isNotNull() | F.col("write95").isNotNull(), rw))

@@ -85,71 +85,104 @@ def _finding_events(state_events: DataFrame, latest: DataFrame) -> DataFrame:
         .join(members, ["tenant_id", "workspace", "group_key"])
         .select("tenant_id", "workspace", "fingerprint", F.lit("group").alias("source"), "state", "snooze_until", "event_ts")
     )
-    # only findings that exist in the read model are synced
-    return f.unionByName(g).join(latest.select(*KEY), KEY, "left_semi")
-
-
-def sla_replay(state_events: DataFrame, latest: DataFrame, category_policies: DataFrame, check_overrides: DataFrame | None = None) -> DataFrame:
-    """Replay the SLA clock per finding from its state events.
-
-    Returns one governance row per finding with events: first_detected_at,
-    first_opened_at, sla_days, sla_paused_at (open pause), total paused
-    seconds, deadline, breached_at, event count.
+    return f.unionByName(g)
+
+
+def _event_log(state_events: DataFrame, latest: DataFrame, extensions: DataFrame | None, assignments: DataFrame | None) -> DataFrame:
+    """All events of findings in one shape: state changes (own and of the group, G5), SLA
+    extensions (G7) and assignments (G11); ``source`` tells them apart."""
+    none = F.lit(None).cast("string")
+    ev = _finding_events(state_events, latest).withColumns({"days": F.lit(None).cast("int"), "owner_id": none, "team_id": none})
+    more = []
+    if extensions is not None:
+        more.append(extensions.select(*KEY, F.lit("extension").alias("source"), "event_ts", F.col("days").cast("int").alias("days")))
+    if assignments is not None:
+        more.append(assignments.select(*KEY, F.lit("assignment").alias("source"), "event_ts", "owner_id", "team_id"))
+    for m in more:
+        ev = ev.unionByName(m, allowMissingColumns=True)
+    return ev
+
+
+def sla_replay(
+    state_events: DataFrame, latest: DataFrame, category_policies: DataFrame, check_overrides: DataFrame | None = None, extensions: DataFrame | None = None, assignments: DataFrame | None = None
+) -> DataFrame:
+    """G4/W10 with G5, G7 and G11: replay the governance of each finding from all its events.
+
+    Returns one row per finding with events: first_detected_at, first_opened_at, sla_days,
+    sla_paused_at (open pause), total paused and extension seconds, deadline, breached_at,
+    extension count, state event count, and - with ``assignments`` - the last owner and team.
+
+    Events fold in order of time (then kind), so an extension meets the pauses and the breach
+    stamp as they are at its time: it lifts the stamp if it moves the deadline to its time or
+    later, else the stamp stays (or is set). State changes stamp a breach once. Extensions
+    and assignments neither open nor pause nor resume. ``extensions``: key, days, event_ts;
+    ``assignments``: key, owner_id, team_id, event_ts.
+
+    One shuffle on the finding's key; every window has the same partitioning and order, and
+    the last state is taken by one aggregate on the same key.
     """
     days = resolve_sla_days(latest, category_policies, check_overrides).select(*KEY, "sla_days", "detected_at")
-    ev = _finding_events(state_events, latest)
-    w = Window.partitionBy(*KEY).orderBy("event_ts", "source", "state")
+    ev = _event_log(state_events, latest, extensions, assignments).join(days, KEY)
+    w = Window.partitionBy(*KEY).orderBy("event_ts", "source", "state", "days", "owner_id", "team_id")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_state = F.col("source").isin("finding", "group")
     # state of the finding and of its group as of each event (last non-null so far)
     pair = F.struct(F.col("state").alias("st"), F.col("snooze_until").alias("su"))
     ev = ev.withColumns(
         {
+            "_pos": F.row_number().over(w),
             "_f": F.last(F.when(F.col("source") == "finding", pair), ignorenulls=True).over(upto),
             "_g": F.last(F.when(F.col("source") == "group", pair), ignorenulls=True).over(upto),
         }
     )
-    ev = ev.withColumn(
-        "eff", effective_state(F.col("_f.st"), F.col("_f.su"), F.col("_g.st"), F.col("_g.su"), F.col("event_ts"))
-    )
-    snoozed = F.col("eff") == "snoozed"
-    prev_snoozed = F.coalesce(F.lag(snoozed).over(w), F.lit(False))
-    ev = ev.withColumns({"_s": snoozed, "_ps": prev_snoozed})
-    ev = ev.withColumn("_start", F.when(F.col("_s") & ~F.col("_ps"), F.col("event_ts")))
-    ev = ev.withColumn("_pause_from", F.last("_start", ignorenulls=True).over(upto))
+    eff = effective_state(F.col("_f.st"), F.col("_f.su"), F.col("_g.st"), F.col("_g.su"), F.col("event_ts"))
+    ev = ev.withColumn("eff", F.when(is_state, eff))
+    # the clock only notices a snooze, or its end, at a state event
+    ev = ev.withColumn("_s", F.coalesce(F.last(F.col("eff") == "snoozed", ignorenulls=True).over(upto), F.lit(False)))
+    ev = ev.withColumn("_ps", F.coalesce(F.lag("_s").over(w), F.lit(False)))
+    ev = ev.withColumn("_pause_from", F.last(F.when(F.col("_s") & ~F.col("_ps"), F.col("event_ts")), ignorenulls=True).over(upto))
     secs = F.floor(F.unix_micros("event_ts") / 1e6 - F.unix_micros("_pause_from") / 1e6)
     ev = ev.withColumn("_delta", F.when(~F.col("_s") & F.col("_ps"), F.greatest(F.lit(0), secs)).otherwise(F.lit(0)).cast("long"))
     ev = ev.withColumns(
         {
             "_paused": F.sum("_delta").over(upto),
+            "_ext": F.sum(F.coalesce(F.col("days"), F.lit(0)).cast("long") * 86400).over(upto),
             "_opened": F.min(F.when(F.col("eff") == "open", F.col("event_ts"))).over(upto),
         }
-    ).join(days, KEY, "left")
+    )
     deadline = F.when(
         F.col("_opened").isNotNull() & F.col("sla_days").isNotNull(),
-        F.col("_opened") + F.make_interval(days=F.col("sla_days")) + F.make_interval(secs=F.col("_paused")),
+        F.col("_opened") + F.make_interval(days=F.col("sla_days")) + F.make_interval(secs=F.col("_paused") + F.col("_ext")),
     )
     ev = ev.withColumn("_deadline", deadline)
-    last = Window.partitionBy(*KEY).orderBy(F.col("event_ts").desc(), F.col("source").desc(), F.col("state").desc())
-    ev = ev.withColumns(
-        {
-            "_breach": F.min(F.when(F.col("_deadline") < F.col("event_ts"), F.col("event_ts"))).over(Window.partitionBy(*KEY)),
-            "_first_ts": F.min("event_ts").over(Window.partitionBy(*KEY)),
-            "_n": F.count(F.lit(1)).over(Window.partitionBy(*KEY)),
-            "_r": F.row_number().over(last),
-        }
+    late = F.col("_deadline") < F.col("event_ts")
+    lifts = (F.col("source") == "extension") & ~F.coalesce(late, F.lit(False))
+    ev = ev.withColumns({"_late": late & (F.col("source") != "assignment"), "_lifted": F.count_if(lifts).over(upto)})
+    last = F.max_by(F.struct("_opened", "_s", "_pause_from", "_paused", "_ext", "_deadline"), "_pos")
+    out = ev.groupBy(*KEY, "sla_days", "detected_at").agg(
+        last.alias("_l"),
+        F.min(F.when(is_state, F.col("event_ts"))).alias("_first_ts"),
+        F.count_if(is_state).alias("_n"),
+        F.count_if(F.col("source") == "extension").alias("_n_ext"),
+        F.max("_lifted").alias("_lifts"),
+        # the first late event after the last extension that lifted the stamp
+        F.min(F.when(F.col("_late"), F.struct((-F.col("_lifted")).alias("since"), F.col("event_ts").alias("at")))).alias("_b"),
+        F.max_by(F.when(F.col("source") == "assignment", F.struct("owner_id", "team_id", "event_ts")), F.when(F.col("source") == "assignment", F.col("_pos"))).alias("_a"),
     )
-    return ev.where("_r = 1").select(
+    owner = [F.col("_a.owner_id").alias("owner_id"), F.col("_a.team_id").alias("team_id"), F.col("_a.event_ts").alias("assigned_at")]
+    return out.select(
         *KEY,
         F.coalesce("detected_at", "_first_ts").alias("first_detected_at"),
-        F.col("_opened").alias("first_opened_at"),
+        F.col("_l._opened").alias("first_opened_at"),
         "sla_days",
-        F.when(F.col("_s"), F.col("_pause_from")).alias("sla_paused_at"),
-        F.col("_paused").alias("sla_total_paused_seconds"),
-        F.lit(0).cast("long").alias("sla_extension_seconds"),
-        F.col("_deadline").alias("sla_deadline"),
-        F.col("_breach").alias("sla_breached_at"),
-        F.lit(0).alias("sla_extended_count"),
+        F.when(F.col("_l._s"), F.col("_l._pause_from")).alias("sla_paused_at"),
+        F.col("_l._paused").alias("sla_total_paused_seconds"),
+        F.col("_l._ext").alias("sla_extension_seconds"),
+        F.col("_l._deadline").alias("sla_deadline"),
+        F.when(F.col("_b.since") == -F.col("_lifts"), F.col("_b.at")).alias("sla_breached_at"),
+        F.col("_n_ext").cast("int").alias("sla_extended_count"),
         F.col("_n").alias("events"),
+        *(owner if assignments is not None else []),
     )
 
 
@@ -251,15 +284,16 @@ def finding_current(latest: DataFrame, state_events: DataFrame, governance: Data
 def sla_backfill(latest: DataFrame, category_policies: DataFrame, as_of, check_overrides: DataFrame | None = None, state_events: DataFrame | None = None) -> DataFrame:
     """Governance rows for open findings that never had an event: opened at detection, deadline by policy.
 
-    A finding with any event of its own (``state_events``) has its clock from
-    the replay and is left out; one without is open.
+    A finding with any event of its own or of its group (``state_events``) has its clock
+    from the replay and is left out; one without is open.
     """
     now = F.lit(as_of).cast("timestamp")
     d = resolve_sla_days(latest, category_policies, check_overrides)
     if state_events is not None:
         ev = state_events.withColumnRenamed("workspace_id", "workspace") if "workspace_id" in state_events.columns else state_events
         known = ev.where(F.col("subject_type") == "finding").select("tenant_id", "workspace", F.col("subject_id").alias("fingerprint")).distinct()
-        d = d.join(known, KEY, "left_anti")
+        groups = ev.where(F.col("subject_type") == "group").select("tenant_id", "workspace", F.col("subject_id").alias("group_key")).distinct()
+        d = d.join(known, KEY, "left_anti").join(groups, ["tenant_id", "workspace", "group_key"], "left_anti")
     opened = F.coalesce(F.col("detected_at"), now)
     return d.select(
         *KEY,

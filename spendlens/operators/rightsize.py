@@ -15,7 +15,7 @@ from ..functions.coerce import MONEY
 from ..functions.stats import percentile_linear
 from ..functions.tags import non_production, normalize_tags
 from ..sources.prices import price_lookup
-from .detect import CONTAINERS_NONPROD_TAG_KEYS, CONTAINERS_NONPROD_TAG_VALUES, _draft, daily_series
+from .detect import CONTAINERS_NONPROD_TAG_KEYS, CONTAINERS_NONPROD_TAG_VALUES, SCOPE, _draft, daily_series
 
 HOURS_PER_MONTH = 730
 #: fixed values: instance sizes in rising order
@@ -60,12 +60,12 @@ def underutilized_instances(
     def of(name: str, fn) -> Column:
         return fn(F.when(F.col("metric") == name, F.col("value")))
 
-    use = m.where(F.col("metric").isin("CPUUtilization", "NetworkIn", "NetworkOut")).groupBy(F.col("resource_id").alias("instance_id")).agg(
+    use = m.where(F.col("metric").isin("CPUUtilization", "NetworkIn", "NetworkOut")).groupBy(*SCOPE, F.col("resource_id").alias("instance_id")).agg(
         F.coalesce(of("CPUUtilization", F.avg), F.lit(0.0)).alias("cpu"),
         ((F.coalesce(of("NetworkIn", F.sum), F.lit(0.0)) + F.coalesce(of("NetworkOut", F.sum), F.lit(0.0))) / 1024.0
          / F.greatest(of("NetworkIn", F.count), of("NetworkOut", F.count), F.lit(1))).alias("net"),
     )
-    i = instances.where(F.lower("state") == "running").join(use, "instance_id").where((F.col("cpu") <= cpu_max) & (F.col("net") <= net_max_kib_h))
+    i = instances.where(F.lower("state") == "running").join(use, [*SCOPE, "instance_id"]).where((F.col("cpu") <= cpu_max) & (F.col("net") <= net_max_kib_h))
     i = i.withColumn("smaller", smaller_type(F.col("instance_type")))
     i = price_lookup(i, prices, region=F.col("region"), kind="ec2_hour", key=F.lower(F.trim("instance_type")), fallback=fallback)
     i = i.withColumnsRenamed({"unit_price": "price", "price_confidence": "confidence"})
@@ -86,11 +86,11 @@ def credit_issues(instances: DataFrame, metrics: DataFrame, as_of, *, lookback_d
     credits in the window; an instance without points counts as 0."""
     now = F.lit(as_of).cast("timestamp")
     m = metrics.where((F.col("ts") >= now - F.make_interval(days=F.lit(lookback_days))) & (F.col("ts") < now))
-    use = m.groupBy(F.col("resource_id").alias("instance_id")).agg(
+    use = m.groupBy(*SCOPE, F.col("resource_id").alias("instance_id")).agg(
         F.min(F.when(F.col("metric") == "CPUCreditBalance", F.col("value"))).alias("balance"),
         F.sum(F.when(F.col("metric") == "CPUSurplusCreditsCharged", F.col("value"))).alias("surplus"),
     )
-    t = instances.where(F.lower(F.coalesce("instance_type", F.lit(""))).startswith("t")).join(use, "instance_id", "left")
+    t = instances.where(F.lower(F.coalesce("instance_type", F.lit(""))).startswith("t")).join(use, [*SCOPE, "instance_id"], "left")
     t = t.withColumns({"balance": F.coalesce("balance", F.lit(0.0)), "surplus": F.coalesce("surplus", F.lit(0.0))})
     return _draft(
         t.where((F.col("balance") < balance_min) | (F.col("surplus") > 0)), service=F.lit("AmazonEC2"), resource_type=F.lit("instance"),
@@ -102,8 +102,8 @@ def credit_issues(instances: DataFrame, metrics: DataFrame, as_of, *, lookback_d
 def nodegroups_on_demand(clusters: DataFrame, nodegroups: DataFrame) -> DataFrame:
     """Node groups of desired size > 0 on on-demand capacity (also when none is named),
     non-production by the cluster's tags overlaid with their own."""
-    c = clusters.select("tenant_id", "account_id", "region", "cluster_name", normalize_tags(F.col("tags")).alias("_cluster"))
-    n = nodegroups.join(c, "cluster_name").withColumn("_own", normalize_tags(F.col("tags")))
+    c = clusters.select(*SCOPE, "cluster_name", normalize_tags(F.col("tags")).alias("_cluster"))
+    n = nodegroups.join(c, [*SCOPE, "cluster_name"]).withColumn("_own", normalize_tags(F.col("tags")))
     kept = F.map_filter("_cluster", lambda k, v: ~F.array_contains(F.map_keys("_own"), k))
     n = n.withColumn("tags", F.map_concat(kept, "_own")).where(
         (F.col("desired_size") > 0)
@@ -147,9 +147,10 @@ def rds_rightsizing(
 
     def stats(metric: str, name: str) -> DataFrame:
         daily = daily_series(metrics, metric, as_of, window_days, agg="avg")
-        return daily.groupBy(F.col("resource_id").alias("db_instance_id")).agg(F.count(F.lit(1)).alias("points"), percentile_linear(F.col("value"), 0.95).alias(name))
+        return daily.groupBy(*SCOPE, F.col("resource_id").alias("db_instance_id")).agg(F.count(F.lit(1)).alias("points"), percentile_linear(F.col("value"), 0.95).alias(name))
 
-    free = dbs.where(F.col("allocated_gb") > 0).join(stats("FreeStorageSpace", "p95"), "db_instance_id").where(F.col("points") >= _enough(window_days))
+    name = [*SCOPE, "db_instance_id"]
+    free = dbs.where(F.col("allocated_gb") > 0).join(stats("FreeStorageSpace", "p95"), name).where(F.col("points") >= _enough(window_days))
     alloc = F.col("allocated_gb").cast("double")
     free = free.withColumn("used", F.greatest(F.lit(0.0), alloc - F.greatest(F.lit(0.0), F.col("p95") / 1024.0**3)))
     free = free.withColumn("excess", F.greatest(F.lit(0.0), alloc - F.greatest(F.col("used"), alloc * used_ratio)))
@@ -180,7 +181,7 @@ def rds_rightsizing(
     replica = dbs.where(
         F.col("replica_of").isNotNull() & (F.col("replica_of") != "") & ~F.lower(F.coalesce("engine", F.lit(""))).startswith("aurora")
         & (F.lower("status") == "available") & ~F.coalesce(purpose, F.lit(False))
-    ).join(stats("ReadIOPS", "p95"), "db_instance_id").where((F.col("points") >= _enough(window_days)) & (F.col("p95") < read_iops_max))
+    ).join(stats("ReadIOPS", "p95"), name).where((F.col("points") >= _enough(window_days)) & (F.col("p95") < read_iops_max))
     option = F.when(F.col("multi_az"), F.lit("multi")).otherwise("single")
     replica = price_lookup(replica, prices, region=F.col("region"), kind="rds_hour", key=F.concat(F.lower("instance_class"), F.lit(":"), option))
     cost = F.coalesce(_monthly(F.col("unit_price")), F.lit(0)).cast(MONEY)
@@ -197,13 +198,15 @@ def rds_snapshots(snapshots: DataFrame, sources: DataFrame, as_of, *, stale_days
     snapshot at least N days old whose source still exists or lies elsewhere.
 
     ``snapshots``: region, snapshot_id, snapshot_type, kind (db, cluster), source_id,
-    source_region, created, size_gb. ``sources``: kind, source_id of existing databases.
+    source_region, created, size_gb. ``sources``: scope, kind, source_id of existing databases;
+    a name of another account or region is another database.
     """
     now = F.lit(as_of).cast("timestamp")
     here = F.coalesce("source_region", "region") == F.col("region")
     named = F.coalesce("source_id", F.lit("")) != ""
-    gone = sources.select("kind", "source_id").distinct().withColumn("_there", F.lit(True))
-    s = snapshots.join(gone, ["kind", "source_id"], "left").withColumn("orphan", here & named & F.col("_there").isNull())
+    key = [*SCOPE, "kind", "source_id"]
+    there = sources.select(*key).distinct().withColumn("_there", F.lit(True))
+    s = snapshots.join(there, key, "left").withColumn("orphan", here & named & F.col("_there").isNull())
     cost = (F.col("size_gb").cast("decimal(18,2)") * F.lit(usd_per_gb).cast("decimal(12,6)")).cast(MONEY)
     base = dict(service=F.lit("AmazonRDS"), resource_type=F.concat(F.lit("rds_"), "kind", F.lit("_snapshot")), resource_id=F.col("snapshot_id"), monthly_cost=cost, monthly_savings=cost)
     d45 = _draft(s.where("orphan"), check_id=F.lit("aws.rds.snapshots.orphaned"), severity_level=F.lit("medium"), severity_score=F.lit(70), detail=F.col("source_id"), **base)

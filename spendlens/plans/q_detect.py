@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import percentile_floor, percentile_linear, percentile_nearest
 from ..operators import detect as D
-from ..sources.bind import bound, binding_cte
+from ..sources.bind import bound, binding_cte, twins, twins_cte
 from .inputs import metrics
 from .registry import query
 
@@ -25,6 +25,24 @@ EBS_PRICES = [
 PRICES_VALUES = "(VALUES " + ", ".join(f"('{r}', '{t}', CAST({p} AS DECIMAL(12,6)))" for r, t, p in EBS_PRICES) + ") AS pr(region, volume_type, price)"
 
 
+# Prices of network, function and backup detectors: a region and key of their own, any key of the
+# region, any region, one that has ended and one yet to come; other kinds have none.
+LADDER_PRICES = [
+    ("us-east-1", "nat", "hour", 0.048, None), ("global", "nat", "gb", 0.052, None), ("us-east-1", "nat", "gb", 0.0, None),
+    ("us-east-1", "lambda", "default", 0.00001, "2020-01-01 00:00:00"), ("us-east-1", "lambda", "default", 0.000015, "2023-06-01 00:00:00"), ("us-east-1", "lambda", "default", 9.0, "2025-01-01 00:00:00"),
+    ("us-east-1", "lb_hour", "network", 0.0252, None), ("global", "lb_hour", "default", 0.03, None),
+    ("eu-west-1", "backup_gb_month", "cold", 0.012, None),
+]
+
+
+def _ladder_prices(spark) -> DataFrame:
+    rows = [(r, k, key, p, since) for r, k, key, p, since in LADDER_PRICES]
+    return spark.createDataFrame(rows, "region string, kind string, key string, unit_price double, effective_from string")
+
+
+LADDER_VALUES = "(VALUES " + ", ".join(f"('{r}', '{k}', '{key}', CAST({p} AS DOUBLE), " + (f"TIMESTAMP '{s}'" if s else "CAST(NULL AS TIMESTAMP)") + ")" for r, k, key, p, s in LADDER_PRICES) + ") AS lp(region, kind, key, price, since)"
+
+
 def _tag_map(*pairs: tuple[str, str]):
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in pairs])
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
@@ -53,13 +71,14 @@ def _prices(spark):
 _DRAFT_SELECT = """tenant_id, account_id, region, '{service}' AS service, '{rtype}' AS resource_type, {rid} AS resource_id,
        '{check}' AS check_id, {status} AS status, {lvl} AS severity_level, {score} AS severity_score,
        CAST({cost} AS DECIMAL(18,6)) AS monthly_cost, CAST({savings} AS DECIMAL(18,6)) AS monthly_savings,
-       CAST(NULL AS INTEGER) AS confidence, {detail} AS detail"""
+       CAST({conf} AS INTEGER) AS confidence, {detail} AS detail"""
 
 
 def _sel(**kw):
     kw.setdefault("status", "'fail'")
     kw.setdefault("cost", "NULL")
     kw.setdefault("savings", "NULL")
+    kw.setdefault("conf", "NULL")
     return _DRAFT_SELECT.format(**kw)
 
 
@@ -147,7 +166,7 @@ def _nats(spark, sf):
 
 
 def _nat_metrics(spark, sf):
-    m = metrics(spark, sf).withColumn("metric", F.lit("BytesOutToDestination"))
+    m = metrics(spark, sf).withColumns({"region": F.lit("us-east-1"), "metric": F.lit("BytesOutToDestination")})
     busy = F.regexp_extract("resource_id", r"(\d+)$", 1).cast("long") % 5 == 0
     return m.withColumn("value", F.when(busy, F.col("value") * 1e6).otherwise(F.col("value")))
 
@@ -183,26 +202,27 @@ s AS (SELECT live.*, st.points, st.total, st.p95, st.total * (30.0 / st.points)
     oracle=NAT_CTE
     + "SELECT "
     + _sel(service="AmazonVPC", rtype="nat_gateway", rid="nat_id", check="aws.ec2.nat.gateways.orphaned", lvl="'medium'", score="600",
-           cost="32.85", savings="32.85", detail="COALESCE(CAST(age AS VARCHAR), 'unknown')")
+           cost="35.04", savings="35.04", conf="90", detail="COALESCE(CAST(age AS VARCHAR), 'unknown')")
     + " FROM n WHERE nat_id NOT IN (SELECT nat_id FROM ref) AND state <> 'deleting' AND (create_time IS NULL OR age >= 1) UNION ALL SELECT "
     + _sel(service="AmazonVPC", rtype="nat_gateway", rid="nat_id", check="aws.ec2.nat.gateways.cross.az", lvl="'low'", score="350",
            detail="CAST(cross_subnets AS VARCHAR)")
     + " FROM live JOIN cross_az USING (nat_id) UNION ALL SELECT "
     + _sel(service="AmazonVPC", rtype="nat_gateway", rid="nat_id", check="aws.ec2.nat.gateways.idle", lvl="'medium'", score="500",
-           cost="32.85", savings="32.85", detail="printf('%.6f', p95)")
+           cost="35.04", savings="35.04", conf="90", detail="printf('%.6f', p95)")
     + " FROM s WHERE points >= 7 AND p95 < 1048576.0 UNION ALL SELECT "
     + _sel(service="AmazonVPC", rtype="nat_gateway", rid="nat_id", check="aws.ec2.nat.gateways.high.data.processing", lvl="'medium'",
-           score="550", cost="CAST(gib * 0.045 AS DECIMAL(18,6)) + 32.85", detail="printf('%.6f', gib)")
+           score="550", cost="CAST(gib * 0.052 AS DECIMAL(18,6)) + 35.04", conf="60", detail="printf('%.6f', gib)")
     + " FROM s WHERE gib >= 100.0",
 )
 def d52_d55(spark, sf):
     return D.nat_findings(
-        _nats(spark, sf), bound(spark, sf, "routes"), bound(spark, sf, "subnets"), _nat_metrics(spark, sf), AS_OF_METRICS, bytes_scale=5000.0
+        _nats(spark, sf), bound(spark, sf, "routes"), bound(spark, sf, "subnets"), _nat_metrics(spark, sf), AS_OF_METRICS, bytes_scale=5000.0, prices=_ladder_prices(spark)
     )
 
 
 def _lambda_metrics(spark, sf):
-    m = metrics(spark, sf)
+    # the twin tenant's functions are never invoked
+    m = twins(metrics(spark, sf).withColumn("region", F.lit("us-east-1")), value=F.lit(0.0))
     inv = m.where(F.col("metric").isin("click", "view", "signup")).withColumn("metric", F.lit("Invocations"))
     dur = m.where(F.col("metric").isin("purchase", "error")).withColumn("metric", F.lit("Duration"))
     return inv.unionByName(dur)
@@ -211,18 +231,20 @@ def _lambda_metrics(spark, sf):
 LAMBDA_CTE = (
     binding_cte("nats")
     + f""",
-ev AS (SELECT 'r-' || CAST(user_id AS VARCHAR) AS resource_id, event_type, ts, value FROM events
+{twins_cte("nats")},
+ev AS (SELECT 'tenant-' || CAST(user_id % 3 AS VARCHAR) AS tenant_id, 'r-' || CAST(user_id AS VARCHAR) AS resource_id, event_type, ts, value FROM events
        WHERE ts >= TIMESTAMP '{AS_OF_METRICS}' - INTERVAL 14 DAY AND ts < TIMESTAMP '{AS_OF_METRICS}'),
-inv_d AS (SELECT resource_id, CAST(ts AS DATE) AS day, sum(value) AS value FROM ev WHERE event_type IN ('click', 'view', 'signup') GROUP BY ALL),
-dur_d AS (SELECT resource_id, CAST(ts AS DATE) AS day, avg(value) AS value FROM ev WHERE event_type IN ('purchase', 'error') GROUP BY ALL),
-inv AS (SELECT resource_id, count(*) AS inv_points, sum(value) AS inv_total,
+{twins_cte("ev", "0.0::DOUBLE AS value")},
+inv_d AS (SELECT tenant_id, resource_id, CAST(ts AS DATE) AS day, sum(value) AS value FROM ev_all WHERE event_type IN ('click', 'view', 'signup') GROUP BY ALL),
+dur_d AS (SELECT tenant_id, resource_id, CAST(ts AS DATE) AS day, avg(value) AS value FROM ev_all WHERE event_type IN ('purchase', 'error') GROUP BY ALL),
+inv AS (SELECT tenant_id, resource_id, count(*) AS inv_points, sum(value) AS inv_total,
                list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS inv_p95 FROM inv_d GROUP BY ALL),
-dur AS (SELECT resource_id, count(*) AS dur_points,
+dur AS (SELECT tenant_id, resource_id, count(*) AS dur_points,
                list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS dur_p95 FROM dur_d GROUP BY ALL),
 f AS (
   SELECT n.*, inv.inv_points, inv.inv_total, inv.inv_p95, dur.dur_points, dur.dur_p95,
          COALESCE(inv.inv_points, 0) >= 7 AND inv.inv_p95 <= 1.0 AS unused
-  FROM nats n LEFT JOIN inv USING (resource_id) LEFT JOIN dur USING (resource_id)),
+  FROM nats_all n LEFT JOIN inv USING (tenant_id, resource_id) LEFT JOIN dur USING (tenant_id, resource_id)),
 o AS (
   SELECT *, inv_total / greatest(inv_points, 1) * 30.0 AS monthly_inv, memory_mb / 1024.0 AS gb FROM f
   WHERE NOT COALESCE(unused, false) AND COALESCE(inv_points, 0) >= 7 AND COALESCE(dur_points, 0) >= 7 AND memory_mb >= 1024
@@ -236,7 +258,7 @@ o AS (
     oracle=LAMBDA_CTE
     + "SELECT "
     + _sel(service="AWSLambda", rtype="function", rid="resource_id", check="aws.lambda.functions.unused", lvl="'low'", score="320",
-           detail="printf('%.6f', inv_p95)")
+           conf="20", detail="printf('%.6f', inv_p95)")
     + " FROM f WHERE unused UNION ALL SELECT "
     + _sel(
         service="AWSLambda",
@@ -245,14 +267,15 @@ o AS (
         check="aws.lambda.functions.memory.overprovisioned",
         lvl="'medium'",
         score="560",
-        cost="round(monthly_inv * (dur_p95 / 1000.0) * gb * 0.0000166667, 6)",
-        savings="round(greatest(monthly_inv * (dur_p95 / 1000.0) * gb * 0.0000166667 - monthly_inv * (dur_p95 * 1.2 / 1000.0) * (gb * 0.5) * 0.0000166667, 0.0), 6)",
+        cost="round(monthly_inv * (dur_p95 / 1000.0) * gb * 0.000015::DOUBLE, 6)",
+        savings="round(greatest(monthly_inv * (dur_p95 / 1000.0) * gb * 0.000015::DOUBLE - monthly_inv * (dur_p95 * 1.2 / 1000.0) * (gb * 0.5) * 0.000015::DOUBLE, 0.0), 6)",
+        conf="55",
         detail="printf('%.6f', dur_p95)",
     )
     + " FROM o",
 )
 def d9_d10(spark, sf):
-    return D.lambda_findings(_nats(spark, sf).drop("tags"), _lambda_metrics(spark, sf), AS_OF_METRICS)
+    return D.lambda_findings(twins(_nats(spark, sf).drop("tags")), _lambda_metrics(spark, sf), AS_OF_METRICS, prices=_ladder_prices(spark))
 
 
 @query(
@@ -558,10 +581,10 @@ SELECT """
     + _sel(service="AmazonECS", rtype="ecs_cluster", rid="cluster_name", check="aws.ecs.cluster.possibly.unused", lvl="'low'", score="240",
            detail="''")
     + " FROM ecs_clusters WHERE active_services = 0 AND running_tasks = 0 AND pending_tasks = 0 AND container_instances = 0 UNION ALL SELECT "
-    + _sel(service="AmazonECS", rtype="ecs_service", rid="service_name", check="aws.ecs.service.zero.running", lvl="'medium'", score="620",
+    + _sel(service="AmazonECS", rtype="ecs_service", rid="cluster_name || '/' || service_name", check="aws.ecs.service.zero.running", lvl="'medium'", score="620",
            detail="CAST(desired_count AS VARCHAR)")
     + " FROM a WHERE running_count = 0 UNION ALL SELECT "
-    + _sel(service="AmazonECS", rtype="ecs_service", rid="service_name", check="aws.ecs.service.nonprod.on_demand", lvl="'low'", score="260",
+    + _sel(service="AmazonECS", rtype="ecs_service", rid="cluster_name || '/' || service_name", check="aws.ecs.service.nonprod.on_demand", lvl="'low'", score="260",
            detail="''")
     + """ FROM a WHERE lower(trim(env_key)) IN ('env', 'environment', 'stage', 'tier')
           AND lower(trim(COALESCE(env_value, ''))) IN ('dev', 'test', 'qa', 'uat', 'staging', 'sandbox', 'nonprod', 'non-prod')
@@ -623,9 +646,9 @@ AS_OF_BACKUP = "2000-01-01 00:00:00"
     + f""",
 r AS (SELECT tenant_id, account_id, region, plan_id, 1 AS pos, r1_move_days AS mv, r1_delete_days AS dl FROM backup_plans
       UNION ALL SELECT tenant_id, account_id, region, plan_id, 2, r2_move_days, r2_delete_days FROM backup_plans),
-rp AS (SELECT *, CASE WHEN CAST(size_gb AS DECIMAL(18,2)) * CASE WHEN upper(storage_class) = 'COLD' THEN CAST(0.01 AS DECIMAL(12,6))
+rp AS (SELECT *, CASE WHEN CAST(size_gb AS DECIMAL(18,2)) * CASE WHEN upper(storage_class) = 'COLD' THEN CAST(0.012 AS DECIMAL(12,6))
                   ELSE CAST(0.05 AS DECIMAL(12,6)) END > 0
-                  THEN round(CAST(size_gb AS DECIMAL(18,2)) * CASE WHEN upper(storage_class) = 'COLD' THEN CAST(0.01 AS DECIMAL(12,6))
+                  THEN round(CAST(size_gb AS DECIMAL(18,2)) * CASE WHEN upper(storage_class) = 'COLD' THEN CAST(0.012 AS DECIMAL(12,6))
                   ELSE CAST(0.05 AS DECIMAL(12,6)) END, 2) END AS c
        FROM recovery_points
        WHERE created IS NOT NULL AND upper(COALESCE(status, '')) NOT IN ('DELETED', 'EXPIRED')
@@ -638,7 +661,7 @@ SELECT """
            lvl="'medium'", score="70", detail="''")
     + " FROM r WHERE COALESCE(mv, 0) = 0 AND COALESCE(dl, 0) = 0 UNION ALL SELECT "
     + _sel(service="AWSBackup", rtype="recovery_point", rid="recovery_point_arn", check="aws.backup.recovery.points.stale", lvl="'medium'",
-           score="65", cost="c", savings="c", detail="vault_name")
+           score="65", cost="c", savings="c", conf="CASE WHEN c IS NULL THEN 10 WHEN upper(storage_class) = 'COLD' THEN 90 ELSE 40 END", detail="vault_name")
     + " FROM rp",
 )
 def d47_d49(spark, sf):
@@ -650,7 +673,8 @@ def d47_d49(spark, sf):
         ),
     )
     rps = bound(spark, sf, "recovery_points").withColumn("tags", _tag_map(("retain", "tag_retain"), ("Legal-Hold", "tag_legal_hold"), ("lifecycle", "tag_lifecycle")))
-    return D.backup_findings(plans, bound(spark, sf, "backup_selections"), rps, AS_OF_BACKUP)
+    prices = _ladder_prices(spark).where("kind = 'backup_gb_month'")
+    return D.backup_findings(plans, bound(spark, sf, "backup_selections"), rps, AS_OF_BACKUP, prices=prices)
 
 
 AS_OF_EC2 = "2024-01-01 00:00:00"
@@ -689,9 +713,18 @@ def d2_d4(spark, sf):
     return D.ec2_instance_findings(inst, bound(spark, sf, "volumes"), _prices(spark), AS_OF_EC2)
 
 
+_LB_COST = "CASE lower(lb_type) WHEN 'network' THEN 18.14 ELSE 21.60 END"
+_LB_CONF = "CASE lower(lb_type) WHEN 'network' THEN 90 ELSE 50 END"
+# the twin tenant's load balancers have the same names, but other listeners and targets
+_TWIN_LISTENERS = "lb_name LIKE '%2' OR lb_name LIKE '%7'"
+_TWIN_TARGETS = "health = 'healthy' AND target_group LIKE '%7'"
+
+
 def _lb_metrics(spark, sf):
-    m = metrics(spark, sf).withColumn("value", F.lit(1.0))
-    m = m.withColumn("resource_id", F.concat(F.lit("lb-"), (F.regexp_extract("resource_id", r"(\d+)$", 1).cast("long") % 100).cast("string")))
+    k = F.regexp_extract("resource_id", r"(\d+)$", 1).cast("long") % 100
+    m = metrics(spark, sf).withColumns({"value": F.lit(1.0), "region": F.lit("us-east-1"), "_k": k})
+    text = lambda c: c.cast("string")
+    m = m.withColumns({"resource_id": F.concat(F.lit("lb-"), text(F.col("_k"))), "tenant_id": F.concat(F.lit("tenant-"), text(F.col("_k") % 3)), "account_id": text(F.lit(100000000000) + F.col("_k") % 7)}).drop("_k")
     named = lambda name: m.withColumn("metric", F.when(F.col("metric") == "error", name).otherwise(F.col("metric")))
     return named("RequestCount").unionByName(named("NewFlowCount"))
 
@@ -700,42 +733,48 @@ def _lb_metrics(spark, sf):
     "d56_d58_load_balancers",
     oracle=binding_cte("lbs", "listeners", "target_groups", "targets")
     + f""",
-lb AS (SELECT * FROM lbs WHERE tag_keep IS NULL AND (created IS NULL OR TIMESTAMP '{AS_OF_METRICS}' - created >= INTERVAL 2 DAY)),
-wl AS (SELECT DISTINCT lb_name FROM listeners),
-live AS (SELECT * FROM lb WHERE lb_name IN (SELECT lb_name FROM wl)),
-d AS (SELECT 'lb-' || CAST(user_id % 100 AS VARCHAR) AS lb_name, CAST(ts AS DATE) AS day, sum(1.0) AS value FROM events
+{twins_cte("lbs", "'application' AS lb_type")},
+{twins_cte("listeners", where=_TWIN_LISTENERS)},
+{twins_cte("target_groups")},
+{twins_cte("targets", where=_TWIN_TARGETS)},
+lb AS (SELECT * FROM lbs_all WHERE tag_keep IS NULL AND (created IS NULL OR TIMESTAMP '{AS_OF_METRICS}' - created >= INTERVAL 2 DAY)),
+wl AS (SELECT DISTINCT tenant_id, account_id, region, lb_name FROM listeners_all),
+live AS (SELECT lb.* FROM lb JOIN wl USING (tenant_id, account_id, region, lb_name)),
+d AS (SELECT 'tenant-' || CAST(user_id % 100 % 3 AS VARCHAR) AS tenant_id, 'lb-' || CAST(user_id % 100 AS VARCHAR) AS lb_name, CAST(ts AS DATE) AS day, sum(1.0) AS value FROM events
       WHERE event_type = 'error' AND ts >= TIMESTAMP '{AS_OF_METRICS}' - INTERVAL 14 DAY AND ts < TIMESTAMP '{AS_OF_METRICS}' GROUP BY ALL),
-st AS (SELECT lb_name, count(*) AS points, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95 FROM d GROUP BY ALL),
-s AS (SELECT live.*, st.points, st.p95 FROM live LEFT JOIN st USING (lb_name)),
-fwd AS (SELECT DISTINCT l.lb_name, l.target_group FROM listeners l JOIN target_groups g USING (target_group)
+st AS (SELECT tenant_id, lb_name, count(*) AS points, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95 FROM d GROUP BY ALL),
+s AS (SELECT live.*, st.points, st.p95 FROM live LEFT JOIN st USING (tenant_id, lb_name)),
+fwd AS (SELECT DISTINCT l.tenant_id, l.account_id, l.region, l.lb_name, l.target_group FROM listeners_all l JOIN target_groups_all g USING (tenant_id, account_id, region, target_group)
         WHERE lower(l.action_type) = 'forward' AND lower(g.target_type) <> 'lambda'),
-per AS (SELECT lb_name, count(*) AS groups, max(CASE WHEN target_group IN (SELECT target_group FROM targets) THEN 1 ELSE 0 END) AS any_t,
-               max(CASE WHEN target_group IN (SELECT target_group FROM targets WHERE health = 'healthy') THEN 1 ELSE 0 END) AS any_h
-        FROM fwd GROUP BY lb_name)
+per AS (SELECT tenant_id, account_id, region, lb_name, count(*) AS groups,
+               max(CASE WHEN EXISTS (SELECT 1 FROM targets_all t WHERE t.tenant_id = fwd.tenant_id AND t.account_id = fwd.account_id AND t.target_group = fwd.target_group) THEN 1 ELSE 0 END) AS any_t,
+               max(CASE WHEN EXISTS (SELECT 1 FROM targets_all t WHERE t.tenant_id = fwd.tenant_id AND t.account_id = fwd.account_id AND t.target_group = fwd.target_group AND health = 'healthy') THEN 1 ELSE 0 END) AS any_h
+        FROM fwd GROUP BY ALL)
 SELECT """
     + _sel(service="ElasticLoadBalancing", rtype="load_balancer", rid="lb_name", check="aws.elbv2.load.balancers.no.listeners",
-           lvl="'high'", score="75", cost="16.20", detail="''")
-    + " FROM lb WHERE lb_name NOT IN (SELECT lb_name FROM wl) UNION ALL SELECT "
+           lvl="'high'", score="75", cost=_LB_COST, conf=_LB_CONF, detail="''")
+    + " FROM lb ANTI JOIN wl USING (tenant_id, account_id, region, lb_name) UNION ALL SELECT "
     + _sel(service="ElasticLoadBalancing", rtype="load_balancer", rid="lb_name", check="aws.elbv2.load.balancers.idle", lvl="'medium'",
-           score="60", savings="16.20", detail="printf('%.6f', COALESCE(p95, 0.0))")
+           score="60", savings=_LB_COST, conf=_LB_CONF, detail="printf('%.6f', COALESCE(p95, 0.0))")
     + " FROM s WHERE lower(lb_type) IN ('application', 'network') AND COALESCE(points, 0) >= 7 AND COALESCE(p95, 0.0) <= 1.0"
     + " UNION ALL SELECT "
     + _sel(service="ElasticLoadBalancing", rtype="load_balancer", rid="lb_name", check="aws.elbv2.load.balancers.no.registered.targets",
-           lvl="'high'", score="75", savings="16.20", detail="CAST(groups AS VARCHAR)")
-    + " FROM live JOIN per USING (lb_name) WHERE any_t = 0 UNION ALL SELECT "
+           lvl="'high'", score="75", savings=_LB_COST, conf=_LB_CONF, detail="CAST(groups AS VARCHAR)")
+    + " FROM live JOIN per USING (tenant_id, account_id, region, lb_name) WHERE any_t = 0 UNION ALL SELECT "
     + _sel(service="ElasticLoadBalancing", rtype="load_balancer", rid="lb_name", check="aws.elbv2.load.balancers.no.healthy.targets",
            lvl="'high'", score="75", detail="CAST(groups AS VARCHAR)")
-    + " FROM live JOIN per USING (lb_name) WHERE any_t = 1 AND any_h = 0",
+    + " FROM live JOIN per USING (tenant_id, account_id, region, lb_name) WHERE any_t = 1 AND any_h = 0",
 )
 def d56_d58(spark, sf):
-    lbs = bound(spark, sf, "lbs").withColumn("tags", _tag_map(("keep", "tag_keep")))
+    lbs = twins(bound(spark, sf, "lbs").withColumn("tags", _tag_map(("keep", "tag_keep"))), lb_type=F.lit("application"))
     return D.elbv2_findings(
-        lbs, bound(spark, sf, "listeners"), bound(spark, sf, "target_groups"), bound(spark, sf, "targets"), _lb_metrics(spark, sf), AS_OF_METRICS
+        lbs, twins(bound(spark, sf, "listeners"), _TWIN_LISTENERS), twins(bound(spark, sf, "target_groups")), twins(bound(spark, sf, "targets"), _TWIN_TARGETS),
+        _lb_metrics(spark, sf), AS_OF_METRICS, prices=_ladder_prices(spark),
     )
 
 
 def _cf_metrics(spark, sf):
-    m = metrics(spark, sf).withColumn("value", F.lit(1.0)).withColumn("metric", F.when(F.col("metric") == "view", "Requests").otherwise(F.col("metric")))
+    m = metrics(spark, sf).withColumns({"value": F.lit(1.0), "region": F.lit("global")}).withColumn("metric", F.when(F.col("metric") == "view", "Requests").otherwise(F.col("metric")))
     return m.withColumn("resource_id", F.regexp_replace("resource_id", "^r-", "dist-"))
 
 

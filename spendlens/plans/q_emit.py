@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import correlate as C
-from ..operators.emit import CATALOG, drafts_to_findings
-from . import q_detect, q_filesystems, q_rightsize, q_vaults  # noqa: F401  (their queries are the detectors)
+from ..operators.emit import CATALOG, RULES, drafts_to_findings
+from . import q_buckets, q_detect, q_filesystems, q_rightsize, q_vaults  # noqa: F401  (their queries are the detectors)
 from .registry import REGISTRY, query
 
 RUN_ID, RUN_TS = "scan-2024-02-01", "2024-02-01 00:00:00"
@@ -17,7 +17,7 @@ DETECTORS = [
     "d1_underutilized_instances", "d2_d4_ec2_instances", "d5_d8_security_groups", "d6_credit_issues", "d7_instance_tags_missing", "d9_d10_lambda",
     "d11_d13_ecs", "d14_d16_eks_clusters", "d17_eks_nodegroups", "d18_d20_ebs_volumes", "d21_d22_ebs_snapshots", "d23_d24_efs_use", "d25_d27_efs_configuration",
     "d28_d34_fsx",
-    "d35_d37_s3_governance", "d39_d42_d43_rds_config", "d40_d41_d44_rds_rightsizing", "d45_d46_rds_snapshots", "d47_d49_backup", "d50_vault_locks", "d52_d55_nat_gateways",
+    "d35_d37_s3_governance", "d38_bucket_storage", "d39_d42_d43_rds_config", "d40_d41_d44_rds_rightsizing", "d45_d46_rds_snapshots", "d47_d49_backup", "d50_vault_locks", "d51_vault_policies", "d52_d55_nat_gateways",
     "d56_d58_load_balancers", "d60_d61_cloudfront", "d62_d63_logs_and_custom_metrics", "d64_alarms_high_count", "d_ri1_ri2_reserved_instances", "d_sp1_sp2_savings_plans",
 ]
 
@@ -29,19 +29,25 @@ def scan(spark, sf) -> DataFrame:
 
 
 _DRAFTS = " UNION ALL ".join(f"SELECT * FROM ({REGISTRY[n].oracle})" for n in DETECTORS)
-_TEXT = "(VALUES " + ", ".join(f"('{k}', '{c.title}', '{c.category}', '{','.join(c.parts)}')" for k, c in CATALOG.items()) + ") AS t(check_id, title, category, parts)"
+_TEXT = "(VALUES " + ", ".join(f"('{k}', '{c.title}', '{c.category}', '{','.join(c.parts)}', '{','.join(c.issue)}')" for k, c in CATALOG.items()) + ") AS t(check_id, check_title, check_category, parts, issue)"
+_RULE_TEXT = "(VALUES " + ", ".join(f"('{c}', '{r}', '{title}', '{category}')" for (c, r), (title, category) in RULES.items()) + ") AS r(check_id, rule, rule_title, rule_category)"
 _FINDINGS = f"""
 WITH drafts AS MATERIALIZED ({_DRAFTS}),
 cat AS (SELECT * FROM {_TEXT}),
+said AS (
+  SELECT d.*, parts, COALESCE(rule_title, check_title) AS title, COALESCE(rule_category, check_category) AS category,
+         list_sort(list_concat(['"check_id":"' || d.check_id || '"', '"resource_id":"' || resource_id || '"'],
+           CASE WHEN issue = '' THEN [] ELSE list_transform(string_split(issue, ','), lambda p: '"' || p || '":"' || string_split(d.detail, '|')[list_position(string_split(parts, ','), p)] || '"') END)) AS keys
+  FROM drafts d JOIN cat USING (check_id) LEFT JOIN {_RULE_TEXT} ON r.check_id = d.check_id AND r.rule = string_split(d.detail, '|')[1]),
 scanned AS MATERIALIZED (
-  SELECT d.*, c.title, c.category,
-    sha256('{{"check_id":"' || d.check_id || '","issue":{{"check_id":"' || d.check_id || '","resource_id":"' || resource_id || '"}},"scope":{{"account_id":"' || account_id
+  SELECT d.*,
+    sha256('{{"check_id":"' || d.check_id || '","issue":{{' || array_to_string(d.keys, ',') || '}},"scope":{{"account_id":"' || account_id
       || '","billing_account_id":"","cloud":"aws","region":"' || region || '","resource_arn":"","resource_id":"' || resource_id || '","resource_type":"' || resource_type
       || '","service":"' || lower(service) || '"}},"tenant_id":"' || tenant_id || '"}}') AS fingerprint,
-    CASE WHEN detail = '' THEN '' WHEN c.parts <> '' AND len(string_split(detail, '|')) = len(string_split(c.parts, ','))
-         THEN array_to_string(list_sort(list_transform(list_zip(string_split(c.parts, ','), string_split(detail, '|')), lambda z: z[1] || '=' || z[2])), ';')
+    CASE WHEN detail = '' THEN '' WHEN parts <> '' AND len(string_split(detail, '|')) = len(string_split(parts, ','))
+         THEN array_to_string(list_sort(list_transform(list_zip(string_split(parts, ','), string_split(detail, '|')), lambda z: z[1] || '=' || z[2])), ';')
          ELSE 'detail=' || detail END AS dims
-  FROM drafts d JOIN cat c USING (check_id))
+  FROM said d)
 """
 
 

@@ -21,7 +21,7 @@ def _as(spark, sf, prefix: str, names: dict[str, str], busy: int):
     name = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("metric"))
     user = F.regexp_extract("resource_id", r"(\d+)$", 1).cast("long")
     odd = (F.col("metric") == "error") & (user % busy == 0)
-    return m.select(F.regexp_replace("resource_id", "^r-", prefix).alias("resource_id"), F.when(odd, "Other").otherwise(F.coalesce(name, "metric")).alias("metric"), "ts", "value")
+    return m.select("tenant_id", "account_id", F.lit("eu-west-1").alias("region"), F.regexp_replace("resource_id", "^r-", prefix).alias("resource_id"), F.when(odd, "Other").otherwise(F.coalesce(name, "metric")).alias("metric"), "ts", "value")
 
 
 @query(

@@ -8,7 +8,9 @@ from ..functions.coerce import messy_number
 from ..operators import governance as G
 from ..operators import history as H
 from ..operators import read
-from ..sources.bind import binding_cte
+from ..operators.state_table import read_state, upsert_state
+from ..session import materialize, new_folder
+from ..sources.bind import bound, binding_cte
 from ..sources.tables import table
 from .inputs import findings, runs, state_events
 from .registry import query
@@ -70,6 +72,15 @@ def w1(spark, sf):
     return _latest(spark, sf)
 
 
+@query("u5_incremental_latest", oracle=HIST_CTE + "SELECT * FROM lat")
+def u5(spark, sf):
+    root = new_folder(spark, "latest")
+    rows = materialize(_presence(spark, sf), "presence")
+    for part in (F.col("run_id") >= "run-1996", F.col("run_id") < "run-1994", F.col("run_id").between("run-1994", "run-1995")):  # not in order of time
+        upsert_state(rows.where(part), root, ["tenant_id", "workspace", "fingerprint"], H.latest_per_key, buckets=32)
+    return read_state(spark, root)
+
+
 @query(
     "x16_ingest_invariants",
     oracle=HIST_CTE
@@ -264,6 +275,93 @@ def g4(spark, sf):
     return G.sla_replay(state_events(spark, sf), lat, G.default_policies(spark))
 
 
+def _group_events(lat):
+    """Two state events for groups: one by the number of members, a second for some that opens them again."""
+    m = lat.where(F.col("group_key").isNotNull()).groupBy("tenant_id", "workspace", "group_key").agg(F.count(F.lit(1)).alias("n"), F.max("detected_at").alias("t"))
+    first = F.when(F.col("n") % 4 == 0, "snoozed").when(F.col("n") % 4 == 1, "resolved").when(F.col("n") % 4 == 2, "ignored").otherwise("open")
+    base = [F.col("tenant_id"), F.col("workspace").alias("workspace_id"), F.lit("group").alias("subject_type"), F.col("group_key").alias("subject_id")]
+    one = m.select(*base, first.alias("state"), F.when(F.col("n") % 4 == 0, F.col("t") + F.expr("INTERVAL 25 DAYS")).alias("snooze_until"), (F.col("t") + F.expr("INTERVAL 5 DAYS")).alias("event_ts"))
+    two = m.where("n % 3 = 0").select(*base, F.lit("open").alias("state"), F.lit(None).cast("timestamp").alias("snooze_until"), (F.col("t") + F.expr("INTERVAL 60 DAYS")).alias("event_ts"))
+    return one.unionByName(two)
+
+
+# the same fold with events of the group, extensions and assignments
+REPLAY_CTE = f""",
+ext AS ({binding_cte("extensions").removeprefix("WITH extensions AS (").removesuffix(")")}),
+asg AS ({binding_cte("assignments").removeprefix("WITH assignments AS (").removesuffix(")")}),
+pol AS (SELECT * FROM (VALUES ('security', 7), ('governance', 30), ('cost', 14), ('waste', 21), ('inventory', 45), ('backup.governance', 14)) t(category, sla_days)),
+gm AS (SELECT tenant_id, workspace, group_key, count(*) AS n, max(detected_at) AS t FROM lat WHERE group_key IS NOT NULL GROUP BY ALL),
+gev AS (SELECT tenant_id, workspace, group_key, CASE n % 4 WHEN 0 THEN 'snoozed' WHEN 1 THEN 'resolved' WHEN 2 THEN 'ignored' ELSE 'open' END AS state,
+               CASE WHEN n % 4 = 0 THEN t + INTERVAL 25 DAY END AS snooze_until, t + INTERVAL 5 DAY AS event_ts FROM gm
+        UNION ALL SELECT tenant_id, workspace, group_key, 'open', NULL, t + INTERVAL 60 DAY FROM gm WHERE n % 3 = 0),
+e0 AS (SELECT tenant_id, workspace_id AS workspace, subject_id AS fingerprint, 'finding' AS source, state, snooze_until, event_ts, CAST(NULL AS INTEGER) AS days, CAST(NULL AS VARCHAR) AS owner_id, CAST(NULL AS VARCHAR) AS team_id
+       FROM state_events WHERE subject_type = 'finding'
+       UNION ALL SELECT l.tenant_id, l.workspace, l.fingerprint, 'group', state, snooze_until, event_ts, NULL, NULL, NULL FROM gev g JOIN lat l USING (tenant_id, workspace, group_key)
+       UNION ALL SELECT tenant_id, workspace, fingerprint, 'extension', NULL, NULL, event_ts, days, NULL, NULL FROM ext
+       UNION ALL SELECT tenant_id, workspace, fingerprint, 'assignment', NULL, NULL, event_ts, NULL, owner_id, team_id FROM asg),
+e1 AS (SELECT e0.*, p.sla_days, l.detected_at, source IN ('finding', 'group') AS is_state,
+              row_number() OVER (PARTITION BY tenant_id, workspace, fingerprint ORDER BY event_ts, source, state, days, owner_id NULLS FIRST, team_id) AS pos
+       FROM e0 JOIN lat l USING (tenant_id, workspace, fingerprint) LEFT JOIN pol p USING (category)),
+e2 AS (SELECT *, last_value(CASE WHEN source = 'finding' THEN state END IGNORE NULLS) OVER wu AS fs, last_value(CASE WHEN source = 'finding' THEN pos END IGNORE NULLS) OVER wu AS fp,
+              last_value(CASE WHEN source = 'group' THEN state END IGNORE NULLS) OVER wu AS gs, last_value(CASE WHEN source = 'group' THEN pos END IGNORE NULLS) OVER wu AS gp FROM e1
+       WINDOW wu AS (PARTITION BY tenant_id, workspace, fingerprint ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e3 AS (SELECT a.*, CASE WHEN NOT a.is_state THEN NULL WHEN gs IN ('resolved', 'ignored') THEN gs WHEN gs = 'snoozed' AND g.snooze_until > a.event_ts THEN 'snoozed'
+                        WHEN fs IN ('resolved', 'ignored') THEN fs WHEN fs = 'snoozed' AND f.snooze_until > a.event_ts THEN 'snoozed' ELSE 'open' END AS eff
+       FROM e2 a LEFT JOIN e1 f ON f.tenant_id = a.tenant_id AND f.workspace = a.workspace AND f.fingerprint = a.fingerprint AND f.pos = a.fp
+                 LEFT JOIN e1 g ON g.tenant_id = a.tenant_id AND g.workspace = a.workspace AND g.fingerprint = a.fingerprint AND g.pos = a.gp),
+e4 AS (SELECT *, COALESCE(last_value(eff = 'snoozed' IGNORE NULLS) OVER wu, false) AS s FROM e3 WINDOW wu AS (PARTITION BY tenant_id, workspace, fingerprint ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e5 AS (SELECT *, COALESCE(lag(s) OVER (PARTITION BY tenant_id, workspace, fingerprint ORDER BY pos), false) AS ps FROM e4),
+e6 AS (SELECT *, last_value(CASE WHEN s AND NOT ps THEN event_ts END IGNORE NULLS) OVER wu AS pause_from FROM e5 WINDOW wu AS (PARTITION BY tenant_id, workspace, fingerprint ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e7 AS (SELECT *, sum(CASE WHEN ps AND NOT s THEN greatest(0, CAST(floor(epoch_us(event_ts) / 1e6 - epoch_us(pause_from) / 1e6) AS BIGINT)) ELSE 0 END) OVER wu AS paused, sum(COALESCE(days, 0) * 86400) OVER wu AS extra,
+              min(CASE WHEN eff = 'open' THEN event_ts END) OVER wu AS opened FROM e6 WINDOW wu AS (PARTITION BY tenant_id, workspace, fingerprint ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e8 AS (SELECT *, CASE WHEN opened IS NOT NULL AND sla_days IS NOT NULL THEN opened + to_days(CAST(sla_days AS INTEGER)) + to_seconds(CAST(paused + extra AS BIGINT)) END AS deadline FROM e7),
+lift AS (SELECT tenant_id, workspace, fingerprint, max(pos) AS lifted FROM e8 WHERE source = 'extension' AND NOT COALESCE(deadline < event_ts, false) GROUP BY ALL),
+stamp AS (SELECT tenant_id, workspace, fingerprint, min(event_ts) AS breached FROM e8 LEFT JOIN lift USING (tenant_id, workspace, fingerprint)
+          WHERE source <> 'assignment' AND deadline < event_ts AND pos > COALESCE(lifted, 0) GROUP BY ALL),
+n AS (SELECT tenant_id, workspace, fingerprint, max(pos) AS pos, min(event_ts) FILTER (is_state) AS first_ts, count(*) FILTER (is_state) AS events, count(*) FILTER (source = 'extension') AS n_ext,
+             max(pos) FILTER (source = 'assignment') AS apos FROM e8 GROUP BY ALL)
+"""
+
+
+@query(
+    "g5_g7_g11_replay",
+    oracle=HIST_CTE
+    + REPLAY_CTE
+    + """
+SELECT tenant_id, workspace, fingerprint, COALESCE(e.detected_at, first_ts) AS first_detected_at, opened AS first_opened_at, e.sla_days, CASE WHEN s THEN pause_from END AS sla_paused_at,
+       CAST(paused AS BIGINT) AS sla_total_paused_seconds, CAST(extra AS BIGINT) AS sla_extension_seconds, deadline AS sla_deadline, breached AS sla_breached_at,
+       CAST(n_ext AS INTEGER) AS sla_extended_count, events, a.owner_id, a.team_id, a.event_ts AS assigned_at
+FROM n JOIN e8 e USING (tenant_id, workspace, fingerprint, pos) LEFT JOIN stamp USING (tenant_id, workspace, fingerprint)
+LEFT JOIN (SELECT tenant_id, workspace, fingerprint, pos AS apos, owner_id, team_id, event_ts FROM e1) a USING (tenant_id, workspace, fingerprint, apos)
+""",
+)
+def g5_g7_g11(spark, sf):
+    lat = _latest(spark, sf)
+    events = state_events(spark, sf).select("tenant_id", "workspace_id", "subject_type", "subject_id", "state", "snooze_until", "event_ts").unionByName(_group_events(lat))
+    return G.sla_replay(events, lat, G.default_policies(spark), extensions=bound(spark, sf, "extensions"), assignments=bound(spark, sf, "assignments"))
+
+
+@query(
+    "g1_j9_group_states",
+    oracle=HIST_CTE
+    + REPLAY_CTE
+    + f""",
+fst AS (SELECT tenant_id, workspace_id AS workspace, subject_id AS fingerprint, state AS fs, snooze_until AS fu FROM state_events WHERE subject_type = 'finding'
+        QUALIFY row_number() OVER (PARTITION BY tenant_id, workspace_id, subject_id ORDER BY event_ts DESC, state DESC) = 1),
+gst AS (SELECT tenant_id, workspace, group_key, state AS gs, snooze_until AS gu FROM gev QUALIFY row_number() OVER (PARTITION BY tenant_id, workspace, group_key ORDER BY event_ts DESC, state DESC) = 1)
+SELECT tenant_id, workspace, fingerprint, COALESCE(gs, fs, 'open') AS state, COALESCE(gu, fu) AS snooze_until,
+       CASE WHEN gs IN ('resolved', 'ignored') THEN gs WHEN gs = 'snoozed' AND gu > TIMESTAMP '1998-06-01' THEN 'snoozed' WHEN fs IN ('resolved', 'ignored') THEN fs
+            WHEN fs = 'snoozed' AND fu > TIMESTAMP '1998-06-01' THEN 'snoozed' ELSE 'open' END AS effective_state
+FROM lat LEFT JOIN fst USING (tenant_id, workspace, fingerprint) LEFT JOIN gst USING (tenant_id, workspace, group_key)
+""",
+)
+def g1_j9(spark, sf):
+    lat = _latest(spark, sf)
+    events = state_events(spark, sf).select("tenant_id", "workspace_id", "subject_type", "subject_id", "state", "snooze_until", "event_ts").unionByName(_group_events(lat))
+    current = G.finding_current(lat, events, G.sla_replay(events, lat, G.default_policies(spark)), "1998-06-01 00:00:00")
+    return current.select("tenant_id", "workspace", "fingerprint", "state", "snooze_until", "effective_state")
+
+
 @query("g2_finding_current", headline=True, oracle=HIST_CTE + GOV_CTE + "SELECT * FROM cur2")
 def g2(spark, sf):
     return _current(spark, sf)
@@ -304,6 +402,35 @@ def a9(spark, sf):
     return H.facets(_current(spark, sf))
 
 
+@query(
+    "a8_dashboard_aggregates",
+    oracle=HIST_CTE
+    + GOV_CTE
+    + """,
+by_acct AS (SELECT tenant_id, workspace, account_id AS value, count(*) AS count FROM cur2 GROUP BY ALL),
+acct AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, workspace ORDER BY count DESC, value) AS k FROM by_acct)
+SELECT tenant_id, workspace, facet, value, count(*) AS count FROM (
+  SELECT tenant_id, workspace, 'service' AS facet, service AS value FROM cur2
+  UNION ALL SELECT tenant_id, workspace, 'category', category FROM cur2
+  UNION ALL SELECT tenant_id, workspace, 'severity', severity FROM cur2
+  UNION ALL SELECT tenant_id, workspace, 'effective_state', effective_state FROM cur2)
+WHERE value IS NOT NULL GROUP BY ALL
+UNION ALL SELECT tenant_id, workspace, 'account_top', value, count FROM acct WHERE k <= 3
+UNION ALL SELECT tenant_id, workspace, 'total', CAST(CAST(sum(estimated_monthly_savings) AS DECIMAL(28,6)) AS VARCHAR), count(*) FROM cur2 GROUP BY ALL
+""",
+)
+def a8(spark, sf):
+    return H.dashboard_aggregates(_current(spark, sf), top_accounts=3)
+
+
+@query(
+    "g12_audit_history",
+    oracle=binding_cte("state_events") + " SELECT tenant_id, workspace_id, subject_type, subject_id, state, snooze_until, event_ts FROM state_events WHERE subject_type = 'ticket'",
+)
+def g12(spark, sf):
+    return G.audit_history(state_events(spark, sf), subject_type="ticket").select("tenant_id", "workspace_id", "subject_type", "subject_id", "state", "snooze_until", "event_ts")
+
+
 @query(
     "a10_group_list",
     oracle=HIST_CTE

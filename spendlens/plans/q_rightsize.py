@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rightsize as R
-from ..sources.bind import bound, binding_cte
+from ..sources.bind import REGIONS, bound, binding_cte, twins, twins_cte
 from .inputs import metrics
 from .q_detect import AS_OF_METRICS, _sel, _tag_map
 from .registry import query
@@ -19,10 +19,12 @@ RDS_HOURLY = [("db.m5.large:single", 0.178), ("db.m5.large:multi", 0.356), ("db.
 EC2_METRICS = {"view": "CPUUtilization", "click": "NetworkIn", "purchase": "NetworkOut", "signup": "CPUCreditBalance", "error": "CPUSurplusCreditsCharged"}
 
 
-def _metrics(spark, sf, prefix: str, names: dict[str, str], scale: float) -> DataFrame:
+def _metrics(spark, sf, prefix: str, names: dict[str, str], scale: float, region: str | None = None) -> DataFrame:
     m = metrics(spark, sf)
     name = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("metric"))
-    return m.select(F.regexp_replace("resource_id", "^r-", prefix).alias("resource_id"), F.coalesce(name, "metric").alias("metric"), "ts", (F.col("value") * scale).alias("value"))
+    own = F.get(F.array(*map(F.lit, REGIONS)), (F.regexp_extract("resource_id", r"(\d+)$", 1).cast("long") % len(REGIONS)).cast("int"))
+    where = (F.lit(region) if region else own).alias("region")
+    return m.select("tenant_id", "account_id", where, F.regexp_replace("resource_id", "^r-", prefix).alias("resource_id"), F.coalesce(name, "metric").alias("metric"), "ts", (F.col("value") * scale).alias("value"))
 
 
 def _prices(spark) -> DataFrame:
@@ -83,17 +85,19 @@ def d6(spark, sf):
 @query(
     "d17_eks_nodegroups",
     oracle=binding_cte("eks", "eks_nodegroups")
-    + """,
-n AS (SELECT g.*, c.tenant_id, c.account_id, c.region, lower(COALESCE(g.tag_stage, CASE WHEN c.endpoint_public THEN 'dev' END)) AS stage
-      FROM eks_nodegroups g JOIN eks c USING (cluster_name))
+    + f""",
+{twins_cte("eks", "NOT endpoint_public AS endpoint_public")},
+{twins_cte("eks_nodegroups", where="desired_size = 2")},
+n AS (SELECT g.*, lower(COALESCE(g.tag_stage, CASE WHEN c.endpoint_public THEN 'dev' END)) AS stage
+      FROM eks_nodegroups_all g JOIN eks_all c USING (tenant_id, account_id, region, cluster_name))
 SELECT """
     + _sel(service="AmazonEKS", rtype="nodegroup", rid="nodegroup_name", check="aws.eks.nodegroup.nonprod.on_demand", status="'info'", lvl="'low'", score="270",
            detail="cluster_name || '|' || CAST(desired_size AS VARCHAR)")
     + " FROM n WHERE desired_size > 0 AND upper(COALESCE(capacity_type, 'ON_DEMAND')) = 'ON_DEMAND' AND stage IN ('dev', 'test', 'qa', 'uat', 'staging', 'sandbox', 'nonprod', 'non-prod')",
 )
 def d17(spark, sf):
-    clusters = bound(spark, sf, "eks").withColumn("tag_stage", F.when(F.col("endpoint_public"), F.lit("dev"))).withColumn("tags", _tag_map(("Stage", "tag_stage")))
-    return R.nodegroups_on_demand(clusters, bound(spark, sf, "eks_nodegroups").withColumn("tags", _tag_map(("stage", "tag_stage"))))
+    clusters = twins(bound(spark, sf, "eks"), endpoint_public=~F.col("endpoint_public")).withColumn("tag_stage", F.when(F.col("endpoint_public"), F.lit("dev"))).withColumn("tags", _tag_map(("Stage", "tag_stage")))
+    return R.nodegroups_on_demand(clusters, twins(bound(spark, sf, "eks_nodegroups"), "desired_size = 2").withColumn("tags", _tag_map(("stage", "tag_stage"))))
 
 
 @query(
@@ -117,7 +121,8 @@ _GIB = 1024.0**3
 
 
 def _db_metrics(spark, sf) -> DataFrame:
-    m = _metrics(spark, sf, "db-", DB_METRICS, 1.0)
+    # nothing is free or read in the twin tenant's databases
+    m = twins(_metrics(spark, sf, "db-", DB_METRICS, 1.0, "eu-west-1"), value=F.lit(0.0))
     return m.withColumn("value", F.when(F.col("metric") == "FreeStorageSpace", F.col("value") * _GIB).otherwise(F.col("value") / 1000.0))
 
 
@@ -125,15 +130,18 @@ def _db_metrics(spark, sf) -> DataFrame:
     "d40_d41_d44_rds_rightsizing",
     oracle=binding_cte("dbs")
     + f""",
-day AS (SELECT 'db-' || CAST(user_id AS VARCHAR) AS db_instance_id, event_type, CAST(ts AS DATE) AS day, avg(CASE event_type WHEN 'view' THEN value * {_GIB} ELSE value / 1000.0 END) AS v
-        FROM events WHERE event_type IN ('view', 'click') AND ts >= TIMESTAMP '{AS_OF_METRICS}' - INTERVAL 14 DAY AND ts < TIMESTAMP '{AS_OF_METRICS}' GROUP BY ALL),
-st AS (SELECT db_instance_id, event_type, count(*) AS points, quantile_cont(v, 0.95) AS p95 FROM day GROUP BY ALL HAVING count(*) >= 8),
-f0 AS (SELECT dbs.*, points, greatest(0, allocated_gb - greatest(0, p95 / {_GIB})) AS used FROM dbs JOIN st USING (db_instance_id) WHERE event_type = 'view' AND allocated_gb > 0),
+{twins_cte("dbs")},
+ev AS (SELECT 'tenant-' || CAST(user_id % 3 AS VARCHAR) AS tenant_id, user_id, event_type, ts, value FROM events),
+{twins_cte("ev", "0.0::DOUBLE AS value")},
+day AS (SELECT tenant_id, 'db-' || CAST(user_id AS VARCHAR) AS db_instance_id, event_type, CAST(ts AS DATE) AS day, avg(CASE event_type WHEN 'view' THEN value * {_GIB} ELSE value / 1000.0 END) AS v
+        FROM ev_all WHERE event_type IN ('view', 'click') AND ts >= TIMESTAMP '{AS_OF_METRICS}' - INTERVAL 14 DAY AND ts < TIMESTAMP '{AS_OF_METRICS}' GROUP BY ALL),
+st AS (SELECT tenant_id, db_instance_id, event_type, count(*) AS points, quantile_cont(v, 0.95) AS p95 FROM day GROUP BY ALL HAVING count(*) >= 8),
+f0 AS (SELECT dbs_all.*, points, greatest(0, allocated_gb - greatest(0, p95 / {_GIB})) AS used FROM dbs_all JOIN st USING (tenant_id, db_instance_id) WHERE event_type = 'view' AND allocated_gb > 0),
 f AS (SELECT *, greatest(0, allocated_gb - greatest(used, allocated_gb * 0.4)) AS excess FROM f0 WHERE used / allocated_gb < 0.4),
 pr AS (SELECT * FROM (VALUES {", ".join(f"('{k}', CAST({p} AS DOUBLE))" for k, p in RDS_HOURLY)}) AS t(k, p)),
-z AS (SELECT dbs.*, a.p AS two, b.p AS one, a.p IS NOT NULL AND b.p IS NOT NULL AS known FROM dbs
+z AS (SELECT dbs_all.*, a.p AS two, b.p AS one, a.p IS NOT NULL AND b.p IS NOT NULL AS known FROM dbs_all
       LEFT JOIN pr a ON a.k = lower(instance_class) || ':multi' LEFT JOIN pr b ON b.k = lower(instance_class) || ':single'),
-rep AS (SELECT z.*, points, p95, round(CASE WHEN multi_az THEN two ELSE one END * 730, 2) AS c FROM z JOIN st USING (db_instance_id)
+rep AS (SELECT z.*, points, p95, round(CASE WHEN multi_az THEN two ELSE one END * 730, 2) AS c FROM z JOIN st USING (tenant_id, db_instance_id)
         WHERE event_type = 'click' AND p95 < 0.1 AND replica_of IS NOT NULL AND engine NOT LIKE 'aurora%' AND status = 'available'
           AND COALESCE(lower(replace(tag_role, '_', '-')), '') <> 'disaster-recovery')
 SELECT """
@@ -149,7 +157,7 @@ SELECT """
     + " FROM rep",
 )
 def d40_d44(spark, sf):
-    dbs = bound(spark, sf, "dbs").withColumn("tags", _tag_map(("Env", "tag_env"), ("Role", "tag_role")))
+    dbs = twins(bound(spark, sf, "dbs")).withColumn("tags", _tag_map(("Env", "tag_env"), ("Role", "tag_role")))
     return R.rds_rightsizing(dbs, _db_metrics(spark, sf), _prices(spark), AS_OF_METRICS)
 
 
@@ -159,8 +167,9 @@ AS_OF_SNAPSHOTS = "2000-01-01 00:00:00"
 @query(
     "d45_d46_rds_snapshots",
     oracle=binding_cte("rds_snapshots", "dbs")
-    + """,
-s AS (SELECT *, COALESCE(source_region, region) = region AND source_id <> '' AND (kind <> 'db' OR source_id NOT IN (SELECT db_instance_id FROM dbs)) AS orphan FROM rds_snapshots)
+    + f""",
+{twins_cte("rds_snapshots", where="kind = 'db'")},
+s AS (SELECT *, COALESCE(source_region, region) = region AND source_id <> '' AND (kind <> 'db' OR (tenant_id, source_id) NOT IN (SELECT (tenant_id, db_instance_id) FROM dbs)) AS orphan FROM rds_snapshots_all)
 SELECT """
     + _sel(service="AmazonRDS", rtype="' || 'rds_' || kind || '_snapshot", rid="snapshot_id", check="aws.rds.snapshots.orphaned", lvl="'medium'", score="70",
            cost="size_gb * 0.095", savings="size_gb * 0.095", detail="source_id")
@@ -170,5 +179,5 @@ SELECT """
     + f" FROM s WHERE NOT orphan AND lower(snapshot_type) LIKE 'manual%' AND created <= TIMESTAMP '{AS_OF_SNAPSHOTS}' - INTERVAL 30 DAY",
 )
 def d45_d46(spark, sf):
-    sources = bound(spark, sf, "dbs").select(F.lit("db").alias("kind"), F.col("db_instance_id").alias("source_id"))
-    return R.rds_snapshots(bound(spark, sf, "rds_snapshots"), sources, AS_OF_SNAPSHOTS)
+    sources = bound(spark, sf, "dbs").select("tenant_id", "account_id", "region", F.lit("db").alias("kind"), F.col("db_instance_id").alias("source_id"))
+    return R.rds_snapshots(twins(bound(spark, sf, "rds_snapshots"), "kind = 'db'"), sources, AS_OF_SNAPSHOTS)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions.coerce import MONEY
 from ..operators import cost, trends
 from .inputs import cost_facts_raw
 from .q_cost import MONTHLY_CTE
-from .registry import query
+from .registry import REGISTRY, query
 
 P_CTE = (
     MONTHLY_CTE
@@ -162,3 +165,31 @@ def c6(spark, sf):
 def c_last(spark, sf):
     monthly = cost.monthly_service_cost(cost_facts_raw(spark, sf))
     return trends.cost_anomalies(monthly, evaluate="last")
+
+
+# the same rule over bills a ten-thousandth as large, which come and go around its limits
+_SMALL = "FROM (SELECT * REPLACE (CAST(unblended_cost * CAST(0.0001 AS DECIMAL(5,4)) AS DECIMAL(18,6)) AS unblended_cost) FROM cost_service_monthly)"
+
+
+@query("c6_service_discovery_small_bills", oracle=C6_SQL.replace("FROM cost_service_monthly", _SMALL, 1))
+def c6_small(spark, sf):
+    monthly = cost.monthly_service_cost(cost_facts_raw(spark, sf))
+    small = monthly.withColumn("unblended_cost", (F.col("unblended_cost") * F.lit("0.0001").cast("decimal(5,4)")).cast(MONEY))
+    return trends.cost_anomalies(small, evaluate="all", detectors=("discovery",))
+
+
+_TREND_RUN = "trends-1998"
+
+
+@query(
+    "c1_c6_trend_findings",
+    oracle=REGISTRY["c1_c6_latest_period"].oracle.replace("SELECT a.* FROM allx a", "SELECT tenant_id, check_id, account_id AS resource_id, service, status, cost, fingerprint, "
+      "sha256('{\"fingerprint\":\"' || fingerprint || '\",\"salt\":\"\",\"tenant_id\":\"' || tenant_id || '\"}') AS finding_id FROM ("
+      "SELECT a.*, CAST(a.estimated_monthly_cost AS DECIMAL(18,6)) AS cost, sha256('{\"check_id\":\"' || check_id || '\",\"issue\":{\"method\":\"' || method || '\",\"period\":\"' || strftime(period_start, '%Y-%m') || '\",\"service\":\"' || COALESCE(service, '')"
+      " || '\",\"signal\":\"' || signal || '\"},\"scope\":{\"account_id\":\"' || account_id || '\",\"billing_account_id\":\"\",\"cloud\":\"aws\",\"region\":\"global\",\"resource_arn\":\"\",\"resource_id\":\"' || account_id"
+      " || '\",\"resource_type\":\"account\",\"service\":\"' || lower(COALESCE(service, '')) || '\"},\"tenant_id\":\"' || tenant_id || '\"}') AS fingerprint FROM allx a") + ")",
+)
+def c_findings(spark, sf):
+    monthly = cost.monthly_service_cost(cost_facts_raw(spark, sf))
+    f = trends.anomaly_findings(trends.cost_anomalies(monthly, evaluate="last"), _TREND_RUN)
+    return f.select("tenant_id", "check_id", F.col("scope.resource_id").alias("resource_id"), F.col("scope.service").alias("service"), "status", F.col("estimated.monthly_cost").alias("cost"), "fingerprint", "finding_id")

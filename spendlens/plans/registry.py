@@ -31,6 +31,6 @@ def query(name: str, oracle: str | None = None, headline: bool = False):
 
 def load_all() -> dict[str, Entry]:
     # Importing the modules registers their queries.
-    from . import q_contract, q_correlate, q_cost, q_detect, q_emit, q_filesystems, q_history, q_read, q_remediation, q_rightsize, q_trends, q_vaults  # noqa: F401
+    from . import q_buckets, q_contract, q_correlate, q_cost, q_detect, q_emit, q_filesystems, q_history, q_read, q_remediation, q_rightsize, q_trends, q_vaults  # noqa: F401
 
     return REGISTRY

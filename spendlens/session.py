@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +42,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-ckpt-"))
     return spark
 
 
@@ -51,28 +53,19 @@ def apply_job_conf(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The folder all executors share: ``spark.checkpoint.dir``, or what the context was given.
 
-    On a cluster the setting names a shared folder and is used as is; without
-    it the call fails. Only a purely local session makes a scratch folder.
+    Without either the call fails; there is no machine-local stand-in.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="spendlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder name no other job uses, in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -83,9 +76,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     recomputing the lineage, and a lost executor re-reads files instead of
     replaying joins. The folder is the cluster's ``spark.checkpoint.dir``.
     """
-    import uuid
-
-    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{root}/materialized/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, f"materialized/{name}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -14,7 +14,10 @@ cost fact per line item, one metric point per event, ...).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .tables import table
 
@@ -226,7 +229,9 @@ RAW_CUR_AZ_SQL = RAW_CUR_SQL.format(region_column="")
 
 # Long metric series: one point per event.
 METRICS_SQL = """
-SELECT 'r-' || CAST(e.user_id AS STRING) AS resource_id,
+SELECT 'tenant-' || CAST(e.user_id % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + e.user_id % 7 AS STRING) AS account_id,
+       'r-' || CAST(e.user_id AS STRING) AS resource_id,
        e.event_type AS metric,
        CAST(e.ts AS TIMESTAMP) AS ts,
        e.value AS value
@@ -268,6 +273,26 @@ JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
 
 # Remediation actions: one per order, on the finding of its first line item;
 # order status F -> completed, O -> failed, P -> approved (not finalized).
+_FINGERPRINT = """'tenant-' || CAST(o.o_custkey % 3 AS STRING) || ':' || CAST(100000000000 + l.l_partkey % 7 AS STRING) || ':'
+    || c.check_id || ':r-' || CAST(l.l_partkey AS STRING)"""
+
+# SLA extensions and assignments of findings, one per line item of large or middling quantity.
+EXTENSIONS_SQL = f"""
+SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id, 'prod' AS workspace, {_FINGERPRINT} AS fingerprint,
+       CAST(l.l_linenumber * 9 AS INT) AS days, CAST(l.l_shipdate AS TIMESTAMP) + INTERVAL 12 DAY AS event_ts
+FROM {{lineitem}} l JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
+{CATALOG_JOIN}
+WHERE l.l_quantity >= 44
+"""
+ASSIGNMENTS_SQL = f"""
+SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id, 'prod' AS workspace, {_FINGERPRINT} AS fingerprint,
+       CASE WHEN l.l_linenumber < 6 THEN 'user-' || CAST(l.l_suppkey % 20 AS STRING) END AS owner_id, 'team-' || CAST(l.l_suppkey % 5 AS STRING) AS team_id,
+       CAST(l.l_shipdate AS TIMESTAMP) + INTERVAL 1 HOUR * l.l_linenumber AS event_ts
+FROM {{lineitem}} l JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey
+{CATALOG_JOIN}
+WHERE l.l_quantity >= 36 AND l.l_quantity < 44
+"""
+
 ACTIONS_SQL = f"""
 SELECT
   'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
@@ -421,7 +446,10 @@ FROM {part} p
 """
 
 EKS_NODEGROUPS_SQL = """
-SELECT 'ng-' || CAST(o.o_orderkey AS STRING) AS nodegroup_name,
+SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + o.o_custkey % 7 AS STRING) AS account_id,
+       'us-west-2' AS region,
+       'ng-' || CAST(o.o_orderkey AS STRING) AS nodegroup_name,
        'eks-' || CAST(o.o_custkey AS STRING) AS cluster_name,
        CAST(o.o_orderkey % 3 AS INT) AS desired_size,
        CASE o.o_orderkey % 5 WHEN 0 THEN 'SPOT' WHEN 1 THEN NULL ELSE 'on_demand' END AS capacity_type,
@@ -442,15 +470,68 @@ SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
 FROM {customer} c
 """
 
-VAULTS_SQL = """
-SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
-       CAST(100000000000 + c.c_custkey % 7 AS STRING) AS account_id,
-       'eu-west-1' AS region,
-       'vault-' || CAST(c.c_custkey AS STRING) AS vault_name,
-       CASE c.c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS locked,
-       CASE c.c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 30 END AS min_days,
-       CASE c.c_custkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 365 WHEN 2 THEN 3650 WHEN 3 THEN 400 END AS max_days
-FROM {customer} c
+
+def _json(text: str) -> str:
+    """A JSON literal inside a binding: braces doubled for ``format``; ``@name@`` is a column of the row."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    return "'" + re.sub(r"@(\w+)@", r"' || b.\1 || '", text) + "'"
+
+
+# Vault access policies by customer key, one for every shape the policy check tells apart.
+VAULT_POLICIES = [
+    "NULL",
+    "'  '",
+    _json('{oops'),
+    _json('{"Version":"2012-10-17","Id":null}'),
+    _json('{"Statement":{"Sid":"np","Effect":"Allow","NotPrincipal":{"AWS":"x"},"Action":"backup:CopyIntoBackupVault"}}'),
+    _json('{"Statement":[{"Sid":"any","Effect":"Allow","Principal":"*","Action":["backup:DeleteRecoveryPoint","Backup:StartCopyJob"],"Resource":"*"}]}'),
+    _json('{"Statement":[{"Sid":"org","Effect":" allow ","Principal":{"AWS":["*"]},"Action":"backup:*","Condition":{"StringEquals":{"aws:PrincipalOrgID":["o-2","o-1","o-2"]}}}]}'),
+    _json('{"Statement":[{"Sid":"far","Effect":"Allow","Principal":"*","Action":"*","Resource":["arn:aws:s3:::logs","arn:aws:s3:::more"]}]}'),
+    _json('{"Statement":[{"Sid":"farorg","Effect":"Allow","Principal":{"AWS":"*"},"Action":"*","Resource":"arn:aws:s3:::logs","Condition":{"ForAnyValue:StringLike":{"aws:PrincipalOrgID":"o-9"}}}]}'),
+    _json('{"Statement":[{"Sid":"cross","Effect":"Allow","Principal":{"AWS":["arn:aws:iam::210000000002:root","@account_id@","210000000001","210000000007",null]},"Action":"backup:StartRestoreJob"}]}'),
+    _json('{"Statement":[{"Effect":"Allow","Principal":{"AWS":"210000000001"}}]}'),
+    _json('{"Statement":[{"Sid":"own","Effect":"Allow","Principal":{"AWS":"arn:aws:iam::@account_id@:role/Ops"},"Action":["backup:DeleteBackupVault"]}]}'),
+    _json('{"Statement":[{"Sid":"no","Effect":"Deny","Principal":"*","Action":"*"},"text",{"Effect":"Allow","Principal":{"Service":"x"},"Action":"a"}]}'),
+    _json('{"Statement":[{"Sid":"a","Effect":"Allow","Principal":["210000000001"],"Action":"backup:Get"},{"Sid":"b","Effect":"Allow","Principal":"*","Resource":"@vault_arn@/part"}]}'),
+    _json('{"Statement":[{"Sid":"own","Effect":"Allow","Principal":"@account_id@","Action":"x"},{"Sid":"w1","Effect":"Allow","Principal":"*","Action":"x","Resource":"r"},{"Sid":"w2","Effect":"Allow","Principal":"*","Action":"x","Resource":""}]}'),
+    _json('{"Statement":"all of it"}'),
+    _json('[{"Effect":"Allow","Principal":"*"}]'),
+]
+
+VAULTS_SQL = f"""
+SELECT b.*, CASE b.k % {len(VAULT_POLICIES)} {" ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(VAULT_POLICIES))} END AS policy
+FROM (
+  SELECT a.*, 'arn:aws:backup:' || a.region || ':' || a.account_id || ':backup-vault:' || a.vault_name AS vault_arn
+  FROM (
+    SELECT 'tenant-' || CAST(c.c_custkey % 3 AS STRING) AS tenant_id,
+           CAST(100000000000 + c.c_custkey % 7 AS STRING) AS account_id,
+           'eu-west-1' AS region,
+           'vault-' || CAST(c.c_custkey AS STRING) AS vault_name,
+           CASE c.c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS locked,
+           CASE c.c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 30 END AS min_days,
+           CASE c.c_custkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 365 WHEN 2 THEN 3650 WHEN 3 THEN 400 END AS max_days,
+           c.c_custkey AS k
+    FROM {{customer}} c) a) b
+"""
+
+# Daily storage gauges of buckets (one bucket per part, one wide point per line item): some
+# storage types have no point, a zero or an older one only.
+BUCKET_GAUGES_SQL = f"""
+SELECT 'tenant-' || CAST(l.l_partkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + l.l_partkey % 7 AS STRING) AS account_id,
+       {_region_case("l.l_partkey")} AS region,
+       's3-' || CAST(l.l_partkey AS STRING) AS bucket_name,
+       CAST(TIMESTAMP '2024-01-26 00:00:00' + INTERVAL 1 DAY * (l.l_orderkey % 8) AS TIMESTAMP) AS ts,
+       CASE WHEN l.l_linenumber % 3 <> 0 THEN l.l_quantity * 1073741824.0 END AS StandardStorage,
+       CASE WHEN l.l_partkey % 2 = 0 THEN l.l_quantity * 268435456.0 END AS StandardIAStorage,
+       CASE WHEN l.l_partkey % 5 = 0 THEN l.l_quantity * 134217728.0 END AS OneZoneIAStorage,
+       CASE WHEN l.l_partkey % 3 = 0 THEN (l.l_quantity - 25) * 536870912.0 END AS IntelligentTieringFAStorage,
+       CASE WHEN l.l_partkey % 7 = 0 THEN l.l_quantity * 67108864.0 END AS IntelligentTieringIAStorage,
+       CASE WHEN l.l_partkey % 11 = 0 THEN 0.0 END AS IntelligentTieringAAStorage,
+       CASE WHEN l.l_partkey % 4 = 1 THEN l.l_quantity * 2147483648.0 END AS GlacierStorage,
+       CASE WHEN l.l_partkey % 13 = 0 THEN l.l_quantity * 1073741824.0 END AS GlacierIRStorage,
+       CASE WHEN l.l_partkey % 6 = 5 THEN l.l_quantity * 4294967296.0 END AS DeepArchiveStorage
+FROM {{lineitem}} l
 """
 
 FSX_SQL = """
@@ -586,7 +667,8 @@ ECS_SERVICES_SQL = """
 SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
        CAST(100000000000 + o.o_custkey % 7 AS STRING) AS account_id,
        'eu-central-1' AS region,
-       'svc-' || CAST(o.o_orderkey AS STRING) AS service_name,
+       'ecs-' || CAST(o.o_custkey AS STRING) AS cluster_name,
+       'svc-' || CAST(o.o_orderkey % 50 AS STRING) AS service_name,
        CASE WHEN o.o_orderkey % 10 = 0 THEN 'DRAINING' ELSE 'ACTIVE' END AS status,
        o.o_orderkey % 4 AS desired_count,
        CASE WHEN o.o_custkey % 3 = 0 THEN 0 ELSE o.o_orderkey % 4 END AS running_count,
@@ -632,7 +714,7 @@ SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
        CAST(100000000000 + o.o_custkey % 7 AS STRING) AS account_id,
        'eu-west-1' AS region,
        'rp-' || CAST(o.o_orderkey AS STRING) AS recovery_point_arn,
-       'vault-' || CAST(o.o_custkey % 30 AS STRING) AS vault_name,
+       'vault-' || CAST(o.o_custkey AS STRING) AS vault_name,
        CAST(o.o_orderdate AS TIMESTAMP) AS created,
        CASE o.o_orderkey % 10 WHEN 0 THEN 'DELETED' WHEN 1 THEN 'expired' ELSE 'COMPLETED' END AS status,
        CASE WHEN o.o_orderkey % 3 = 0 THEN NULL ELSE CAST(o.o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY * (o.o_orderkey % 2000) END AS delete_at,
@@ -679,20 +761,29 @@ FROM {supplier} s
 """
 
 LISTENERS_SQL = """
-SELECT DISTINCT CASE WHEN o.o_custkey % 9 = 4 THEN 'retired-lb-' ELSE 'lb-' END || CAST(o.o_custkey AS STRING) AS lb_name,
+SELECT DISTINCT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + o.o_custkey % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       CASE WHEN o.o_custkey % 9 = 4 THEN 'retired-lb-' ELSE 'lb-' END || CAST(o.o_custkey AS STRING) AS lb_name,
        CASE WHEN o.o_orderkey % 4 = 0 THEN 'fixed-response' ELSE 'forward' END AS action_type,
        'tg-' || CAST(o.o_custkey AS STRING) AS target_group
 FROM {orders} o
 """
 
 TARGET_GROUPS_SQL = """
-SELECT 'tg-' || CAST(p.p_partkey AS STRING) AS target_group,
+SELECT 'tenant-' || CAST(p.p_partkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + p.p_partkey % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       'tg-' || CAST(p.p_partkey AS STRING) AS target_group,
        CASE WHEN p.p_partkey % 10 = 0 THEN 'lambda' ELSE 'instance' END AS target_type
 FROM {part} p
 """
 
 TARGETS_SQL = """
-SELECT DISTINCT CASE WHEN l.l_partkey % 3 <> 0 THEN 'tg-' ELSE 'other-tg-' END || CAST(l.l_partkey AS STRING) AS target_group,
+SELECT DISTINCT 'tenant-' || CAST(l.l_partkey % 3 AS STRING) AS tenant_id,
+       CAST(100000000000 + l.l_partkey % 7 AS STRING) AS account_id,
+       'us-east-1' AS region,
+       CASE WHEN l.l_partkey % 3 <> 0 THEN 'tg-' ELSE 'other-tg-' END || CAST(l.l_partkey AS STRING) AS target_group,
        'i-' || CAST(l.l_orderkey AS STRING) AS target_id,
        CASE WHEN l.l_partkey % 5 = 0 THEN 'unhealthy' WHEN l.l_returnflag = 'A' THEN 'healthy' WHEN l.l_returnflag = 'N' THEN 'unhealthy' ELSE 'draining' END AS health
 FROM {lineitem} l
@@ -752,6 +843,8 @@ BINDINGS = {
     "metrics": (METRICS_SQL, ("events",)),
     "runs": (RUNS_SQL, ("orders",)),
     "state_events": (STATE_EVENTS_SQL, ("lineitem", "orders")),
+    "extensions": (EXTENSIONS_SQL, ("lineitem", "orders")),
+    "assignments": (ASSIGNMENTS_SQL, ("lineitem", "orders")),
     "actions": (ACTIONS_SQL, ("orders", "lineitem")),
     "volumes": (VOLUMES_SQL, ("part",)),
     "nats": (NATS_SQL, ("events",)),
@@ -765,6 +858,7 @@ BINDINGS = {
     "efs": (EFS_SQL, ("customer",)),
     "fsx": (FSX_SQL, ("customer",)),
     "vaults": (VAULTS_SQL, ("customer",)),
+    "bucket_gauges": (BUCKET_GAUGES_SQL, ("lineitem",)),
     "rds_snapshots": (RDS_SNAPSHOTS_SQL, ("orders",)),
     "buckets": (BUCKETS_SQL, ("part",)),
     "eks": (EKS_SQL, ("supplier",)),
@@ -793,6 +887,21 @@ BINDINGS = {
 }
 
 
+#: the tenant that owns resources of the same names as another one's
+TWIN = "tenant-twin"
+
+
+def twins(df: DataFrame, where: str = "true", **changed: Column) -> DataFrame:
+    """``df`` and a copy of (some of) it in another tenant, with some columns changed."""
+    return df.unionByName(df.where(where).withColumns({"tenant_id": F.lit(TWIN), **changed}).select(df.columns))
+
+
+def twins_cte(name: str, replace: str = "", where: str = "true") -> str:
+    """The same for DuckDB: a CTE ``<name>_all`` over ``name``."""
+    more = f", {replace}" if replace else ""
+    return f"{name}_all AS (SELECT * FROM {name} UNION ALL SELECT * REPLACE ('{TWIN}' AS tenant_id{more}) FROM {name} WHERE {where})"
+
+
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Run a binding in Spark with the source tables passed as DataFrames."""
     text, sources = BINDINGS[name]

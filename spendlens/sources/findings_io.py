@@ -7,13 +7,12 @@ so tenant and run filters prune directories before any file is opened.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.contract import FINDING_SCHEMA
-
 ROWS_PER_FILE = 200_000
 
 
@@ -21,10 +20,7 @@ def read_findings(spark: SparkSession, path: str | Sequence[str], *, schema=None
     """Scan one or several findings datasets, union by name (schema drift tolerant)."""
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.option("mergeSchema", "true")
-    frames = [reader.parquet(p) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+    out = union_findings([reader.parquet(p) for p in paths])
     if schema is not None:
         missing = [fld for fld in schema.fields if fld.name not in out.columns]
         for fld in missing:
@@ -32,6 +28,11 @@ def read_findings(spark: SparkSession, path: str | Sequence[str], *, schema=None
     return out
 
 
+def union_findings(frames: Sequence[DataFrame]) -> DataFrame:
+    """Union by name; a column a frame lacks is NULL there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def has_rows(spark: SparkSession, path: str) -> bool:
     """Whether a dataset exists and has at least one row (driver-side, reads one row)."""
     try:
@@ -67,13 +68,14 @@ def write_findings(findings: DataFrame, root: str, *, mode: str = "overwrite", r
     """Partitioned, zstd, bounded files; dynamic partition overwrite replaces
     only the (tenant, run_date) partitions present in ``findings`` (U3/U4 semantics).
 
-    The repartition on the partition keys sends each partition's rows to one
-    writer task (few files per directory); ``maxRecordsPerFile`` bounds file size
-    when a partition is hot.
+    The rebalance hint gathers each partition's rows in few writer tasks (few files per
+    directory), and lets AQE split one that exceeds the advisory partition size among several
+    tasks: a tenant that holds a third of all rows is no single task. ``maxRecordsPerFile``
+    bounds the files.
     """
     df = with_run_date(findings)
     (
-        df.repartition("tenant_id", "run_date")
+        df.hint("rebalance", "tenant_id", "run_date")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
@@ -92,14 +94,17 @@ def write_cost_facts(
     by_service: bool = False,
     by_region: bool = False,
     mode: str = "overwrite",
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> None:
-    """Cost facts partitioned by tenant + the chosen columns."""
+    """Cost facts partitioned by tenant + the chosen columns; hot partitions and files are
+    bounded as in ``write_findings``."""
     cols = ["tenant_id"] + [c for c, on in (("billing_period", by_period), ("account_id", by_account), ("service", by_service), ("region", by_region)) if on]
     (
-        facts.repartition(*cols)
+        facts.hint("rebalance", *cols)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
+        .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(*cols)
         .parquet(root)
     )
@@ -129,7 +134,3 @@ def export_json(artifacts: dict[str, DataFrame], out_dir: str) -> dict[str, str]
         _json_ready(df).write.mode("overwrite").json(p)
         paths[name] = p
     return paths
-
-
-def finding_schema_fields() -> list[str]:
-    return [f.name for f in FINDING_SCHEMA.fields]

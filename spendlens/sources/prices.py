@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +88,54 @@ def price_lookup(
         F.lit(default_price).isNotNull(), 40
     ).otherwise(0)
     return j.withColumn("unit_price", price).withColumn("price_confidence", conf).drop("_r", "_k", "_pr", "_pk", "_price", "_psrc")
+
+
+@dataclass(frozen=True)
+class Rung:
+    """One place to look a price up: the wanted region and key, or fixed ones, and how far a hit is trusted."""
+
+    confidence: int
+    region: str | None = None
+    key: str | None = None
+
+
+#: the wanted key here, any key here, the wanted key anywhere, any key anywhere
+LADDER = (Rung(90), Rung(75, key="default"), Rung(60, region="global"), Rung(50, region="global", key="default"))
+#: confidence of a price no table gave
+ASSUMED = 30
+
+
+def price_ladder(
+    df: DataFrame, prices: DataFrame | None, *, kind: str, region: Column, key: Column, as_of=None, rungs: Sequence[Rung] = LADDER, fallback: dict[str, float] | float | None = None, name: str = "unit_price"
+) -> DataFrame:
+    """``df`` with ``name`` and ``<name>_confidence`` from the first rung that has a price.
+
+    ``prices``: region, kind, key, unit_price, and optionally effective_from; of several rows the
+    newest in force at ``as_of`` counts, and prices that are not positive do not. Only the
+    distinct (region, key) pairs of ``df`` climb the ladder: they are exploded by rung, meet the
+    table in one join, and keep the hit of least rung; that small result joins back. Without
+    any hit ``fallback`` (a price, or one by key) stands in with little confidence.
+    """
+    if isinstance(fallback, dict):
+        entries = [x for k, v in fallback.items() for x in (F.lit(k), F.lit(float(v)))]
+        assumed = F.try_element_at(F.create_map(*entries), F.col("_wk"))
+    else:
+        assumed = F.lit(fallback).cast("double")
+    asked = df.withColumns({"_wr": region, "_wk": key})
+    if prices is not None:
+        dated = "effective_from" in prices.columns
+        since = F.col("effective_from").cast("timestamp") if dated else F.lit(None).cast("timestamp")
+        p = prices.where((F.col("kind") == kind) & (F.col("unit_price") > 0)).select(F.col("region").alias("_pr"), F.col("key").alias("_pk"), F.col("unit_price").cast("double").alias("_price"), since.alias("_since"))
+        if as_of is not None:
+            p = p.where(F.col("_since").isNull() | (F.col("_since") <= F.lit(as_of).cast("timestamp")))
+        epoch = F.lit("0001-01-01").cast("timestamp")
+        p = p.groupBy("_pr", "_pk").agg(F.max_by("_price", F.struct(F.coalesce("_since", epoch), "_price")).alias("_price"))
+        places = F.array(*[F.struct((F.lit(r.region) if r.region else F.col("_wr")).alias("_pr"), (F.lit(r.key) if r.key else F.col("_wk")).alias("_pk"), F.lit(r.confidence).alias("_conf")) for r in rungs])
+        tries = asked.select("_wr", "_wk").distinct().select("_wr", "_wk", F.posexplode(places).alias("_rung", "_at")).select("_wr", "_wk", "_rung", "_at.*")
+        best = tries.join(p, ["_pr", "_pk"]).groupBy("_wr", "_wk").agg(F.min_by(F.struct("_price", "_conf"), "_rung").alias("_hit"))
+        asked = asked.join(best, ["_wr", "_wk"], "left")
+        found, trust = F.col("_hit._price"), F.col("_hit._conf")
+    else:
+        found, trust = F.lit(None).cast("double"), F.lit(None).cast("int")
+    confidence = F.when(found.isNotNull(), trust).when(assumed.isNotNull(), ASSUMED).otherwise(0)
+    return asked.withColumns({name: F.coalesce(found, assumed), f"{name}_confidence": confidence}).select(*df.columns, name, f"{name}_confidence")

@@ -6,8 +6,8 @@ static DataFrame handled by ``foreachBatch``:
 * presence rows for the batch (read-model fields + first-seen dedup W2) are
   written with dynamic partition overwrite on (tenant_id, run_id), so a
   replayed batch rewrites the same partitions (idempotent, U3);
-* latest is recomputed for the tenants touched by the batch only (W1 over
-  their presence history) and overwrites those tenant partitions (U4).
+* latest is a state table of hash buckets (``state_table``): the batch is merged
+  into the buckets its fingerprints fall into, and no other is read or written (U5).
 
 Progress and exactly-once bookkeeping live in ``checkpoint_location`` (a
 shared folder), so a restarted query resumes without re-ingesting.
@@ -16,17 +16,19 @@ shared folder), so a restarted query resumes without re-ingesting.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.contract import FINDING_SCHEMA
 from ..operators.history import latest_per_key, presence_rows
+from ..operators.state_table import BUCKETS, upsert_state
+
+KEY = ["tenant_id", "workspace", "fingerprint"]
 
 
 def _write_partitions(df: DataFrame, path: str, cols: list[str]) -> None:
     (
-        df.repartition(*cols)
+        df.hint("rebalance", *cols)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
@@ -35,16 +37,14 @@ def _write_partitions(df: DataFrame, path: str, cols: list[str]) -> None:
     )
 
 
-def make_batch_handler(presence_path: str, latest_path: str):
+def make_batch_handler(presence_path: str, latest_path: str, buckets: int = BUCKETS):
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        pres = presence_rows(batch)
-        if pres.isEmpty():
-            return
-        _write_partitions(pres, presence_path, ["tenant_id", "run_id"])
-        spark = batch.sparkSession
-        tenants = pres.select("tenant_id").distinct()
-        history = spark.read.parquet(presence_path).join(tenants, "tenant_id", "left_semi")
-        _write_partitions(latest_per_key(history), latest_path, ["tenant_id"])
+        pres = presence_rows(batch).persist()  # written and merged from one evaluation
+        try:
+            upsert_state(pres, latest_path, KEY, latest_per_key, buckets=buckets)
+            _write_partitions(pres, presence_path, ["tenant_id", "run_id"])
+        finally:
+            pres.unpersist()
 
     return handle
 
@@ -59,13 +59,14 @@ def start_ingest_stream(
     schema: StructType = FINDING_SCHEMA,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Start the ingest stream (``available_now`` drains what is there and stops)."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(findings_dir)
-    writer = stream.writeStream.foreachBatch(make_batch_handler(presence_path, latest_path)).option(
+    writer = stream.writeStream.foreachBatch(make_batch_handler(presence_path, latest_path, buckets)).option(
         "checkpointLocation", checkpoint_location
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
