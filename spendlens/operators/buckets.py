@@ -42,7 +42,7 @@ def latest_class_sizes(gauges: DataFrame, as_of, lookback_days: int = 3) -> Data
     recent = recent.select(*BUCKET, "ts", *[F.col(t).cast("double").alias(t) for t in there])
     long = recent.unpivot([*BUCKET, "ts"], there, "storage_type", "bytes").where(F.col("bytes").isNotNull())
     newest = long.groupBy(*BUCKET, "storage_type").agg(F.max_by("bytes", F.struct("ts", "bytes")).alias("bytes"))
-    return newest.where(F.col("bytes") > 0).select(*BUCKET, "storage_type", (F.col("bytes") / 1024.0**3).alias("size_gib"))
+    return newest.where(F.col("bytes") > 0).select(*BUCKET, "storage_type", (F.col("bytes") / 1024.0**3).cast("decimal(24,6)").alias("size_gib"))
 
 
 def bucket_storage_breakdown(sizes: DataFrame, prices: DataFrame) -> DataFrame:
@@ -57,21 +57,18 @@ def bucket_storage_breakdown(sizes: DataFrame, prices: DataFrame) -> DataFrame:
     usable = prices.where(F.col("unit_price") > 0)
     s = price_lookup(s, usable, region=F.col("region"), kind="s3_gb_month", key=F.col("storage_class"), fallback={c: p for _, c, p in STORAGE_TYPES})
     priced = F.col("price_confidence") >= 80
-    s = s.withColumns({"cost": F.col("size_gib") * F.col("unit_price"), "source": F.when(priced, "price_table").otherwise("fallback"), "conf": F.when(priced, PRICED).otherwise(ASSUMED)})
-    six = lambda c: F.format_string("%.6f", F.col(c))
+    s = s.withColumn("usd", F.col("unit_price").cast("decimal(12,6)"))
+    s = s.withColumns({"cost": (F.col("size_gib") * F.col("usd")).cast("decimal(24,6)"), "source": F.when(priced, "price_table").otherwise("fallback"), "conf": F.when(priced, PRICED).otherwise(ASSUMED)})
+    six = lambda c: F.col(c).cast("string")
     item = F.struct(
         F.col("place"),
         F.struct(
             six("cost").alias("monthly_cost_usd"), F.col("source").alias("price_source"), F.col("storage_class").alias("pricing_storage_class"),
-            six("size_gib").alias("size_gib"), F.col("storage_type"), six("unit_price").alias("usd_per_gb_month"),
+            six("size_gib").alias("size_gib"), F.col("storage_type"), six("usd").alias("usd_per_gb_month"),
         ).alias("item"),
     )
-    # summed in report order, so the total does not hang on the order rows arrive in
-    total = lambda name: F.aggregate(F.transform("items", lambda x: x[name]), F.lit(0.0), lambda a, x: a + x)
-    g = s.groupBy(*BUCKET).agg(
-        F.array_sort(F.collect_list(F.struct("place", F.col("size_gib").alias("gib"), F.col("cost").alias("usd"), item.alias("entry")))).alias("items"), F.min("conf").alias("confidence")
-    )
-    return g.select(*BUCKET, total("gib").alias("total_gib"), total("usd").alias("total_usd"), "confidence", F.to_json(F.transform("items", lambda x: x["entry"]["item"])).alias("breakdown_json"))
+    g = s.groupBy(*BUCKET).agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum("size_gib").alias("total_gib"), F.sum("cost").alias("total_usd"), F.min("conf").alias("confidence"))
+    return g.select(*BUCKET, "total_gib", "total_usd", "confidence", F.to_json(F.transform("items", lambda x: x["item"])).alias("breakdown_json"))
 
 
 def bucket_storage_estimate(gauges: DataFrame, prices: DataFrame, as_of, *, lookback_days: int = 3, min_gib: float = 10.0) -> DataFrame:
@@ -80,5 +77,5 @@ def bucket_storage_estimate(gauges: DataFrame, prices: DataFrame, as_of, *, look
     return _draft(
         b, service=F.lit("AmazonS3"), resource_type=F.lit("bucket"), resource_id=F.col("bucket_name"), check_id=F.lit("aws.s3.cost.bucket.storage.estimate"),
         status=F.lit("info"), severity_level=F.lit("low"), severity_score=F.lit(20), monthly_cost=F.round("total_usd", 2).cast(MONEY), confidence=F.col("confidence").cast("int"),
-        detail=F.concat_ws("|", F.format_string("%.4f", "total_gib"), F.format_string("%.4f", "total_usd"), "breakdown_json"),
+        detail=F.concat_ws("|", F.col("total_gib").cast("decimal(24,4)").cast("string"), F.col("total_usd").cast("decimal(24,4)").cast("string"), "breakdown_json"),
     )

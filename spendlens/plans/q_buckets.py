@@ -24,13 +24,13 @@ _KEYS = "tenant_id, account_id, region, bucket_name"
     + f""",
 recent AS (SELECT * FROM bucket_gauges WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY AND ts < TIMESTAMP '{AS_OF}'),
 points AS ({" UNION ALL ".join(f"SELECT {_KEYS}, ts, '{t}' AS storage_type, CAST({t} AS DOUBLE) AS bytes FROM recent WHERE {t} IS NOT NULL" for t, _, _ in STORAGE_TYPES)}),
-newest AS (SELECT {_KEYS}, storage_type, bytes / 1073741824.0::DOUBLE AS gib FROM points QUALIFY row_number() OVER (PARTITION BY {_KEYS}, storage_type ORDER BY ts DESC, bytes DESC) = 1),
-priced AS (SELECT n.*, place, storage_class, COALESCE(price, fallback) AS usd, price IS NOT NULL AS found, gib * COALESCE(price, fallback) AS cost
+newest AS (SELECT {_KEYS}, storage_type, CAST(bytes / 1073741824.0::DOUBLE AS DECIMAL(24,6)) AS gib FROM points QUALIFY row_number() OVER (PARTITION BY {_KEYS}, storage_type ORDER BY ts DESC, bytes DESC) = 1),
+priced AS (SELECT n.*, place, storage_class, CAST(COALESCE(price, fallback) AS DECIMAL(12,6)) AS usd, price IS NOT NULL AS found, CAST(gib * CAST(COALESCE(price, fallback) AS DECIMAL(12,6)) AS DECIMAL(24,6)) AS cost
            FROM newest n JOIN {_TYPES} USING (storage_type) LEFT JOIN (SELECT * FROM {_PRICES} WHERE price > 0) q USING (region, storage_class) WHERE gib > 0),
-b AS (SELECT {_KEYS}, list_reduce(list_prepend(0.0::DOUBLE, list(gib ORDER BY place)), lambda x, y: x + y) AS total_gib, list_reduce(list_prepend(0.0::DOUBLE, list(cost ORDER BY place)), lambda x, y: x + y) AS total_usd,
+b AS (SELECT {_KEYS}, sum(gib) AS total_gib, sum(cost) AS total_usd,
              min(CASE WHEN found THEN 80 ELSE 55 END) AS conf,
-             '[' || string_agg('{{"monthly_cost_usd":"' || CAST(CAST(round(cost, 6) AS DECIMAL(18,6)) AS VARCHAR) || '","price_source":"' || CASE WHEN found THEN 'price_table' ELSE 'fallback' END || '","pricing_storage_class":"' || storage_class
-                 || '","size_gib":"' || CAST(CAST(round(gib, 6) AS DECIMAL(18,6)) AS VARCHAR) || '","storage_type":"' || storage_type || '","usd_per_gb_month":"' || CAST(CAST(round(usd, 6) AS DECIMAL(18,6)) AS VARCHAR) || '"}}', ',' ORDER BY place) || ']' AS breakdown
+             '[' || string_agg('{{"monthly_cost_usd":"' || CAST(cost AS VARCHAR) || '","price_source":"' || CASE WHEN found THEN 'price_table' ELSE 'fallback' END || '","pricing_storage_class":"' || storage_class
+                 || '","size_gib":"' || CAST(gib AS VARCHAR) || '","storage_type":"' || storage_type || '","usd_per_gb_month":"' || CAST(usd AS VARCHAR) || '"}}', ',' ORDER BY place) || ']' AS breakdown
       FROM priced GROUP BY ALL)
 SELECT """
     + _sel(service="AmazonS3", rtype="bucket", rid="bucket_name", check="aws.s3.cost.bucket.storage.estimate", status="'info'", lvl="'low'", score="20", cost="CAST(round(total_usd, 2) AS DECIMAL(18,6))", conf="conf",
