@@ -563,7 +563,7 @@ SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
        CASE o.o_orderkey % 5 WHEN 0 THEN 'gone-' || CAST(o.o_custkey AS STRING) WHEN 1 THEN '' ELSE 'db-' || CAST(o.o_custkey AS STRING) END AS source_id,
        CASE WHEN o.o_orderkey % 7 = 0 THEN 'us-east-1' END AS source_region,
        CAST(o.o_orderdate AS TIMESTAMP) AS created,
-       CAST(o.o_totalprice / 1000 AS DECIMAL(18,2)) AS size_gb
+       CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(18,2)) AS size_gb
 FROM {orders} o
 """
 
@@ -718,7 +718,7 @@ SELECT 'tenant-' || CAST(o.o_custkey % 3 AS STRING) AS tenant_id,
        CAST(o.o_orderdate AS TIMESTAMP) AS created,
        CASE o.o_orderkey % 10 WHEN 0 THEN 'DELETED' WHEN 1 THEN 'expired' ELSE 'COMPLETED' END AS status,
        CASE WHEN o.o_orderkey % 3 = 0 THEN NULL ELSE CAST(o.o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY * (o.o_orderkey % 2000) END AS delete_at,
-       CAST(o.o_totalprice / 1000 AS DECIMAL(18,2)) AS size_gb,
+       CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(18,2)) AS size_gb,
        CASE WHEN o.o_orderkey % 4 = 0 THEN 'COLD' ELSE 'WARM' END AS storage_class,
        CASE WHEN o.o_custkey % 19 = 0 THEN 'true' END AS tag_retain,
        CASE WHEN o.o_custkey % 17 = 0 THEN 'case-7' END AS tag_legal_hold,
