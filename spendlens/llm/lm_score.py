@@ -43,7 +43,7 @@ HOT_LENGTH = 48
 SHARD_TEXT = 4 << 20
 SLICE_BYTES = 1 << 20
 #: n-gram keys a task holds before it hands their counts on
-HELD_KEYS = 3 << 20
+HELD_KEYS = 1 << 20
 
 _BEGIN, _END = np.uint64(0x51ED270B9F652295), np.uint64(0xA24BAED4963EE407)
 _SEPARATORS = {0x20, *range(0x09, 0x0E)}

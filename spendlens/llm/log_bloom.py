@@ -77,8 +77,9 @@ def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct keys in ascending order with their summed counts."""
     if not len(keys):
         return keys, counts
-    by = np.argsort(keys, kind="stable")
+    by = np.argsort(keys)
     keys, counts = keys[by], counts[by]
+    del by
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(counts, first)
 
