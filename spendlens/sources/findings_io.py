@@ -126,11 +126,14 @@ def _json_ready(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def export_json(artifacts: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
-    """Write each artifact (findings, summary, top_savings, coverage, correlated) as JSON lines."""
+def export_json(artifacts: dict[str, DataFrame], out_dir: str, *, rows_per_file: int = ROWS_PER_FILE) -> dict[str, str]:
+    """Write each artifact (findings, summary, top_savings, coverage, correlated) as JSON lines.
+
+    Files are gzipped (plain lines of all findings are many times the tables they come from);
+    a reader takes such a file whole, so ``rows_per_file`` bounds them."""
     paths = {}
     for name, df in artifacts.items():
         p = f"{out_dir.rstrip('/')}/{name}"
-        _json_ready(df).write.mode("overwrite").json(p)
+        _json_ready(df).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).json(p, compression="gzip")
         paths[name] = p
     return paths
