@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import MONEY, nullif_blank
+from ..session import materialize
 
 # Coarse category by check id prefix (first match wins, else "other").
 CATEGORY_BY_PREFIX = [
@@ -139,14 +140,19 @@ def latest_per_key(presence: DataFrame, keys: Sequence[str] = ("tenant_id", "wor
     return presence.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def ready_runs(runs: DataFrame) -> DataFrame:
+    """Keys of the ready runs, stored. Being files, their size is known when a join is planned:
+    few runs are broadcast, and findings are not dealt by run (all of a run in one task)."""
+    return materialize(runs.where(F.col("status") == "ready").select("tenant_id", F.col("workspace_id").alias("workspace"), "run_id"), "ready-runs")
+
+
 def latest_of_runs(findings: DataFrame, runs: DataFrame, mask_titles: bool = True) -> DataFrame:
     """W1 over W2 in one window: the newest row per fingerprint over the ready runs.
 
     Same rows as ``latest_per_key(ingest_run(...)[0])``, with one shuffle (rank 1 is
     kept before it already) and the group key made for the surviving rows only.
     """
-    ready = runs.where(F.col("status") == "ready").select("tenant_id", F.col("workspace_id").alias("workspace"), "run_id")
-    rows = _leaves(findings).join(ready, ["tenant_id", "workspace", "run_id"], "left_semi")
+    rows = _leaves(findings).join(ready_runs(runs), ["tenant_id", "workspace", "run_id"], "left_semi")
     w = Window.partitionBy("tenant_id", "workspace", "fingerprint").orderBy(F.col("run_ts").desc(), F.col("run_id").desc(), F.col("finding_id"))
     return _with_group_key(rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"), mask_titles)
 
@@ -159,8 +165,7 @@ def upsert_latest(latest: DataFrame, presence_new: DataFrame) -> DataFrame:
 def ingest_run(findings: DataFrame, runs: DataFrame, *, mask_titles: bool = True) -> tuple[DataFrame, DataFrame]:
     """(presence, latest) from findings of ready runs. Idempotent per run:
     re-ingesting a run yields the same rows (U3 = overwrite the run partition)."""
-    ready = runs.where(F.col("status") == "ready").select("tenant_id", F.col("workspace_id").alias("workspace"), "run_id")
-    pres = presence_rows(findings, mask_titles).join(ready, ["tenant_id", "workspace", "run_id"], "left_semi")
+    pres = presence_rows(findings, mask_titles).join(ready_runs(runs), ["tenant_id", "workspace", "run_id"], "left_semi")
     return pres, latest_per_key(pres)
 
 
