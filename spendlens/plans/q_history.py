@@ -262,16 +262,21 @@ cur2 AS (
 """
 
 
+def _events(spark, sf):
+    return state_events(spark, sf).select("tenant_id", "workspace_id", "subject_type", "subject_id", "state", "snooze_until", "event_ts")
+
+
 def _current(spark, sf):
-    lat = _latest(spark, sf)
-    ev = state_events(spark, sf)
+    # the read model and the log are each read by several branches: stored once
+    lat = materialize(_latest(spark, sf), "latest")
+    ev = materialize(_events(spark, sf), "events")
     gov = G.sla_replay(ev, lat, G.default_policies(spark))
     return G.finding_current(lat, ev, gov, AS_OF)
 
 
 @query("g4_sla_replay", oracle=HIST_CTE + GOV_CTE + "SELECT * FROM gov")
 def g4(spark, sf):
-    lat = _latest(spark, sf)
+    lat = materialize(_latest(spark, sf), "latest")
     return G.sla_replay(state_events(spark, sf), lat, G.default_policies(spark))
 
 
@@ -336,8 +341,8 @@ LEFT JOIN (SELECT tenant_id, workspace, fingerprint, pos AS apos, owner_id, team
 """,
 )
 def g5_g7_g11(spark, sf):
-    lat = _latest(spark, sf)
-    events = state_events(spark, sf).select("tenant_id", "workspace_id", "subject_type", "subject_id", "state", "snooze_until", "event_ts").unionByName(_group_events(lat))
+    lat = materialize(_latest(spark, sf), "latest")
+    events = materialize(_events(spark, sf).unionByName(_group_events(lat)), "events")
     return G.sla_replay(events, lat, G.default_policies(spark), extensions=bound(spark, sf, "extensions"), assignments=bound(spark, sf, "assignments"))
 
 
@@ -356,8 +361,8 @@ FROM lat LEFT JOIN fst USING (tenant_id, workspace, fingerprint) LEFT JOIN gst U
 """,
 )
 def g1_j9(spark, sf):
-    lat = _latest(spark, sf)
-    events = state_events(spark, sf).select("tenant_id", "workspace_id", "subject_type", "subject_id", "state", "snooze_until", "event_ts").unionByName(_group_events(lat))
+    lat = materialize(_latest(spark, sf), "latest")
+    events = materialize(_events(spark, sf).unionByName(_group_events(lat)), "events")
     current = G.finding_current(lat, events, G.sla_replay(events, lat, G.default_policies(spark)), "1998-06-01 00:00:00")
     return current.select("tenant_id", "workspace", "fingerprint", "state", "snooze_until", "effective_state")
 
@@ -420,7 +425,8 @@ UNION ALL SELECT tenant_id, workspace, 'total', CAST(CAST(sum(estimated_monthly_
 """,
 )
 def a8(spark, sf):
-    return H.dashboard_aggregates(_current(spark, sf), top_accounts=3)
+    cur = _current(spark, sf).select("tenant_id", "workspace", "account_id", "service", "severity", "category", "effective_state", "estimated_monthly_savings")
+    return H.dashboard_aggregates(materialize(cur, "current"), top_accounts=3)
 
 
 @query(
@@ -494,9 +500,11 @@ ORDER BY estimated_monthly_savings DESC NULLS LAST, detected_at DESC, fingerprin
 def q6(spark, sf):
     cur = _current(spark, sf)
     cur = read.multi_filters(cur, effective_state=["open", "snoozed"], severity=["high", "critical", "medium"])
-    cur = read.title_contains(cur, "volume")
+    cur = read.title_contains(cur, "volume").select(
+        "fingerprint", "check_id", "service", "severity", "region", "title", "effective_state", "sla_status", "estimated_monthly_savings", "detected_at"
+    )
     return read.page_with_total(
-        cur,
+        materialize(cur, "filtered"),
         [F.col("estimated_monthly_savings").desc_nulls_last(), F.col("detected_at").desc(), F.col("fingerprint")],
         limit=100,
         offset=20,
@@ -532,8 +540,10 @@ USING (tenant_id, workspace, group_key)
 """,
 )
 def q8(spark, sf):
-    cur = _current(spark, sf)
+    cur = _current(spark, sf).select("tenant_id", "workspace", "group_key", "fingerprint", "effective_state", "title", "check_id", "service", "category", "severity", "estimated_monthly_savings")
+    cur = materialize(cur, "current")
     groups = H.group_list(cur).where(F.col("finding_count") >= 3).select("tenant_id", "workspace", "group_key", "finding_count")
+    groups = materialize(groups, "groups")  # of known size: few are broadcast, and members not dealt by group
     return cur.join(groups, ["tenant_id", "workspace", "group_key"]).select(
         "tenant_id", "workspace", "group_key", "fingerprint", "effective_state", "finding_count"
     )
