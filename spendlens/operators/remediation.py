@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import MONEY
 from ..functions.identity import action_id_col
+from ..session import materialize
 from .recommend import rules_frame
 
 KEY = ["tenant_id", "workspace", "fingerprint"]
@@ -79,6 +80,7 @@ def remediation_impact(actions: DataFrame, runs: DataFrame, presence: DataFrame)
         .where("_r = 1")
         .select("tenant_id", "workspace", F.col("run_id").alias("latest_run_id"), F.col("run_ts").alias("latest_run_ts"))
     )
+    latest_run = materialize(latest_run, "latest-run")  # a row a workspace, of known size: actions are not dealt by tenant
     a = a.select(
         "tenant_id",
         "workspace",
@@ -89,7 +91,8 @@ def remediation_impact(actions: DataFrame, runs: DataFrame, presence: DataFrame)
         F.lower(F.trim("status")).alias("action_status"),
         F.col("updated_at").alias("finalized_at"),
     )
-    hist = presence.select(*KEY, "run_id", "run_ts", F.col("estimated_monthly_savings").cast(MONEY).alias("s"))
+    # read twice
+    hist = materialize(presence.select(*KEY, "run_id", "run_ts", F.col("estimated_monthly_savings").cast(MONEY).alias("s")), "savings-history")
     # newest snapshot = max of (run_ts, run_id, savings) structs; NULL structs are skipped by max
     snap = F.struct(F.col("run_ts"), F.col("run_id"), F.col("s"))
     akey = ["tenant_id", "workspace", "action_id", "fingerprint"]
