@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import recommend as R
 from ..operators import remediation as M
+from ..session import materialize
 from ..sources.bind import ACTIONS_SQL
 from .inputs import actions, runs
 from .q_history import AS_OF, GOV_CTE, HIST_CTE, _current, _presence
@@ -215,7 +216,7 @@ FROM agg FULL JOIN miss ON agg.tenant_id = miss.tenant_id AND agg.workspace = mi
 """,
 )
 def n7(spark, sf):
-    cur = _current(spark, sf)
+    cur = materialize(_current(spark, sf).select("tenant_id", "workspace", "fingerprint", "check_id", "severity", "estimated_monthly_savings", "est_confidence"), "current")
     items = R.recommendation_items(cur)
     req = cur.where(F.col("severity") == "critical").select("tenant_id", "workspace", "fingerprint")
     return R.estimate(items, req)
