@@ -10,10 +10,10 @@ from ..functions.arn import account_of, arn_part
 from ..functions.identity import finding_id_col, fingerprint_col, id_salt_col
 from ..operators import correlate as C
 from ..operators import read
-from ..operators.contract import cast_for_storage, normalize_wire, split_valid, to_findings, validate
+from ..operators.contract import cast_for_storage, findings_from_binding, normalize_wire, split_valid, to_findings, validate
 from ..session import new_folder
 from ..sources import findings_io as io
-from ..sources.bind import bound, binding_cte
+from ..sources.bind import bound, binding_cte, gathered_findings
 from ..sources.prices import LADDER, price_ladder, prices_from_price_list
 from ..sources.tables import table
 from .inputs import findings
@@ -115,12 +115,13 @@ UNION ALL SELECT 'one run', tenant_id, count(*) FROM findings_flat WHERE tenant_
 )
 def s3_s8(spark, sf):
     root = new_folder(spark, "datasets")
-    f = findings(spark, sf)
+    f = findings_from_binding(gathered_findings(spark, sf))
+    io.write_findings(f, f"{root}/raw", gather=False)
+    f = io.read_written(spark, f"{root}/raw", f)
     meta, _ = C.correlate(f, [r for r in C.BUILTIN_RULES if r.rule_id == _SPRAWL])
-    io.write_findings(f, f"{root}/raw")
     io.write_findings(meta, f"{root}/correlated")
     both = io.choose_dataset(spark, f"{root}/enriched", f"{root}/raw", f"{root}/correlated")
-    io.write_findings(f.where("status = 'fail'"), f"{root}/enriched")
+    io.write_findings(f.where("status = 'fail'"), f"{root}/enriched", gather=False)
     enriched = io.choose_dataset(spark, f"{root}/enriched", f"{root}/raw", f"{root}/correlated")
     run = io.scan_run(spark, f"{root}/raw", "tenant-1", "prod", "run-1996")
     parts = [("raw and correlated", both), ("enriched", enriched), ("one run", run)]

@@ -99,3 +99,29 @@ def test_export_is_compressed_in_bounded_files(spark, tmp_path):
     lines = [gzip.decompress(p.read_bytes()).decode().splitlines() for p in files]
     assert all(p.name.endswith(".json.gz") for p in files) and [len(x) for x in lines] == [10, 10, 5]
     assert sorted(Decimal(r.v) for r in spark.read.json(paths["findings"]).collect()) == list(range(25))
+
+
+def test_written_findings_are_read_and_not_moved_again(spark, tmp_path):
+    from spendlens.sources import findings_io as io
+
+    day = dt.datetime(2024, 1, 1)
+    f = drafts(spark, [("007", *draft(0, day)[1:]), (None, *draft(1, day)[1:]), draft(2, day)])
+    io.write_findings(f, str(tmp_path / "raw"))
+    back = io.read_written(spark, str(tmp_path / "raw"), f)
+    assert back.schema.simpleString() == f.schema.simpleString() and sorted(map(str, back.collect())) == sorted(map(str, f.collect()))
+    io.write_findings(back.where("status = 'fail'"), str(tmp_path / "enriched"), gather=False)
+    assert sorted(r.tenant_id for r in io.read_written(spark, str(tmp_path / "enriched"), f).collect()) == ["", "007", "t"]
+
+
+def test_findings_move_before_they_are_wide(spark):
+    from conftest import SF001
+
+    from spendlens.sources.bind import bound, gathered_findings
+
+    moved, plain = gathered_findings(spark, SF001), bound(spark, SF001, "findings_flat")
+    assert moved.columns == plain.columns and moved.exceptAll(plain).count() == plain.exceptAll(moved).count() == 0
+    node = moved._jdf.queryExecution().optimizedPlan()
+    while not node.nodeName().startswith("RebalancePartitions"):
+        node = node.children().head()
+    dealt = node.output().mkString(",")
+    assert "resource_id#" in dealt and not any(f"{c}#" in dealt for c in ("fingerprint", "finding_id", "resource_arn"))
