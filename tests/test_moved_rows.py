@@ -125,3 +125,19 @@ def test_findings_move_before_they_are_wide(spark):
         node = node.children().head()
     dealt = node.output().mkString(",")
     assert "resource_id#" in dealt and not any(f"{c}#" in dealt for c in ("fingerprint", "finding_id", "resource_arn"))
+
+
+def test_evidence_stores_what_the_rules_read_once(spark, monkeypatch):
+    from conftest import SF001
+
+    from spendlens.plans import q_correlate as Q
+
+    stored = []
+    keep = Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, name: stored.append(name) or keep(df, name))
+    evidence, meta = Q._evidence(spark, SF001)
+    assert stored == ["signals", "meta-findings"]
+    # the tables are not joined again for each rule
+    for df in (evidence, meta):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_partkey" not in plan and "o_custkey" not in plan
