@@ -11,6 +11,7 @@ P17 group_key                    U5 upsert_latest     U6 state_upsert
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,9 @@ TITLE_ID_PATTERNS = [
     r"\b[a-z0-9-]{1,63}\.amazonaws\.com\b",
 ]
 
+#: the fixed text each of these patterns needs
+TITLE_ID_TEXTS = ["arn:", "i-", "vol-", "sg-", "subnet-", "vpc-", ".amazonaws.com"]
+
 SEVERITY_RANK = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
 
 
@@ -64,8 +68,11 @@ def normalize_title(title: Column, mask: bool = True) -> Column:
     t = F.lower(F.trim(F.coalesce(title, F.lit(""))))
     if not mask:
         return t
+    masked = t
     for pat in TITLE_ID_PATTERNS:
-        t = F.regexp_replace(t, pat, "<id>")
+        masked = F.regexp_replace(masked, pat, "<id>")
+    # the patterns are dear: only a title that holds the fixed text of one goes through them
+    t = F.when(reduce(Column.__or__, [t.contains(x) for x in TITLE_ID_TEXTS]), masked).otherwise(t)
     t = F.regexp_replace(t, r"\d+", "<n>")
     t = F.regexp_replace(t, r"\s+", " ")
     return F.trim(t)
@@ -152,9 +159,12 @@ def latest_of_runs(findings: DataFrame, runs: DataFrame, mask_titles: bool = Tru
     Same rows as ``latest_per_key(ingest_run(...)[0])``, with one shuffle (rank 1 is
     kept before it already) and the group key made for the surviving rows only.
     """
-    rows = _leaves(findings).join(ready_runs(runs), ["tenant_id", "workspace", "run_id"], "left_semi")
+    leaves = _leaves(findings)
+    # detected_at is the run's time: it does not travel twice
+    rows = leaves.drop("detected_at").join(ready_runs(runs), ["tenant_id", "workspace", "run_id"], "left_semi")
     w = Window.partitionBy("tenant_id", "workspace", "fingerprint").orderBy(F.col("run_ts").desc(), F.col("run_id").desc(), F.col("finding_id"))
-    return _with_group_key(rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"), mask_titles)
+    rows = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    return _with_group_key(rows.withColumn("detected_at", F.col("run_ts")).select(leaves.columns), mask_titles)
 
 
 def upsert_latest(latest: DataFrame, presence_new: DataFrame) -> DataFrame:

@@ -266,11 +266,15 @@ def _events(spark, sf):
     return state_events(spark, sf).select("tenant_id", "workspace_id", "subject_type", "subject_id", "state", "snooze_until", "event_ts")
 
 
-def _current(spark, sf):
-    # the read model and the log are each read by several branches: stored once
-    lat = materialize(_latest(spark, sf), "latest")
-    ev = materialize(_events(spark, sf), "events")
-    gov = G.sla_replay(ev, lat, G.default_policies(spark))
+def _current(spark, sf, *columns):
+    """The current view; with ``columns`` the read model carries them and what governance needs, no more."""
+    lat = _latest(spark, sf)
+    if columns:
+        lat = lat.select(*dict.fromkeys([*G.KEY, "category", "detected_at", "group_key", *columns]))
+    # the read model is read by several branches: stored once; of the log the findings' events are read once
+    lat = materialize(lat, "latest")
+    ev = _events(spark, sf)
+    gov = G.sla_replay(ev, lat, G.default_policies(spark), own_state=True)
     return G.finding_current(lat, ev, gov, AS_OF)
 
 
@@ -363,7 +367,7 @@ FROM lat LEFT JOIN fst USING (tenant_id, workspace, fingerprint) LEFT JOIN gst U
 def g1_j9(spark, sf):
     lat = materialize(_latest(spark, sf), "latest")
     events = materialize(_events(spark, sf).unionByName(_group_events(lat)), "events")
-    current = G.finding_current(lat, events, G.sla_replay(events, lat, G.default_policies(spark)), "1998-06-01 00:00:00")
+    current = G.finding_current(lat, events, G.sla_replay(events, lat, G.default_policies(spark), own_state=True), "1998-06-01 00:00:00")
     return current.select("tenant_id", "workspace", "fingerprint", "state", "snooze_until", "effective_state")
 
 
@@ -387,7 +391,7 @@ GROUP BY ALL
 """,
 )
 def a7(spark, sf):
-    return H.aggregates_current(_current(spark, sf))
+    return H.aggregates_current(_current(spark, sf, "severity", "service", "estimated_monthly_savings"))
 
 
 @query(
@@ -404,7 +408,7 @@ WHERE value IS NOT NULL GROUP BY ALL
 """,
 )
 def a9(spark, sf):
-    return H.facets(_current(spark, sf))
+    return H.facets(_current(spark, sf, "service", "region", "severity"))
 
 
 @query(
@@ -425,7 +429,7 @@ UNION ALL SELECT tenant_id, workspace, 'total', CAST(CAST(sum(estimated_monthly_
 """,
 )
 def a8(spark, sf):
-    cur = _current(spark, sf).select("tenant_id", "workspace", "account_id", "service", "severity", "category", "effective_state", "estimated_monthly_savings")
+    cur = _current(spark, sf, "account_id", "service", "severity", "estimated_monthly_savings").select("tenant_id", "workspace", "account_id", "service", "severity", "category", "effective_state", "estimated_monthly_savings")
     return H.dashboard_aggregates(materialize(cur, "current"), top_accounts=3)
 
 
@@ -451,7 +455,7 @@ FROM cur2 WHERE group_key IS NOT NULL GROUP BY ALL
 """,
 )
 def a10(spark, sf):
-    return H.group_list(_current(spark, sf))
+    return H.group_list(_current(spark, sf, "title", "check_id", "service", "severity", "estimated_monthly_savings"))
 
 
 @query(
@@ -465,7 +469,7 @@ FROM cur2 GROUP BY ALL
 """,
 )
 def a11(spark, sf):
-    return H.category_totals(_current(spark, sf))
+    return H.category_totals(_current(spark, sf, "estimated_monthly_savings"))
 
 
 @query(
@@ -523,7 +527,7 @@ ORDER BY COALESCE(category, 'uncategorized'), estimated_monthly_savings DESC NUL
 """,
 )
 def q7(spark, sf):
-    cur = _current(spark, sf).withColumn("category", F.coalesce("category", F.lit("uncategorized")))
+    cur = _current(spark, sf, "estimated_monthly_savings").withColumn("category", F.coalesce("category", F.lit("uncategorized")))
     return cur.orderBy("category", F.col("estimated_monthly_savings").desc_nulls_last(), "fingerprint").limit(200).select(
         "fingerprint", "category", "estimated_monthly_savings"
     )
@@ -540,7 +544,7 @@ USING (tenant_id, workspace, group_key)
 """,
 )
 def q8(spark, sf):
-    cur = _current(spark, sf).select("tenant_id", "workspace", "group_key", "fingerprint", "effective_state", "title", "check_id", "service", "category", "severity", "estimated_monthly_savings")
+    cur = _current(spark, sf, "title", "check_id", "service", "severity", "estimated_monthly_savings").select("tenant_id", "workspace", "group_key", "fingerprint", "effective_state", "title", "check_id", "service", "category", "severity", "estimated_monthly_savings")
     cur = materialize(cur, "current")
     groups = H.group_list(cur).where(F.col("finding_count") >= 3).select("tenant_id", "workspace", "group_key", "finding_count")
     groups = materialize(groups, "groups")  # of known size: few are broadcast, and members not dealt by group

@@ -141,3 +141,41 @@ def test_evidence_stores_what_the_rules_read_once(spark, monkeypatch):
     for df in (evidence, meta):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "l_partkey" not in plan and "o_custkey" not in plan
+
+
+def test_current_view_deals_the_log_once(spark):
+    t = dt.datetime(2024, 1, 1)
+    day = lambda n: t + dt.timedelta(days=n)
+    cols = "tenant_id string, workspace string, subject_type string, subject_id string, state string, snooze_until timestamp, event_ts timestamp"
+    rng = random.Random(3)
+    events = [("t", "w", "finding", f"fp{rng.randrange(6)}", s := rng.choice(["open", "resolved", "snoozed", "ignored"]), day(i + 40) if s == "snoozed" else None, day(i)) for i in range(40)]
+    ev = spark.createDataFrame([*events, ("t", "w", "group", "g1", "ignored", None, day(3))], cols)
+    latest = spark.createDataFrame([("t", "w", f"fp{i}", "c", "cost", t, f"g{i % 3}") for i in range(8)], "tenant_id string, workspace string, fingerprint string, check_id string, category string, detected_at timestamp, group_key string")
+    policies = G.default_policies(spark)
+    replayed = G.finding_current(latest, ev, G.sla_replay(ev, latest, policies, own_state=True), "2024-02-20")
+    looked_up = G.finding_current(latest, ev, G.sla_replay(ev, latest, policies), "2024-02-20")
+    assert replayed.columns == looked_up.columns and sorted(map(str, replayed.collect())) == sorted(map(str, looked_up.collect()))
+    plan = replayed._jdf.queryExecution().executedPlan().toString()
+    # no second sort and aggregate after the replay's windows, and no second pass over the findings' events
+    assert "SortAggregate" not in plan and "max_by" not in plan and not any("subject_id" in keys for keys in dealt_by(replayed))
+
+
+def test_titles_without_ids_skip_the_patterns(spark):
+    titles = ["Volume r-17 idle", "x arn:aws:ec2:eu:1:a/b c", "foo-i-12345678.amazonaws.com", "i-0abcdef12 vol-0abcdef12 subnet-0abcdef12", "my.sg-0123456789 vpc-01234567", "A  b\t 12", "", None, "multi-az", "bucket.s3.amazonaws.com 7"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(titles)], "i int, title string")
+    plain = F.lower(F.trim(F.coalesce("title", F.lit(""))))
+    for pattern in H.TITLE_ID_PATTERNS:
+        plain = F.regexp_replace(plain, pattern, "<id>")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"\d+", "<n>"), r"\s+", " "))
+    assert all(r.a == r.b for r in df.select(H.normalize_title(F.col("title")).alias("a"), plain.alias("b")).collect())
+    gated = H.normalize_title(F.col("title"))._jc.toString()
+    assert "CASE WHEN" in gated and all(x in gated for x in H.TITLE_ID_TEXTS)
+
+
+def test_strip_of_bare_text_equals_python(spark):
+    from spendlens.functions.identity import PY_WHITESPACE, py_strip
+
+    texts = ["", "a", " a", "a ", "!", "~", "\x7f", "é", "é ", "\x1ca\x85", "a　", *(f"{x}b c{x}" for x in PY_WHITESPACE), "x" * 50, None]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", py_strip(F.col("x")).alias("y"))
+    assert all(r.y == (None if r.x is None else r.x.strip()) for r in df.collect())
+    assert "CASE WHEN" in py_strip(F.col("x"))._jc.toString()
