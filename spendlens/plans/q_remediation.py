@@ -187,7 +187,7 @@ FROM items WHERE effective_state = 'open' GROUP BY ALL
 """,
 )
 def n6(spark, sf):
-    return R.composite(R.recommendation_list(_current(spark, sf)), "recommendation_type")
+    return R.composite(R.recommendation_list(_current(spark, sf, "check_id", "estimated_monthly_savings", "est_confidence")), "recommendation_type")
 
 
 @query(
