@@ -2,10 +2,10 @@
 
 Paragraphs (lines) are bags of hashed word 1- and 2-grams. A multinomial
 logistic regression tells licence families from ordinary text; it is trained
-on licence templates, filled with each family's names, and on a bounded sample
-of paragraphs without licence words. Two probabilities are calibrated on other
-sampled paragraphs: from ``likely`` on a paragraph is predicted a licence; from
-``doubtful`` on it is at least not ordinary. A prediction counts only if the
+on licence templates, filled with each family's names, and on one half (by
+hash) of all distinct paragraphs without licence words. Two probabilities are
+calibrated on the whole other half: from ``likely`` on a paragraph is predicted
+a licence; from ``doubtful`` on it is at least not ordinary. A prediction counts only if the
 paragraph resembles a template of its family and does not name a neighbouring
 licence (``NEIGHBOURS``); else its family is ``unknown``.
 
@@ -17,6 +17,7 @@ is trained on built-in sentences alone. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -105,24 +106,37 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def train_scanner(docs: DataFrame, sample: int = 4_000, size: int = 1 << 12, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
-    """Fit on the templates and at most ``sample`` ordinary paragraphs; calibrate on as many others."""
+    """Fit on the templates and one half of all distinct ordinary paragraphs; calibrate on the whole other half.
+
+    ``sample`` drops no paragraph: it is how many rows those of the fit weigh
+    together at most, so the templates keep their weight in a large corpus.
+    """
     spark = docs.sparkSession
-    plain = paragraphs(docs, id_col, text_col).where(~F.col("paragraph").rlike(_LICENCE_WORDS)).select("paragraph")
-    # hashes of distinct paragraphs are drawn first, so only the sample's texts move
-    hashed = plain.select("paragraph", F.xxhash64("paragraph").alias("h"))
-    chosen = stored(hashed.select("h").distinct().orderBy("h").limit(2 * sample), "licence-drawn")  # at most 2 * sample rows
-    drawn = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("paragraph").alias("paragraph"))
-    drawn = stored(drawn.withColumn("for_fit", F.pmod(F.shiftright("h", 7), F.lit(2)) == 0), "licence-sample")
+    plain = paragraphs(docs, id_col, text_col).where(~F.col("paragraph").rlike(_LICENCE_WORDS)).select("paragraph").distinct()
+    halved = plain.withColumn("for_fit", F.pmod(F.shiftright(F.xxhash64("paragraph"), 7), F.lit(2)) == 0)
+    ordinary = stored(_vectors(halved, size).select("for_fit", "vector"), "licence-ordinary")
     known = [(f, t) for f, ts in templates().items() for t in ts] + [(ORDINARY_LABEL, t) for t in ORDINARY for _ in range(3)]
-    rows = _literals(spark, known).unionByName(drawn.where("for_fit").select(F.lit(ORDINARY_LABEL).alias("family"), "paragraph"))
     label = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")).cast("double") - 1
-    ready = stored(rows.withColumn("label", label).coalesce(2), "licence-training")
-    model = LogisticRegression(featuresCol="vector", labelCol="label", family="multinomial", regParam=1e-4, maxIter=60, standardization=False).fit(_vectors(ready, size))
-    other = model.transform(_vectors(drawn.where("NOT for_fit").select("paragraph"), size)).select((1 - F.get(vector_to_array("probability"), F.lit(0))).alias("p"))
-    high = other.agg(F.percentile_approx("p", 0.999)).first()[0] or 0.0
+    rows = stored(_vectors(_literals(spark, known), size).select(label.alias("label"), "vector", F.lit(1.0).alias("weight")), "licence-templates")
+    fit = ordinary.where("for_fit")
+    weight = min(1.0, sample / max(1, fit.count()))
+    rows = rows.unionByName(fit.select(F.lit(float(FAMILIES.index(ORDINARY_LABEL))).alias("label"), "vector", F.lit(weight).alias("weight")))
+    model = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", family="multinomial", regParam=1e-4, maxIter=60, standardization=False).fit(rows)
+    other = model.transform(ordinary.where("NOT for_fit")).select((1 - F.get(vector_to_array("probability"), F.lit(0))).alias("p"))
+    high = _quantile(stored(other, "licence-chances"), 0.999) or 0.0
     return Scanner(model, max(0.5, high), max(0.4, high))
 
 
+def _quantile(values: DataFrame, share: float) -> float | None:
+    """The smallest ``p`` with at least ``share`` of all rows at or below it, exactly; None without rows."""
+    n = values.count()
+    if not n:
+        return None
+    # the sketch's rank is off by n / 10,000 at most, so the wanted row lies in the tail above it
+    low = values.agg(F.percentile_approx("p", max(0.0, share - 0.001), 10_000)).first()[0]
+    return values.where(F.col("p") >= low).orderBy(F.desc("p")).offset(n - math.ceil(share * n)).first()[0]
+
+
 def scan_licences(docs: DataFrame, scanner: Scanner, least_similar: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, position, paragraph, family, predicted, probability, similarity) of licence paragraphs.
 
@@ -132,8 +146,9 @@ def scan_licences(docs: DataFrame, scanner: Scanner, least_similar: float = 0.5,
     """
     size = scanner.model.numFeatures
     judged = scanner.model.transform(_vectors(paragraphs(docs, id_col, text_col), size))
-    chance = vector_to_array("probability")
-    judged = judged.select("doc_id", "position", "paragraph", "words", (1 - F.get(chance, F.lit(0))).alias("probability"), F.slice(chance, 2, len(NAMES)).alias("by_family"))
+    # columns of a generator are not inlined into the filter, which would find the words there several times more
+    judged = judged.select("doc_id", "position", "paragraph", F.inline(F.array(F.struct("words", vector_to_array("probability").alias("chance")))))
+    judged = judged.select("doc_id", "position", "paragraph", "words", (1 - F.get("chance", F.lit(0))).alias("probability"), F.slice("chance", 2, len(NAMES)).alias("by_family"))
     judged = judged.where(F.col("probability") >= scanner.doubtful)
     best = F.array_position("by_family", F.array_max("by_family")).cast("int") - 1
     judged = judged.withColumn("predicted", F.get(F.array(*map(F.lit, NAMES)), best))

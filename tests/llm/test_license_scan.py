@@ -1,6 +1,11 @@
+import math
+
+import pytest
 from llm_helpers import collected, documents, prose
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
-from spendlens.llm.license_scan import scan_licences, train_scanner
+from spendlens.llm.license_scan import _quantile, _vectors, scan_licences, train_scanner
 
 LINES = {
     "MIT": ["Released under the MIT License.", "MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
@@ -36,3 +41,34 @@ def test_neighbours_of_known_families_are_unknown(spark):
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert collected(scan_licences(docs, train_scanner(docs, sample=10))) == []
+
+
+def test_every_ordinary_paragraph_is_fitted_or_calibrates(spark):
+    """Far more paragraphs than ``sample``: half of them shape the model, all others the thresholds."""
+    ordinary = [f"zq{i}x {prose(6, i)}" for i in range(400)]
+    close = [f"Permission is hereby granted, free of charge, to any person obtaining a copy of this software zr{i}x" for i in range(40)]
+    rows = spark.createDataFrame([(t,) for t in ordinary + close], "paragraph string").withColumn("for_fit", F.pmod(F.shiftright(F.xxhash64("paragraph"), 7), F.lit(2)) == 0)
+    rows = rows.where("NOT for_fit OR paragraph LIKE 'zq%'")  # only the calibration meets lines close to a licence
+    docs = documents(spark, [(i, r.paragraph) for i, r in enumerate(rows.collect())])
+    scanner = train_scanner(docs, sample=10)
+    rows = scanner.model.transform(_vectors(rows, scanner.model.numFeatures)).select("for_fit", "vector", (1 - F.get(vector_to_array("probability"), F.lit(0))).alias("p")).collect()
+    weights = scanner.model.coefficientMatrix.toArray()
+    fitted, others = [r.vector.indices for r in rows if r.for_fit], sorted(r.p for r in rows if not r.for_fit)
+    own = [[i for i in at if i not in set.intersection(*map(set, fitted))] for at in fitted]  # terms of all rows have no weight
+    assert len(own) > 150 and all((abs(weights[:, at]).max(axis=0) > 0).all() for at in own)
+    high = others[math.ceil(0.999 * len(others)) - 1]
+    assert high > 0.5 and scanner.likely == pytest.approx(high, rel=1e-9) and scanner.doubtful == scanner.likely
+
+
+def test_sample_bounds_the_weight_of_ordinary_paragraphs(spark):
+    """A licence line is still found among thousands of ordinary lines that weigh ten rows."""
+    docs = documents(spark, [(i, "\n".join(prose(8, 50 * i + k) for k in range(50))) for i in range(40)] + [(100, "Released under the MIT License.")])
+    assert collected(scan_licences(docs, train_scanner(docs, sample=10)).where("doc_id = 100").select("family")) == [("MIT",)]
+
+
+def test_quantile_is_exact(spark):
+    for n in (1, 7, 1000, 30_000):
+        values = spark.range(n).select(((F.col("id") * 7919) % n / 3.0).alias("p"))
+        assert _quantile(values, 0.999) == sorted((i * 7919) % n / 3.0 for i in range(n))[math.ceil(0.999 * n) - 1]
+    assert _quantile(spark.createDataFrame([], "p double"), 0.999) is None
+    assert _quantile(spark.range(5000).select(F.lit(0.25).alias("p")), 0.999) == 0.25
