@@ -9,7 +9,9 @@ a licence; from ``doubtful`` on it is at least not ordinary. A prediction counts
 paragraph resembles a template of its family and does not name a neighbouring
 licence (``NEIGHBOURS``); else its family is ``unknown``.
 
-DataFrame functions and the JVM classifier of Spark only. Defined results: a
+DataFrame functions and the JVM classifier of Spark only; over many paragraphs
+its parameters come from ``softmax_fit``, which solves a bounded problem on the
+driver and sums the gradient over all rows on Spark. Defined results: a
 null or blank text has no paragraphs; equal paragraphs are reported each with
 its own position; null ids are kept; an empty table gives an empty result and
 is trained on built-in sentences alone. Other columns are ignored.
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keyed, stored
+from .softmax_fit import fit_in_rounds
 
 #: fixed values: names each family goes by
 NAMES = {
@@ -60,7 +63,10 @@ SENTENCES = ["Released under the {}.", "Licensed under the {}.", "Licensed under
 ORDINARY = ["All rights reserved.", "A driving license is required to rent a car.", "The licensing board met on Tuesday.", "Press release: the new version is available now.", "She works at the public library of the general hospital.", "Released in the spring, the album was a commercial success.", "The software was written in the common source language.", "Version 2.0 of the report is attached.", "Permission to enter was granted by the guard.", "This work is free of errors.", "Copyright is a form of property.", "Public opinion under the new terms was divided."]
 ORDINARY_LABEL = "none"
 FAMILIES = [ORDINARY_LABEL, *NAMES]
-_LICENCE_WORDS = r"(?i)licen[cs]e|copyright|gnu|gpl|spdx|creative commons|apache|mozilla"
+# the look-ahead only spares most places the whole list
+_LICENCE_WORDS = r"(?i)(?=[lcgsam])(?:licen[cs]e|copyright|gnu|gpl|spdx|creative commons|apache|mozilla)"
+_LIKELY, _DOUBTFUL = 0.5, 0.4  # least thresholds
+_PENALTY = 1e-4
 
 
 @dataclass(frozen=True)
@@ -105,36 +111,75 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.where(F.col("paragraph").rlike(r"\S"))
 
 
-def train_scanner(docs: DataFrame, sample: int = 4_000, size: int = 1 << 12, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
+def _for_fit(h: Column) -> Column:
+    """One half of all paragraphs, by hash."""
+    return F.pmod(F.shiftright(h, 7), F.lit(2)) == 0
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """128 bits that tell paragraphs apart, so that their texts need not move."""
+    return rows.withColumn("h", F.xxhash64("paragraph")).withColumn("h2", F.xxhash64(F.lit(1), "paragraph"))
+
+
+def train_scanner(docs: DataFrame, sample: int = 4_000, size: int = 1 << 12, id_col: str = "doc_id", text_col: str = "text", at_once: int = 20_000) -> Scanner:
     """Fit on the templates and one half of all distinct ordinary paragraphs; calibrate on the whole other half.
 
     ``sample`` drops no paragraph: it is how many rows those of the fit weigh
     together at most, so the templates keep their weight in a large corpus.
+    More than ``at_once`` rows are fitted in rounds over all of them (``softmax_fit``).
     """
-    spark = docs.sparkSession
-    plain = paragraphs(docs, id_col, text_col).where(~F.col("paragraph").rlike(_LICENCE_WORDS)).select("paragraph").distinct()
-    halved = plain.withColumn("for_fit", F.pmod(F.shiftright(F.xxhash64("paragraph"), 7), F.lit(2)) == 0)
-    ordinary = stored(_vectors(halved, size).select("for_fit", "vector"), "licence-ordinary")
+    return _trained(docs, sample, size, id_col, text_col, at_once)[0]
+
+
+def scan_corpus(docs: DataFrame, sample: int = 4_000, size: int = 1 << 12, least_similar: float = 0.5, id_col: str = "doc_id", text_col: str = "text", at_once: int = 20_000) -> DataFrame:
+    """``scan_licences`` by a scanner trained on the same documents; what calibrates it is not judged again."""
+    scanner, judged = _trained(docs, sample, size, id_col, text_col, at_once)
+    return _confirmed(judged, scanner, least_similar)
+
+
+def _trained(docs: DataFrame, sample: int, size: int, id_col: str, text_col: str, at_once: int) -> tuple[Scanner, DataFrame]:
+    """The scanner, and all paragraphs judged by its model that can be licences or set the thresholds."""
+    rows = _hashed(paragraphs(docs, id_col, text_col).where(~F.col("paragraph").rlike(_LICENCE_WORDS)))
+    # the other half is only counted here
+    rows = rows.select("h", "h2", F.when(_for_fit(F.col("h")), F.col("paragraph")).otherwise("").alias("paragraph")).distinct()
+    ordinary = stored(_vectors(rows, size).select("h", "h2", "vector"), "licence-ordinary")
+    fit = ordinary.where(_for_fit(F.col("h")))
+    n_fit, n_other = ordinary.agg(F.count_if(_for_fit(F.col("h"))), F.count_if(~_for_fit(F.col("h")))).first()
+    model = _fitted(fit, n_fit, min(1.0, sample / max(1, n_fit)), size, at_once)
+    suspects = stored(model.transform(fit).where(_licence_chance() >= _DOUBTFUL).select("h", "h2", F.lit(True).alias("suspect")), "licence-suspects")
+    judged = stored(_judged(docs, model, _DOUBTFUL, id_col, text_col, suspects), "licence-judged")
+    other = judged.where(~_for_fit(F.xxhash64("paragraph")) & ~F.col("paragraph").rlike(_LICENCE_WORDS))
+    high = _quantile(other.groupBy("paragraph").agg(F.max("probability").alias("p")), 0.999, n_other) or 0.0
+    return Scanner(model, max(_LIKELY, high), max(_DOUBTFUL, high)), judged
+
+
+def _fitted(fit: DataFrame, n: int, weight: float, size: int, at_once: int) -> LogisticRegressionModel:
+    """The classifier of the templates and of ``n`` ordinary rows of ``weight`` each."""
     known = [(f, t) for f, ts in templates().items() for t in ts] + [(ORDINARY_LABEL, t) for t in ORDINARY for _ in range(3)]
     label = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")).cast("double") - 1
-    rows = stored(_vectors(_literals(spark, known), size).select(label.alias("label"), "vector", F.lit(1.0).alias("weight")), "licence-templates")
-    fit = ordinary.where("for_fit")
-    weight = min(1.0, sample / max(1, fit.count()))
+    rows = stored(_vectors(_literals(fit.sparkSession, known), size).select(label.alias("label"), "vector", F.lit(1.0).alias("weight")), "licence-templates")
+    if n > at_once:
+        part = F.pmod("h2", F.lit(1 << 31)) < math.ceil(at_once / n * (1 << 31))
+        return fit_in_rounds(rows, fit, n, weight, part, size, len(FAMILIES), _PENALTY)
     rows = rows.unionByName(fit.select(F.lit(float(FAMILIES.index(ORDINARY_LABEL))).alias("label"), "vector", F.lit(weight).alias("weight")))
-    model = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", family="multinomial", regParam=1e-4, maxIter=60, standardization=False).fit(rows)
-    other = model.transform(ordinary.where("NOT for_fit")).select((1 - F.get(vector_to_array("probability"), F.lit(0))).alias("p"))
-    high = _quantile(stored(other, "licence-chances"), 0.999) or 0.0
-    return Scanner(model, max(0.5, high), max(0.4, high))
+    return LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", family="multinomial", regParam=_PENALTY, maxIter=60, standardization=False).fit(rows)
 
 
-def _quantile(values: DataFrame, share: float) -> float | None:
-    """The smallest ``p`` with at least ``share`` of all rows at or below it, exactly; None without rows."""
-    n = values.count()
+def _quantile(values: DataFrame, share: float, n: int | None = None) -> float | None:
+    """The smallest ``p`` with at least ``share`` of all rows at or below it, exactly; None without rows.
+
+    If ``n`` is given, there are ``n`` rows in all and ``values`` are the largest of them; None if it is not among these.
+    """
+    if n is None:
+        n = values.count()
+        if n:
+            # the sketch's rank is off by n / 10,000 at most, so the wanted row lies in the tail above it
+            low = values.agg(F.percentile_approx("p", max(0.0, share - 0.001), 10_000)).first()[0]
+            values = values.where(F.col("p") >= low)
     if not n:
         return None
-    # the sketch's rank is off by n / 10,000 at most, so the wanted row lies in the tail above it
-    low = values.agg(F.percentile_approx("p", max(0.0, share - 0.001), 10_000)).first()[0]
-    return values.where(F.col("p") >= low).orderBy(F.desc("p")).offset(n - math.ceil(share * n)).first()[0]
+    row = values.select("p").orderBy(F.desc("p")).offset(n - math.ceil(share * n)).first()
+    return row.p if row else None
 
 
 def scan_licences(docs: DataFrame, scanner: Scanner, least_similar: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,11 +189,31 @@ def scan_licences(docs: DataFrame, scanner: Scanner, least_similar: float = 0.5,
     else ``unknown``. ``similarity`` is the best Jaccard similarity of words
     with the family's templates.
     """
-    size = scanner.model.numFeatures
-    judged = scanner.model.transform(_vectors(paragraphs(docs, id_col, text_col), size))
+    return _confirmed(_judged(docs, scanner.model, scanner.doubtful, id_col, text_col), scanner, least_similar)
+
+
+def _licence_chance() -> Column:
+    return 1 - F.get(vector_to_array("probability"), F.lit(0))
+
+
+def _judged(docs: DataFrame, model: LogisticRegressionModel, least: float, id_col: str, text_col: str, suspects: DataFrame | None = None) -> DataFrame:
+    """(doc_id, position, paragraph, words, probability, by_family) of paragraphs of at least that probability.
+
+    ``suspects`` are the hashes of all paragraphs of the fit that have it; the others of the fit are not judged again.
+    """
+    rows = paragraphs(docs, id_col, text_col)
+    if suspects is not None:
+        rows = _hashed(rows).join(suspects, ["h", "h2"], "left")
+        rows = rows.where(F.col("suspect") | ~_for_fit(F.col("h")) | F.col("paragraph").rlike(_LICENCE_WORDS)).select("doc_id", "position", "paragraph")
+    judged = model.transform(_vectors(rows, model.numFeatures))
     # columns of a generator are not inlined into the filter, which would find the words there several times more
     judged = judged.select("doc_id", "position", "paragraph", F.inline(F.array(F.struct("words", vector_to_array("probability").alias("chance")))))
     judged = judged.select("doc_id", "position", "paragraph", "words", (1 - F.get("chance", F.lit(0))).alias("probability"), F.slice("chance", 2, len(NAMES)).alias("by_family"))
+    return judged.where(F.col("probability") >= least)
+
+
+def _confirmed(judged: DataFrame, scanner: Scanner, least_similar: float) -> DataFrame:
+    """Judged paragraphs that are at least doubtful, with the families that templates confirm."""
     judged = judged.where(F.col("probability") >= scanner.doubtful)
     best = F.array_position("by_family", F.array_max("by_family")).cast("int") - 1
     judged = judged.withColumn("predicted", F.get(F.array(*map(F.lit, NAMES)), best))

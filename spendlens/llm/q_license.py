@@ -1,11 +1,10 @@
 """op9: licence paragraphs of all documents."""
 
 from .common import table
-from .license_scan import scan_licences, train_scanner
+from .license_scan import scan_corpus
 from .registry import query
 
 
 @query("op9_license_scan")
 def op9_license_scan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return scan_licences(docs, train_scanner(docs))
+    return scan_corpus(table(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from llm_helpers import collected, documents, prose
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from spendlens.llm.license_scan import _quantile, _vectors, scan_licences, train_scanner
+from spendlens.llm.license_scan import _quantile, _vectors, scan_corpus, scan_licences, train_scanner
 
 LINES = {
     "MIT": ["Released under the MIT License.", "MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
@@ -72,3 +72,24 @@ def test_quantile_is_exact(spark):
         assert _quantile(values, 0.999) == sorted((i * 7919) % n / 3.0 for i in range(n))[math.ceil(0.999 * n) - 1]
     assert _quantile(spark.createDataFrame([], "p double"), 0.999) is None
     assert _quantile(spark.range(5000).select(F.lit(0.25).alias("p")), 0.999) == 0.25
+
+
+def test_largest_values_give_the_quantile_of_all(spark):
+    values = spark.range(1000).select((F.col("id") / 1000.0).alias("p"))
+    assert _quantile(values.where("p >= 0.9"), 0.99, 1000) == _quantile(values, 0.99)
+    assert _quantile(values.where("p >= 0.995"), 0.99, 1000) is None and _quantile(values.limit(0), 0.99, 0) is None
+
+
+def test_own_scan_reports_what_a_second_scan_would(spark):
+    """What the fit has judged is not judged again, yet every occurrence is reported: by rounds and at once."""
+    close = [f"Permission is hereby granted, free of charge, to any person zr{i}x" for i in range(6)]
+    rows = [(i, prose(30, i) + "\n" + close[i % 6] + "\n" + LINES["MIT"][i % 3] + "\n" + close[i % 6]) for i in range(150)] + [(None, close[0]), (900, None)]
+    docs = documents(spark, rows)
+    for at_once in (40, 20_000):
+        scanner = train_scanner(docs, sample=20, at_once=at_once)
+        want = collected(scan_licences(docs, scanner).select("doc_id", "position", "family", "predicted"))
+        got = collected(scan_corpus(docs, sample=20, at_once=at_once).select("doc_id", "position", "family", "predicted"))
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        assert {(i, 2) for i in range(150) if i % 3 == 0} <= {r[:2] for r in got}
+        ordinary = [r for r in got if r[1] in (1, 3)]
+        assert len(ordinary) % 2 == 0 and {(i, 4 - p) for i, p, *_ in ordinary} == {r[:2] for r in ordinary}
