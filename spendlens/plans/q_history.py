@@ -58,6 +58,13 @@ def _presence(spark, sf):
     return p
 
 
+def _run_diff(spark, sf):
+    # presence is ingested run by run: that of runs that are not compared is not needed
+    r = runs(spark, sf)
+    p, _ = H.ingest_run(findings(spark, sf), H.latest_ready_runs(r, 2))
+    return H.run_diff(p, r)
+
+
 def _latest(spark, sf):
     return H.latest_of_runs(findings(spark, sf), runs(spark, sf))
 
@@ -139,7 +146,7 @@ diff AS (
 
 @query("n3_run_diff", oracle=HIST_CTE + DIFF_CTE + "SELECT * FROM diff")
 def n3(spark, sf):
-    return H.run_diff(_presence(spark, sf), runs(spark, sf))
+    return _run_diff(spark, sf)
 
 
 @query(
@@ -153,7 +160,7 @@ FROM diff GROUP BY ALL
 """,
 )
 def a14(spark, sf):
-    return H.run_diff_rollup(H.run_diff(_presence(spark, sf), runs(spark, sf)), "category")
+    return H.run_diff_rollup(_run_diff(spark, sf), "category")
 
 
 @query(
