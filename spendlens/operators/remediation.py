@@ -2,10 +2,10 @@
 
 Impact is computed set-based for every finalized action at once: the baseline
 is an as-of lookup into the presence history (J12: newest ready-run snapshot
-at or before the action was finalized, else the newest ever) done as an
-equi-join on the fingerprint plus ``max_by`` over (run_ts, run_id) - the
-history per fingerprint is bounded by the number of runs - and presence in
-the latest ready run is an equi-join on (run, fingerprint) (J13).
+at or before the action was finalized, else the newest ever) and presence in
+the latest ready run (J13). Both are read from the fingerprint's history, one
+row with a list as long as there are runs, which each action meets in one
+equi-join on the fingerprint.
 """
 
 from __future__ import annotations
@@ -91,26 +91,21 @@ def remediation_impact(actions: DataFrame, runs: DataFrame, presence: DataFrame)
         F.lower(F.trim("status")).alias("action_status"),
         F.col("updated_at").alias("finalized_at"),
     )
-    # read twice
+    # stored: what the presence shuffled is freed before the actions move
     hist = materialize(presence.select(*KEY, "run_id", "run_ts", F.col("estimated_monthly_savings").cast(MONEY).alias("s")), "savings-history")
-    # newest snapshot = max of (run_ts, run_id, savings) structs; NULL structs are skipped by max
-    snap = F.struct(F.col("run_ts"), F.col("run_id"), F.col("s"))
-    akey = ["tenant_id", "workspace", "action_id", "fingerprint"]
-    base = (
-        a.select(*akey, "finalized_at")
-        .join(hist, KEY)
-        .groupBy(*akey)
-        .agg(
-            F.max(F.when(F.col("run_ts") <= F.col("finalized_at"), snap)).alias("_before"),
-            F.max(snap).alias("_ever"),
-        )
-        .select(*akey, F.coalesce(F.col("_before"), F.col("_ever")).getField("s").alias("baseline_raw"))
-    )
-    cur = hist.select(*KEY, F.col("run_id").alias("latest_run_id"), F.col("s").alias("current_raw"), F.lit(True).alias("_present"))
+    # newest snapshot = max of (run_ts, run_id, savings) structs
+    # (both sides are dealt once, by fingerprint alone: a tenant or workspace that is a constant would be dropped from the keys)
+    past = hist.repartition("fingerprint").groupBy(*KEY).agg(F.collect_list(F.struct("run_ts", "run_id", "s")).alias("_past"))
+    # rows of one action share the snapshots before the last of them
+    one = Window.partitionBy(*KEY, "action_id")
+    a = a.repartition("fingerprint").withColumn("_until", F.max("finalized_at").over(one)).join(past, KEY, "left")
+    before = F.array_max(F.filter("_past", lambda x: x["run_ts"] <= F.col("_until")))
+    baseline_raw = F.when(F.col("action_id").isNotNull(), F.coalesce(before, F.array_max("_past"))["s"])
+    in_latest = F.filter("_past", lambda x: x["run_id"] == F.col("latest_run_id"))
     j = (
         a.join(latest_run, ["tenant_id", "workspace"], "left")
-        .join(base, ["tenant_id", "workspace", "action_id", "fingerprint"], "left")
-        .join(cur, KEY + ["latest_run_id"], "left")
+        .withColumns({"baseline_raw": baseline_raw, "_now": F.explode_outer(in_latest)})
+        .withColumns({"current_raw": F.col("_now.s"), "_present": F.when(F.col("_now").isNotNull(), True)})
     )
     zero = F.lit(0).cast(MONEY)
     baseline = F.greatest(zero, F.coalesce("baseline_raw", zero))
