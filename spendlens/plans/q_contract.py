@@ -97,7 +97,7 @@ UNION ALL SELECT 'sample', finding_id, errors_text FROM (SELECT * FROM e WHERE e
 """,
 )
 def x14(spark, sf):
-    ok, bad, sample = split_valid(to_findings(_bad_drafts(spark, sf)), samples=20)
+    ok, bad, sample = split_valid(to_findings(_bad_drafts(spark, sf)), samples=20, keep=("check_id",))
     count = lambda df, name: df.groupBy("check_id").count().select(F.lit(name).alias("part"), F.col("check_id").alias("item"), F.col("count").cast("string").alias("value"))
     samples = sample.select(F.lit("sample").alias("part"), F.col("finding_id").alias("item"), F.array_join("errors", ";").alias("value"))
     return count(ok, "valid").unionByName(count(bad, "invalid")).unionByName(samples)
