@@ -226,7 +226,8 @@ def x2(spark, sf):
 )
 def s6(spark, sf):
     root = new_folder(spark, "findings-store")
-    io.write_findings(findings(spark, sf), root)
+    # dealt while narrow: no wide finding moves
+    io.write_findings(findings_from_binding(gathered_findings(spark, sf)), root, gather=False)
     scanned = io.scan_run(spark, root, "tenant-1")
     return scanned.groupBy(F.col("run_date").cast("string").alias("run_date")).agg(F.count(F.lit(1)).alias("findings"))
 

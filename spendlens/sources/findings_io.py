@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..session import freed_shuffles
+
 ROWS_PER_FILE = 200_000
 
 
@@ -82,15 +84,16 @@ def write_findings(findings: DataFrame, root: str, *, mode: str = "overwrite", r
     they got wide, or read from such a dataset) and need not move again.
     """
     df = with_run_date(findings)
-    (
-        (df.hint("rebalance", "tenant_id", "run_date") if gather else df)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd")
-        .option("maxRecordsPerFile", rows_per_file)
-        .partitionBy("tenant_id", "run_date")
-        .parquet(root)
-    )
+    with freed_shuffles(findings.sparkSession):
+        (
+            (df.hint("rebalance", "tenant_id", "run_date") if gather else df)
+            .write.mode(mode)
+            .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd")
+            .option("maxRecordsPerFile", rows_per_file)
+            .partitionBy("tenant_id", "run_date")
+            .parquet(root)
+        )
 
 
 def write_cost_facts(
