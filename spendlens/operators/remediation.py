@@ -10,6 +10,8 @@ equi-join on the fingerprint.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,11 +96,14 @@ def remediation_impact(actions: DataFrame, runs: DataFrame, presence: DataFrame)
     # stored: what the presence shuffled is freed before the actions move
     hist = materialize(presence.select(*KEY, "run_id", "run_ts", F.col("estimated_monthly_savings").cast(MONEY).alias("s")), "savings-history")
     # newest snapshot = max of (run_ts, run_id, savings) structs
-    # (both sides are dealt once, by fingerprint alone: a tenant or workspace that is a constant would be dropped from the keys)
+    # both sides are dealt once, by fingerprint, for window, list and join alike; tenant and
+    # workspace are compared as a range, since as join keys they would have both dealt again
     past = hist.repartition("fingerprint").groupBy(*KEY).agg(F.collect_list(F.struct("run_ts", "run_id", "s")).alias("_past"))
     # rows of one action share the snapshots before the last of them
     one = Window.partitionBy(*KEY, "action_id")
-    a = a.repartition("fingerprint").withColumn("_until", F.max("finalized_at").over(one)).join(past, KEY, "left")
+    a = a.repartition("fingerprint").withColumn("_until", F.max("finalized_at").over(one))
+    within = [F.col(f"a.{c}").between(F.col(f"p.{c}"), F.col(f"p.{c}")) for c in KEY[:2]]
+    a = a.alias("a").join(past.alias("p"), reduce(Column.__and__, within, F.col("a.fingerprint") == F.col("p.fingerprint")), "left").select("a.*", "p._past")
     before = F.array_max(F.filter("_past", lambda x: x["run_ts"] <= F.col("_until")))
     baseline_raw = F.when(F.col("action_id").isNotNull(), F.coalesce(before, F.array_max("_past"))["s"])
     in_latest = F.filter("_past", lambda x: x["run_id"] == F.col("latest_run_id"))

@@ -24,8 +24,15 @@ def test_impact_equals_brute_force_and_deals_actions_once(spark):
         spark.createDataFrame(runs, "tenant_id string, workspace string, run_id string, run_ts timestamp, status string"),
         spark.createDataFrame(past, "tenant_id string, workspace string, fingerprint string, run_id string, run_ts timestamp, estimated_monthly_savings decimal(18,6)"),
     )
-    # actions are dealt once, and their history once
-    assert dealt_by(impact) == [["fingerprint"], ["fingerprint"]]
+    # actions are dealt once, and their history once, without a broadcast too
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(limit)
+    spark.conf.set(limit, "100")
+    try:
+        assert sorted(dealt_by(impact.select("action_id", "realized_monthly_savings")))[:2] == [["fingerprint"], ["fingerprint"]]
+        assert sum("fingerprint" in keys for keys in dealt_by(impact.select("action_id", "realized_monthly_savings"))) == 2
+    finally:
+        spark.conf.set(limit, was)
     want, zero = [], Decimal(0)
     for t, w, a, fp, _, _, status, at in acts:
         fp, status = fp and fp.strip(), status.strip().lower()
